@@ -24,10 +24,13 @@ RULES = (
 # Names in hosts of unwanted and wanted sites, the ground of the labelled URL table.
 UNWANTED = """casino poker slots jackpot lottery bets betting bookmaker pills pharma viagra diet-pills adult xxx cams escort dating-hot
 spam link-farm seo-farm content-farm ads adserver ad-track click-track banner-ads popup payday-loans quick-cash free-money
-win-prize replica-watch crack-download warez torrent-free""".split()
+win-prize replica-watch crack-download warez torrent-free cheap-meds cheap-pill cheap-drugs pill-shop cheap-watches free-spins
+free-gifts sports-bets""".split()
 WANTED = """library museum school college garden weather history science kitchen travel research music theatre nature museum-shop
 council archive journal news review forum health-info sports-club chess books recipes physics chemistry maps railway astronomy
-language-notes translation gallery workshop harbour mountain river forest village bakery studio observatory heritage""".split()
+language-notes translation gallery workshop harbour mountain river forest village bakery studio observatory heritage cooking
+painting gardening hiking writing printing thinking farming sailing engineering nothing-else everything evening-post northern
+south another mathematics health theology ethics author""".split()
 NGRAMS = (2, 3, 4)
 LOG2_FEATURES = 16
 
@@ -60,7 +63,7 @@ def ngrams(text: Column, tag: str, sizes=NGRAMS) -> Column:
     chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
 
     def grams(n: int) -> Column:
-        joined = reduce(lambda a, k: F.zip_with(a, F.slice(chars, k + 1, 2**31 - 1), lambda x, y: F.concat(x, y)), range(1, n), chars)
+        joined = reduce(lambda a, k: F.zip_with(a, F.slice(chars, F.lit(k + 1), F.size(chars)), lambda x, y: F.concat(x, y)), range(1, n), chars)
         return F.transform(F.filter(joined, lambda g: g.isNotNull()), lambda g: F.concat(F.lit(f"{tag}{n}:"), g))
 
     return F.concat(*[grams(n) for n in sizes])
