@@ -106,6 +106,7 @@ def bfgs(spec: Spec, x: np.ndarray, y: np.ndarray, exog: np.ndarray | None, maxi
     value, grad = cost(spec, x, y, exog), gradient(spec, x, y, exog)
     inverse = np.broadcast_to(np.eye(p), (b, p, p)) / np.maximum(1, np.linalg.norm(grad, axis=1))[:, None, None]
     n_iter, done, fresh = np.zeros(b, np.int64), np.zeros(b, bool), np.ones(b, bool)
+    slow = np.zeros(b, np.int64)
     for _ in range(maxiter):
         done |= np.abs(grad).max(axis=1, initial=0) < 1e-5 * np.maximum(1, np.abs(value) / 100)
         live = np.flatnonzero(~done)
@@ -142,6 +143,8 @@ def bfgs(spec: Spec, x: np.ndarray, y: np.ndarray, exog: np.ndarray | None, maxi
                 inverse = inverse.copy()
             inverse[live[i]] = inverse_i
             fresh[live[i]] = False
+        # A likelihood that rises towards the border of its region creeps for ever; ten such steps in a row end it.
+        slow[live] = np.where(value[live] - new_value < 1e-6 * np.maximum(1, np.abs(value[live])), slow[live] + 1, 0)
         small = value[live] - new_value < 1e-9 * np.maximum(1, np.abs(value[live]))
         stuck = small & fresh[live]
         reset = open_ & ~fresh[live]
@@ -149,7 +152,7 @@ def bfgs(spec: Spec, x: np.ndarray, y: np.ndarray, exog: np.ndarray | None, maxi
             inverse = inverse.copy()
             inverse[live[reset]] = np.eye(p) * 0.1
             fresh[live[reset]] = True
-        done[live] |= (small & ~open_) | (stuck & open_)
+        done[live] |= (small & ~open_) | (stuck & open_) | (slow[live] >= 10)
         x[live], value[live], grad[live] = new_x, new_value, new_grad
     return x, value, n_iter, done
 
