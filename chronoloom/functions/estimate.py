@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 
 from chronoloom.functions.spec import Spec
-from chronoloom.functions.statespace import constrained, loglike, unconstrained
+from chronoloom.functions.statespace import constrained, loglike, run_filter, unconstrained
 
 METHODS = {"lbfgsb": "bfgs", "lbfgsb-strict": "bfgs", "lbfgsb_single": "bfgs", "lbfgs": "bfgs", "bfgs": "bfgs", "lbfgsb-multi": "multi", "nelder-mead": "nm", "nm": "nm"}
 DEFAULT_MAXITER = 500
@@ -207,6 +209,11 @@ def fit(spec: Spec, y: np.ndarray, exog: np.ndarray | None = None, method: str =
     else:
         x = unconstrained(spec, begin)
         run = nelder_mead if METHODS[method] == "nm" else bfgs
+        full, y_full, exog_full = spec, y, exog
+        if spec.enforce_stationarity and spec.n_diff:
+            # Once the diffuse start is left out, the likelihood is that of the differences, with far fewer states.
+            exog = None if exog is None else np.stack([differenced(exog[:, :, j], spec) for j in range(spec.n_exog)], 2)
+            y, spec = differenced(y, spec), replace(spec, d=0, D=0)
         x, value, n_iter, done = run(spec, x, y, exog, maxiter)
         if METHODS[method] == "multi" or (METHODS[method] == "bfgs" and method == "lbfgsb" and (spec.q or spec.Q)):
             # A second start: other modes of the likelihood are common once there are moving averages.
@@ -222,8 +229,7 @@ def fit(spec: Spec, y: np.ndarray, exog: np.ndarray | None = None, method: str =
                 x, value, done = np.where(better[:, None], x2, x), np.where(better, v2, value), np.where(better, d2, done)
                 n_iter = n_iter + n2
         params = constrained(spec, x)
-    from chronoloom.functions.statespace import run_filter
-
+        spec, y, exog = full, y_full, exog_full
     out = run_filter(spec, y, params, exog)
     k = spec.n_estimated
     return [
