@@ -10,12 +10,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from chronoloom.llm.common import cut
 from chronoloom.llm.components import components
 
-RANKED = 1 << 15  # the most frequent shingles, which every prefix takes last; any number gives the same links
+RANKED = 1 << 20  # at most so many of the most frequent shingles are ranked (12 bytes each); any number gives the same links
+COUNTED = 2.5  # so many prefixes' worth of all shingles, those with the least hashes, are counted for the ranking
 UNIT_SHINGLES = 1 << 19  # what one task joins at once
 SIGNATURE_WORDS = 64  # of 64 bits
 LEAF, FANOUT = 16, 8
@@ -154,23 +155,49 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
     return links
 
 
-def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node, and `some`: the shingles with the least hashes, a quarter and 8 more than a prefix."""
+def described(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, node of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, n) for t in batch.column("text").to_pylist()]
-            some = [s[: int(1.25 * prefix_size(len(s), percent)) + 8].view(np.int64) for s in found]
+            found = [(len(s), node_of(s)) for s in (shingle_set(t, n) for t in batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([node_of(s) for s in found], pa.int64()), pa.array(some, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "some"],
+                [batch.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["doc_id", "n_shingles", "node"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_shingles long, node long, some array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_shingles long, node long")
+
+
+def counted_below(percent: int) -> np.uint64:
+    """Shingles with hashes below this are counted, in all texts alike: COUNTED times the share that a prefix takes."""
+    return np.uint64(int(min(1.0, COUNTED * (100 - percent) / 100) * (2**64 - 2**12)))
+
+
+def counted_shingles(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """token: each counted shingle once for each row of `docs` that has it."""
+    below = counted_below(percent)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                sets = [shingle_set(t, n) for t in batch.column("text").slice(i, 512).to_pylist()]
+                some = np.concatenate([s[: np.searchsorted(s, below)] for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], names=["token"])
+
+    return docs.select("text").mapInArrow(rows, "token long")
+
+
+def in_order(s: np.ndarray, percent: int, ranked: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The set's prefix. All texts order shingles alike: counted ones by their counts (0 if not ranked), then the rest; by hash."""
+    key = np.where(s < counted_below(percent), 0, np.iinfo(np.int32).max)
+    if len(ranked):
+        at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
+        key = np.where(ranked[at] == s, counts[at], key)
+    return s[np.argsort(key, kind="stable")[: prefix_size(len(s), percent)]]
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, ranked: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, node, prefix: first those not in `ranked`, then by their counts, then by hash."""
+    """doc_id, n_shingles, node, prefix (see in_order) of every row with a shingle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,19 +206,27 @@ def prefixes(docs: DataFrame, n: int, percent: int, ranked: np.ndarray, counts:
                 s = shingle_set(text, n)
                 if not len(s):
                     continue
-                order = np.arange(len(s))
-                if len(ranked):
-                    at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
-                    order = np.argsort(np.where(ranked[at] == s, counts[at], 0), kind="stable")
                 ids.append(doc_id)
                 sizes.append(len(s))
                 nodes.append(node_of(s))
-                found.append(s[order[: prefix_size(len(s), percent)]].view(np.int64))
+                found.append(in_order(s, percent, ranked, counts).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "prefix"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_shingles long, node long, prefix array<long>")
 
 
+def most_frequent(tokens: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that occur more than c times, sorted, and how often; c is the least for which at most `most` do."""
+    counts = cut(tokens.groupBy("token").count().where("count > 1"))
+    sizes = counts.groupBy("count").agg(F.count("*").alias("n"))
+    above = sizes.select("count", F.sum("n").over(Window.orderBy(F.desc("count"))).alias("above"))
+    least = above.where(F.col("above") <= most).agg(F.min("count")).first()[0]
+    top = counts.where(F.col("count") >= least).toArrow() if least else counts.limit(0).toArrow()
+    token = top["token"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], top["count"].to_numpy().astype(np.int32)[order]
+
+
 def units(members: DataFrame, percent: int) -> DataFrame:
     """Deals the nodes of blocks into what tasks join: node, doc_id, unit, side.
 
@@ -227,13 +262,10 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     text is one shingle. component_id is the least doc_id that links reach. Documents of equal sets are one node of the search. A
     null text or one without words has no shingles and links with nothing. A null doc_id takes part but names no component: its
     own is the least other id, or null. Rows that repeat are given each; rows that repeat a doc_id link by each of their texts.
-    Other columns are not read. Shingles are compared by 64-bit hashes. `docs` is read three times.
+    Other columns are not read. Shingles are compared by 64-bit hashes. `docs` is read four times.
     """
-    base = cut(described(docs, n, percent))
-    tokens = base.select(F.explode("some").alias("token"))
-    top = tokens.groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(RANKED).collect()
-    top.sort(key=lambda r: r[0] % 2**64)
-    ranked, counts = np.array([r[0] % 2**64 for r in top], np.uint64), np.array([r[1] for r in top], np.int64)
+    base = cut(described(docs, n))
+    ranked, counts = most_frequent(counted_shingles(docs, n, percent), RANKED)
     known = prefixes(docs, n, percent, ranked, counts)
     nodes = cut(known.groupBy("node").agg(F.min_by(F.struct("doc_id", "n_shingles", "prefix"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("of")).select("node", "of.*"))
     rows = nodes.select("node", F.explode("prefix").alias("token"))
@@ -262,7 +294,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     own = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_own"))
     wide = own.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least_of = cut(wide.join(wide.groupBy("label").agg(F.min("_own").alias("_least")), "label").select("node", "_least"))
-    out = base.drop("some").join(least_of, "node", "left")
+    out = base.join(least_of, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
 
 

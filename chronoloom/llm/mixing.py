@@ -182,9 +182,13 @@ def mix_texts(docs: DataFrame) -> DataFrame:
     same = Window.partitionBy("_key", "_source", "size")
     turns = rows.where("size > 0").withColumn("_key", key).withColumn("_turn", F.row_number().over(same.orderBy("_start")))
     places = turns.select("_key", "_source", "size", "_turn", "_start").join(spans, ["_source", "_start"]).drop("_start", "_copy")
-    counted = docs.withColumns({"_key": key, "_source": source_key(F.col("source")), "size": F.size(words(F.col("text"))).cast("long")})
-    wide = counted.withColumn("_turn", F.row_number().over(same.orderBy("text")))
-    hit = wide.join(places, ["_key", "_source", "size", "_turn"])
+    # The row itself is packed, so that its columns can have any names.
+    counted = docs.select(
+        F.struct("*").alias("_row"), key.alias("_key"), source_key(F.col("source")).alias("_source"),
+        F.size(words(F.col("text"))).cast("long").alias("size"), "text",
+    )
+    wide = counted.withColumn("_turn", F.row_number().over(same.orderBy("text"))).drop("text")
+    hit = wide.join(places, ["_key", "_source", "size", "_turn"]).select("_row", "size", "_spans", F.col("_row.text").alias("text"))
     units = F.regexp_extract_all(F.regexp_replace("text", f"^{GAP}", ""), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"]) == F.col("size")
     cut_out = F.transform(
@@ -192,5 +196,5 @@ def mix_texts(docs: DataFrame) -> DataFrame:
         lambda u: F.array_join(F.transform("_spans", lambda s: F.array_join(F.slice(u, s["from"].cast("int") + 1, (s["to"] - s["from"]).cast("int")), "")), ""),
     )[0]
     text = F.when(whole, F.col("text")).otherwise(cut_out)
-    hit = hit.withColumn("text", text)
-    return hit.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return hit.select("_row", text.alias("text")).select(*[own.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -154,13 +154,14 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` whose score is at least 0.5, in one pass over them."""
     columns = docs.columns
     n_chars = F.col("n_chars") if "n_chars" in columns else F.length("text")
-    wanted = docs.withColumn("_length", n_chars.cast("long"))
+    length = "_" + max([*columns, "n"], key=len)  # no column has this name
+    wanted = docs.withColumn(length, n_chars.cast("long"))
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, CHUNK):
                 some = batch.slice(i, CHUNK)
-                parts = [described(t, n) for t, n in zip(some.column("text").to_pylist(), some.column("_length").to_pylist())]
+                parts = [described(t, n) for t, n in zip(some.column("text").to_pylist(), some.column(length).to_pylist())]
                 raw = raw_scores(model, *rows_of(parts, model.mean, model.scale))[0]
                 yield some.filter(pa.array(raw >= 0)).select(columns)
 

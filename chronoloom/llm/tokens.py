@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,33 +14,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-# No piece of the vocabulary goes from another character to a space mark, nor holds a line feed beside another character, so no
-# merge crosses the places where this pattern cuts; pieces_cross() checks a model for that.
-PRE_TOKEN = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
-BLOCK_DOCS, BLOCK_CHARS = 4096, 1 << 24
-MOST_SEEN = 1 << 19
+# Cuts before a run of space marks, before a line feed, and between a Latin letter and what is neither that nor space mark. In the
+# vocabularies that this is for, no piece has such a place inside, so no merge crosses it; pieces_cross() checks a model for that.
+LATIN = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+PRE_TOKEN = re.compile(f"(?:{SPACE}+|\n)?[^{LATIN}{SPACE}\n]*[{LATIN}]*")
+BLOCK_DOCS, BLOCK_CHARS = 1 << 15, 1 << 25
+MOST_SEEN, MOST_SUMS = 1 << 19, 1 << 21
 LIMIT = 4096
 
 
 def pieces_cross(pieces: list[str]) -> list[str]:
     """The pieces that would let a merge cross a pre-token's border; the method needs that there are none."""
-    return [p for p in pieces if re.search(f"[^{SPACE}]{SPACE}", p) or (len(p) > 1 and "\n" in p)]
+    return [p for p in pieces if len(cut_up(p)) > 1]
+
+
+def isolated(pre_token: str) -> tuple[str, int]:
+    """A text whose pieces are the pre-token's and so many more.
+
+    The model puts a space mark in front of a text. A pre-token's own first mark is that one; others are put behind a line feed,
+    which is a piece by itself, as is the mark before it.
+    """
+    if pre_token[0] == SPACE and len(pre_token) > 1:
+        return pre_token[1:].replace(SPACE, " "), 0
+    return "\n" + pre_token.replace(SPACE, " "), 2
+
+
+def cut_up(text: str) -> list[str]:
+    found = PRE_TOKEN.findall(text)
+    return found[:-1]  # the last match is the empty one at the end
 
 
 def pre_tokens(text: str) -> list[str]:
     """Cuts a text, with the space mark that the model puts in front, where no merge can cross."""
-    return PRE_TOKEN.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    return cut_up(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list]]:
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
     """Blocks of a task's documents (name, ids, texts), by number and length; equal blocks have equal names."""
     ids, texts, chars = [], [], 0
 
-    def block() -> tuple[str, list, list]:
-        name = xxhash.xxh3_128(repr(ids).encode())
+    def block() -> tuple[int, list, list]:
+        name = xxhash.xxh3_64(repr(ids).encode())
         for text in texts:
             name.update(b"%d:" % len(text) + text.encode("utf-8", "surrogatepass"))
-        return name.hexdigest(), ids, texts
+        return name.intdigest() % 2**63, ids, texts
 
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -72,80 +88,76 @@ def buffer_of(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's pre-tokens; repeats only where more than MOST_SEEN differ."""
+    """The task's pre-tokens, sorted, as that packs better; repeats only where more than MOST_SEEN differ."""
     seen: set[str] = set()
     for _, _, texts in blocks(batches):
         for text in texts:
             seen.update(pre_tokens(text))
             if len(seen) > MOST_SEEN:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["pre_token"])
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["pre_token"])
                 seen = set()
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["pre_token"])
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["pre_token"])
 
 
 def frequencies_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block and pre-token: the documents (places in the block) that have it and how often, 255 at most an entry."""
+    """For each block and pre-token: the documents (places in the block) that have it, each as often as it does."""
     for block, _, texts in blocks(batches):
         number: dict[str, int] = {}
-        codes, freqs, places = [], [], []
-        for i, text in enumerate(texts):
-            counts = Counter(pre_tokens(text))
-            codes.append(np.fromiter((number.setdefault(t, len(number)) for t in counts), np.int64, len(counts)))
-            freqs.append(np.fromiter(counts.values(), np.int64, len(counts)))
-            places.append(np.full(len(counts), i, np.uint16))
+        codes, lengths = [], []
+        for text in texts:
+            found = pre_tokens(text)
+            codes.append(np.fromiter((number.setdefault(t, len(number)) for t in found), np.int32, len(found)))
+            lengths.append(len(found))
         if not number:
             continue
-        code, freq, place = np.concatenate(codes), np.concatenate(freqs), np.concatenate(places)
-        if freq.max() > 255:
-            times = (freq + 254) // 255
-            code, place, last = np.repeat(code, times), np.repeat(place, times), np.cumsum(times) - 1
-            left = freq - 255 * (times - 1)
-            freq = np.full(len(code), 255)
-            freq[last] = left
-        order = np.argsort(code, kind="stable")
+        names = sorted(number)
+        rank = np.empty(len(names), np.int32)
+        rank[np.fromiter(map(number.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
+        code = rank[np.concatenate(codes)]
+        codes.clear()
+        places = np.repeat(np.arange(len(texts), dtype=np.uint16), lengths)[np.argsort(code, kind="stable")]
         ends = np.cumsum(np.bincount(code, minlength=len(number)))
-        names = list(number)
-        places_, freqs_ = place[order], freq[order].astype(np.uint8)
         for a in range(0, len(names), 20000):
             b = min(a + 20000, len(names))
             low = ends[a - 1] if a else 0
-            part = ends[a:b] - low
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[a:b], pa.string()), pa.array([block] * (b - a), pa.string()), binaries(places_[low : ends[b - 1]], part), binaries(freqs_[low : ends[b - 1]], part)],
-                names=["pre_token", "block", "places", "freqs"],
+                [pa.array(names[a:b], pa.string()), pa.array(np.full(b - a, block, np.int64)), binaries(places[low : ends[b - 1]], ends[a:b] - low)],
+                names=["pre_token", "block", "places"],
             )
 
 
 def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, ids, texts in blocks(batches):
         sizes = np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64()))], names=["block", "ids", "sizes"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64()))], names=["block", "ids", "sizes"])
 
 
 def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From joined rows (block, places, freqs, n): sums of freq * n for each block and place."""
-    sums: dict[str, np.ndarray] = {}
+    """From joined rows (block, places, n): the sums of n for each block and place."""
+    sums: dict[int, np.ndarray] = {}
 
     def out() -> pa.RecordBatch:
         places = [np.flatnonzero(v) for v in sums.values()]
+        values = [v[p] for v, p in zip(sums.values(), places)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.string()), pa.array([p.astype(np.uint16).tobytes() for p in places], pa.binary()), pa.array([v[p].tobytes() for v, p in zip(sums.values(), places)], pa.binary())],
+            [pa.array(list(sums), pa.int64()), pa.array([p.astype(np.uint16).tobytes() for p in places], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())],
             names=["block", "places", "sums"],
         )
 
     for batch in batches:
         places, lengths = buffer_of(batch.column("places"), np.uint16)
-        freqs, _ = buffer_of(batch.column("freqs"), np.uint8)
-        weight = freqs * np.repeat(batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64), lengths)
-        names = batch.column("block").dictionary_encode()
-        row = np.repeat(names.indices.to_numpy(zero_copy_only=False), lengths)
+        weight = np.repeat(batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64), lengths)
+        names, row = np.unique(batch.column("block").to_numpy(zero_copy_only=False), return_inverse=True)
+        row = np.repeat(row, lengths)
         order = np.argsort(row, kind="stable")
-        ends = np.searchsorted(row[order], np.arange(len(names.dictionary) + 1))
-        for k, block in enumerate(names.dictionary.to_pylist()):
+        ends = np.searchsorted(row[order], np.arange(len(names) + 1))
+        for k, block in enumerate(names.tolist()):
             some = order[ends[k] : ends[k + 1]]
-            added = np.bincount(places[some], weight[some], BLOCK_DOCS).astype(np.int64)
-            sums[block] = sums[block] + added if block in sums else added
-        if len(sums) > 512:
+            added = np.bincount(places[some], weight[some]).astype(np.int64)
+            if block not in sums or len(sums[block]) < len(added):
+                sums[block] = np.concatenate([sums.get(block, added[:0]), np.zeros(len(added) - len(sums.get(block, ())), np.int64)])
+            sums[block][: len(added)] += added
+        if sum(map(len, sums.values())) > MOST_SUMS:
             yield out()
             sums.clear()
     yield out()
@@ -164,16 +176,15 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
 
     model = Path(model_path).read_bytes()
     processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-    if crossing := pieces_cross([processor.id_to_piece(i) for i in range(processor.vocab_size())]):
+    plain = [i for i in range(processor.vocab_size()) if not (processor.is_byte(i) or processor.is_control(i) or processor.is_unknown(i))]
+    if crossing := pieces_cross([processor.id_to_piece(i) for i in plain]):
         raise ValueError(f"pieces cross pre-tokens: {crossing[:3]}")
 
     def count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         for batch in batches:
             names = batch.column("pre_token").to_pylist()
-            # The model puts a space mark in front: it is the pre-token's own first mark, or one more before a line feed.
-            ids = processor.encode([t[1:].replace(SPACE, " ") if t[0] == SPACE else t for t in names], num_threads=1)
-            n = [max(1, len(x)) if t[0] == SPACE else len(x) - 1 for t, x in zip(names, ids)]
+            n = [len(ids) - extra for ids, (_, extra) in zip(processor.encode([isolated(t)[0] for t in names], num_threads=1), map(isolated, names))]
             yield pa.RecordBatch.from_arrays([batch.column("pre_token"), pa.array(n, pa.int32())], names=["pre_token", "n"])
 
     def finish(rows: pa.Table) -> pa.Table:
@@ -189,10 +200,10 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = texts.mapInArrow(distinct_of, "pre_token string").distinct().mapInArrow(count_pieces, "pre_token string, n int")
-    frequencies = texts.mapInArrow(frequencies_of, "pre_token string, block string, places binary, freqs binary")
-    joined = frequencies.join(counts, "pre_token").select("block", "places", "freqs", "n")
-    sums = joined.mapInArrow(partial_sums, "block string, places binary, sums binary")
-    known = texts.mapInArrow(documents_of, "block string, ids array<long>, sizes array<long>")
+    frequencies = texts.mapInArrow(frequencies_of, "pre_token string, block long, places binary")
+    joined = frequencies.join(counts, "pre_token").select("block", "places", "n")
+    sums = joined.mapInArrow(partial_sums, "block long, places binary, sums binary")
+    known = texts.mapInArrow(documents_of, "block long, ids array<long>, sizes array<long>")
     both = sums.unionByName(known, allowMissingColumns=True)
     kinds = [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
     return both.groupBy("block").applyInArrow(finish, T.StructType(kinds))

@@ -60,7 +60,8 @@ def test_sharding_of_hard_rows(hard_docs, no_docs):
         if r.doc_id:
             assert (r["size"], r.text_crc32) == (len((t or "").encode()) + 16, binascii.crc32((t or "").encode()))
     assert sharding.shard_digest(no_docs, 4).collect() == []
-    assert {"text", "shard", "slot"} <= set(sharding.shard(hard_docs.withColumn("size", sharding.byte_size(hard_docs.text)), 3).columns)
+    wide = sharding.shard(hard_docs.withColumn("size", sharding.byte_size(hard_docs.text)), 3)
+    assert sorted(wide.columns) == sorted([*hard_docs.columns, "slot"]) and {(r._bytes, r.node) for r in wide.collect()} == {(4, 3)}
 
 
 def brute_targets(sizes):
@@ -113,7 +114,8 @@ def test_mixed_texts_hold_the_taken_words(hard_docs):
         got[r.doc_id] += size(r.text)
         assert r.n_chars == len(r.text) and (r.text == whole[r.doc_id] or set(WORD.findall(r.text)) <= set(WORD.findall(whole[r.doc_id])))
     assert got == Counter({k: v for k, v in taken.items() if v})
-    assert set(mixing.mix_texts(hard_docs).columns) == set(hard_docs.columns)
+    assert mixing.mix_texts(hard_docs).columns == hard_docs.columns
+    assert {(r["size"], r._source, r._turn, r._start) for r in rows} == {(1, "y", 7, 2)}
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 1001])
