@@ -1,4 +1,4 @@
-"""Similarity join on word shingles: prefixes find blocks of texts that may link, signature trees join each block."""
+"""Similarity join on word shingles: keys of parts find blocks of texts that may link, signature trees join each block."""
 
 from __future__ import annotations
 
@@ -15,8 +15,10 @@ from pyspark.sql.window import Window
 from chronoloom.llm.common import cut
 from chronoloom.llm.components import components
 
-RANKED = 1 << 20  # at most so many of the most frequent shingles are ranked (12 bytes each); any number gives the same links
-COUNTED = 2.5  # so many prefixes' worth of all shingles, those with the least hashes, are counted for the ranking
+RANKED = 1 << 20  # at most so many of the most frequent shingles are known to all tasks (8 bytes each); any number gives the same links
+FREQUENT = 16  # found less often, a shingle isn't among them
+CHUNK_SHINGLES = 1 << 21  # so many shingles are counted at once in a task
+LEVEL = 1.25
 UNIT_SHINGLES = 1 << 19  # what one task joins at once
 SIGNATURE_WORDS = 64  # of 64 bits
 LEAF, FANOUT = 16, 8
@@ -39,11 +41,6 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(runs)
 
 
-def prefix_size(n: int, percent: int) -> int:
-    """Of any order's first so many shingles, two sets that link share at least one."""
-    return n - (percent * n + 99) // 100 + 1
-
-
 def node_of(shingles: np.ndarray) -> int | None:
     """A 64-bit name of the set, so equal sets are one node; none for an empty set."""
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))) if len(shingles) else None
@@ -168,63 +165,114 @@ def described(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_shingles long, node long")
 
 
-def counted_below(percent: int) -> np.uint64:
-    """Shingles with hashes below this are counted, in all texts alike: COUNTED times the share that a prefix takes."""
-    return np.uint64(int(min(1.0, COUNTED * (100 - percent) / 100) * (2**64 - 2**12)))
+def level_tops(most: int) -> list[int]:
+    """The largest size of each level, up to the first that is at least `most`; each is about LEVEL times the one before."""
+    tops = [1]
+    while tops[-1] < most:
+        tops.append(int(tops[-1] * LEVEL) + 1)
+    return tops
 
 
-def counted_shingles(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """token: each counted shingle once for each row of `docs` that has it."""
-    below = counted_below(percent)
+TOPS = np.array(level_tops(1 << 32), np.int64)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                sets = [shingle_set(t, n) for t in batch.column("text").slice(i, 512).to_pylist()]
-                some = np.concatenate([s[: np.searchsorted(s, below)] for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], names=["token"])
 
-    return docs.select("text").mapInArrow(rows, "token long")
+def keys_of(s: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
+    """Keys of a set, of which two sets that link share at least one, unless they are equal.
 
+    A level is a range of sizes; a set gives keys at its own and at those of larger sets that it can link with, so both sets of
+    a pair give keys at the larger one's level. There, two that link differ by at most d shingles. The range of hashes is cut
+    into more than d parts, and what a set has in a part is a key; so at most d of one's keys aren't also the other's. In any
+    order that all sets agree on, the first d + 1 keys of both have one in common. The order puts keys of several shingles
+    first, then single ones, then those of `frequent` shingles only, so texts that share a common passage or a phrase seldom
+    meet. Sets with too few parts in use give all parts, the empty ones too.
+    """
+    n = len(s)
+    if not n:
+        return s
+    rare = np.ones(n, bool)
+    if len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s
+    mixed = (s ^ (s >> np.uint64(29))) * MIX
+    mixed ^= mixed >> np.uint64(32)
+    out = []
+    level = int(np.searchsorted(TOPS, n))
+    while level == int(np.searchsorted(TOPS, n)) or 100 * n >= percent * int(TOPS[level - 1] + 1):
+        d = 2 * (100 - percent) * int(TOPS[level]) // (100 + percent)
+        if d:
+            n_parts = (d + 1) * 7 // 5 + 4
+            part = ((s >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            place = part[starts] + np.uint64(level << 40)
+            keys = (np.add.reduceat(mixed, starts) ^ (place * MIX)) * MIX
+            size = np.diff([*starts, n])
+            group = np.where(np.add.reduceat(rare, starts, dtype=np.int64) == 0, 2, np.where(size == 1, 1, 0))
+            if len(keys) > d:
+                out.append(keys[np.lexsort((keys, group))[: d + 1]])
+            else:
+                empty = np.setdiff1d(np.arange(n_parts, dtype=np.uint64), part) + np.uint64(level << 40)
+                out += [keys, (empty * MIX) * MIX]
+        level += 1
+    return np.concatenate(out) if out else s[:0]
+
+
+def repeated_shingles(docs: DataFrame, n: int) -> DataFrame:
+    """token, n: shingles that several rows of a task's chunk have, and how many do."""
 
-def in_order(s: np.ndarray, percent: int, ranked: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The set's prefix. All texts order shingles alike: counted ones by their counts (0 if not ranked), then the rest; by hash."""
-    key = np.where(s < counted_below(percent), 0, np.iinfo(np.int32).max)
-    if len(ranked):
-        at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
-        key = np.where(ranked[at] == s, counts[at], key)
-    return s[np.argsort(key, kind="stable")[: prefix_size(len(s), percent)]]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = [], 0
 
+        def out() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            more = count > 1
+            return pa.RecordBatch.from_arrays([pa.array(token[more].view(np.int64)), pa.array(count[more].astype(np.int64))], names=["token", "n"])
 
-def prefixes(docs: DataFrame, n: int, percent: int, ranked: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, node, prefix (see in_order) of every row with a shingle."""
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                sets.append(shingle_set(text, n))
+                held += len(sets[-1])
+                if held > CHUNK_SHINGLES:
+                    yield out()
+                    sets, held = [], 0
+        yield out()
+
+    return docs.select("text").mapInArrow(rows, "token long, n long")
+
+
+def most_frequent(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of the shingles that occur most, at most RANKED; see repeated_shingles for what is counted."""
+    counts = cut(repeated_shingles(docs, n).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT))
+    sizes = counts.groupBy("n").agg(F.count("*").alias("k"))
+    above = sizes.select("n", F.sum("k").over(Window.orderBy(F.desc("n"))).alias("above"))
+    least = above.where(F.col("above") <= RANKED).agg(F.min("n")).first()[0]
+    if not least:
+        return np.zeros(0, np.uint64)
+    return np.sort(counts.where(F.col("n") >= least).select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def keyed(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """node, n_shingles, keys (see keys_of) of every row with a shingle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, nodes, found = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                s = shingle_set(text, n)
-                if not len(s):
-                    continue
-                ids.append(doc_id)
-                sizes.append(len(s))
-                nodes.append(node_of(s))
-                found.append(in_order(s, percent, ranked, counts).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "prefix"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_shingles long, node long, prefix array<long>")
-
-
-def most_frequent(tokens: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that occur more than c times, sorted, and how often; c is the least for which at most `most` do."""
-    counts = cut(tokens.groupBy("token").count().where("count > 1"))
-    sizes = counts.groupBy("count").agg(F.count("*").alias("n"))
-    above = sizes.select("count", F.sum("n").over(Window.orderBy(F.desc("count"))).alias("above"))
-    least = above.where(F.col("above") <= most).agg(F.min("count")).first()[0]
-    top = counts.where(F.col("count") >= least).toArrow() if least else counts.limit(0).toArrow()
-    token = top["token"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], top["count"].to_numpy().astype(np.int32)[order]
+            for i in range(0, batch.num_rows, 512):
+                found = [x for x in (shingle_set(t, n) for t in batch.column("text").slice(i, 512).to_pylist()) if len(x)]
+                keys = [keys_of(x, percent, frequent).view(np.int64) for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(map(node_of, found)), pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "n_shingles", "keys"]
+                )
+
+    return docs.select("text").mapInArrow(rows, "node long, n_shingles long, keys array<long>")
+
+
+def met(keys: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between nodes with a common key, from each to the next smaller, where sizes let the two link.
+
+    Sets that link are near in size, and so is all that lies between them, so these edges connect them.
+    """
+    rows = keys.select("node", "n_shingles", F.explode("keys").alias("key"))
+    before = Window.partitionBy("key").orderBy("n_shingles", "node")
+    near = rows.select("node", "n_shingles", F.lag("node").over(before).alias("b"), F.lag("n_shingles").over(before).alias("less"))
+    return near.where((F.col("b") != F.col("node")) & (100 * F.col("less") >= percent * F.col("n_shingles"))).select(F.col("node").alias("a"), "b")
 
 
 def units(members: DataFrame, percent: int) -> DataFrame:
@@ -265,15 +313,9 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Other columns are not read. Shingles are compared by 64-bit hashes. `docs` is read four times.
     """
     base = cut(described(docs, n))
-    ranked, counts = most_frequent(counted_shingles(docs, n, percent), RANKED)
-    known = prefixes(docs, n, percent, ranked, counts)
-    nodes = cut(known.groupBy("node").agg(F.min_by(F.struct("doc_id", "n_shingles", "prefix"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("of")).select("node", "of.*"))
-    rows = nodes.select("node", F.explode("prefix").alias("token"))
-    shared = rows.select("token").groupBy("token").count().where("count > 1").select("token")
-    met = cut(rows.join(shared, "token"))
-    least = met.groupBy("token").agg(F.min("node").alias("b"))
-    blocks = components(met.join(least, "token").select(F.col("node").alias("a"), "b"))
-    members = cut(nodes.select("node", "doc_id", "n_shingles").join(blocks, "node"))
+    blocks = components(met(keyed(docs, n, percent, most_frequent(docs, n)), percent))
+    of = F.min_by(F.struct("doc_id", "n_shingles"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("of")
+    members = cut(base.join(blocks, "node").groupBy("node", "label").agg(of).select("node", "label", "of.*"))
     dealt = units(members, percent).withColumnRenamed("doc_id", "_doc")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     work = dealt.join(texts, dealt["_doc"].eqNullSafe(texts["doc_id"])).select("unit", "side", "node", "text")

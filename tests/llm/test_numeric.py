@@ -68,16 +68,20 @@ def test_tree_join_finds_all_groups(seed):
     assert groups_of(got, n) == groups_of(across, n) and all(i < n // 2 <= j for i, j in got)
 
 
-def test_prefixes_of_linked_sets_meet():
-    rng = random.Random(2)
-    for _ in range(300):
-        a = set(rng.sample(range(200), rng.randint(1, 60)))
-        b = set(a)
-        for x in list(a)[: rng.randint(0, 8)]:
-            b.discard(x)
-        b |= set(rng.sample(range(200), rng.randint(0, 4)))
-        if b and 100 * len(a & b) >= 80 * len(a | b):
-            assert set(sorted(a)[: jaccard.prefix_size(len(a), 80)]) & set(sorted(b)[: jaccard.prefix_size(len(b), 80)])
+@pytest.mark.parametrize("percent", [80, 85])
+def test_keys_of_linked_sets_meet(percent):
+    rng = np.random.default_rng(percent)
+    checked = 0
+    for _ in range(4000):
+        size = int(np.exp(rng.uniform(0, 6.5))) + 1
+        a = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        lost = int(rng.integers(0, max(2, size // 8 + 1)))
+        b = np.unique(np.concatenate([a[rng.permutation(size)[lost:]], rng.integers(0, 2**64, int(rng.integers(0, max(2, size // 8 + 1))), np.uint64)]))
+        frequent = np.sort(np.concatenate([a[rng.random(size) < rng.choice([0, 0.5, 1])], b[:1]]))
+        if len(b) and len(np.setxor1d(a, b)) and jaccard.linked(a, b, percent):
+            checked += 1
+            assert set(jaccard.keys_of(a, percent, frequent)) & set(jaccard.keys_of(b, percent, frequent))
+    assert checked > 1000
 
 
 def test_pre_tokens_count_like_whole_texts():
