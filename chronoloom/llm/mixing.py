@@ -113,13 +113,14 @@ def drawn_slots(owed: DataFrame, plan: list, seed: int = SEED, shard_blocks: int
     return slots.withColumn("out_shard", F.coalesce("out_shard", by_hash))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mixes the sources of `docs` (doc_id, text, source) to their targets.
 
     Returns three DataFrames:
     rows (doc_id, _source, size, _start): each document and where its words start in its source's stream;
     sources (_source, source_size, weight, target);
-    blocks (_source, block, times): how often each block of `block_words` words of a source's stream is taken, 1 or 2.
+    slots (out_shard, _source, slot, block, pass): one row for each block that is taken, with the output shard that drew it, the
+    block of `block_words` words of the source's stream, and pass 0 or 1, the how-manieth taking of that block it is.
 
     A null text or one without words has size 0 and is never taken. A null source is a source of its own. Rows that repeat a
     doc_id each count. A source is read in the order of doc_id (null first), then size. The block numbers of a source are
@@ -134,27 +135,29 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
     plan = [tuple(r) for r in owed.orderBy("_source").collect()]
     if len(plan) >= 2**LOG2_SOURCES:
         raise ValueError(f"more than {2**LOG2_SOURCES - 1} sources")
-    slots = drawn_slots(owed, plan, seed).join(sources.select("_source", blocks_in.alias("_n")), "_source")
-    visit = permuted(F.col("slot") % F.col("_n"), F.col("_n"), F.col("_source"), F.floor(F.col("slot") / F.col("_n")), F.lit(seed))
-    blocks = slots.select("_source", visit.cast("long").alias("block"), "out_shard").groupBy("_source", "block").agg(F.count("*").alias("times"))
+    slots = drawn_slots(owed, plan, seed, shard_blocks).join(sources.select("_source", blocks_in.alias("_n")), "_source")
+    turn = F.floor(F.col("slot") / F.col("_n"))
+    visit = permuted(F.col("slot") % F.col("_n"), F.col("_n"), F.col("_source"), turn, F.lit(seed))
+    slots = slots.select("out_shard", "_source", "slot", visit.cast("long").alias("block"), turn.cast("int").alias("pass"))
     rows = prefix_sums(sized, "doc_id", ["size"], {"_start": F.col("size")}, ["_source"])
-    return rows, sources, blocks
+    return rows, sources, slots
 
 
-def pieces(rows: DataFrame, blocks: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The taken pieces of documents: _source, _start of the document, from and to within it (words), times."""
+def pieces(rows: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The taken pieces of documents, one row for each taking: _source, _start of the document, from and to within it (words), pass."""
     last = F.floor((F.col("_start") + F.col("size") - 1) / block_words)
     spread = rows.where("size > 0").select("_source", "_start", "size", F.explode(F.sequence(F.floor(F.col("_start") / block_words), last)).alias("block"))
     low = F.greatest(F.col("block") * block_words - F.col("_start"), F.lit(0))
     high = F.least((F.col("block") + 1) * block_words - F.col("_start"), F.col("size"))
-    return spread.join(blocks, ["_source", "block"]).select("_source", "_start", low.alias("from"), high.alias("to"), "times")
+    taken = slots.select("_source", "block", "pass")
+    return spread.join(taken, ["_source", "block"]).select("_source", "_start", low.alias("from"), high.alias("to"), "pass")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of documents; see mix()."""
-    rows, sources, blocks = mix(docs)
+    rows, sources, slots = mix(docs)
     rows = cut(rows)
-    taken = pieces(rows, blocks).groupBy("_source", "_start").agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("_taken"))
+    taken = pieces(rows, slots).groupBy("_source", "_start").agg(F.sum(F.col("to") - F.col("from")).alias("_taken"))
     out = rows.join(taken, ["_source", "_start"], "left").join(sources, "_source")
     return out.select(
         "doc_id", "size", "source_size", "target",
@@ -162,6 +165,57 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     )
 
 
+def with_starts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """_source, _start, size, text of the rows of `docs` that have words.
+
+    Repeated rows: the n-th row of an id, source and size, by text, meets the n-th place of the same in `rows`. Texts are shuffled
+    once: both tables are dealt by what they share, and every window keeps inside that.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    words_in = F.size(words(F.col("text"))).cast("long").alias("size")
+    texts = docs.select(key, source_key(F.col("source")).alias("_source"), words_in, F.lit(None).cast("long").alias("_start"), "text")
+    places = rows.select(key, "_source", "size", "_start", F.lit(None).cast("string").alias("text"))
+    both = texts.unionByName(places).where("size > 0").repartition("_key", "_source", "size")
+    is_place = F.col("_start").isNotNull()
+    nth = Window.partitionBy("_key", "_source", "size", "_place").orderBy("_start", "text")
+    numbered = both.withColumn("_place", is_place).withColumn("_turn", F.row_number().over(nth))
+    met = numbered.withColumn("_at", F.max("_start").over(Window.partitionBy("_key", "_source", "size", "_turn")))
+    return met.where("not _place").select("_source", F.col("_at").alias("_start"), "size", "text")
+
+
+def packed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """The mix as output shards of packed blocks: shard, position, source, block, n_words, text.
+
+    One row for each block that a shard drew; see mix(). text has the block's words, one space between two, over the borders of
+    documents. Every block has `block_words` words but the last one of a source, which can have fewer. position counts from 0
+    within a shard, in an order by hash that mixes the sources. What a block is taken twice for is two rows, in any shards.
+    """
+    rows, _, slots = mix(docs, block_words, seed, shard_blocks)
+    first = F.floor(F.col("_start") / block_words)
+    last = F.floor((F.col("_start") + F.col("size") - 1) / block_words)
+    # the array of words is bound by transform() once for each document, or it would be made again for every block
+    told = F.transform(
+        F.array(words(F.col("text"))),
+        lambda u: F.transform(
+            F.sequence(first, last),
+            lambda k: F.struct(
+                k.alias("block"),
+                F.slice(u, (F.greatest(k * block_words - F.col("_start"), F.lit(0)) + 1).cast("int"), (F.least((k + 1) * block_words - F.col("_start"), F.col("size")) - F.greatest(k * block_words - F.col("_start"), F.lit(0))).cast("int")).alias("words"),
+            ),
+        ),
+    )[0]
+    parts = with_starts(docs, rows).select("_source", "_start", F.explode(told).alias("_p"))
+    parts = parts.select("_source", "_start", "_p.block", F.array_join("_p.words", " ").alias("text"), F.size("_p.words").cast("long").alias("n"))
+    blocks = parts.groupBy("_source", "block").agg(F.array_sort(F.collect_list(F.struct("_start", "text"))).alias("_parts"), F.sum("n").alias("n_words"))
+    # A shard has about shard_blocks slots, so no window is larger than that.
+    order = Window.partitionBy("out_shard").orderBy(F.xxhash64("_source", "slot", F.lit(~seed)), "_source", "slot")
+    dealt = slots.select("out_shard", "_source", "block", (F.row_number().over(order) - 1).alias("position"))
+    source = F.when(F.col("_source").startswith("s"), F.substr("_source", F.lit(2)))
+    return dealt.join(blocks, ["_source", "block"]).select(
+        F.col("out_shard").alias("shard"), "position", source.alias("source"), "block", "n_words", F.array_join(F.col("_parts.text"), " ").alias("text")
+    )
+
+
 def mix_texts(docs: DataFrame) -> DataFrame:
     """The mix as documents: every document once with its words that are taken at all, again with those taken twice.
 
@@ -169,19 +223,14 @@ def mix_texts(docs: DataFrame) -> DataFrame:
     document that is taken whole keeps its text as it is. Documents of which nothing is taken do not appear. Rows that repeat
     a doc_id, text and source are told apart by their place in the stream.
     """
-    rows, _, blocks = mix(docs)
+    rows, _, slots = mix(docs)
     rows = cut(rows)
-    spans = (
-        pieces(rows, blocks)
-        .select("_source", "_start", "from", "to", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy"))
-        .groupBy("_source", "_start", "_copy")
-        .agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_spans"))
-    )
+    spans = pieces(rows, slots).groupBy("_source", "_start", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_spans")).drop("pass")
     # Repeated rows: the n-th row of an id, source and size meets the n-th place of the same.
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     same = Window.partitionBy("_key", "_source", "size")
     turns = rows.where("size > 0").withColumn("_key", key).withColumn("_turn", F.row_number().over(same.orderBy("_start")))
-    places = turns.select("_key", "_source", "size", "_turn", "_start").join(spans, ["_source", "_start"]).drop("_start", "_copy")
+    places = turns.select("_key", "_source", "size", "_turn", "_start").join(spans, ["_source", "_start"]).drop("_start")
     # The row itself is packed, so that its columns can have any names.
     counted = docs.select(
         F.struct("*").alias("_row"), key.alias("_key"), source_key(F.col("source")).alias("_source"),

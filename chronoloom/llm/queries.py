@@ -28,6 +28,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_packed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.packed_blocks(table(spark, sf_dir, "documents"))
+
+
 def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return chat.format_preferences(turns, chat.neighbour_pairs(turns))
@@ -62,7 +66,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = [
-        op1_quality_classifier, op2_benchmark_decontamination, op3_source_mixing, op4_preference_formatting, op5_url_filter, op6_sharding,
+        op1_quality_classifier, op2_benchmark_decontamination, op3_source_mixing, op3_packed_shards, op4_preference_formatting, op5_url_filter, op6_sharding,
         op7_token_counts, op8_jaccard_join, op9_quality_rules, op10_secret_scan,
     ]
     return {f.__name__: f for f in found}

@@ -118,6 +118,24 @@ def test_mixed_texts_hold_the_taken_words(hard_docs):
     assert {(r["size"], r._source, r._turn, r._start) for r in rows} == {(1, "y", 7, 2)}
 
 
+def test_packed_blocks_are_what_the_shards_drew(hard_docs, no_docs):
+    docs = hard_docs.where("doc_id is null or doc_id < 13")
+    _, _, slots = mixing.mix(docs, 50, shard_blocks=100)
+    drawn = Counter((r.out_shard, r._source[1:] or None, r.block) for r in slots.collect())
+    rows = mixing.packed_blocks(docs, 50, shard_blocks=100).collect()
+    assert Counter((r.shard, r.source, r.block) for r in rows) == drawn and len({r.shard for r in rows}) > 3
+    streams = defaultdict(list)
+    for r in sorted(docs.collect(), key=lambda r: (r.source or "", r.doc_id is not None, r.doc_id or 0, size(r.text), r.text or "")):
+        streams[r.source] += WORD.findall(r.text or "")
+    by_shard = defaultdict(list)
+    for r in rows:
+        want = streams[r.source][50 * r.block : 50 * r.block + 50]
+        assert r.text.split(" ") == want and r.n_words == len(want)
+        by_shard[r.shard].append(r.position)
+    assert all(sorted(p) == list(range(len(p))) for p in by_shard.values())
+    assert mixing.packed_blocks(no_docs).collect() == []
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 1001])
 def test_permutations_are_one_to_one(spark, n):
     from pyspark.sql import functions as F
