@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -93,37 +93,65 @@ def may_link(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, percent: int) ->
     return fits
 
 
-def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links between sets of `left` and `right` (within `left` if that is None) that join all that are linked.
+def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, spanning: bool = False) -> list[tuple[int, int]]:
+    """All links between sets of `left` and `right` (within `left` if that is None); with `spanning`, those that join the groups."""
+    links: list[tuple[int, int]] = []
+    each_link(left, right, percent, lambda a, others: links.extend((a, int(b)) for b in others), spanning)
+    return links
+
 
-    Both trees go down together from pairs of top nodes; pairs that cannot link are dropped with all below them. A pair of sets
-    that earlier links already join is skipped, as it cannot change the components; every other one is verified. Numbers of
-    `right` follow those of `left`.
+def each_link(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, take: Callable[[int, np.ndarray], None], spanning: bool = False) -> None:
+    """Calls take(a, others) with sets that link; each pair comes once.
+
+    Both trees go down together from pairs of top nodes; pairs that cannot link are dropped with all below them, and every
+    other pair is verified. With `spanning`, a pair of sets that earlier links already join is skipped, as it cannot change
+    the components. Numbers of `right` follow those of `left`.
     """
     if not left or (right is not None and not right):
-        return []
+        return
     x = SignatureTree(left)
     y = x if right is None else SignatureTree(right)
     sets = left + (right or [])
     shift = 0 if right is None else len(left)
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     lx, ly = len(x.levels) - 1, len(y.levels) - 1
-    links: list[tuple[int, int]] = []
     label = np.arange(len(sets))
+    size = np.array([len(v) for v in sets], np.int64)
+    at = np.cumsum(size) - size
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    has = np.zeros(int(codes.max()) + 1, bool)
+
+    def verified(a: int, others: np.ndarray) -> np.ndarray:
+        """Those of `others` that link with a."""
+        own = codes[at[a] : at[a] + size[a]]
+        lengths = size[others]
+        starts = np.cumsum(lengths) - lengths
+        has[own] = True
+        both = np.add.reduceat(has[codes[np.repeat(at[others] - starts, lengths) + np.arange(lengths.sum())]], starts, dtype=np.int64)
+        has[own] = False
+        return others[100 * both >= percent * (size[a] + lengths - both)]
 
     def children(tree: SignatureTree, level: int, node: np.ndarray) -> np.ndarray:
         return node[:, None] * tree.fan(level) + np.arange(tree.fan(level))
 
     def down(i: np.ndarray, j: np.ndarray, lx: int, ly: int) -> None:
-        nonlocal label
         i, j = (v[may_link(x.levels[lx], i, y.levels[ly], j, percent)] for v in (i, j)) if len(i) else (i, j)
         if not len(i):
             return
         if lx == 0 and ly == 0:
-            for a, b in zip(x.order[i], y.order[j] + shift):
-                if label[a] != label[b] and linked(sets[a], sets[b], percent):
-                    links.append((int(a), int(b)))
-                    label[label == label[b]] = label[a]
+            by_left = np.argsort(i, kind="stable")
+            firsts = np.flatnonzero(np.diff(i[by_left], prepend=-1))
+            for k, some in zip(firsts, np.split(j[by_left], firsts[1:])):
+                a, others = int(x.order[i[by_left[k]]]), y.order[some] + shift
+                if spanning:
+                    others = others[label[others] != label[a]]
+                others = verified(a, others) if len(others) else others
+                if spanning and len(others):
+                    joined, one = np.unique(label[others], return_index=True)
+                    others = others[one]
+                    label[np.isin(label, joined)] = label[a]
+                if len(others):
+                    take(a, others)
             return
         if lx >= ly:
             more = children(x, lx, i)
@@ -141,7 +169,7 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
         if right is None and lx == ly:
             keep &= (i < j) if lx == 0 else (i <= j)
         i, j = i[keep], j[keep]
-        if lx == 0 and ly == 0:
+        if spanning and lx == 0 and ly == 0:
             known = label[x.order[i]] == label[y.order[j] + shift]
             i, j = i[~known], j[~known]
         step = 1 << 12  # times LEAF squared, so about a million pairs at once
@@ -149,7 +177,6 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
             down(i[a : a + step], j[a : a + step], lx, ly)
 
     down(i, j, lx, ly)
-    return links
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
@@ -276,16 +303,16 @@ def met(keys: DataFrame, percent: int) -> DataFrame:
 
 
 def units(members: DataFrame, percent: int) -> DataFrame:
-    """Deals the nodes of blocks into what tasks join: node, doc_id, unit, side.
+    """Deals the nodes of blocks into what tasks join: node, doc_id, copies, unit, side. Each pair of a block's nodes is in one unit.
 
-    `members` has node, doc_id, n_shingles, label (the block's). Small blocks share a unit. A block of more than UNIT_SHINGLES
+    `members` has node, doc_id, n_shingles, copies, label (the block's). Small blocks share a unit. A block of more than UNIT_SHINGLES
     is cut into bands of sizes, so that sets that link are in the same or the next band, and the bands into chunks by hash; each
     pair of chunks of the same or of adjacent bands is a unit, with side 0 and 1.
     """
     sized = members.groupBy("label").agg(F.sum("n_shingles").alias("_all"))
     small = sized.where(F.col("_all") <= UNIT_SHINGLES)
     n_bins = 1 + int((small.agg(F.sum("_all")).first()[0] or 0) // UNIT_SHINGLES)
-    alone = members.join(small, "label").select("node", "doc_id", F.concat_ws(":", F.lit("bin"), F.pmod(F.xxhash64("label"), F.lit(n_bins)).cast("string")).alias("unit"), F.lit(0).alias("side"))
+    alone = members.join(small, "label").select("node", "doc_id", "copies", F.concat_ws(":", F.lit("bin"), F.pmod(F.xxhash64("label"), F.lit(n_bins)).cast("string")).alias("unit"), F.lit(0).alias("side"))
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
     large = members.join(sized.where(F.col("_all") > UNIT_SHINGLES).select("label"), "label").withColumn("band", band)
     chunks = large.groupBy("label", "band").agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("n_shingles") / UNIT_SHINGLES)).alias("k"))
@@ -300,44 +327,89 @@ def units(members: DataFrame, percent: int) -> DataFrame:
     sides = pairs.select("label", F.col("band_a").alias("band"), F.col("chunk_a").alias("chunk"), "unit", F.lit(0).alias("side")).unionByName(
         pairs.where("band_a <> band_b or chunk_a <> chunk_b").select("label", F.col("band_b").alias("band"), F.col("chunk_b").alias("chunk"), "unit", F.lit(1).alias("side"))
     )
-    return alone.unionByName(placed.join(sides, ["label", "band", "chunk"]).select("node", "doc_id", "unit", "side"))
+    return alone.unionByName(placed.join(sides, ["label", "band", "chunk"]).select("node", "doc_id", "copies", "unit", "side"))
 
 
-def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text).
+def joined_units(docs: DataFrame, base: DataFrame, n: int, percent: int, join: Callable[[list, list, list | None, dict], list[tuple]], columns: str) -> DataFrame:
+    """Rows (of `columns`) of join(names, left, right, copies) over all units of `docs`, whose described() rows are `base`.
 
-    Two documents link where 100 * shared >= percent * all of their distinct shingles of n words; with fewer words the whole
-    text is one shingle. component_id is the least doc_id that links reach. Documents of equal sets are one node of the search. A
-    null text or one without words has no shingles and links with nothing. A null doc_id takes part but names no component: its
-    own is the least other id, or null. Rows that repeat are given each; rows that repeat a doc_id link by each of their texts.
-    Other columns are not read. Shingles are compared by 64-bit hashes. `docs` is read four times.
+    names holds the nodes of left and then right; copies, how many rows of `docs` each node is.
     """
-    base = cut(described(docs, n))
     blocks = components(met(keyed(docs, n, percent, most_frequent(docs, n)), percent))
     of = F.min_by(F.struct("doc_id", "n_shingles"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("of")
-    members = cut(base.join(blocks, "node").groupBy("node", "label").agg(of).select("node", "label", "of.*"))
+    members = cut(base.join(blocks, "node").groupBy("node", "label").agg(of, F.count("*").alias("copies")).select("node", "label", "copies", "of.*"))
     dealt = units(members, percent).withColumnRenamed("doc_id", "_doc")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    work = dealt.join(texts, dealt["_doc"].eqNullSafe(texts["doc_id"])).select("unit", "side", "node", "text")
+    work = dealt.join(texts, dealt["_doc"].eqNullSafe(texts["doc_id"])).select("unit", "side", "node", "copies", "text")
+    names_out = [c.split()[0] for c in columns.split(", ")]
 
     def join_unit(rows: pd.DataFrame) -> pd.DataFrame:
         sides: list[dict[int, np.ndarray]] = [{}, {}]
-        for side, node, text in zip(rows["side"], rows["node"], rows["text"]):
+        copies: dict[int, int] = {}
+        for side, node, count, text in zip(rows["side"], rows["node"], rows["copies"], rows["text"]):
             found = shingle_set(text, n)
             if node_of(found) == node:  # else another row of the same doc_id
                 sides[side][node] = found
+                copies[node] = count
         left, right = (list(s.values()) for s in sides)
-        names = [*sides[0], *sides[1]]
-        links = tree_join(left, right if (rows["side"] == 1).any() else None, percent)
-        return pd.DataFrame([(names[a], names[b]) for a, b in links], columns=["a", "b"], dtype=np.int64)
+        _, *chunks = rows["unit"].iloc[0].split(":")  # "bin:number", or the block and its two chunks, of which one can have no rows
+        alone = len(chunks) == 1 or chunks[:2] == chunks[2:]
+        out = join([*sides[0], *sides[1]], left, None if alone else right, copies)
+        return pd.DataFrame(out, columns=names_out, dtype=object).astype("Int64")
+
+    return work.groupBy("unit").applyInPandas(join_unit, columns)
+
 
-    links = work.groupBy("unit").applyInPandas(join_unit, "a long, b long")
-    groups = components(links)
-    own = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_own"))
-    wide = own.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least_of = cut(wide.join(wide.groupBy("label").agg(F.min("_own").alias("_least")), "label").select("node", "_least"))
-    out = base.join(least_of, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
+def similar_pairs(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Every link between different sets, once: node_a, node_b (node_a the lesser; see described() for the nodes of rows)."""
+
+    def pairs(names: list, left: list, right: list | None, _copies: dict) -> list[tuple]:
+        return [(min(names[a], names[b]), max(names[a], names[b])) for a, b in tree_join(left, right, percent)]
+
+    return joined_units(docs, cut(described(docs, n)), n, percent, pairs, "node_a long, node_b long")
+
+
+def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, spanning: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row of `docs` (doc_id, text).
+
+    Two documents link where 100 * shared >= percent * all of their distinct shingles of n words; with fewer words the whole
+    text is one shingle. component_id is the least doc_id that links reach; n_links, the number of other rows that a row links
+    with, those of equal sets included. With `spanning`, pairs that other links already join are not verified, and there is no
+    n_links. Documents of equal sets are one node of the search. A null text or one without words has no shingles and links
+    with nothing. A null doc_id takes part but names no component: its own is the least other id, or null. Rows that repeat are
+    given each; rows that repeat a doc_id link by each of their texts. Other columns are not read. Shingles are compared by
+    64-bit hashes. `docs` is read four times.
+    """
+    base = cut(described(docs, n))
+
+    def groups_and_counts(names: list, left: list, right: list | None, copies: dict) -> list[tuple]:
+        """Links that join the groups as (a, b, null); the rows that a node links with as (a, null, n_links)."""
+        weight = np.array([copies[v] for v in names], np.int64)
+        counts, label, edges = np.zeros(len(names), np.int64), np.arange(len(names)), []
+
+        def take(a: int, others: np.ndarray) -> None:
+            counts[a] += weight[others].sum()
+            counts[others] += weight[a]
+            other_labels, one = np.unique(label[others], return_index=True)
+            fresh = other_labels != label[a]
+            edges.extend((names[a], names[int(b)], None) for b in others[one[fresh]])
+            if fresh.any():
+                label[np.isin(label, other_labels)] = label[a]
+
+        each_link(left, right, percent, take, spanning)
+        return edges + [(names[a], None, int(counts[a])) for a in np.flatnonzero(counts)]
+
+    links = cut(joined_units(docs, base, n, percent, groups_and_counts, "a long, b long, n_links long"))
+    groups = components(links.select("a", "b"))
+    own = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_own"), F.count("*").alias("_copies"))
+    met_by = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("_others"))
+    wide = own.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")).join(met_by, "node", "left")
+    n_links = (F.coalesce("_others", F.lit(0)) + F.col("_copies") - 1).alias("_links")
+    least_of = cut(wide.join(wide.groupBy("label").agg(F.min("_own").alias("_least")), "label").select("node", "_least", n_links))
+    out = base.join(least_of, "node", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"), F.coalesce("_links", F.lit(0)).alias("n_links")
+    )
+    return out.drop("n_links") if spanning else out
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -346,6 +418,6 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Of rows that repeat a doc_id any one stays. Rows without a doc_id all stay, as nothing tells them apart.
     """
     named = docs.where("doc_id is not null")
-    groups = similar_groups(named, n, percent)
+    groups = similar_groups(named, n, percent, spanning=True)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

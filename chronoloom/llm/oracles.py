@@ -99,6 +99,11 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id,
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of ON least_of.a = d.doc_id
 """
 
+JACCARD_LINKS = (
+    JACCARD.replace("AS component_id\n", "AS component_id, CAST(coalesce(many.n, 0) AS BIGINT) AS n_links\n")
+    + "LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) many ON many.a = d.doc_id\n"
+)
+
 
 def _spans(kind: int, name: str, regex: str, flags: str, least: int, group: int) -> str:
     """Matches by the lengths of what is between them: rows doc_id, start, kind number, end, span."""
@@ -151,5 +156,6 @@ ORACLES = {
     "op2_benchmark_decontamination": DECONTAMINATION,
     "op4_preference_formatting": PREFERENCES,
     "op8_jaccard_join": JACCARD,
+    "op8_jaccard_links": JACCARD_LINKS,
     "op10_secret_scan": SECRETS,
 }

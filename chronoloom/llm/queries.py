@@ -52,6 +52,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), n=4, percent=85).drop("n_links")
+
+
+def op8_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
@@ -67,7 +71,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = [
         op1_quality_classifier, op2_benchmark_decontamination, op3_source_mixing, op3_packed_shards, op4_preference_formatting, op5_url_filter, op6_sharding,
-        op7_token_counts, op8_jaccard_join, op9_quality_rules, op10_secret_scan,
+        op7_token_counts, op8_jaccard_join, op8_jaccard_links, op9_quality_rules, op10_secret_scan,
     ]
     return {f.__name__: f for f in found}
 

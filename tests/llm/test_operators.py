@@ -189,6 +189,20 @@ def test_large_blocks_are_cut_into_pairs_of_chunks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.similar_groups(both, 3, 80).collect()} == label
 
 
+def test_every_link_is_found_and_counted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "UNIT_SHINGLES", 150)
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    texts = [" ".join(base[: 14 + i % 7] + [f"tail{i % 5}"]) for i in range(40)] + ["one two three", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").checkpoint()
+    sets = [jaccard.shingle_set(t, 3) for t in texts]
+    linked = [(a, b) for a in range(43) for b in range(a) if len(sets[a]) and len(sets[b]) and jaccard.linked(sets[a], sets[b], 80)]
+    want = Counter(i for pair in linked for i in pair)
+    assert {r.doc_id: r.n_links for r in jaccard.similar_groups(docs, 3, 80).collect()} == {i: want[i] for i in range(43)}
+    nodes = [jaccard.node_of(s) for s in sets]
+    pairs = Counter(tuple(r) for r in jaccard.similar_pairs(docs, 3, 80).collect())
+    assert pairs == Counter({tuple(sorted((nodes[a], nodes[b]))) for a, b in linked if nodes[a] != nodes[b]})
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 201), (201, 200), (None, 5)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
