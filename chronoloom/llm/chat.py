@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from chronoloom.llm.common import cut, with_range
 
 TRAINED_ROLE = "assistant"
 
@@ -57,7 +60,11 @@ def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("is_chosen"), F.col("_turn")))).alias("_chosen"),
         F.array_sort(F.collect_set(F.when(~F.col("is_chosen"), F.col("_turn")))).alias("_rejected"),
     )
-    both = both.where((F.size("_chosen") > 0) & (F.size("_rejected") > 0))
+    return formatted(both.where((F.size("_chosen") > 0) & (F.size("_rejected") > 0)))
+
+
+def formatted(both: DataFrame) -> DataFrame:
+    """The result of format_preferences from pair_id, chosen_id, rejected_id and the turns of both sides, _chosen and _rejected."""
     same = F.zip_with("_chosen", "_rejected", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
     shared = F.array_position(same, False)
     both = both.withColumn("n_prompt_turns", F.when(shared > 0, shared - 1).otherwise(F.size("_chosen")).cast("int"))
@@ -77,3 +84,31 @@ def neighbour_pairs(turns: DataFrame) -> DataFrame:
     even = ids.where("pmod(conv_id, 2) = 0").select(half.alias("pair_id"), F.col("conv_id").alias("chosen_id"))
     odd = ids.where("pmod(conv_id, 2) = 1").select(half.alias("pair_id"), F.col("conv_id").alias("rejected_id"))
     return even.join(odd, "pair_id")
+
+
+def answer_preferences(turns: DataFrame) -> DataFrame:
+    """Pairs that share a prompt: a conversation (chosen) and the same turns with another's last answer (rejected).
+
+    The columns are those of format_preferences. Each conversation with an assistant turn appears once, as pair_id and chosen_id;
+    rejected_id is the next conversation in id order that has an assistant turn, whose last one's text takes the place of this
+    one's last; after the last id comes the first. Turns after the last answer stay in both completions. Where both answers are
+    equal, which includes a conversation that is the only one with an answer, all turns are prompt and both completions are
+    empty. Conversations without an assistant turn and turns with a null conv_id do not appear. Order, repeated turns and nulls
+    are as in format_preferences.
+    """
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    told = turns.where("conv_id is not null").select("conv_id", turn.alias("_turn"))
+    whole = told.groupBy("conv_id").agg(F.array_sort(F.collect_set("_turn")).alias("_chosen"))
+    answers = cut(told.where(F.col("_turn.role") == TRAINED_ROLE).groupBy("conv_id").agg(F.max("_turn")["text"].alias("_answer")))
+    ranged = with_range(answers.select("conv_id"), "conv_id", "_range")
+    firsts = ranged.groupBy("_range").agg(F.min("conv_id").alias("_first"))  # one row for each range
+    ahead = Window.orderBy("_range")
+    after = firsts.select("_range", F.coalesce(F.lead("_first").over(ahead), F.min("_first").over(Window.partitionBy())).alias("_after"))
+    inside = F.lead("conv_id").over(Window.partitionBy("_range").orderBy("conv_id"))
+    following = ranged.withColumn("_next", inside).join(F.broadcast(after), "_range")
+    nexts = following.select("conv_id", F.coalesce("_next", "_after").alias("rejected_id"))
+    given = nexts.join(answers.select(F.col("conv_id").alias("rejected_id"), F.col("_answer").alias("_other")), "rejected_id")
+    own = F.size("_chosen") - F.array_position(F.transform(F.reverse("_chosen"), lambda t: t["role"]), TRAINED_ROLE)  # its place, from 0
+    swapped = F.transform("_chosen", lambda t, k: F.when(k == own, F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.col("_other").alias("text"))).otherwise(t))
+    both = whole.join(given, "conv_id").select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), "rejected_id", "_chosen", swapped.alias("_rejected"))
+    return formatted(both)

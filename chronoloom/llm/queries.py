@@ -37,6 +37,10 @@ def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_preferences(turns, chat.neighbour_pairs(turns))
 
 
+def op4_answer_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.answer_preferences(table(spark, sf_dir, "conversations"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -70,7 +74,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = [
-        op1_quality_classifier, op2_benchmark_decontamination, op3_source_mixing, op3_packed_shards, op4_preference_formatting, op5_url_filter, op6_sharding,
+        op1_quality_classifier, op2_benchmark_decontamination, op3_source_mixing, op3_packed_shards, op4_preference_formatting, op4_answer_preferences, op5_url_filter, op6_sharding,
         op7_token_counts, op8_jaccard_join, op8_jaccard_links, op9_quality_rules, op10_secret_scan,
     ]
     return {f.__name__: f for f in found}

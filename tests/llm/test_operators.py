@@ -332,3 +332,23 @@ def test_preferences(spark):
     assert got[2].n_prompt_turns == 0 and got[2].rejected_mask == "22:33"
     assert chat.format_preferences(table.where("false"), pairs).collect() == []
     assert {(r.chosen_id, r.rejected_id) for r in chat.neighbour_pairs(table).collect()} == {(2, 3), (4, 5)}
+
+
+def test_answer_preferences_share_the_prompt(spark):
+    turns = [
+        (1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "q2"), (1, 3, "assistant", "a2"), (1, 4, "user", "bye"), (4, 0, "user", "only"),
+        (7, 0, "user", "q3"), (7, 1, "assistant", "a3"), (9, 0, "user", "q4"), (9, 1, "assistant", "a3"), (None, 0, "assistant", "x"),
+    ]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.chosen_id: r for r in chat.answer_preferences(table).collect()}
+    assert {k: r.rejected_id for k, r in got.items()} == {1: 7, 7: 9, 9: 1}
+    told = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    r = got[1]
+    assert (r.n_prompt_turns, r.prompt) == (3, told("user", "q1") + told("assistant", "a1") + told("user", "q2"))
+    assert (r.chosen, r.rejected) == tuple(told("assistant", a) + told("user", "bye") for a in ("a2", "a3"))
+    assert (got[9].n_prompt_turns, got[9].rejected) == (1, told("assistant", "a2"))
+    assert (got[7].n_prompt_turns, got[7].chosen, got[7].rejected) == (2, "", "")
+    rows = queries.op4_answer_preferences(spark, SF).collect()
+    answered = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'assistant'").select("conv_id").distinct().count()
+    assert len(rows) == len({r.chosen_id for r in rows}) == answered and any(r.n_prompt_turns > 0 and r.chosen != r.rejected for r in rows)
+    assert chat.answer_preferences(table.where("false")).collect() == []
