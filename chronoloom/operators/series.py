@@ -141,6 +141,8 @@ def information_criteria(fits: DataFrame, n_params: Column | str = "n_params") -
 
 
 def best_by(fits: DataFrame, ids: list[str], criterion: str = "aic") -> DataFrame:
-    """The row of each series with the least criterion, among those without an error."""
+    """The row of each series with the least criterion; fits with an error come last, so a series that no order fits keeps one."""
     every = F.struct(*[c for c in fits.columns if c not in ids])
-    return fits.where("error is null").groupBy(*ids).agg(F.min_by(every, criterion).alias("_b")).select(*ids, "_b.*")
+    failed = F.col("error").isNotNull()
+    rank = F.struct(failed, F.when(~failed, F.coalesce(F.col(criterion), F.lit(float("nan")))), *[F.col(c) for c in ("order", "error") if c in fits.columns])
+    return fits.groupBy(*ids).agg(F.min_by(every, rank).alias("_b")).select(*ids, "_b.*")

@@ -98,3 +98,12 @@ def test_least_squares_is_the_diffuse_optimum(spark, arrays):
     fits = sarimax.fit(arrays.where("id < 4"), ["id"], Spec.of((1, 0, 0), enforce_stationarity=False))
     for r in fits.collect():
         assert r.params[0] == pytest.approx(min(closed[r.id], 0.999), abs=1e-4)
+
+
+def test_order_search_keeps_series_that_no_order_fits(spark):
+    good = [float((7 * i) % 5) for i in range(40)]
+    rows = [(1, good), (2, good[:20] + [float("nan")]), (3, [1.0])]
+    arrays = spark.createDataFrame(rows, "id long, y array<double>")
+    got = {r.id: r for r in sarimax.order_search(arrays, ["id"], [Spec.of((1, 0, 0)), Spec.of((2, 0, 0))]).collect()}
+    assert set(got) == {1, 2, 3} and got[1].error is None and got[1].aic is not None
+    assert got[2].error == "endog contains NaN or Inf" and got[3].error.startswith("too few observations")
