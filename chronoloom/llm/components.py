@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import cut
+from chronoloom.llm.common import drop_folder, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,22 +19,21 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label of every node on an edge (a, b) of long ids: label is the component's least node.
 
     Loops, repeated edges and either direction are fine; edges with a null end are left out. An empty table gives an empty
-    result. Rounds go on until the edges stay the same; their number grows with the logarithm of the longest path.
+    result. Rounds go on until the edges stay the same; their number grows with the logarithm of the longest path. Each round's
+    edges are a table in the scratch folder, and those of the round before are deleted.
     """
+    spark = edges.sparkSession
     plain = edges.where("a is not null and b is not null and a <> b")
-    now = cut(plain.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, folder = written(plain.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     print_of = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
-    last = now.agg(*print_of).first()
-    for _ in range(most_rounds):
-        now = cut(_stars(_stars(now, True), False))
+    last, this = None, now.agg(*print_of).first()
+    while this != last:
+        after, new_folder = written(_stars(_stars(now, True), False))
+        drop_folder(spark, folder)
+        now, folder, last = after, new_folder, this
         this = now.agg(*print_of).first()
-        if this == last:
-            break
-        last = this
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()

@@ -19,14 +19,16 @@ def shard(df: DataFrame, n_shards: int, key: str = "doc_id", size: str = "size")
 
     A row belongs to the shard in which the middle of its bytes falls, so a shard's bytes differ from the target by less than
     one row's size. Slots count from 0 inside each shard. Null keys come first; rows with equal key and size are
-    interchangeable and each gets its own slot. A shard may stay empty if a row is larger than a target. An empty table gives
-    an empty result. Other columns pass through, whatever their names, but for those called shard or slot, which are replaced.
+    interchangeable and each gets its own slot. Key ranges, and so tasks, grow in number with the bytes; rows of one key that
+    holds very many, or of no key, are dealt to several ranges by a hash of the row and come in the order of that. A shard may
+    stay empty if a row is larger than a target. An empty table gives an empty result. Other columns pass through, whatever
+    their names, but for those called shard or slot, which are replaced.
     """
     own = [c for c in df.columns if c not in ("shard", "slot")]
-    df = df.select(F.struct(*own).alias("_row"), F.col(key).alias("_key"), F.col(size).alias("_size"))
+    df = df.select(F.struct(*own).alias("_row"), F.col(key).alias("_key"), F.col(size).alias("_size"), F.xxhash64(*own).alias("_tie"))
     key, size = "_key", "_size"
     total = df.agg(F.sum(size)).first()[0] or 1
-    placed = prefix_sums(df, key, [size], {"_bytes": F.col(size), "_rank": F.lit(1).cast("long")}, [])
+    placed = prefix_sums(df, key, [size, "_tie"], {"_bytes": F.col(size), "_rank": F.lit(1).cast("long")}, [], total)
     at = f"cast(2 * _bytes + {size} as decimal(28, 0)) * {n_shards} div {2 * total}"
     placed = placed.withColumn("shard", F.expr(f"cast(least({n_shards - 1}, {at}) as int)"))
     first = placed.groupBy("shard").agg(F.min("_rank").alias("_first"))
