@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoloom.llm.common import GAP, cut, position, prefix_sums, words
+from chronoloom.llm.common import GAP, cut, literal_array, position, prefix_sums, words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # of all words
@@ -17,6 +17,7 @@ BLOCK_WORDS = 256
 SHARD_BLOCKS = 65536
 SEED = 20240229
 LOG2_SOURCES = 17
+TASK_SLOTS, CHUNK_SLOTS = 1 << 17, 1 << 12  # slots that one task makes, and in one piece
 
 
 def source_key(source: Column) -> Column:
@@ -42,75 +43,79 @@ def targets(sized: DataFrame) -> DataFrame:
         - F.coalesce(F.sum(F.col("source_size") * MOST).over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ) / F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
     levels = sizes.select("*", rest.alias("_level"), ratio.alias("_ratio"))
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_level"))).over(Window.partitionBy())
+    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_source", "_level"))).over(Window.partitionBy())
     target = F.least(F.col("source_size") * float(MOST), F.coalesce(level["_level"], F.lit(0.0)) * F.col("weight"))
     return levels.select("_source", "source_size", "weight", target.cast("double").alias("target"))
 
 
-def permuted(index: Column, n: Column, *salt: Column) -> Column:
-    """A pseudorandom permutation of 0..n-1, computed for each index alone.
+def with_permuted(df: DataFrame, name: str, index: Column, n: Column, *salt: Column) -> DataFrame:
+    """Adds a pseudorandom permutation of 0..n-1, computed for each index alone.
 
     The indexes fill a grid of about sqrt(n) columns row by row; three times, each row and then each column is rotated by a
     hash of its number. Rotations keep inside the ragged last row, so the map is one to one for every n.
     """
-    wide = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-
-    def turned_rows(turn: int):
-        def step(x: Column) -> Column:
-            r, c = F.floor(x / wide), x % wide
-            length = F.least(wide, n - r * wide)
-            return r * wide + (c + F.pmod(F.xxhash64(F.lit(2 * turn), r, *salt), length)) % length
-
-        return step
-
-    def turned_columns(turn: int):
-        def step(x: Column) -> Column:
-            r, c = F.floor(x / wide), x % wide
-            length = F.floor((n - c - 1) / wide) + 1
-            return ((r + F.pmod(F.xxhash64(F.lit(2 * turn + 1), c, *salt), length)) % length) * wide + c
+    columns = df.columns
+    df = df.withColumns({"_x": index.cast("long"), "_n_all": n.cast("long")}).withColumn("_wide", F.ceil(F.sqrt(F.col("_n_all").cast("double"))).cast("long"))
+    for turn in range(3):
+        for rows in (True, False):
+            df = df.withColumns({"_r": F.expr("_x div _wide"), "_c": F.expr("_x % _wide")})
+            if rows:
+                length, number, at = F.least(F.col("_wide"), F.col("_n_all") - F.col("_r") * F.col("_wide")), F.col("_r"), F.col("_c")
+            else:
+                length, number, at = F.expr("(_n_all - _c - 1) div _wide + 1"), F.col("_c"), F.col("_r")
+            df = df.withColumns({"_length": length, "_turned": at + F.pmod(F.xxhash64(F.lit(2 * turn + (not rows)), number, *salt), length)})
+            moved = F.col("_turned") % F.col("_length")
+            df = df.withColumn("_x", F.col("_r") * F.col("_wide") + moved if rows else moved * F.col("_wide") + F.col("_c"))
+    return df.select(*columns, F.col("_x").alias(name))
+
+
+def drawn_counts(plan: list, spark: SparkSession, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """out_shard, _source, count: how many blocks of each source each output shard draws.
+
+    `plan` has (source, blocks owed). Every shard draws a source for each of its places with the sources' shares of what is
+    owed, so its counts are multinomial.
+    """
+    plan = [(s, n) for s, n in plan if n > 0]
+    ends = list(accumulate(n for _, n in plan))
+    total = ends[-1] if ends else 0
+    draw = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(max(total, 1)))
+    # source names may hold any character, so they are a list of literals; there are fewer than 2**LOG2_SOURCES
+    names = F.lit([s for s, _ in plan] or [""])
+    source = F.get(names, position(literal_array(ends, "bigint"), draw, LOG2_SOURCES))
+    places = spark.range(0, total, 1, parallel(total))
+    return places.select(F.floor(F.col("id") / shard_blocks).alias("out_shard"), source.alias("_source")).groupBy("out_shard", "_source").count()
 
-        return step
 
-    out = index
-    for turn in range(3):
-        # bound by transform() once for each step, or the expressions would double at every step
-        out = F.transform(F.array(out), turned_rows(turn))[0]
-        out = F.transform(F.array(out), turned_columns(turn))[0]
-    return out
+def parallel(n_slots: int) -> int:
+    return max(1, -(-n_slots // TASK_SLOTS))
 
 
 def drawn_slots(owed: DataFrame, plan: list, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """One row for each slot of the mix: out_shard, _source, slot (numbered from 0 within its source).
+    """One row for each slot of the mix: out_shard, _source, slot, rank.
 
-    `owed` has _source and _owed, the blocks to take of each source; `plan` holds the same rows, sorted. Every output shard
-    draws a source for each of its blocks with the sources' shares, that is multinomial counts. Draws beyond what a source has
-    to give are dropped, and what a source still owes goes to shards by hash, so the counts of each source are exact over all
-    shards.
+    `owed` has _source, _owed (blocks to take) and _most (blocks that can be taken); `plan` has (_source, _owed), sorted. The
+    slots of a source are numbered by shard as drawn_counts() drew them, and decide by their numbers which blocks are taken.
+    Drawn slots past _most fall away. Of a source that was drawn more often than it owes, slots are left out at equal distances;
+    one that was drawn less gets further slots in shards by hash. So every source has _owed slots; rank counts them from 0.
     """
-    plan = [(s, n) for s, n in plan if n > 0]
     total = sum(n for _, n in plan)
-    ends = list(accumulate(n for _, n in plan)) or [0]
-    names = F.lit([s for s, _ in plan] or [""])
     n_shards = max(1, -(-total // shard_blocks))
-    draw = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(max(total, 1)))
-    draws = owed.sparkSession.range(total).select(
-        F.floor(F.col("id") / shard_blocks).alias("out_shard"), F.get(names, position(F.lit(ends), draw, LOG2_SOURCES)).alias("_source")
-    )
     before = Window.partitionBy("_source").orderBy("out_shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = draws.groupBy("out_shard", "_source").count()
-    counts = cut(counts.withColumn("_from", F.coalesce(F.sum("count").over(before), F.lit(0))))
-    drawn = counts.join(owed, "_source").select(
-        "out_shard", "_source", "_from", F.least(F.col("_from") + F.col("count"), "_owed").alias("_to")
-    )
+    counts = cut(drawn_counts(plan, owed.sparkSession, seed, shard_blocks).withColumn("_from", F.coalesce(F.sum("count").over(before), F.lit(0))))
     given = counts.groupBy("_source").agg(F.sum("count").alias("_given"))
-    late = owed.join(given, "_source", "left").select(
-        F.lit(None).cast("long").alias("out_shard"), "_source", F.coalesce("_given", F.lit(0)).alias("_from"), F.col("_owed").alias("_to")
-    )
-    slots = drawn.unionByName(late).where("_from < _to").select(
-        "out_shard", "_source", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("slot")
+    owed = owed.join(given, "_source", "left").withColumn("_given", F.least(F.coalesce("_given", F.lit(0)), "_most"))
+    drawn = counts.join(F.broadcast(owed), "_source").select(  # a row for each source
+        "out_shard", "_source", "_owed", "_given", "_from", F.least(F.col("_from") + F.col("count"), "_given").alias("_to")
     )
+    late = owed.select(F.lit(None).cast("long").alias("out_shard"), "_source", "_owed", "_given", F.col("_given").alias("_from"), F.col("_owed").alias("_to"))
+    spans = drawn.unionByName(late).where("_from < _to")
+    # few rows stand for many slots: they are cut and dealt to tasks before they are told out
+    dealt = spans.withColumn("_at", F.explode(F.sequence("_from", F.col("_to") - 1, F.lit(CHUNK_SLOTS).cast("long")))).repartition(parallel(total), "_source", "_at")
+    slots = dealt.withColumn("slot", F.explode(F.sequence("_at", F.least(F.col("_at") + CHUNK_SLOTS, "_to") - 1)))
+    thin = slots.withColumn("rank", F.when(F.col("_given") > F.col("_owed"), F.expr("slot * _owed div _given")).otherwise(F.col("slot")))
+    kept = thin.where("_given <= _owed or (slot + 1) * _owed div _given > rank")
     by_hash = F.pmod(F.xxhash64("_source", "slot", F.lit(seed)), F.lit(n_shards))
-    return slots.withColumn("out_shard", F.coalesce("out_shard", by_hash))
+    return kept.select(F.coalesce("out_shard", by_hash).alias("out_shard"), "_source", "slot", "rank")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -119,49 +124,66 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, shard
     Returns three DataFrames:
     rows (doc_id, _source, size, _start): each document and where its words start in its source's stream;
     sources (_source, source_size, weight, target);
-    slots (out_shard, _source, slot, block, pass): one row for each block that is taken, with the output shard that drew it, the
-    block of `block_words` words of the source's stream, and pass 0 or 1, the how-manieth taking of that block it is.
+    slots (out_shard, _source, slot, block, pass, n_words): one row for each block that is taken, with the output shard that drew
+    it, the block of `block_words` words of the source's stream, pass 0 or 1, the how-manieth taking of that block it is, and how
+    many of its words are taken: all but in a source's last slots, which are cut so that its words are the target, rounded.
 
     A null text or one without words has size 0 and is never taken. A null source is a source of its own. Rows that repeat a
-    doc_id each count. A source is read in the order of doc_id (null first), then size. The block numbers of a source are
-    visited in a new pseudorandom order for each pass, every block once a pass. Other columns are not read.
+    doc_id each count. A source is read in the order of doc_id (null first), then size; rows of an id that holds very many rows, or
+    of none, come in the order of a hash. The block numbers of a source are visited in a new pseudorandom order for each pass,
+    every block at most once a pass. Other columns are not read. Sources must be fewer than 2**LOG2_SOURCES.
     """
     sized = cut(docs.select("doc_id", source_key(F.col("source")).alias("_source"), F.size(words(F.col("text"))).cast("long").alias("size")))
     sources = cut(targets(sized))
     blocks_in = F.ceil(F.col("source_size") / block_words)
-    take = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * blocks_in / F.col("source_size")), MOST * blocks_in)).otherwise(0)
+    short = blocks_in * block_words - F.col("source_size")  # words that the last block lacks, in each of two passes
+    wanted = F.ceil((F.col("target") + MOST * short) / block_words)
+    most = MOST * blocks_in
     # a row for each source, a small dimension table: its shares become literals of the draw
-    owed = sources.select("_source", take.cast("long").alias("_owed"))
-    plan = [tuple(r) for r in owed.orderBy("_source").collect()]
+    owed = sources.select("_source", F.when(F.col("source_size") > 0, F.least(wanted, most)).otherwise(0).alias("_owed"), most.alias("_most"))
+    plan = [tuple(r) for r in owed.select("_source", "_owed").orderBy("_source").collect()]
     if len(plan) >= 2**LOG2_SOURCES:
         raise ValueError(f"more than {2**LOG2_SOURCES - 1} sources")
-    slots = drawn_slots(owed, plan, seed, shard_blocks).join(sources.select("_source", blocks_in.alias("_n")), "_source")
-    turn = F.floor(F.col("slot") / F.col("_n"))
-    visit = permuted(F.col("slot") % F.col("_n"), F.col("_n"), F.col("_source"), turn, F.lit(seed))
-    slots = slots.select("out_shard", "_source", "slot", visit.cast("long").alias("block"), turn.cast("int").alias("pass"))
+    of_source = sources.join(owed, "_source").select("_source", "source_size", "_owed", F.round("target").cast("long").alias("_words"), blocks_in.alias("_n"))
+    slots = drawn_slots(owed, plan, seed, shard_blocks).join(F.broadcast(of_source), "_source")
+    slots = slots.withColumns({"pass": F.expr("cast(slot div _n as int)"), "_index": F.expr("slot % _n")})
+    slots = with_permuted(slots, "block", F.col("_index"), F.col("_n"), F.col("_source"), F.col("pass"), F.lit(seed))
+    held = F.when(F.col("block") == F.col("_n") - 1, F.col("source_size") - F.col("block") * block_words).otherwise(block_words)
+    slots = cut(slots.select("out_shard", "_source", "slot", "block", "pass", held.cast("long").alias("n_words"), (F.col("_owed") - F.col("rank")).alias("_left"), "_words"))
+    # At most MOST * short + block_words words are too many, so the last four slots of a source hold them all.
+    extra = slots.groupBy("_source").agg((F.sum("n_words") - F.first("_words")).alias("_extra"))
+    later = Window.partitionBy("_source").orderBy("_left").rowsBetween(Window.unboundedPreceding, -1)
+    last = slots.where("_left <= 4").withColumn("_later", F.coalesce(F.sum("n_words").over(later), F.lit(0))).join(F.broadcast(extra), "_source")
+    trimmed = last.withColumn("n_words", F.col("n_words") - F.least(F.col("n_words"), F.greatest(F.lit(0), F.col("_extra") - F.col("_later"))))
+    columns = ["out_shard", "_source", "slot", "block", "pass", "n_words"]
+    slots = slots.where("_left > 4").select(*columns).unionByName(trimmed.where("n_words > 0").select(*columns))
     rows = prefix_sums(sized, "doc_id", ["size"], {"_start": F.col("size")}, ["_source"])
     return rows, sources, slots
 
 
 def pieces(rows: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The taken pieces of documents, one row for each taking: _source, _start of the document, from and to within it (words), pass."""
+    """The taken pieces of documents, one row for each taking: _source, _start of the document, from and to within it (words), pass, out_shard."""
     last = F.floor((F.col("_start") + F.col("size") - 1) / block_words)
     spread = rows.where("size > 0").select("_source", "_start", "size", F.explode(F.sequence(F.floor(F.col("_start") / block_words), last)).alias("block"))
     low = F.greatest(F.col("block") * block_words - F.col("_start"), F.lit(0))
-    high = F.least((F.col("block") + 1) * block_words - F.col("_start"), F.col("size"))
-    taken = slots.select("_source", "block", "pass")
-    return spread.join(taken, ["_source", "block"]).select("_source", "_start", low.alias("from"), high.alias("to"), "pass")
+    high = F.least(F.col("block") * block_words + F.col("n_words") - F.col("_start"), F.col("size"))
+    met = spread.join(slots, ["_source", "block"])
+    return met.select("_source", "_start", low.alias("from"), high.alias("to"), "pass", "out_shard").where(F.col("from") < F.col("to"))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of documents; see mix()."""
+    """doc_id, size, source_size, target and taken of every row of documents; see mix().
+
+    More columns: n_pieces, in how many takings of blocks the document's words are, and first_shard, the least output shard that
+    has any of them (null where nothing is taken).
+    """
     rows, sources, slots = mix(docs)
     rows = cut(rows)
-    taken = pieces(rows, slots).groupBy("_source", "_start").agg(F.sum(F.col("to") - F.col("from")).alias("_taken"))
-    out = rows.join(taken, ["_source", "_start"], "left").join(sources, "_source")
+    taken = pieces(rows, slots).groupBy("_source", "_start").agg(F.sum(F.col("to") - F.col("from")).alias("_taken"), F.count("*").alias("_pieces"), F.min("out_shard").alias("_shard"))
+    out = rows.join(taken, ["_source", "_start"], "left").join(F.broadcast(sources), "_source")
+    of = lambda c: F.when(F.col("size") > 0, F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
     return out.select(
-        "doc_id", "size", "source_size", "target",
-        F.when(F.col("size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(0).cast("long").alias("taken"),
+        "doc_id", "size", "source_size", "target", of("_taken").alias("taken"), of("_pieces").alias("n_pieces"), F.when(F.col("size") > 0, F.col("_shard")).alias("first_shard")
     )
 
 
@@ -187,8 +209,8 @@ def packed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = S
     """The mix as output shards of packed blocks: shard, position, source, block, n_words, text.
 
     One row for each block that a shard drew; see mix(). text has the block's words, one space between two, over the borders of
-    documents. Every block has `block_words` words but the last one of a source, which can have fewer. position counts from 0
-    within a shard, in an order by hash that mixes the sources. What a block is taken twice for is two rows, in any shards.
+    documents. Every block has `block_words` words but the last one of a source and its last slots, which can have fewer. position
+    counts from 0 within a shard, in an order by hash that mixes the sources. What a block is taken twice for is two rows, in any shards.
     """
     rows, _, slots = mix(docs, block_words, seed, shard_blocks)
     first = F.floor(F.col("_start") / block_words)
@@ -206,14 +228,15 @@ def packed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = S
     )[0]
     parts = with_starts(docs, rows).select("_source", "_start", F.explode(told).alias("_p"))
     parts = parts.select("_source", "_start", "_p.block", F.array_join("_p.words", " ").alias("text"), F.size("_p.words").cast("long").alias("n"))
-    blocks = parts.groupBy("_source", "block").agg(F.array_sort(F.collect_list(F.struct("_start", "text"))).alias("_parts"), F.sum("n").alias("n_words"))
+    blocks = parts.groupBy("_source", "block").agg(F.array_sort(F.collect_list(F.struct("_start", "text"))).alias("_parts"))
     # A shard has about shard_blocks slots, so no window is larger than that.
     order = Window.partitionBy("out_shard").orderBy(F.xxhash64("_source", "slot", F.lit(~seed)), "_source", "slot")
-    dealt = slots.select("out_shard", "_source", "block", (F.row_number().over(order) - 1).alias("position"))
+    dealt = slots.select("out_shard", "_source", "block", "n_words", (F.row_number().over(order) - 1).alias("position"))
     source = F.when(F.col("_source").startswith("s"), F.substr("_source", F.lit(2)))
     return dealt.join(blocks, ["_source", "block"]).select(
-        F.col("out_shard").alias("shard"), "position", source.alias("source"), "block", "n_words", F.array_join(F.col("_parts.text"), " ").alias("text")
-    )
+        F.col("out_shard").alias("shard"), "position", source.alias("source"), "block", "n_words",
+        F.call_function("substring_index", F.array_join(F.col("_parts.text"), " "), F.lit(" "), F.col("n_words").cast("int")).alias("text"),
+    )
 
 
 def mix_texts(docs: DataFrame) -> DataFrame:
