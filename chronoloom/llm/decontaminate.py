@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.llm.common import ascii_lower, cut, words
+from chronoloom.llm.common import ascii_lower, cut, may_be_among, words
 
 SHINGLE = 5
 CONTAINED = 80  # per cent of an item's distinct shingles
-BROADCAST_ROWS = 500_000  # sketch entries of 16 bytes that are broadcast at most; more are joined by shuffle
+BROADCAST_BYTES = 32 << 20  # what is broadcast of the items at most; more is joined by shuffle
+ENTRY_BYTES = 64  # of a sketch entry or an array element, ids and overhead included
 
 
 def word_hashes(text: Column) -> Column:
@@ -51,13 +50,34 @@ def sketches(items: DataFrame, n: int, contained: int = CONTAINED) -> DataFrame:
     return sets.where(m > 0).select("item_id", need.alias("_need"), size_class.alias("_size_class"), F.explode(small).alias("_hash"))
 
 
+def class_thresholds(sketch: DataFrame) -> list[tuple[int, int]]:
+    """(size class, largest hash of its sketches), a row for each power of two, so a few dozen."""
+    return [tuple(r) for r in sketch.groupBy("_size_class").agg(F.max("_hash")).orderBy("_size_class").collect()]
+
+
+def class_key(size_class: int, h: Column) -> Column:
+    """A hash under the name of its class, so that classes meet by one number. Two names that agree by chance only add a candidate."""
+    return h.bitwiseXOR(F.lit((size_class * 0x1F3D5B79A1C2E4D7) % 2**63))
+
+
+def looked_up(docs: DataFrame, classes: list[tuple[int, int]], n: int) -> DataFrame:
+    """doc_id, _size_class, _key: for each class, those of a document's shingle hashes that reach no further than its threshold."""
+    hashes = hashed_shingles(word_hashes(F.col("text")), n)
+    least = max([t for _, t in classes], default=-(2**63))
+    told = docs.select("doc_id", F.explode(F.array_distinct(F.filter(hashes, lambda h: h <= least))).alias("_hash"))
+    each = [F.when(F.col("_hash") <= top, F.struct(F.lit(c).alias("_size_class"), class_key(c, F.col("_hash")).alias("_key"))) for c, top in classes]
+    none = F.array().cast("array<struct<_size_class:int,_key:bigint>>")
+    return told.select("doc_id", F.explode(F.array_compact(F.array(*each)) if each else none).alias("_e")).select("doc_id", "_e.*")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, contained: int = CONTAINED) -> DataFrame:
     """Pairs of documents and benchmark items that they contain: doc_id, item_id, n_item, n_shared.
 
     Containment: at least `contained` per cent of the item's distinct shingles of n words (A-Z lower-cased) are among the
     document's. An item with fewer words is one shingle of all its words. Items are dealt into classes of size by powers of two;
-    for each class, only those of a document's shingle hashes that are at most the largest in the class's sketches are looked
-    up (the document's MinHash sketch at that threshold). Candidates are verified on the shingles' words. Null or empty texts
+    for each class by itself, those of a document's shingle hashes that are at most the largest in the class's sketches (the
+    document's MinHash sketch for that class) are looked up among the class's items. Candidates are verified on the shingles'
+    words; only texts of candidates are shuffled for that, as a bitmap of their ids keeps the others out. Null or empty texts
     contain nothing and are contained nowhere. Rows that repeat a doc_id are one document for the result, which has each pair
     once, with the larger count; a null doc_id is an id like others. Items that repeat an item_id count each, by the larger
     count. Other columns are not read.
@@ -83,23 +103,19 @@ def _result_type(docs: DataFrame, items: DataFrame) -> T.StructType:
 
 def _contained(docs: DataFrame, items: DataFrame, n: int, contained: int) -> DataFrame:
     sketch = cut(sketches(items, n, contained))
-    small = sketch.count() <= BROADCAST_ROWS
-    # A class of sizes for each power of two, so a few dozen rows.
-    ranges = sketch.groupBy("_size_class").agg(F.min("_hash"), F.max("_hash")).orderBy("_size_class").collect()
-    hashes = hashed_shingles(word_hashes(F.col("text")), n)
-
-    def in_a_class(h: Column) -> Column:
-        return reduce(lambda a, b: a | b, [h.between(low, top) for _, low, top in ranges], F.lit(False))
-
-    looked_up = docs.select("doc_id", F.explode(F.array_distinct(F.filter(hashes, in_a_class))).alias("_hash"))
-    entries = sketch.select("item_id", "_hash")
-    pairs = looked_up.join(F.broadcast(entries) if small else entries, "_hash").select("doc_id", "item_id").distinct()
+    classes = class_thresholds(sketch)
+    entries = sketch.select("item_id", F.coalesce(*[F.when(F.col("_size_class") == c, class_key(c, F.col("_hash"))) for c, _ in classes], F.col("_hash")).alias("_key"))
+    small = sketch.count() * ENTRY_BYTES <= BROADCAST_BYTES
+    pairs = looked_up(docs, classes, n).join(F.broadcast(entries) if small else entries, "_key").select("doc_id", "item_id").distinct()
     candidates = cut(pairs)
-    known = items.select("item_id", shingles(F.col("text"), n).alias("_item"))
-    wanted = candidates.join(F.broadcast(known) if small else known, candidates["item_id"].eqNullSafe(known["item_id"])).select("doc_id", candidates["item_id"], "_item")
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text")
+    known = cut(items.select("item_id", shingles(F.col("text"), n).alias("_item")))
+    size = known.agg(F.sum(F.octet_length(F.array_join("_item", "")) + ENTRY_BYTES * (1 + F.size("_item")))).first()[0] or 0
+    wanted = candidates.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, candidates["item_id"].eqNullSafe(known["item_id"])).select("doc_id", candidates["item_id"], "_item")
+    some = may_be_among(docs, F.col("doc_id"), candidates.select("doc_id").distinct(), "_maybe").where("_maybe")
+    # each text's shingles are made once, then met with its candidates
+    texts = some.select(F.col("doc_id").alias("_doc"), shingles(F.col("text"), n).alias("_own"))
     both = wanted.join(texts, wanted["doc_id"].eqNullSafe(texts["_doc"]))
-    counted = both.select("doc_id", "item_id", F.size("_item").alias("n_item"), F.size(F.array_intersect("_item", shingles(F.col("text"), n))).alias("n_shared"))
+    counted = both.select("doc_id", "item_id", F.size("_item").alias("n_item"), F.size(F.array_intersect("_item", "_own")).alias("n_shared"))
     return counted.where(F.col("n_shared") * 100 >= F.col("n_item") * contained)
 
 
