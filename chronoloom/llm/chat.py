@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoloom.llm.common import cut, with_range
+from chronoloom.llm.common import cut, running_sums, with_range
 
 TRAINED_ROLE = "assistant"
 
 
 def rendered(turns: Column) -> Column:
-    """Turns (role, text) as one string, each as <|im_start|>role, line feed, text, <|im_end|>, line feed."""
+    """Turns (role, text) as one string, each as <|im_start|>role, line feed, text, <|im_end|>, line feed.
+
+    Marks inside a text stay as they are, so a tokenizer that is to tell them from the turns' own has to be given the turns.
+    """
     parts = F.transform(turns, lambda t: F.concat(F.lit("<|im_start|>"), t["role"], F.lit("\n"), t["text"], F.lit("<|im_end|>\n")))
     return F.array_join(parts, "")
 
@@ -22,23 +25,13 @@ def mask(turns: Column) -> Column:
 
     A span holds an assistant's text and its end mark, which the model is to write; everything else is masked.
     """
-    lengths = F.transform(
-        turns, lambda t: F.struct((F.length(t["role"]) + 13).alias("head"), (F.length(t["text"]) + 10).alias("body"), t["role"].alias("role"))
-    )
-    folded = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc["at"] + t["head"] + t["body"] + 1).alias("at"),
-            F.when(
-                t["role"] == TRAINED_ROLE,
-                F.array_append(acc["spans"], F.concat_ws(":", (acc["at"] + t["head"]).cast("string"), (acc["at"] + t["head"] + t["body"]).cast("string"))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )
-    return F.array_join(folded["spans"], ",")
+    steps = F.transform(turns, lambda t: F.length(t["role"]) + F.length(t["text"]) + 24)
+
+    def span(turn: Column, at: Column) -> Column:
+        start = at + F.length(turn["role"]) + 13
+        return F.when(turn["role"] == TRAINED_ROLE, F.concat_ws(":", start.cast("string"), (start + F.length(turn["text"]) + 10).cast("string")))
+
+    return F.array_join(F.zip_with(turns, running_sums(steps), span), ",")
 
 
 def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -109,6 +102,9 @@ def answer_preferences(turns: DataFrame) -> DataFrame:
     nexts = following.select("conv_id", F.coalesce("_next", "_after").alias("rejected_id"))
     given = nexts.join(answers.select(F.col("conv_id").alias("rejected_id"), F.col("_answer").alias("_other")), "rejected_id")
     own = F.size("_chosen") - F.array_position(F.transform(F.reverse("_chosen"), lambda t: t["role"]), TRAINED_ROLE)  # its place, from 0
-    swapped = F.transform("_chosen", lambda t, k: F.when(k == own, F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.col("_other").alias("text"))).otherwise(t))
+    # transform() binds the place once, or it would be looked for again at every turn
+    swapped = F.transform(
+        F.array(own), lambda at: F.transform("_chosen", lambda t, k: F.when(k == at, F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.col("_other").alias("text"))).otherwise(t))
+    )[0]
     both = whole.join(given, "conv_id").select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), "rejected_id", "_chosen", swapped.alias("_rejected"))
     return formatted(both)

@@ -9,9 +9,10 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import cut
+from chronoloom.llm.common import cut, may_be_among, running_sums
 
 MOST_STRINGS = 64
+SPANS = "array<struct<start:int,end:int>>"
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,8 @@ def trigram_query(regex: str) -> list[list[frozenset[str]]]:
 
 def trigram_index(docs: DataFrame, wanted: list[str]) -> DataFrame:
     """The inverted index of the trigrams that queries ask for: a posting (trigram, doc_id) for each document that has it."""
-    lowered = docs.select("doc_id", F.lower("text").alias("_text"))
+    # in some locales, lower() gives a dotless i for I; a text is to be a candidate in all of them
+    lowered = docs.select("doc_id", F.replace(F.lower("text"), F.lit("\u0131"), F.lit("i")).alias("_text"))
     has = [F.when(F.col("_text").contains(t), F.lit(t)) for t in wanted]
     return lowered.select("doc_id", F.explode(F.array_compact(F.array(*has))).alias("trigram"))
 
@@ -138,41 +140,42 @@ def match_spans(text: Column, rule: Rule) -> Column:
         F.arrays_zip(hits.alias("hit"), kept.alias("kept")) if rule.group else F.transform(hits, lambda h: F.struct(h.alias("hit"), h.alias("kept"))),
         lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h["hit"]).alias("hit"), (F.length(h["kept"]) >= rule.least).alias("good")),
     )
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    folded = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + F.coalesce(p["hit"], F.lit(0))).alias("at"),
-            F.when(
-                F.coalesce(p["good"], F.lit(False)),
-                F.array_append(acc["spans"], F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["hit"]).alias("end"))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )
-    return F.when(text.rlike(rule.regex), folded["spans"]).otherwise(none)
+
+    def span(part: Column, at: Column) -> Column:
+        start = at + part["gap"]
+        return F.when(part["good"], F.struct(start.cast("int").alias("start"), (start + part["hit"]).cast("int").alias("end")))
+
+    # transform() binds the parts once
+    spans = F.transform(
+        F.array(parts), lambda ps: F.array_compact(F.zip_with(ps, running_sums(F.transform(ps, lambda p: p["gap"] + F.coalesce(p["hit"], F.lit(0)))), span))
+    )[0]
+    return F.when(text.rlike(rule.regex), spans).otherwise(F.array().cast(SPANS))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and, for each rule, spans_<kind>: its matches' spans in every row of `docs` (doc_id, text).
 
-    Rules with mandatory trigrams run only over the documents that the index gives for them; others run over all. A null text
-    is empty. Rows that repeat a doc_id are scanned each; they share postings, which only adds candidates. A null doc_id is an
-    id like others. Other columns are not read.
+    Rules with mandatory trigrams run only over the documents that the index gives for them; others run over all. Only the texts
+    of candidates are shuffled: a bitmap of their ids keeps the others out. A null text is empty. Rows that repeat a doc_id are
+    scanned each; they share postings, which only adds candidates. A null doc_id is an id like others. Other columns are not
+    read. `docs` is read three times.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     indexed = [r for r in rules if trigram_query(r.regex)]
     wanted = sorted({t for r in indexed for clause in trigram_query(r.regex) for part in clause for t in part})
     found = cut(candidates(trigram_index(docs, wanted), indexed)).withColumnRenamed("doc_id", "_doc")
-    both = docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]), "left")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    spans = {}
-    for rule in rules:
-        all_spans = match_spans(F.col("text"), rule)
-        spans[f"spans_{rule.kind}"] = F.when(F.array_contains("_kinds", rule.kind), all_spans).otherwise(none) if rule in indexed else all_spans
-    return both.select("doc_id", *[c.alias(n) for n, c in spans.items()])
+    told = may_be_among(docs, F.col("doc_id"), found.select("_doc"), "_maybe")
+    some = told.where("_maybe").drop("_maybe")
+    wide = some.join(found, some["doc_id"].eqNullSafe(found["_doc"]), "left")
+
+    def spans(rule: Rule, candidate: bool) -> Column:
+        if rule not in indexed:
+            return match_spans(F.col("text"), rule)
+        none = F.array().cast(SPANS)
+        return F.when(F.array_contains("_kinds", rule.kind), match_spans(F.col("text"), rule)).otherwise(none) if candidate else none
+
+    each = [rows.select("doc_id", *[spans(r, c).alias(f"spans_{r.kind}") for r in rules]) for rows, c in ((wide, True), (told.where("not _maybe"), False))]
+    return each[0].unionByName(each[1])
 
 
 def listed(rules: tuple[Rule, ...]) -> Column:
