@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from chronoloom.llm import chat, components, decontaminate, jaccard, mixing, oracles, quality_fm, quality_gbt, queries, secrets, sharding, tokens, urls
+from chronoloom.llm import chat, common, components, decontaminate, jaccard, mixing, oracles, quality_fm, quality_gbt, queries, secrets, sharding, tokens, urls
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -97,10 +97,13 @@ def check_mix(docs, rows, tolerance):
 def test_mixing(spark, hard_docs, no_docs):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.mix_digest(docs).collect()
-    check_mix(docs.collect(), rows, mixing.BLOCK_WORDS)
+    check_mix(docs.collect(), rows, 1)
+    assert all((r.taken > 0) == (r.n_pieces > 0) == (r.first_shard is not None) for r in rows)
     assert Counter(rows) == Counter(mixing.mix_digest(docs.repartition(5)).collect())
     hard = hard_docs.where("doc_id is not null")
-    check_mix(hard.collect(), mixing.mix_digest(hard).collect(), mixing.BLOCK_WORDS)
+    check_mix(hard.collect(), mixing.mix_digest(hard).collect(), 1)
+    small = spark.createDataFrame([(6 * i + k, f"s{i}", "word " * 20) for i in range(6) for k in range(6)], "doc_id long, source string, text string")
+    check_mix(small.collect(), mixing.mix_digest(small).collect(), 1)  # sources of fewer words than a block
     assert mixing.mix_digest(hard_docs).count() == hard_docs.count()
     assert mixing.mix_digest(no_docs).collect() == [] and mixing.mix_texts(no_docs).collect() == []
 
@@ -119,19 +122,21 @@ def test_mixed_texts_hold_the_taken_words(hard_docs):
 
 
 def test_packed_blocks_are_what_the_shards_drew(hard_docs, no_docs):
-    docs = hard_docs.where("doc_id is null or doc_id < 13")
+    docs = hard_docs.where("doc_id < 13")
     _, _, slots = mixing.mix(docs, 50, shard_blocks=100)
     drawn = Counter((r.out_shard, r._source[1:] or None, r.block) for r in slots.collect())
     rows = mixing.packed_blocks(docs, 50, shard_blocks=100).collect()
     assert Counter((r.shard, r.source, r.block) for r in rows) == drawn and len({r.shard for r in rows}) > 3
     streams = defaultdict(list)
-    for r in sorted(docs.collect(), key=lambda r: (r.source or "", r.doc_id is not None, r.doc_id or 0, size(r.text), r.text or "")):
+    for r in sorted(docs.where("doc_id is not null").collect(), key=lambda r: (r.source or "", r.doc_id, size(r.text), r.text or "")):
         streams[r.source] += WORD.findall(r.text or "")
-    by_shard = defaultdict(list)
+    by_shard, cut_short = defaultdict(list), 0
     for r in rows:
         want = streams[r.source][50 * r.block : 50 * r.block + 50]
-        assert r.text.split(" ") == want and r.n_words == len(want)
+        assert r.text.split(" ") == want[: r.n_words]
+        cut_short += len(want) - r.n_words
         by_shard[r.shard].append(r.position)
+    assert cut_short <= 3 * 50 * len(streams)
     assert all(sorted(p) == list(range(len(p))) for p in by_shard.values())
     assert mixing.packed_blocks(no_docs).collect() == []
 
@@ -140,15 +145,29 @@ def test_packed_blocks_are_what_the_shards_drew(hard_docs, no_docs):
 def test_permutations_are_one_to_one(spark, n):
     from pyspark.sql import functions as F
 
-    got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("s"), F.lit(1)).alias("p")).collect()
+    got = mixing.with_permuted(spark.range(n), "p", F.col("id"), F.lit(n), F.lit("s"), F.lit(1)).collect()
     assert sorted(r.p for r in got) == list(range(n))
 
 
-def test_drawn_slots_are_whole(spark):
-    owed = spark.createDataFrame([("sa", 50), ("sb", 31), ("sc", 0)], "_source string, _owed long")
-    rows = mixing.drawn_slots(owed, [("sa", 50), ("sb", 31), ("sc", 0)], shard_blocks=10).collect()
-    assert Counter((r._source, r.slot) for r in rows) == Counter([("sa", i) for i in range(50)] + [("sb", i) for i in range(31)])
-    assert {r.out_shard for r in rows} <= set(range(9))
+def test_slots_follow_the_draws(spark):
+    plan = [("sa", 500), ("sb", 310), ("sc", 0), ("sd", 40)]
+    owed = spark.createDataFrame([(s, n, 2 * n) for s, n in plan], "_source string, _owed long, _most long")
+    drawn, taken = [], []
+    for seed in (1, 2):
+        counts = {(r.out_shard, r._source): r["count"] for r in mixing.drawn_counts(plan, spark, seed, 100).collect()}
+        assert [sum(n for (j, _), n in counts.items() if j == k) for k in range(9)] == [100] * 8 + [50]  # a shard's draws fill it
+        of = Counter(s for (_, s), n in counts.items() for _ in range(n))
+        rows = mixing.drawn_slots(owed, plan, seed, 100).collect()
+        for s, n in plan:
+            some = [r for r in rows if r._source == s]
+            assert sorted(r["rank"] for r in some) == list(range(n)) and len({r.slot for r in some}) == n
+            kept = Counter(r.out_shard for r in some if r.slot < of[s])
+            for j in range(9):
+                have = counts.get((j, s), 0)
+                assert kept[j] == have if of[s] <= n else abs(kept[j] - have * n / of[s]) <= 1
+        drawn.append(counts)
+        taken.append({s: {r.slot for r in rows if r._source == s} for s, _ in plan})
+    assert drawn[0] != drawn[1] and taken[0] != taken[1]
 
 
 def brute_groups(docs, n, percent):
@@ -223,6 +242,85 @@ def test_decontamination(spark, hard_docs, no_docs):
     assert decontaminate.contained_items(hard_docs, table.where("false")).collect() == []
 
 
+def test_classes_of_size_look_up_by_themselves(spark):
+    from pyspark.sql import functions as F
+
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    sketch = decontaminate.sketches(items, 5)
+    classes = decontaminate.class_thresholds(sketch)
+    assert len(classes) > 2
+    rows = decontaminate.looked_up(docs, classes, 5)
+    per_class = {r._size_class: r["count"] for r in rows.groupBy("_size_class").count().collect()}
+    n = docs.select(F.explode(F.array_distinct(decontaminate.hashed_shingles(decontaminate.word_hashes(F.col("text")), 5)))).count()
+    for c, top in classes:  # what a class looks up is the share of hashes under its own threshold
+        assert per_class[c] / n == pytest.approx((top + 2**63) / 2**64, abs=0.02)
+    assert decontaminate.class_key(3, F.lit(5)) is not None
+    tops = {r._size_class: r.top for r in sketch.groupBy("_size_class").agg(F.max("_hash").alias("top")).collect()}
+    assert dict(classes) == tops
+
+
+def test_rows_without_an_id_are_many(spark):
+    rows = [(None, f"{WORDS[i % 7]} the quick brown fox jumps over the lazy dog {i % 5} tail AKIA{'A' * 16}") for i in range(600)] + [(i, None) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, items).collect()] == [(None, 1)]
+    assert decontaminate.decontaminated(docs, items).count() == 5
+    assert sum(r.n_access for r in secrets.secret_digest(docs).collect()) == 600
+    check_shards(sharding.shard_digest(docs, 7).collect(), 7)
+    assert mixing.mix_digest(docs.withColumn("source", docs.text.substr(1, 1))).count() == 605
+
+
+WORDS = "alpha beta gamma delta epsilon zeta eta".split()
+
+
+def test_hot_keys_get_several_ranges(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 777).when(F.col("id") % 3 == 1, F.col("id")).alias("k"), (F.col("id") % 4999).alias("size"))
+    ranged = common.with_range(rows, "k", "r", ["size"]).cache()
+    assert max(r["count"] for r in ranged.groupBy("r").count().collect()) < 1000
+    spans = ranged.where("k is not null").groupBy("r").agg(F.min("k").alias("low"), F.max("k").alias("top")).orderBy("r").collect()
+    assert all(a.top <= b.low for a, b in zip(spans, spans[1:]))
+    assert ranged.where("k is null").agg(F.max("r")).first()[0] < ranged.where("k is not null").agg(F.min("r")).first()[0]
+    assert common.n_ranges(1 << 33) == 256 and common.n_ranges(1 << 36) == 2048 and common.n_ranges(1 << 60) == common.MOST_RANGES
+    summed = common.prefix_sums(rows, "k", ["size"], {"before": F.col("size")}, []).collect()
+    assert len({r.before for r in summed if r["size"]}) == sum(1 for r in summed if r["size"])
+    assert max(r.before + r["size"] for r in summed) == sum(r["size"] for r in summed)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 99, 100, 101])
+def test_running_sums(spark, n):
+    from pyspark.sql import functions as F
+
+    values = [(7 * i) % 11 for i in range(n)]
+    got = spark.range(1).select(common.running_sums(F.array(*map(F.lit, values)).cast("array<int>")).alias("s")).first().s
+    assert got == [sum(values[:i]) for i in range(n + 1)]
+
+
+def test_a_text_with_very_many_matches(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789abcdef0123456789abcdef "), 50000).alias("text"))
+    row = secrets.secret_digest(docs).first()
+    assert row.n_hex == 50000 and row.spans.endswith(f"hex:{33 * 49999}:{33 * 49999 + 32}")
+    turns = spark.range(20000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.lit("x").alias("text"))
+    pairs = spark.createDataFrame([(0, 1, 1)], "pair_id long, chosen_id int, rejected_id int")
+    assert chat.format_preferences(turns, pairs).first().n_prompt_turns == 20000
+    row = chat.answer_preferences(turns.unionByName(turns.limit(1).withColumns({"conv_id": F.lit(2), "text": F.lit("y")}))).where("chosen_id = 1").first()
+    assert row.n_prompt_turns == 19999 and row.chosen_mask == "22:33"
+
+
+def test_the_scratch_folder_is_shared_and_emptied(spark, tmp_path):
+    assert common.scratch_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    df, folder = common.written(spark.range(5))
+    assert df.count() == 5
+    common.drop_folder(spark, folder)
+    assert not os.path.exists(folder)
+    before = set(os.listdir(common.scratch_folder(spark)))
+    components.components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"))
+    assert len(set(os.listdir(common.scratch_folder(spark))) - before) == 1  # the last round's
+
+
 def brute_spans(text, rules):
     found = []
     for k, rule in enumerate(rules):
