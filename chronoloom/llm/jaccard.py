@@ -8,18 +8,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from chronoloom.llm.common import cut
+from chronoloom.llm.common import cut, may_be_among
 from chronoloom.llm.components import components
 
 RANKED = 1 << 20  # at most so many of the most frequent shingles are known to all tasks (8 bytes each); any number gives the same links
 FREQUENT = 16  # found less often, a shingle isn't among them
 CHUNK_SHINGLES = 1 << 21  # so many shingles are counted at once in a task
+CHUNK_KEYS = 1 << 20  # so many keys are met at once in a task
 LEVEL = 1.25
-UNIT_SHINGLES = 1 << 19  # what one task joins at once
+BIN_SHINGLES = 1 << 16  # small blocks that one task joins at once
+UNIT_SHINGLES = 1 << 17  # of a large block, what one task joins at once; with all pairs counted, PAIR_SHINGLES
+PAIR_SHINGLES = 1 << 19
 SIGNATURE_WORDS = 64  # of 64 bits
 LEAF, FANOUT = 16, 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -100,12 +105,12 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
     return links
 
 
-def each_link(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, take: Callable[[int, np.ndarray], None], spanning: bool = False) -> None:
+def each_link(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, take: Callable[[int, np.ndarray], None], spanning: bool = False, groups: np.ndarray | None = None) -> None:
     """Calls take(a, others) with sets that link; each pair comes once.
 
     Both trees go down together from pairs of top nodes; pairs that cannot link are dropped with all below them, and every
     other pair is verified. With `spanning`, a pair of sets that earlier links already join is skipped, as it cannot change
-    the components. Numbers of `right` follow those of `left`.
+    the components; `groups` numbers what was joined before. Numbers of `right` follow those of `left`.
     """
     if not left or (right is not None and not right):
         return
@@ -115,7 +120,7 @@ def each_link(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
     shift = 0 if right is None else len(left)
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     lx, ly = len(x.levels) - 1, len(y.levels) - 1
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if groups is None else groups.copy()
     size = np.array([len(v) for v in sets], np.int64)
     at = np.cumsum(size) - size
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -179,17 +184,33 @@ def each_link(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
     down(i, j, lx, ly)
 
 
-def described(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node of every row."""
+def described(docs: DataFrame, n: int, whole: bool = False) -> DataFrame:
+    """row, doc_id, n_shingles, node, tokens of every row; with `whole`, the row's own columns too, as the struct _row.
+
+    row is a number of its own for each row, tokens are the set's hashes. It is computed once, into the scratch folder, so the
+    numbers stay; all that follows reads that table.
+    """
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct("*").alias("_row")] if whole else []))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            found = [(len(s), node_of(s)) for s in (shingle_set(t, n) for t in batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["doc_id", "n_shingles", "node"]
-            )
+            for i in range(0, batch.num_rows, 512):
+                some = batch.slice(i, 512)
+                sets = [shingle_set(t, n) for t in some.column("text").to_pylist()]
+                told = {
+                    "row": pa.array(np.arange(number, number + len(sets))), "doc_id": some.column("doc_id"), "n_shingles": pa.array(list(map(len, sets)), pa.int64()),
+                    "node": pa.array(list(map(node_of, sets)), pa.int64()), "tokens": pa.array([x.tobytes() for x in sets], pa.binary()),
+                }
+                number += len(sets)
+                yield pa.RecordBatch.from_pydict(told | ({"_row": some.column("_row")} if whole else {}))
+
+    kinds = [T.StructField(c, T.BinaryType() if c == "tokens" else T.LongType()) for c in ("row", "doc_id", "n_shingles", "node", "tokens")]
+    return cut(wanted.mapInArrow(rows, T.StructType([*kinds, *([wanted.schema["_row"]] if whole else [])])))
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_shingles long, node long")
+def as_set(tokens: bytes) -> np.ndarray:
+    return np.frombuffer(tokens, np.uint64)
 
 
 def level_tops(most: int) -> list[int]:
@@ -242,7 +263,7 @@ def keys_of(s: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else s[:0]
 
 
-def repeated_shingles(docs: DataFrame, n: int) -> DataFrame:
+def repeated_shingles(base: DataFrame) -> DataFrame:
     """token, n: shingles that several rows of a task's chunk have, and how many do."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,20 +275,20 @@ def repeated_shingles(docs: DataFrame, n: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(token[more].view(np.int64)), pa.array(count[more].astype(np.int64))], names=["token", "n"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                sets.append(shingle_set(text, n))
+            for tokens in batch.column("tokens"):
+                sets.append(as_set(tokens.as_py()))
                 held += len(sets[-1])
                 if held > CHUNK_SHINGLES:
                     yield out()
                     sets, held = [], 0
         yield out()
 
-    return docs.select("text").mapInArrow(rows, "token long, n long")
+    return base.select("tokens").mapInArrow(rows, "token long, n long")
 
 
-def most_frequent(docs: DataFrame, n: int) -> np.ndarray:
+def most_frequent(base: DataFrame) -> np.ndarray:
     """Sorted hashes of the shingles that occur most, at most RANKED; see repeated_shingles for what is counted."""
-    counts = cut(repeated_shingles(docs, n).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT))
+    counts = cut(repeated_shingles(base).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT))
     sizes = counts.groupBy("n").agg(F.count("*").alias("k"))
     above = sizes.select("n", F.sum("k").over(Window.orderBy(F.desc("n"))).alias("above"))
     least = above.where(F.col("above") <= RANKED).agg(F.min("n")).first()[0]
@@ -276,114 +297,195 @@ def most_frequent(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(counts.where(F.col("n") >= least).select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def keyed(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """node, n_shingles, keys (see keys_of) of every row with a shingle."""
+def met_in_chunk(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a chunk with one node each, the first; every other node of a key goes to that one under a key of the two.
+
+    So a key that very many rows have, and a text that has very many copies, leave a chunk as one row.
+    """
+    order = np.argsort(keys, kind="stable")
+    keys, nodes = keys[order], nodes[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    heads = np.repeat(nodes[first], np.diff([*first, len(keys)]))
+    other = nodes != heads
+    pairs = np.unique(np.stack([heads[other], nodes[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+    names = (pairs[:, 0].astype(np.uint64) * MIX ^ pairs[:, 1].astype(np.uint64)) * MIX
+    return np.concatenate([keys[first], names, names]), np.concatenate([nodes[first], pairs[:, 0], pairs[:, 1]])
+
+
+def keyed(base: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
+    """key, node: the keys (see keys_of) of every row with a shingle, after met_in_chunk."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, seen, held = [], [], set(), 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if keys:
+                key, node = met_in_chunk(np.concatenate(keys), np.repeat(np.array(nodes, np.int64), list(map(len, keys))))
+                for i in range(0, len(key), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 18)].view(np.int64)), pa.array(node[i : i + (1 << 18)])], names=["key", "node"])
+
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                found = [x for x in (shingle_set(t, n) for t in batch.column("text").slice(i, 512).to_pylist()) if len(x)]
-                keys = [keys_of(x, percent, frequent).view(np.int64) for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(map(node_of, found)), pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "n_shingles", "keys"]
-                )
+            for node, tokens in zip(batch.column("node").to_pylist(), batch.column("tokens")):
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    keys.append(keys_of(as_set(tokens.as_py()), percent, frequent))
+                    held += len(keys[-1])
+                    if held > CHUNK_KEYS:
+                        yield from out()
+                        keys, nodes, seen, held = [], [], set(), 0
+        yield from out()
 
-    return docs.select("text").mapInArrow(rows, "node long, n_shingles long, keys array<long>")
+    return base.select("node", "tokens").mapInArrow(rows, "key long, node long")
 
 
-def met(keys: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between nodes with a common key, from each to the next smaller, where sizes let the two link.
+def met(keys: DataFrame) -> DataFrame:
+    """Edges (a, b) that join all nodes of a key, from each to the next. A key has at most one row from each chunk of keyed()."""
+    near = keys.select("node", F.lag("node").over(Window.partitionBy("key").orderBy("node")).alias("b"))
+    return near.where("b <> node").select(F.col("node").alias("a"), "b")
+
+
+def blocks_of(base: DataFrame, percent: int) -> DataFrame:
+    """node, row, n_shingles, copies, label of each node that shares a key with another; `row` is one of its rows, label the block's."""
+    label = components(met(keyed(base, percent, most_frequent(base))))
+    nodes = base.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
+    return cut(nodes.join(label, "node").select("node", "row", "n_shingles", "copies", "label"))
 
-    Sets that link are near in size, and so is all that lies between them, so these edges connect them.
-    """
-    rows = keys.select("node", "n_shingles", F.explode("keys").alias("key"))
-    before = Window.partitionBy("key").orderBy("n_shingles", "node")
-    near = rows.select("node", "n_shingles", F.lag("node").over(before).alias("b"), F.lag("n_shingles").over(before).alias("less"))
-    return near.where((F.col("b") != F.col("node")) & (100 * F.col("less") >= percent * F.col("n_shingles"))).select(F.col("node").alias("a"), "b")
 
+def binned(members: DataFrame, sized: DataFrame) -> DataFrame:
+    """Units of small blocks: as many blocks as BIN_SHINGLES hold, about."""
+    n_bins = 1 + int((sized.agg(F.sum("_all")).first()[0] or 0) // BIN_SHINGLES)
+    bin_of = F.concat_ws(":", F.lit("bin"), F.pmod(F.xxhash64("label"), F.lit(n_bins)).cast("string"))
+    return members.join(sized.select("label"), "label").withColumns({"unit": bin_of, "side": F.lit(0)})
 
-def units(members: DataFrame, percent: int) -> DataFrame:
-    """Deals the nodes of blocks into what tasks join: node, doc_id, copies, unit, side. Each pair of a block's nodes is in one unit.
 
-    `members` has node, doc_id, n_shingles, copies, label (the block's). Small blocks share a unit. A block of more than UNIT_SHINGLES
-    is cut into bands of sizes, so that sets that link are in the same or the next band, and the bands into chunks by hash; each
-    pair of chunks of the same or of adjacent bands is a unit, with side 0 and 1.
+def paired(members: DataFrame, percent: int, chunk: Column, pure: Column, most: int) -> DataFrame:
+    """Units of large blocks: unit, side, so that each pair that may link is in one unit; `chunk` numbers the parts by a hash.
+
+    A block is cut into bands of sizes, so that sets that link are in the same or the next band, and a band into parts of the
+    same `pure` (null for what is mixed), and those into chunks of `most` shingles. Each pair of chunks of the same or of
+    adjacent bands is a unit, but not those of one `pure`, whose sets need no more links.
     """
-    sized = members.groupBy("label").agg(F.sum("n_shingles").alias("_all"))
-    small = sized.where(F.col("_all") <= UNIT_SHINGLES)
-    n_bins = 1 + int((small.agg(F.sum("_all")).first()[0] or 0) // UNIT_SHINGLES)
-    alone = members.join(small, "label").select("node", "doc_id", "copies", F.concat_ws(":", F.lit("bin"), F.pmod(F.xxhash64("label"), F.lit(n_bins)).cast("string")).alias("unit"), F.lit(0).alias("side"))
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
-    large = members.join(sized.where(F.col("_all") > UNIT_SHINGLES).select("label"), "label").withColumn("band", band)
-    chunks = large.groupBy("label", "band").agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("n_shingles") / UNIT_SHINGLES)).alias("k"))
-    placed = large.join(chunks, ["label", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")))
-    listed = chunks.select("label", "band", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)).alias("chunk"))
-    first, second = (listed.select("label", F.col("band").alias(f"band_{s}"), F.col("chunk").alias(f"chunk_{s}")) for s in "ab")
-    above = second.withColumn("band_a", F.col("band_b") - F.lit(1))
-    same = second.withColumn("band_a", F.col("band_b"))
-    pairs = first.join(same, ["label", "band_a"]).where("chunk_a <= chunk_b").unionByName(first.join(above, ["label", "band_a"]))
-    names = [F.col(c).cast("string") for c in ("label", "band_a", "chunk_a", "band_b", "chunk_b")]
-    pairs = pairs.withColumn("unit", F.concat_ws(":", *names))
-    sides = pairs.select("label", F.col("band_a").alias("band"), F.col("chunk_a").alias("chunk"), "unit", F.lit(0).alias("side")).unionByName(
-        pairs.where("band_a <> band_b or chunk_a <> chunk_b").select("label", F.col("band_b").alias("band"), F.col("chunk_b").alias("chunk"), "unit", F.lit(1).alias("side"))
-    )
-    return alone.unionByName(placed.join(sides, ["label", "band", "chunk"]).select("node", "doc_id", "copies", "unit", "side"))
-
-
-def joined_units(docs: DataFrame, base: DataFrame, n: int, percent: int, join: Callable[[list, list, list | None, dict], list[tuple]], columns: str) -> DataFrame:
-    """Rows (of `columns`) of join(names, left, right, copies) over all units of `docs`, whose described() rows are `base`.
-
-    names holds the nodes of left and then right; copies, how many rows of `docs` each node is.
+    large = members.withColumns({"band": band, "_pure": pure})
+    by = ["label", "band", "_pure"]
+    chunks = large.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("n_shingles") / most)).alias("_k"))
+    sizes = chunks.select(*[F.col(c).alias(f"_of_{c}") for c in by], "_k")
+    found = (large["label"] == sizes["_of_label"]) & (large["band"] == sizes["_of_band"]) & large["_pure"].eqNullSafe(sizes["_of__pure"])
+    placed = large.join(sizes, found).select(*large.columns, F.pmod(chunk, F.col("_k")).alias("chunk"))
+    listed = chunks.select(*by, F.explode(F.sequence(F.lit(0), F.col("_k").cast("int") - 1)).alias("chunk"))
+    name = F.concat_ws(":", F.col("band").cast("string"), F.coalesce(F.col("_pure").cast("string"), F.lit("mixed")), F.col("chunk").cast("string"))
+    first, second = (listed.select("label", F.col("band").alias(f"band_{s}"), F.col("_pure").alias(f"pure_{s}"), F.col("chunk").alias(f"chunk_{s}"), name.alias(f"name_{s}")) for s in "ab")
+    same = first.join(second.withColumn("band_a", F.col("band_b")), ["label", "band_a"]).where("name_a <= name_b")
+    above = first.join(second.withColumn("band_a", F.col("band_b") - F.lit(1)), ["label", "band_a"])
+    pairs = same.unionByName(above).where("not (pure_a <=> pure_b and pure_a is not null)")
+    pairs = pairs.withColumn("unit", F.concat_ws("|", F.col("label").cast("string"), "name_a", "name_b"))
+    left, right = (pairs.where("true" if s == "a" else "name_a <> name_b").select("label", F.col(f"band_{s}").alias("band"), F.col(f"pure_{s}").alias("_pure"), F.col(f"chunk_{s}").alias("chunk"), "unit", F.lit(i).alias("side")) for i, s in enumerate("ab"))
+    sides = left.unionByName(right).select("unit", "side", *[F.col(c).alias(f"_of_{c}") for c in (*by, "chunk")])
+    here = (placed["label"] == sides["_of_label"]) & (placed["band"] == sides["_of_band"]) & placed["_pure"].eqNullSafe(sides["_of__pure"]) & (placed["chunk"] == sides["_of_chunk"])
+    return placed.join(sides, here).select(*members.columns, "unit", "side")
+
+
+def joined_units(base: DataFrame, dealt: DataFrame, join: Callable[[list, list, list | None, dict, dict], list[tuple]], columns: str) -> DataFrame:
+    """Rows (of `columns`) of join(names, left, right, copies, groups) over all units of `dealt` (row, node, copies, group, unit, side).
+
+    names holds the nodes of left and then right; copies, how many rows each node is; groups, what earlier links joined it to.
+    Only the sets of dealt rows are shuffled: a bitmap of their numbers keeps the others out.
     """
-    blocks = components(met(keyed(docs, n, percent, most_frequent(docs, n)), percent))
-    of = F.min_by(F.struct("doc_id", "n_shingles"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("of")
-    members = cut(base.join(blocks, "node").groupBy("node", "label").agg(of, F.count("*").alias("copies")).select("node", "label", "copies", "of.*"))
-    dealt = units(members, percent).withColumnRenamed("doc_id", "_doc")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    work = dealt.join(texts, dealt["_doc"].eqNullSafe(texts["doc_id"])).select("unit", "side", "node", "copies", "text")
+    dealt = cut(dealt.select(F.col("row").alias("_of_row"), "node", "copies", "group", "unit", "side"))
+    some = may_be_among(base.select("row", "tokens"), F.col("row"), dealt.select("_of_row"), "_maybe").where("_maybe")
+    work = dealt.join(some, dealt["_of_row"] == some["row"]).select("unit", "side", "node", "copies", "group", "tokens")
     names_out = [c.split()[0] for c in columns.split(", ")]
 
     def join_unit(rows: pd.DataFrame) -> pd.DataFrame:
         sides: list[dict[int, np.ndarray]] = [{}, {}]
-        copies: dict[int, int] = {}
-        for side, node, count, text in zip(rows["side"], rows["node"], rows["copies"], rows["text"]):
-            found = shingle_set(text, n)
-            if node_of(found) == node:  # else another row of the same doc_id
-                sides[side][node] = found
-                copies[node] = count
+        for side, node, tokens in zip(rows["side"], rows["node"], rows["tokens"]):
+            sides[side][node] = as_set(tokens)
         left, right = (list(s.values()) for s in sides)
-        _, *chunks = rows["unit"].iloc[0].split(":")  # "bin:number", or the block and its two chunks, of which one can have no rows
-        alone = len(chunks) == 1 or chunks[:2] == chunks[2:]
-        out = join([*sides[0], *sides[1]], left, None if alone else right, copies)
+        _, *chunks = rows["unit"].iloc[0].split("|")  # "bin:number", "label:chunk", or the block and its two chunks, of which one can have no rows
+        alone = len(chunks) < 2 or chunks[0] == chunks[1]
+        out = join([*sides[0], *sides[1]], left, None if alone else right, dict(zip(rows["node"], rows["copies"])), dict(zip(rows["node"], rows["group"])))
         return pd.DataFrame(out, columns=names_out, dtype=object).astype("Int64")
 
     return work.groupBy("unit").applyInPandas(join_unit, columns)
 
 
+def all_units(members: DataFrame, percent: int) -> DataFrame:
+    """Deals the nodes of blocks so that each pair of a block's nodes that may link is in one unit."""
+    members = members.withColumn("group", F.col("node"))
+    sized = members.groupBy("label").agg(F.sum("n_shingles").alias("_all"))
+    small = binned(members, sized.where(F.col("_all") <= PAIR_SHINGLES))
+    large = members.join(sized.where(F.col("_all") > PAIR_SHINGLES).select("label"), "label")
+    return small.unionByName(paired(large, percent, F.xxhash64("node"), F.lit(None).cast("long"), PAIR_SHINGLES), allowMissingColumns=True)
+
+
+def spanning_links(base: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that give the same components as all links do, by rounds whose cost is in proportion to a dense block's size.
+
+    Small blocks are joined whole. A large block is first cut into chunks by hash, each joined by itself; then one node of each
+    group so found is sent on, and these are joined in chunks likewise. A block that is one group then is done: near copies of
+    a text, however many, end here. In the others, all pairs of chunks that differ in group are joined, so no link is missed: a
+    large group's chunks meet those of other groups, but not each other.
+    """
+
+    def join(names: list, left: list, right: list | None, _copies: dict, groups: dict) -> list[tuple]:
+        numbers = np.unique(np.array([groups[v] for v in names], np.int64), return_inverse=True)[1]
+        links: list[tuple[int, int]] = []
+        each_link(left, right, percent, lambda a, others: links.extend((names[a], names[int(b)]) for b in others), True, numbers)
+        return links
+
+    def round_of(dealt: DataFrame) -> DataFrame:
+        return cut(joined_units(base, dealt, join, "a long, b long"))
+
+    def in_chunks(some: DataFrame, salt: int) -> DataFrame:
+        sizes = some.groupBy("label").agg(F.ceil(F.sum("n_shingles") / UNIT_SHINGLES).alias("_k"))
+        unit = F.concat_ws(":", F.col("label").cast("string"), F.pmod(F.xxhash64("node", F.lit(salt)), F.col("_k")).cast("string"))
+        return some.join(sizes, "label").withColumns({"unit": unit, "side": F.lit(0)}).drop("_k")
+
+    def grouped(some: DataFrame, links: DataFrame) -> DataFrame:
+        label = components(links).withColumnRenamed("label", "_group")
+        return cut(some.drop("group").join(label, "node", "left").withColumn("group", F.coalesce("_group", "node")).drop("_group"))
+
+    def open_blocks(some: DataFrame) -> DataFrame:
+        more = some.groupBy("label").agg(F.min("group").alias("_low"), F.max("group").alias("_top")).where("_low <> _top").select("label")
+        return some.join(more, "label", "left_semi")
+
+    members = members.withColumn("group", F.col("node"))
+    sized = cut(members.groupBy("label").agg(F.sum("n_shingles").alias("_all")))
+    small = binned(members, sized.where(F.col("_all") <= UNIT_SHINGLES))
+    large = members.join(sized.where(F.col("_all") > UNIT_SHINGLES).select("label"), "label")
+    links = round_of(small.unionByName(in_chunks(large, 1).select(*small.columns)))
+    if large.isEmpty():
+        return links
+    now = open_blocks(grouped(large, links))
+    every = F.struct(*now.columns)
+    sent = now.groupBy("label", "group").agg(F.min_by(every, F.xxhash64("node", F.lit(2))).alias("_one")).select("_one.*")
+    links = links.unionByName(round_of(in_chunks(sent, 3)))
+    now = open_blocks(grouped(now, links))
+    if now.isEmpty():
+        return links
+    sizes = now.groupBy("label", "group").agg(F.sum("n_shingles").alias("_size"))
+    wide = cut(now.join(sizes, ["label", "group"]))
+    pure = F.when(F.col("_size") > UNIT_SHINGLES // 4, F.col("group"))
+    # a mixed group keeps together, so that its chunk has it joined
+    chunk = F.when(pure.isNull(), F.xxhash64("group")).otherwise(F.xxhash64("node"))
+    return links.unionByName(round_of(paired(wide, percent, chunk, pure, UNIT_SHINGLES)))
+
+
 def similar_pairs(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Every link between different sets, once: node_a, node_b (node_a the lesser; see described() for the nodes of rows)."""
 
-    def pairs(names: list, left: list, right: list | None, _copies: dict) -> list[tuple]:
+    def pairs(names: list, left: list, right: list | None, _copies: dict, _groups: dict) -> list[tuple]:
         return [(min(names[a], names[b]), max(names[a], names[b])) for a, b in tree_join(left, right, percent)]
 
-    return joined_units(docs, cut(described(docs, n)), n, percent, pairs, "node_a long, node_b long")
+    base = described(docs, n)
+    return joined_units(base, all_units(blocks_of(base, percent), percent), pairs, "node_a long, node_b long")
 
 
-def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, spanning: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row of `docs` (doc_id, text).
-
-    Two documents link where 100 * shared >= percent * all of their distinct shingles of n words; with fewer words the whole
-    text is one shingle. component_id is the least doc_id that links reach; n_links, the number of other rows that a row links
-    with, those of equal sets included. With `spanning`, pairs that other links already join are not verified, and there is no
-    n_links. Documents of equal sets are one node of the search. A null text or one without words has no shingles and links
-    with nothing. A null doc_id takes part but names no component: its own is the least other id, or null. Rows that repeat are
-    given each; rows that repeat a doc_id link by each of their texts. Other columns are not read. Shingles are compared by
-    64-bit hashes. `docs` is read four times.
-    """
-    base = cut(described(docs, n))
+def counted_links(base: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links that join the groups as (a, b, null); the rows that a node links with as (a, null, n_links). Every pair is verified."""
 
-    def groups_and_counts(names: list, left: list, right: list | None, copies: dict) -> list[tuple]:
-        """Links that join the groups as (a, b, null); the rows that a node links with as (a, null, n_links)."""
+    def join(names: list, left: list, right: list | None, copies: dict, _groups: dict) -> list[tuple]:
         weight = np.array([copies[v] for v in names], np.int64)
         counts, label, edges = np.zeros(len(names), np.int64), np.arange(len(names)), []
 
@@ -396,28 +498,58 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, spanning: boo
             if fresh.any():
                 label[np.isin(label, other_labels)] = label[a]
 
-        each_link(left, right, percent, take, spanning)
+        each_link(left, right, percent, take)
         return edges + [(names[a], None, int(counts[a])) for a in np.flatnonzero(counts)]
 
-    links = cut(joined_units(docs, base, n, percent, groups_and_counts, "a long, b long, n_links long"))
-    groups = components(links.select("a", "b"))
+    return cut(joined_units(base, all_units(members, percent), join, "a long, b long, n_links long"))
+
+
+def node_groups(base: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label of every node: the group that links join it to."""
+    nodes = base.where("node is not null").select("node").distinct()
+    return nodes.join(components(links.select("a", "b")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, counted: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row of `docs` (doc_id, text).
+
+    Two documents link where 100 * shared >= percent * all of their distinct shingles of n words; with fewer words the whole
+    text is one shingle. component_id is the least doc_id that links reach; n_links, the number of other rows that a row links
+    with, those of equal sets included. Unless `counted`, there is no n_links, and pairs that other links already join are not
+    verified, so groups of very many near copies cost in proportion to their size. Documents of equal sets are one node of the
+    search. A null text or one without words has no shingles and links with nothing. A null doc_id takes part but names no
+    component: its own is the least other id, or null. Rows that repeat are given each; rows that repeat a doc_id link by each
+    of their texts. Other columns are not read. Shingles are compared by 64-bit hashes. `docs` is read once.
+    """
+    base = described(docs, n)
+    members = blocks_of(base, percent)
+    links = counted_links(base, members, percent) if counted else spanning_links(base, members, percent)
     own = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_own"), F.count("*").alias("_copies"))
-    met_by = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("_others"))
-    wide = own.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")).join(met_by, "node", "left")
-    n_links = (F.coalesce("_others", F.lit(0)) + F.col("_copies") - 1).alias("_links")
-    least_of = cut(wide.join(wide.groupBy("label").agg(F.min("_own").alias("_least")), "label").select("node", "_least", n_links))
-    out = base.join(least_of, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"), F.coalesce("_links", F.lit(0)).alias("n_links")
-    )
-    return out.drop("n_links") if spanning else out
+    wide = own.join(node_groups(base, links), "node")
+    of_node = wide.join(wide.groupBy("label").agg(F.min("_own").alias("_least")), "label")
+    if counted:
+        met_by = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("_others"))
+        of_node = of_node.join(met_by, "node", "left").withColumn("_links", F.coalesce("_others", F.lit(0)) + F.col("_copies") - 1)
+    of_node = cut(of_node.select("node", "_least", *(["_links"] if counted else [])))
+    out = base.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    n_links = [F.coalesce("_links", F.lit(0)).alias("n_links")] if counted else []
+    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"), *n_links)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose doc_id is the least of their component, one row for each doc_id.
+    """One row of each group of linked rows of `docs`, as similar_groups links them; rows without words all stay.
 
-    Of rows that repeat a doc_id any one stays. Rows without a doc_id all stay, as nothing tells them apart.
+    The one that stays has the least doc_id, or, if none has an id, any; of several texts under that id, the one of fewest
+    shingles, of repeated rows any one. Only rows that may go are shuffled.
     """
-    named = docs.where("doc_id is not null")
-    groups = similar_groups(named, n, percent, spanning=True)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    base = described(docs, n, whole=True)
+    members = blocks_of(base, percent)
+    label = node_groups(base, spanning_links(base, members, percent))
+    rows = base.where("node is not null").select("row", "doc_id", "n_shingles", "node")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "n_shingles", "node", "row")
+    best = rows.groupBy("node").agg(F.min(rank).alias("_best")).join(label, "node")
+    stays = best.join(best.groupBy("label").agg(F.min("_best").alias("_first")), "label").select("node", F.col("_first.row").alias("_stays"))
+    gone = cut(rows.select("row", "node").join(stays, "node").where("row <> _stays").select(F.col("row").alias("_gone")))
+    told = may_be_among(base.select("row", "_row"), F.col("row"), gone, "_maybe")
+    asked = told.where("_maybe").join(gone, F.col("row") == F.col("_gone"), "left_anti")
+    return told.where("not _maybe").unionByName(asked).select("_row.*").select(*docs.columns)

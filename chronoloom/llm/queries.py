@@ -56,7 +56,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_groups(table(spark, sf_dir, "documents"), n=4, percent=85).drop("n_links")
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), n=4, percent=85, counted=False)
 
 
 def op8_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import binascii
 import hashlib
 import os
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -194,22 +195,38 @@ def test_similar_groups(spark, hard_docs, no_docs):
             assert (r.component_id, r.n_shingles) == (label[r.doc_id], len(sets[r.doc_id][0]))
     assert sorted((r.component_id or 0) for r in rows if r.doc_id is None) == [0, 1]
     assert jaccard.similar_groups(no_docs).collect() == []
-    kept = sorted(r.doc_id or 0 for r in jaccard.one_of_each(hard_docs, 5, 80).collect())
-    assert kept == [0, 0, 1, 5, 6, 7, 8, 10, 11, 12]
+    assert rows == [] or "n_links" in rows[0]
+    bare = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(hard_docs, 4, 85, counted=False).collect())
+    assert bare == Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows)
+    kept = jaccard.one_of_each(hard_docs, 5, 80)
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 6, 7, 8, 10, 11, 12] and kept.columns == hard_docs.columns
+    assert jaccard.one_of_each(no_docs).collect() == []
 
 
-def test_large_blocks_are_cut_into_pairs_of_chunks(spark, monkeypatch):
+def test_large_blocks_are_joined_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "UNIT_SHINGLES", 300)
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
-    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-    near = spark.createDataFrame([(10000 + i, " ".join(base[: 14 + i % 7] + [f"tail{i % 5}"])) for i in range(60)], "doc_id long, text string")
-    both = docs.select("doc_id", "text").unionByName(near).checkpoint()
-    label, _ = brute_groups([tuple(r) for r in both.collect()], 3, 80)
-    assert {r.doc_id: r.component_id for r in jaccard.similar_groups(both, 3, 80).collect()} == label
+    monkeypatch.setattr(jaccard, "CHUNK_KEYS", 500)
+    rng = random.Random(3)
+    texts = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).collect()]
+    passage = [f"w{i}" for i in range(30)]
+    for g in range(4):  # groups of near copies that share a passage, two of them large, with some that are nearly in
+        own = passage + [f"g{g}x{i}" for i in range(25)]
+        for i in range((60, 45, 6, 3)[g]):
+            words = list(own)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            texts.append((10000 + 1000 * g + i, " ".join(words)))
+    texts += [(None, texts[-1][1])] * 40
+    both = spark.createDataFrame(texts, "doc_id long, text string").repartition(3).checkpoint()
+    label, _ = brute_groups([t for t in texts if t[0] is not None], 3, 80)
+    rows = jaccard.similar_groups(both, 3, 80, counted=False).collect()
+    assert {r.doc_id: r.component_id for r in rows if r.doc_id is not None} == label
+    assert {r.component_id for r in rows if r.doc_id is None} == {label[13002]} and len(rows) == len(texts)
+    assert sorted(r.doc_id for r in jaccard.one_of_each(both, 3, 80).collect()) == sorted(set(label.values()))
 
 
 def test_every_link_is_found_and_counted(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "UNIT_SHINGLES", 150)
+    monkeypatch.setattr(jaccard, "PAIR_SHINGLES", 150)
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
     texts = [" ".join(base[: 14 + i % 7] + [f"tail{i % 5}"]) for i in range(40)] + ["one two three", "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").checkpoint()
