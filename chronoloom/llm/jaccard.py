@@ -25,6 +25,7 @@ LEVEL = 1.25
 BIN_SHINGLES = 1 << 16  # small blocks that one task joins at once
 UNIT_SHINGLES = 1 << 17  # of a large block, what one task joins at once; with all pairs counted, PAIR_SHINGLES
 PAIR_SHINGLES = 1 << 19
+SENT = 8
 SIGNATURE_WORDS = 64  # of 64 bits
 LEAF, FANOUT = 16, 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -297,19 +298,36 @@ def most_frequent(base: DataFrame) -> np.ndarray:
     return np.sort(counts.where(F.col("n") >= least).select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def met_in_chunk(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of a chunk with one node each, the first; every other node of a key goes to that one under a key of the two.
+def met_in_chunk(keys: list[np.ndarray], nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a chunk, given by node, with one node each, and pairs of nodes as keys of their own.
 
-    So a key that very many rows have, and a text that has very many copies, leave a chunk as one row.
+    Nodes that keys of the chunk connect are joined at once; every key then has the least node of its group, and each other node
+    of the group meets that one under a key of the two. So a key that very many rows have, and a text that has very many
+    copies, leave a chunk as one row, and near copies with one node between them.
     """
-    order = np.argsort(keys, kind="stable")
-    keys, nodes = keys[order], nodes[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    heads = np.repeat(nodes[first], np.diff([*first, len(keys)]))
-    other = nodes != heads
-    pairs = np.unique(np.stack([heads[other], nodes[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+    lengths = np.array(list(map(len, keys)), np.int64)
+    nodes, keys, lengths = nodes[lengths > 0], [k for k in keys if len(k)], lengths[lengths > 0]
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    in_order = every[order]
+    first = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+    times = np.diff([*first, len(every)])
+    starts = np.cumsum(lengths) - lengths
+    label = nodes.copy()
+    while True:
+        of_key = np.minimum.reduceat(np.repeat(label, lengths)[order], first)
+        back = np.empty(len(every), np.int64)
+        back[order] = np.repeat(of_key, times)
+        now = np.minimum(label, np.minimum.reduceat(back, starts))
+        if (now == label).all():
+            break
+        label = now
+    other = label != nodes
+    pairs = np.stack([label[other], nodes[other]], 1)
     names = (pairs[:, 0].astype(np.uint64) * MIX ^ pairs[:, 1].astype(np.uint64)) * MIX
-    return np.concatenate([keys[first], names, names]), np.concatenate([nodes[first], pairs[:, 0], pairs[:, 1]])
+    return np.concatenate([in_order[first], names, names]), np.concatenate([of_key, pairs[:, 0], pairs[:, 1]])
 
 
 def keyed(base: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -320,7 +338,7 @@ def keyed(base: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             if keys:
-                key, node = met_in_chunk(np.concatenate(keys), np.repeat(np.array(nodes, np.int64), list(map(len, keys))))
+                key, node = met_in_chunk(keys, np.array(nodes, np.int64))
                 for i in range(0, len(key), 1 << 18):
                     yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 18)].view(np.int64)), pa.array(node[i : i + (1 << 18)])], names=["key", "node"])
 
@@ -422,8 +440,8 @@ def all_units(members: DataFrame, percent: int) -> DataFrame:
 def spanning_links(base: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that give the same components as all links do, by rounds whose cost is in proportion to a dense block's size.
 
-    Small blocks are joined whole. A large block is first cut into chunks by hash, each joined by itself; then one node of each
-    group so found is sent on, and these are joined in chunks likewise. A block that is one group then is done: near copies of
+    Small blocks are joined whole. A large block is first cut into chunks by hash, each joined by itself; then up to SENT nodes of
+    each group so found are sent on, and these are joined in chunks likewise. A block that is one group then is done: near copies of
     a text, however many, end here. In the others, all pairs of chunks that differ in group are joined, so no link is missed: a
     large group's chunks meet those of other groups, but not each other.
     """
@@ -459,7 +477,8 @@ def spanning_links(base: DataFrame, members: DataFrame, percent: int) -> DataFra
         return links
     now = open_blocks(grouped(large, links))
     every = F.struct(*now.columns)
-    sent = now.groupBy("label", "group").agg(F.min_by(every, F.xxhash64("node", F.lit(2))).alias("_one")).select("_one.*")
+    draw = F.xxhash64("node", F.lit(2))
+    sent = now.groupBy("label", "group", F.pmod(draw, F.lit(SENT))).agg(F.min_by(every, draw).alias("_one")).select("_one.*")
     links = links.unionByName(round_of(in_chunks(sent, 3)))
     now = open_blocks(grouped(now, links))
     if now.isEmpty():

@@ -84,6 +84,23 @@ def test_keys_of_linked_sets_meet(percent):
     assert checked > 1000
 
 
+def test_keys_of_a_chunk_keep_what_they_connect():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = int(rng.integers(1, 40))
+        keys = [np.unique(rng.integers(0, 60, rng.integers(0, 4)).astype(np.uint64)) for _ in range(n)]
+        nodes = rng.permutation(1000)[:n].astype(np.int64)
+        by_key = {}
+        for key, node in zip(*map(list, jaccard.met_in_chunk(keys, nodes))):
+            by_key.setdefault(int(key), []).append(int(node))
+        place = {int(v): i for i, v in enumerate(nodes)}
+        got = [(place[a], place[b]) for some in by_key.values() for a, b in zip(some, some[1:])]
+        want = [(i, j) for i, j in itertools.combinations(range(n), 2) if set(keys[i]) & set(keys[j])]
+        assert groups_of(got, n) == groups_of(want, n)
+        for i in range(n):  # each key is still there, for other chunks
+            assert all(len(by_key[int(k)]) >= 1 for k in keys[i])
+
+
 def test_pre_tokens_count_like_whole_texts():
     public = pytest.importorskip("public_tokenizers")
     import sentencepiece
