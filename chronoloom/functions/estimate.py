@@ -1,17 +1,21 @@
-"""Maximum likelihood for a batch of series of one length, all series in step; the helper that fit tasks run."""
+"""Maximum likelihood for a batch of series, all series in step; the helper that fit tasks run."""
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import replace
 
 import numpy as np
 
+from chronoloom.functions import exact
 from chronoloom.functions.spec import Spec
 from chronoloom.functions.statespace import constrained, loglike, run_filter, unconstrained
 
-METHODS = {"lbfgsb": "bfgs", "lbfgsb-strict": "bfgs", "lbfgsb_single": "bfgs", "lbfgs": "bfgs", "bfgs": "bfgs", "lbfgsb-multi": "multi", "nelder-mead": "nm", "nm": "nm"}
+METHODS = {"lbfgsb": "bfgs", "lbfgsb-strict": "bfgs", "lbfgsb_single": "bfgs", "lbfgs": "multi", "bfgs": "bfgs", "lbfgsb-multi": "multi", "nelder-mead": "nm", "nm": "nm"}
 DEFAULT_MAXITER = 500
 MOST_POINTS = 1 << 22  # of points times squared states in one pass
+SEASONAL_GRID = (-0.3, -0.6, -0.9)  # starts of the first seasonal moving average
+SIMPLEX_STEPS = 200
 
 
 def differenced(y: np.ndarray, spec: Spec) -> np.ndarray:
@@ -69,24 +73,46 @@ def start_values(spec: Spec, y: np.ndarray, x: np.ndarray | None) -> np.ndarray:
     return out
 
 
-def cost(spec: Spec, x: np.ndarray, y: np.ndarray, exog: np.ndarray | None) -> np.ndarray:
+class Data:
+    """Series (rows, n), their regressors (rows, n, regressors) or None, and their lengths; behind a length are zeros."""
+
+    def __init__(self, y: np.ndarray, exog: np.ndarray | None, length: np.ndarray):
+        self.y, self.exog, self.length = y, exog, length
+
+    def __getitem__(self, rows) -> Data:
+        return Data(self.y[rows], None if self.exog is None else self.exog[rows], self.length[rows])
+
+    def differenced(self, spec: Spec) -> Data:
+        length = self.length - spec.n_diff
+        w = differenced(self.y, spec)
+        known = np.arange(w.shape[1]) < length[:, None]
+        exog = None if self.exog is None else np.stack([differenced(self.exog[:, :, j], spec) * known for j in range(spec.n_exog)], 2)
+        return Data(w * known, exog, length)
+
+
+def likelihood(spec: Spec, x: np.ndarray, data: Data) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood and scale at parameters x; with d and D 0 in closed form where that holds, else by the filter."""
+    if exact.usable(spec) and not spec.n_diff:
+        w = data.y if data.exog is None else data.y - np.einsum("bnj,bj->bn", data.exog, x[:, spec.blocks["exog"]])
+        return exact.arma_loglike(spec, w, data.length, x)
+    out = run_filter(spec, data.y, x, data.exog)
+    return out["loglike"], out["scale"]
+
+
+def cost(spec: Spec, x: np.ndarray, data: Data) -> np.ndarray:
     """Minus the log-likelihood by point in unconstrained space; a huge number where there is none."""
     step = max(1, MOST_POINTS // spec.n_states**2)
-    parts = [loglike(spec, y[i : i + step], constrained(spec, x[i : i + step]), None if exog is None else exog[i : i + step]) for i in range(0, len(x), step)]
+    parts = [likelihood(spec, constrained(spec, x[i : i + step]), data[i : i + step])[0] for i in range(0, len(x), step)]
     value = -np.concatenate(parts)
     return np.where(np.isfinite(value), value, 1e300)
 
 
-def gradient(spec: Spec, x: np.ndarray, y: np.ndarray, exog: np.ndarray | None) -> np.ndarray:
+def gradient(spec: Spec, x: np.ndarray, data: Data) -> np.ndarray:
     """Central differences: two points for each parameter and series, all in one pass."""
     b, p = x.shape
     h = 1e-5 * np.maximum(1, np.abs(x))
-    moved = np.repeat(x[:, None, :], 2 * p, axis=1)
-    for j in range(p):
-        moved[:, 2 * j, j] += h[:, j]
-        moved[:, 2 * j + 1, j] -= h[:, j]
-    every = np.repeat(np.arange(b), 2 * p)
-    value = cost(spec, moved.reshape(-1, p), y[every], None if exog is None else exog[every]).reshape(b, p, 2)
+    moved = x[:, None, None, :] + np.stack([np.eye(p), -np.eye(p)], 1) * h[:, None, None, :]
+    value = cost(spec, moved.reshape(-1, p), data[np.repeat(np.arange(b), 2 * p)]).reshape(b, p, 2)
     out = (value[:, :, 0] - value[:, :, 1]) / (2 * h)
     return np.where(np.abs(out) < 1e200, out, 0.0)
 
@@ -101,21 +127,24 @@ def bounded(spec: Spec, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def bfgs(spec: Spec, x: np.ndarray, y: np.ndarray, exog: np.ndarray | None, maxiter: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bfgs(spec: Spec, x: np.ndarray, data: Data, maxiter: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """BFGS with backtracking, all series in step. Returns points, costs, iterations, converged."""
     b, p = x.shape
     x = bounded(spec, x)
-    value, grad = cost(spec, x, y, exog), gradient(spec, x, y, exog)
-    inverse = np.broadcast_to(np.eye(p), (b, p, p)) / np.maximum(1, np.linalg.norm(grad, axis=1))[:, None, None]
-    n_iter, done, fresh = np.zeros(b, np.int64), np.zeros(b, bool), np.ones(b, bool)
+    value, grad = cost(spec, x, data), gradient(spec, x, data)
+    unit = np.eye(p)
+    inverse = unit / np.maximum(1, np.linalg.norm(grad, axis=1))[:, None, None]
+    n_iter, done, good, fresh = np.zeros(b, np.int64), np.zeros(b, bool), np.zeros(b, bool), np.ones(b, bool)
     slow = np.zeros(b, np.int64)
     for _ in range(maxiter):
-        done |= np.abs(grad).max(axis=1, initial=0) < 1e-5 * np.maximum(1, np.abs(value) / 100)
+        flat = np.abs(grad).max(axis=1, initial=0) < 1e-5 * np.maximum(1, np.abs(value) / 100)
+        good |= flat & ~done
+        done |= flat
         live = np.flatnonzero(~done)
         if not len(live):
             break
         n_iter[live] += 1
-        some = lambda e: None if e is None else e[live]
+        some = data[live]
         move = -np.einsum("bij,bj->bi", inverse[live], grad[live])
         slope = (move * grad[live]).sum(axis=1)
         up = slope >= 0
@@ -128,45 +157,42 @@ def bfgs(spec: Spec, x: np.ndarray, y: np.ndarray, exog: np.ndarray | None, maxi
             if not len(k):
                 break
             tried = bounded(spec, x[live[k]] + size[k, None] * move[k])
-            got = cost(spec, tried, y[live[k]], None if exog is None else exog[live[k]])
-            good = got <= value[live[k]] + 1e-4 * size[k] * slope[k]
-            new_x[k[good]], new_value[k[good]] = tried[good], got[good]
-            open_[k[good]] = False
-            size[k[~good]] *= 0.4
-        new_grad = gradient(spec, new_x, y[live], some(exog))
+            got = cost(spec, tried, some[k])
+            fits = got <= value[live[k]] + 1e-4 * size[k] * slope[k]
+            new_x[k[fits]], new_value[k[fits]] = tried[fits], got[fits]
+            open_[k[fits]] = False
+            size[k[~fits]] *= 0.4
+        new_grad = gradient(spec, new_x, some)
         s, u = new_x - x[live], new_grad - grad[live]
         su = (s * u).sum(axis=1)
-        curved = su > 1e-12 * np.linalg.norm(s, axis=1) * np.linalg.norm(u, axis=1)
-        for i in np.flatnonzero(curved):
-            h = inverse[live[i]].copy() if not fresh[live[i]] else np.eye(p) * su[i] / (u[i] @ u[i])
-            left = np.eye(p) - np.outer(s[i], u[i]) / su[i]
-            inverse_i = left @ h @ left.T + np.outer(s[i], s[i]) / su[i]
-            if not inverse.flags.writeable:
-                inverse = inverse.copy()
-            inverse[live[i]] = inverse_i
-            fresh[live[i]] = False
-        # A likelihood that rises towards the border of its region creeps for ever; ten such steps in a row end it.
-        slow[live] = np.where(value[live] - new_value < 1e-6 * np.maximum(1, np.abs(value[live])), slow[live] + 1, 0)
-        small = value[live] - new_value < 1e-9 * np.maximum(1, np.abs(value[live]))
-        stuck = small & fresh[live]
-        reset = open_ & ~fresh[live]
-        if reset.any():
-            inverse = inverse.copy()
-            inverse[live[reset]] = np.eye(p) * 0.1
-            fresh[live[reset]] = True
-        done[live] |= (small & ~open_) | (stuck & open_) | (slow[live] >= 10)
+        at = np.flatnonzero(su > 1e-12 * np.linalg.norm(s, axis=1) * np.linalg.norm(u, axis=1))
+        rows, s, u, su = live[at], s[at], u[at], su[at]
+        now = np.where(fresh[rows, None, None], unit * (su / np.maximum((u * u).sum(axis=1), 1e-300))[:, None, None], inverse[rows])
+        left = unit - s[:, :, None] * u[:, None, :] / su[:, None, None]
+        inverse[rows] = left @ now @ left.transpose(0, 2, 1) + s[:, :, None] * s[:, None, :] / su[:, None, None]
+        fresh[rows] = False
+        # A likelihood that rises towards the border of its region creeps for ever; ten such steps in a row end it, unconverged.
+        gain = value[live] - new_value
+        slow[live] = np.where(gain < 1e-6 * np.maximum(1, np.abs(value[live])), slow[live] + 1, 0)
+        small = gain < 1e-9 * np.maximum(1, np.abs(value[live]))
+        settled = small & (~open_ | fresh[live])
+        reset = live[open_ & ~fresh[live]]
+        inverse[reset], fresh[reset] = unit * 0.1, True
+        good[live] |= settled
+        done[live] |= settled | (slow[live] >= 10)
         x[live], value[live], grad[live] = new_x, new_value, new_grad
-    return x, value, n_iter, done
+    return x, value, n_iter, good
 
 
-def nelder_mead(spec: Spec, x: np.ndarray, y: np.ndarray, exog: np.ndarray | None, maxiter: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nelder-Mead for one series after another; all trial points of a step are one pass."""
+def nelder_mead(spec: Spec, x: np.ndarray, data: Data, maxiter: int | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nelder-Mead for one series after another; all trial points of a step are one pass. `maxiter` can be given by series."""
     points, values, iters, fine = [], [], [], []
+    most = np.broadcast_to(maxiter, len(x))
     for i in range(len(x)):
-        f = lambda z: cost(spec, bounded(spec, z), np.repeat(y[i : i + 1], len(z), 0), None if exog is None else np.repeat(exog[i : i + 1], len(z), 0))  # noqa: B023, E731
+        f = lambda z: cost(spec, bounded(spec, z), data[np.full(len(z), i)])  # noqa: B023, E731
         simplex = np.vstack([x[i], *[x[i] + np.eye(len(x[i]))[j] * (0.05 * x[i][j] if abs(x[i][j]) > 1e-8 else 0.00025) for j in range(len(x[i]))]])
         value, ok, n = f(simplex), False, 0
-        for n in range(1, maxiter + 1):
+        for n in range(1, int(most[i]) + 1):
             order = np.argsort(value, kind="stable")
             simplex, value = simplex[order], value[order]
             if value.std() < 1e-6:
@@ -194,49 +220,85 @@ def nelder_mead(spec: Spec, x: np.ndarray, y: np.ndarray, exog: np.ndarray | Non
     return np.array(points).reshape(x.shape), np.array(values), np.array(iters, np.int64), np.array(fine, bool)
 
 
-def fit(spec: Spec, y: np.ndarray, exog: np.ndarray | None = None, method: str = "lbfgsb", maxiter: int | None = None, starts: np.ndarray | None = None) -> list[dict]:
-    """Fits every row of y (series, n). One result a series: params, loglike, scale, aic, bic, n_iter, converged, method."""
+def further_starts(spec: Spec, x: np.ndarray, data: Data, many: bool) -> list[np.ndarray]:
+    """Second starts in unconstrained space: zero lag coefficients; with `many`, seasonal moving averages and perturbations.
+
+    Perturbations are seeded by the series' own values, so they do not depend on what else is in the batch.
+    """
+    keep = np.isin(np.arange(spec.n_params), np.r_[spec.blocks["exog"], spec.blocks["sigma2"]])
+    out = [np.where(keep, x, 0.0)]
+    if many and spec.Q:
+        for theta in SEASONAL_GRID:
+            params = np.zeros((1, spec.n_params))
+            params[0, spec.blocks["sma"].start] = theta
+            params[0, spec.blocks["sigma2"]] = 1.0
+            out.append(np.where(keep, x, unconstrained(spec, params)))
+    if many:
+        draws = [np.random.default_rng(zlib.crc32(data.y[i, : data.length[i]].tobytes())).normal(0, 0.5, (2, spec.n_params)) for i in range(len(x))]
+        out += [x + np.where(keep, 0.0, np.array(draws)[:, k]) for k in range(2)]
+    return out
+
+
+def search(spec: Spec, x: np.ndarray, data: Data, method: str, maxiter: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points, iterations and convergence by a method; all its runs share `maxiter` iterations a series.
+
+    lbfgs and lbfgsb-multi try every further start, the latter polishes the best point by Nelder-Mead; lbfgsb tries a zero start
+    where there are moving averages, and goes on by Nelder-Mead where it did not converge. The others are one run.
+    """
+    kind = METHODS[method]
+    if kind == "nm":
+        x, _, n_iter, good = nelder_mead(spec, x, data, maxiter)
+        return x, n_iter, good
+    x, value, n_iter, good = bfgs(spec, x, data, maxiter)
+    others = further_starts(spec, x, data, True) if kind == "multi" else further_starts(spec, x, data, False) if method == "lbfgsb" and (spec.q or spec.Q) else []
+    for other in others:
+        open_ = np.flatnonzero(n_iter < maxiter)
+        if not len(open_):
+            break
+        x2, v2, n2, g2 = bfgs(spec, other[open_], data[open_], int(maxiter - n_iter[open_].min()))
+        n_iter[open_] += n2
+        better = v2 < value[open_] - 1e-8
+        at = open_[better]
+        x[at], value[at], good[at] = x2[better], v2[better], g2[better]
+    again = np.flatnonzero((n_iter < maxiter) & ((method == "lbfgsb-multi") | ((method == "lbfgsb") & ~good)))
+    if len(again):
+        x2, v2, n2, g2 = nelder_mead(spec, x[again], data[again], np.minimum(maxiter - n_iter[again], SIMPLEX_STEPS))
+        n_iter[again] += n2
+        better = v2 <= value[again]
+        x[again[better]] = x2[better]
+        good[again] |= g2
+    return x, np.minimum(n_iter, maxiter), good
+
+
+def fit(spec: Spec, y: np.ndarray, exog: np.ndarray | None = None, method: str = "lbfgsb", maxiter: int | None = None, starts: np.ndarray | None = None, length: np.ndarray | None = None) -> list[dict]:
+    """Fits every row of y (series, n). One result a series: params, loglike, scale, aic, bic, n_iter, converged, method.
+
+    Where exact.usable(spec) holds, series can have different lengths, given by `length`, with zeros behind.
+    """
     if method not in METHODS:
         raise RuntimeError(f"optimization failed: unknown method {method}")
     maxiter = DEFAULT_MAXITER if maxiter is None else maxiter
     b, n = y.shape
-    begin = starts if starts is not None else np.array([start_values(spec, y[i], None if exog is None else exog[i]) for i in range(b)]).reshape(b, spec.n_params)
+    data = Data(y, exog, np.full(b, n) if length is None else length)
+    sizes = data.length.tolist()
+    begin = starts if starts is not None else np.array([start_values(spec, y[i, : sizes[i]], None if exog is None else exog[i, : sizes[i]]) for i in range(b)]).reshape(b, spec.n_params)
+    # Once the diffuse start is left out, the likelihood is that of the differences, with far fewer states.
+    inner, inner_data = (replace(spec, d=0, D=0), data.differenced(spec)) if spec.enforce_stationarity else (spec, data)
     name = method
     if spec.p >= 3 and not (spec.q or spec.P or spec.Q or spec.n_exog) and spec.concentrate_scale and starts is None and method == "lbfgsb":
         params, n_iter, done, name = begin, np.zeros(b, np.int64), np.ones(b, bool), "burg-direct"
     elif maxiter == 0 or not spec.n_params:
         params, n_iter, done = begin, np.zeros(b, np.int64), np.full(b, maxiter > 0)
     else:
-        x = unconstrained(spec, begin)
-        run = nelder_mead if METHODS[method] == "nm" else bfgs
-        full, y_full, exog_full = spec, y, exog
-        if spec.enforce_stationarity and spec.n_diff:
-            # Once the diffuse start is left out, the likelihood is that of the differences, with far fewer states.
-            exog = None if exog is None else np.stack([differenced(exog[:, :, j], spec) for j in range(spec.n_exog)], 2)
-            y, spec = differenced(y, spec), replace(spec, d=0, D=0)
-        x, value, n_iter, done = run(spec, x, y, exog, maxiter)
-        if METHODS[method] == "multi" or (METHODS[method] == "bfgs" and method == "lbfgsb" and (spec.q or spec.Q)):
-            # A second start: other modes of the likelihood are common once there are moving averages.
-            others = [np.where(np.arange(spec.n_params) < spec.n_exog, x, 0.0)]
-            if METHODS[method] == "multi":
-                rng = np.random.default_rng(12345)
-                others += [x + rng.normal(0, 0.5, x.shape) for _ in range(2)]
-            for other in others:
-                if not spec.concentrate_scale:
-                    other[:, -1] = x[:, -1]
-                x2, v2, n2, d2 = bfgs(spec, other, y, exog, maxiter)
-                better = v2 < value - 1e-8
-                x, value, done = np.where(better[:, None], x2, x), np.where(better, v2, value), np.where(better, d2, done)
-                n_iter = n_iter + n2
+        x, n_iter, done = search(inner, unconstrained(spec, begin), inner_data, method, maxiter)
         params = constrained(spec, x)
-        spec, y, exog = full, y_full, exog_full
-    out = run_filter(spec, y, params, exog)
+    value, scale = likelihood(inner, params, inner_data) if exact.usable(spec) else likelihood(spec, params, data)
     k = spec.n_estimated
     return [
         {
-            "params": params[i].tolist(), "loglike": float(out["loglike"][i]), "scale": float(out["scale"][i]), "aic": float(2 * k - 2 * out["loglike"][i]),
-            "bic": float(k * np.log(n) - 2 * out["loglike"][i]), "n_obs": n, "n_params": k, "n_iter": int(n_iter[i]), "converged": bool(done[i]), "method": name,
-            "error": None if np.isfinite(out["loglike"][i]) else "optimization failed: no finite likelihood",
+            "params": params[i].tolist(), "loglike": float(value[i]), "scale": float(scale[i]), "aic": float(2 * k - 2 * value[i]),
+            "bic": float(k * np.log(sizes[i]) - 2 * value[i]), "n_obs": sizes[i], "n_params": k, "n_iter": int(n_iter[i]), "converged": bool(done[i]), "method": name,
+            "error": None if np.isfinite(value[i]) else "optimization failed: no finite likelihood",
         }
         for i in range(b)
     ]

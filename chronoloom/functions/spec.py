@@ -33,8 +33,6 @@ class Spec:
                 raise ValueError(f"{label} {name}={value} exceeds maximum {most}")
         if (self.P or self.D or self.Q) and self.s < 2:
             raise ValueError("seasonal order requires seasonal period s >= 2")
-        if self.D > 1:
-            raise ValueError("seasonal differencing D > 1 is not supported")
         if self.n_states > MOST_STATES:
             raise ValueError(f"state dimension {self.n_states} exceeds maximum {MOST_STATES}")
 

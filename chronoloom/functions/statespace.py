@@ -75,22 +75,26 @@ def unconstrained(spec: Spec, params: np.ndarray) -> np.ndarray:
 def matrices(spec: Spec, params: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Transition (by point), design, and selection (by point).
 
-    The state holds d integrated levels, then the last s seasonal values, then the ARMA block in companion form.
+    The state holds d integrated levels, then the last s values of each of D seasonal levels, then the ARMA block in companion form.
     """
     cut = spec.blocks
     ar = polynomial(params[:, cut["ar"]], params[:, cut["sar"]], spec.s, -1.0)
     ma = polynomial(params[:, cut["ma"]], params[:, cut["sma"]], spec.s, 1.0)
-    k, first, season = spec.n_states, spec.n_diff, spec.d + spec.s * spec.D - 1
+    k, first = spec.n_states, spec.n_diff
+    season = spec.d - 1 + spec.s * np.arange(1, spec.D + 1)  # a season back, by level
     t, z, r = np.zeros((len(params), k, k)), np.zeros(k), np.zeros((len(params), k))
     z[first] = 1
     t[:, : spec.d, : spec.d] = np.triu(np.ones((spec.d, spec.d)))
     t[:, : spec.d, first] = 1
     z[: spec.d] = 1
-    if spec.D:
-        t[:, : spec.d, season] = 1
-        t[:, np.arange(spec.d + 1, spec.d + spec.s), np.arange(spec.d, spec.d + spec.s - 1)] = 1
-        t[:, spec.d, season] = t[:, spec.d, first] = 1
-        z[season] = 1
+    z[season] = 1
+    t[:, : spec.d, season] = 1
+    for i, oldest in enumerate(season):
+        newest = oldest - spec.s + 1
+        inside = np.arange(newest, oldest)
+        t[:, inside + 1, inside] = 1
+        t[:, newest, season[i:]] = 1
+        t[:, newest, first] = 1
     t[:, first : first + spec.n_ar, first] = -ar[:, 1:]
     inner = np.arange(first, k - 1)
     t[:, inner, inner + 1] = 1

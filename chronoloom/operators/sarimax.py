@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.functions import estimate, statespace
+from chronoloom.functions import estimate, exact, statespace
 from chronoloom.functions.spec import MOST_STEPS, Spec
 from chronoloom.operators.series import with_interval
 
 FIT_COLUMNS = "params array<double>, loglike double, scale double, aic double, bic double, n_obs long, n_params long, n_iter long, converged boolean, method string, error string"
+PAD = math.log(1.1)  # lengths that differ by less are one batch
 FIT_NAMES = [c.split()[0] for c in FIT_COLUMNS.split(", ")]
 
 
@@ -39,8 +40,11 @@ def _problem(spec: Spec, y, x, least: int) -> str | None:
     return None
 
 
-def _mapped(series: DataFrame, ids: list[str], spec: Spec, columns: str, names: list[str], least: int, run: Callable[..., list[dict]], extra: tuple[str, ...] = ()) -> DataFrame:
-    """Calls run(y, x, rows) for the series of one length in a batch; it returns one dict a series."""
+def _mapped(series: DataFrame, ids: list[str], spec: Spec, columns: str, names: list[str], least: int, run: Callable[..., list[dict]], extra: tuple[str, ...] = (), padded: bool = False) -> DataFrame:
+    """Calls run(y, x, rows, length) for the series of one length in a batch; it returns one dict a series.
+
+    With `padded`, series of about one length go together, with zeros behind the shorter ones.
+    """
     wanted = [*ids, "y", *(["x"] if spec.n_exog else []), *extra]
     schema = T.StructType([series.schema[c] for c in ids]).simpleString()[7:-1]
 
@@ -53,17 +57,23 @@ def _mapped(series: DataFrame, ids: list[str], spec: Spec, columns: str, names:
                 if problem:
                     out[i] = {"error": problem}
                 else:
-                    by_length.setdefault(len(rows["y"].iloc[i]), []).append(i)
+                    n = len(rows["y"].iloc[i])
+                    by_length.setdefault(int(math.log(max(n, 1)) / PAD) if padded else n, []).append(i)
             for some in by_length.values():
-                y = np.array([np.asarray(rows["y"].iloc[i], float) for i in some])
-                x = np.array([np.stack([np.asarray(c, float) for c in rows["x"].iloc[i]], 1) for i in some]) if spec.n_exog else None
+                length = np.array([len(rows["y"].iloc[i]) for i in some])
+                y = np.zeros((len(some), length.max()))
+                x = np.zeros((*y.shape, spec.n_exog)) if spec.n_exog else None
+                for k, i in enumerate(some):
+                    y[k, : length[k]] = rows["y"].iloc[i]
+                    if spec.n_exog:
+                        x[k, : length[k]] = np.stack([np.asarray(c, float) for c in rows["x"].iloc[i]], 1)
                 try:
-                    got = run(y, x, rows.iloc[some])
+                    got = run(y, x, rows.iloc[some], length)
                 except Exception:  # one series can't take the others down: each on its own
                     got = []
                     for k, i in enumerate(some):
                         try:
-                            got += run(y[k : k + 1], None if x is None else x[k : k + 1], rows.iloc[[i]])
+                            got += run(y[k : k + 1, : length[k]], None if x is None else x[k : k + 1, : length[k]], rows.iloc[[i]], length[k : k + 1])
                         except Exception as e:  # noqa: BLE001
                             got.append({"error": str(e)})
                 for i, result in zip(some, got):
@@ -81,11 +91,11 @@ def fit(series: DataFrame, ids: list[str], spec: Spec, method: str = "lbfgsb", m
     if start_params is not None:
         spec.check_params(start_params)
 
-    def run(y, x, _rows):
+    def run(y, x, _rows, length):
         starts = None if start_params is None else np.tile(np.array(start_params, float), (len(y), 1))
-        return estimate.fit(spec, y, x, method, maxiter, starts)
+        return estimate.fit(spec, y, x, method, maxiter, starts, length)
 
-    return _mapped(series, ids, spec, FIT_COLUMNS, FIT_NAMES, spec.least_obs, run)
+    return _mapped(series, ids, spec, FIT_COLUMNS, FIT_NAMES, spec.least_obs, run, padded=exact.usable(spec))
 
 
 def _given(rows: pd.DataFrame, spec: Spec) -> np.ndarray:
@@ -109,7 +119,7 @@ def with_params(series: DataFrame, params: DataFrame | list[float]) -> DataFrame
 def loglike(series: DataFrame, ids: list[str], spec: Spec, params: DataFrame | list[float]) -> DataFrame:
     """ids, loglike, error at given parameters."""
 
-    def run(y, x, rows):
+    def run(y, x, rows, _length):
         value = statespace.loglike(spec, y, _given(rows, spec), x)
         return [{"loglike": float(v), "error": None} if np.isfinite(v) else {"error": "no finite likelihood"} for v in value]
 
@@ -132,7 +142,7 @@ def forecast(series: DataFrame, ids: list[str], spec: Spec, params: DataFrame |
     if spec.n_exog:
         paired = paired.join(future.select(*ids, "future_x"), ids, "left")
 
-    def run(y, x, rows):
+    def run(y, x, rows, _length):
         ahead = None
         if spec.n_exog:
             for f in rows["future_x"]:
@@ -154,7 +164,7 @@ def residuals(series: DataFrame, ids: list[str], spec: Spec, params: DataFrame |
     """ids, t, residual, standardized_residual, error, under the diffuse start."""
     free = spec.diffuse()
 
-    def run(y, x, rows):
+    def run(y, x, rows, _length):
         v, std = statespace.residuals(free, y, _given(rows, free), x)
         return [{"residual": a.tolist(), "standardized_residual": b.tolist(), "error": None} for a, b in zip(v, std)]
 
@@ -188,7 +198,7 @@ def parameter_summary(series: DataFrame, ids: list[str], spec: Spec, params: Dat
         se[var > 0] = np.sqrt(var[var > 0])
         return ("failed", "no positive variance", se) if not (var > 0).any() else (status, message, se)
 
-    def run(y, x, rows):
+    def run(y, x, rows, _length):
         out = []
         for i, p in enumerate(_given(rows, spec)):
             status, message, se = one(y[i], None if x is None else x[i], p)

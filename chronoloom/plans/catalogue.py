@@ -391,11 +391,18 @@ def forecast_sarima(spark, sf_dir):
     return sarimax.forecast(arrays, ["series"], Spec.of((0, 1, 1), (0, 1, 1, 12)), [-0.6, -0.5], 12)
 
 
-@query()
+@query(f"""WITH {SUPPLIERS}, r AS (SELECT l_suppkey, t, x1, y - 100.0 * x1 AS r FROM supplier_monthly),
+l AS (SELECT *, lag(r) OVER (PARTITION BY l_suppkey ORDER BY t) AS b FROM r),
+s AS (SELECT l_suppkey, count(*) AS n, max_by(r, t) AS last, sum((r - {PHI} * b) ** 2) / (count(*) - 1) AS scale FROM l GROUP BY l_suppkey),
+f AS (SELECT s.l_suppkey, h, {PHI} ** h * last + 100.0 * r.x1 AS mean, scale * (1 - {PHI} ** (2 * h)) / (1 - {PHI} ** 2) AS variance
+  FROM s JOIN range(1, {STEPS + 1}) AS g(h) ON TRUE JOIN r ON r.l_suppkey = s.l_suppkey AND r.t = s.n - {STEPS + 1} + h)
+SELECT l_suppkey, CAST(h AS INTEGER) AS h, round(mean, 4) AS mean, round(variance, 3) AS variance,
+  round(mean - {Z05!r} * sqrt(variance), 4) AS ci_lower, round(mean + {Z05!r} * sqrt(variance), 4) AS ci_upper FROM f""")
 def forecast_exog(spark, sf_dir):
     spec, arrays = Spec.of((1, 0, 0), n_exog=1), supplier_arrays(spark, sf_dir, True)
     future = arrays.select("l_suppkey", F.transform("x", lambda c: F.slice(c, -STEPS, STEPS)).alias("future_x"))
-    return sarimax.forecast(arrays, ["l_suppkey"], spec, [100.0, PHI], STEPS, future=future)
+    got = sarimax.forecast(arrays, ["l_suppkey"], spec, [100.0, PHI], STEPS, future=future).drop("error")
+    return rounded(rounded(got, 4, "mean", "ci_lower", "ci_upper"), 3, "variance")
 
 
 @query()

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from chronoloom.functions import estimate
+from chronoloom.functions import estimate, exact
 from chronoloom.functions import statespace as ss
 from chronoloom.functions.spec import Spec
 
@@ -141,3 +141,50 @@ def test_hessian_of_a_likelihood_is_negative():
     y, *_ = GOLDEN[1]
     h = estimate.hessian(Spec.of((1, 0, 1)), y, np.array(GOLDEN[1][3]), None)
     assert (np.linalg.eigvalsh(h) < 0).all()
+
+
+@pytest.mark.parametrize(
+    ("order", "seasonal", "params"),
+    [
+        ((1, 0, 0), (0, 0, 0, 0), [0.6]), ((0, 0, 1), (0, 0, 0, 0), [0.999]), ((2, 0, 2), (0, 0, 0, 0), [0.5, 0.2, 0.4, 0.1]), ((0, 0, 1), (0, 0, 1, 12), [-0.6, -0.9]),
+        ((1, 0, 1), (1, 0, 1, 12), [0.3, -0.4, 0.2, -0.5]), ((3, 0, 0), (1, 0, 0, 4), [0.2, 0.1, -0.3, 0.5]),
+    ],
+)
+def test_likelihood_without_a_loop_is_the_filters(order, seasonal, params):
+    rows = np.random.default_rng(2).normal(size=(3, 90))
+    length = np.array([90, 77, 60])
+    padded = rows * (np.arange(90) < length[:, None])
+    spec = Spec.of(order, seasonal)
+    got, scale = exact.arma_loglike(spec, padded, length, np.tile(params, (3, 1)))
+    for i, n in enumerate(length):
+        want = ss.run_filter(spec, rows[i : i + 1, :n], np.array([params]))
+        assert got[i] == pytest.approx(want["loglike"][0], abs=1e-6) and scale[i] == pytest.approx(want["scale"][0], rel=1e-8)
+    given = Spec.of(order, seasonal, concentrate_scale=False)
+    one = exact.arma_loglike(given, rows[:1], length[:1], np.array([[*params, 1.7]]))[0][0]
+    assert one == pytest.approx(ss.loglike(given, rows[:1], np.array([[*params, 1.7]]))[0], abs=1e-6)
+
+
+def test_series_of_different_lengths_fit_like_alone():
+    rows = [recursion(n, n, {1: 0.6, 2: 0.2}) for n in (90, 95, 99)]
+    padded = np.array([np.r_[y, np.zeros(99 - len(y))] for y in rows])
+    for spec in (Spec.of((2, 0, 1)), Spec.of((1, 1, 1)), Spec.of((0, 1, 1), (0, 1, 1, 4))):
+        many = estimate.fit(spec, padded, method="lbfgsb-multi", length=np.array([90, 95, 99]))
+        for y, got in zip(rows, many):
+            one = estimate.fit(spec, y[None], method="lbfgsb-multi")[0]
+            assert (got["loglike"], got["n_obs"]) == (pytest.approx(one["loglike"], abs=1e-6), len(y))
+
+
+def test_more_starts_are_never_worse():
+    y = recursion(200, 7, {1: 0.5})[None]
+    spec = Spec.of((1, 0, 1), (0, 0, 1, 4))
+    plain, multi, restarted = (estimate.fit(spec, y, method=m)[0] for m in ("lbfgsb-strict", "lbfgsb-multi", "lbfgs"))
+    assert min(multi["loglike"], restarted["loglike"]) >= plain["loglike"] - 1e-6 and multi["n_iter"] <= 500
+
+
+def test_two_seasonal_differences():
+    y = np.cumsum(np.random.default_rng(3).normal(size=80)) + np.arange(80) % 4
+    spec, p = Spec.of((1, 1, 0), (0, 2, 1, 4)), np.array([[0.3, -0.4]])
+    w = estimate.differenced(y[None], spec)
+    inner = Spec.of((1, 0, 0), (0, 0, 1, 4))
+    assert ss.loglike(spec, y[None], p)[0] == pytest.approx(exact.arma_loglike(inner, w, np.array([w.shape[1]]), p)[0][0], abs=1e-3)
+    assert np.isfinite(ss.forecast(spec.diffuse(), y[None], p, 6)[0]).all() and estimate.fit(spec, y[None])[0]["error"] is None

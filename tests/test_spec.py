@@ -8,7 +8,7 @@ from chronoloom.functions.spec import Spec
     [
         ((21, 0, 0), (0, 0, 0, 0), "AR order p=21 exceeds maximum"), ((0, 0, 21), (0, 0, 0, 0), "MA order q=21 exceeds"), ((0, 4, 0), (0, 0, 0, 0), "d=4 exceeds"),
         ((1, 0, 0), (5, 0, 0, 4), "P=5 exceeds"), ((1, 0, 0), (1, 0, 0, 1), "requires seasonal period s >= 2"), ((1, 0, 0), (0, 1, 0, 0), "requires seasonal period"),
-        ((1, 0, 0), (0, 0, 0, 366), "s=366 exceeds"), ((1, 0, 0), (0, 2, 0, 4), "not supported"), ((1, 0, 0), (4, 0, 4, 365), "state dimension"),
+        ((1, 0, 0), (0, 0, 0, 366), "s=366 exceeds"), ((1, 0, 0), (0, 3, 0, 4), "D=3 exceeds"), ((1, 0, 0), (4, 0, 4, 365), "state dimension"),
     ],
 )
 def test_orders_out_of_range(order, seasonal, message):
