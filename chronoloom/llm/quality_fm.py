@@ -33,10 +33,14 @@ class Model:
 
 
 def hashed_words(words: Counted, log2_words: int = LOG2_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values of a text's words; the values' squares sum to 1."""
+    """Feature numbers, each once, and values of a text's words; the values' squares sum to 1.
+
+    Words of one number are one feature, so a text has at most 2**log2_words of them, however long it is.
+    """
     n = len(words.distinct)
-    at = np.fromiter(map(zlib.crc32, words.distinct), np.int64, n) & (2**log2_words - 1)
-    return at, np.sqrt(words.freq / max(1, len(words.codes)))
+    number = np.fromiter(map(zlib.crc32, words.distinct), np.int64, n) & (2**log2_words - 1)
+    at, back = np.unique(number, return_inverse=True)
+    return at, np.sqrt(np.bincount(back, words.freq, len(at)) / max(1, len(words.codes)))
 
 
 def described(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray, list[float]]:
@@ -106,7 +110,10 @@ def fit(parts: list, labels: np.ndarray, seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """Fits on at most `most` labelled documents outside the held-out third; features are made in tasks."""
+    """Fits on at most `most` labelled documents outside the held-out third; features are made in tasks.
+
+    The driver gets at most `most` rows of at most 2**LOG2_WORDS features of 8 bytes.
+    """
     sample = labelled_sample(docs, labels, most)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,6 +127,12 @@ def test_factorisation_scores_equal_the_sum_over_pairs():
         assert got[i] == pytest.approx(model.bias + model.weights[at[a:b]] @ value[a:b] + pairs)
 
 
+def test_words_of_one_bucket_are_one_feature():
+    _, words = base_counts(" ".join(f"w{i} w{i % 3}" for i in range(40)))
+    at, value = quality_fm.hashed_words(words, 3)
+    assert len(at) == len(set(at.tolist())) <= 8 and (value**2).sum() == pytest.approx(1)
+
+
 def test_trees_learn_and_stay_monotonic():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 3))
