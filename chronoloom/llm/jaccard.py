@@ -11,10 +11,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from chronoloom.llm.common import cut, may_be_among
+from chronoloom.llm.common import cut, drop_folder, may_be_among, written
 from chronoloom.llm.components import components
 
 RANKED = 1 << 20  # at most so many of the most frequent shingles are known to all tasks (8 bytes each); any number gives the same links
@@ -185,13 +184,13 @@ def each_link(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
     down(i, j, lx, ly)
 
 
-def described(docs: DataFrame, n: int, whole: bool = False) -> DataFrame:
-    """row, doc_id, n_shingles, node, tokens of every row; with `whole`, the row's own columns too, as the struct _row.
+def described(docs: DataFrame, n: int, name: Column | None = None) -> tuple[DataFrame, str]:
+    """row, name, doc_id, n_shingles, node, tokens of every row, as a table in the scratch folder, and the table's folder.
 
-    row is a number of its own for each row, tokens are the set's hashes. It is computed once, into the scratch folder, so the
-    numbers stay; all that follows reads that table.
+    row is a number of its own for each row, name the given column (a long), tokens are the set's hashes. The table is written
+    once, so the numbers stay; all that follows reads it.
     """
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct("*").alias("_row")] if whole else []))
+    wanted = docs.select((F.lit(0) if name is None else name).cast("long").alias("name"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
@@ -200,14 +199,13 @@ def described(docs: DataFrame, n: int, whole: bool = False) -> DataFrame:
                 some = batch.slice(i, 512)
                 sets = [shingle_set(t, n) for t in some.column("text").to_pylist()]
                 told = {
-                    "row": pa.array(np.arange(number, number + len(sets))), "doc_id": some.column("doc_id"), "n_shingles": pa.array(list(map(len, sets)), pa.int64()),
-                    "node": pa.array(list(map(node_of, sets)), pa.int64()), "tokens": pa.array([x.tobytes() for x in sets], pa.binary()),
+                    "row": pa.array(np.arange(number, number + len(sets))), "name": some.column("name"), "doc_id": some.column("doc_id"),
+                    "n_shingles": pa.array(list(map(len, sets)), pa.int64()), "node": pa.array(list(map(node_of, sets)), pa.int64()), "tokens": pa.array([x.tobytes() for x in sets], pa.binary()),
                 }
                 number += len(sets)
-                yield pa.RecordBatch.from_pydict(told | ({"_row": some.column("_row")} if whole else {}))
+                yield pa.RecordBatch.from_pydict(told)
 
-    kinds = [T.StructField(c, T.BinaryType() if c == "tokens" else T.LongType()) for c in ("row", "doc_id", "n_shingles", "node", "tokens")]
-    return cut(wanted.mapInArrow(rows, T.StructType([*kinds, *([wanted.schema["_row"]] if whole else [])])))
+    return written(wanted.mapInArrow(rows, "row long, name long, doc_id long, n_shingles long, node long, tokens binary"))
 
 
 def as_set(tokens: bytes) -> np.ndarray:
@@ -331,43 +329,47 @@ def met_in_chunk(keys: list[np.ndarray], nodes: np.ndarray) -> tuple[np.ndarray,
 
 
 def keyed(base: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
-    """key, node: the keys (see keys_of) of every row with a shingle, after met_in_chunk."""
+    """key, row: the keys (see keys_of) of every row with a shingle, after met_in_chunk; of equal sets of a chunk, one row's."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, seen, held = [], [], set(), 0
+        keys, numbers, seen, held = [], [], set(), 0
 
         def out() -> Iterator[pa.RecordBatch]:
             if keys:
-                key, node = met_in_chunk(keys, np.array(nodes, np.int64))
+                key, row = met_in_chunk(keys, np.array(numbers, np.int64))
                 for i in range(0, len(key), 1 << 18):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 18)].view(np.int64)), pa.array(node[i : i + (1 << 18)])], names=["key", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 18)].view(np.int64)), pa.array(row[i : i + (1 << 18)])], names=["key", "row"])
 
         for batch in batches:
-            for node, tokens in zip(batch.column("node").to_pylist(), batch.column("tokens")):
+            for number, node, tokens in zip(batch.column("row").to_pylist(), batch.column("node").to_pylist(), batch.column("tokens")):
                 if node is not None and node not in seen:
                     seen.add(node)
-                    nodes.append(node)
+                    numbers.append(number)
                     keys.append(keys_of(as_set(tokens.as_py()), percent, frequent))
                     held += len(keys[-1])
                     if held > CHUNK_KEYS:
                         yield from out()
-                        keys, nodes, seen, held = [], [], set(), 0
+                        keys, numbers, seen, held = [], [], set(), 0
         yield from out()
 
-    return base.select("node", "tokens").mapInArrow(rows, "key long, node long")
+    return base.select("row", "node", "tokens").mapInArrow(rows, "key long, row long")
 
 
 def met(keys: DataFrame) -> DataFrame:
-    """Edges (a, b) that join all nodes of a key, from each to the next. A key has at most one row from each chunk of keyed()."""
-    near = keys.select("node", F.lag("node").over(Window.partitionBy("key").orderBy("node")).alias("b"))
-    return near.where("b <> node").select(F.col("node").alias("a"), "b")
+    """Edges (a, b) that join all rows of a key, from each to the next. A key has at most one row from each chunk of keyed()."""
+    near = keys.select("row", F.lag("row").over(Window.partitionBy("key").orderBy("row")).alias("b"))
+    return near.where("b <> row").select(F.col("row").alias("a"), "b")
 
 
 def blocks_of(base: DataFrame, percent: int) -> DataFrame:
-    """node, row, n_shingles, copies, label of each node that shares a key with another; `row` is one of its rows, label the block's."""
-    label = components(met(keyed(base, percent, most_frequent(base))))
-    nodes = base.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
-    return cut(nodes.join(label, "node").select("node", "row", "n_shingles", "copies", "label"))
+    """node, row, n_shingles, copies, label of each node that shares a key with another; `row` is one of its rows, label the block's.
+
+    Rows of equal sets have the same keys, so those that have a label have the same one.
+    """
+    label = components(met(keyed(base, percent, most_frequent(base)))).withColumnRenamed("node", "_of")
+    rows = base.where("node is not null").select("row", "node", "n_shingles").join(label, F.col("row") == F.col("_of"), "left")
+    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.min("label").alias("label"))
+    return cut(nodes.where("label is not null"))
 
 
 def binned(members: DataFrame, sized: DataFrame) -> DataFrame:
@@ -497,7 +499,7 @@ def similar_pairs(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     def pairs(names: list, left: list, right: list | None, _copies: dict, _groups: dict) -> list[tuple]:
         return [(min(names[a], names[b]), max(names[a], names[b])) for a, b in tree_join(left, right, percent)]
 
-    base = described(docs, n)
+    base, _ = described(docs, n)
     return joined_units(base, all_units(blocks_of(base, percent), percent), pairs, "node_a long, node_b long")
 
 
@@ -540,9 +542,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, counted: bool
     component: its own is the least other id, or null. Rows that repeat are given each; rows that repeat a doc_id link by each
     of their texts. Other columns are not read. Shingles are compared by 64-bit hashes. `docs` is read once.
     """
-    base = described(docs, n)
-    members = blocks_of(base, percent)
-    links = counted_links(base, members, percent) if counted else spanning_links(base, members, percent)
+    base, links = links_of(docs, n, percent, counted)
     own = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_own"), F.count("*").alias("_copies"))
     wide = own.join(node_groups(base, links), "node")
     of_node = wide.join(wide.groupBy("label").agg(F.min("_own").alias("_least")), "label")
@@ -555,20 +555,33 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, counted: bool
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"), *n_links)
 
 
+def links_of(docs: DataFrame, n: int, percent: int, counted: bool, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """described() rows without their tokens, whose table is deleted, and the links; see counted_links and spanning_links."""
+    base, folder = described(docs, n, name)
+    members = blocks_of(base, percent)
+    links = counted_links(base, members, percent) if counted else spanning_links(base, members, percent)
+    bare = cut(base.drop("tokens"))
+    drop_folder(docs.sparkSession, folder)
+    return bare, links
+
+
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of linked rows of `docs`, as similar_groups links them; rows without words all stay.
 
     The one that stays has the least doc_id, or, if none has an id, any; of several texts under that id, the one of fewest
-    shingles, of repeated rows any one. Only rows that may go are shuffled.
+    shingles; of rows that are equal in all columns, one. Only rows that may go are shuffled. Rows are told by a 64-bit hash.
     """
-    base = described(docs, n, whole=True)
-    members = blocks_of(base, percent)
-    label = node_groups(base, spanning_links(base, members, percent))
-    rows = base.where("node is not null").select("row", "doc_id", "n_shingles", "node")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "n_shingles", "node", "row")
-    best = rows.groupBy("node").agg(F.min(rank).alias("_best")).join(label, "node")
-    stays = best.join(best.groupBy("label").agg(F.min("_best").alias("_first")), "label").select("node", F.col("_first.row").alias("_stays"))
-    gone = cut(rows.select("row", "node").join(stays, "node").where("row <> _stays").select(F.col("row").alias("_gone")))
-    told = may_be_among(base.select("row", "_row"), F.col("row"), gone, "_maybe")
-    asked = told.where("_maybe").join(gone, F.col("row") == F.col("_gone"), "left_anti")
-    return told.where("not _maybe").unionByName(asked).select("_row.*").select(*docs.columns)
+    name = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    base, links = links_of(docs, n, percent, False, name)
+    rows = base.where("node is not null").select("name", "row", "doc_id", "n_shingles", "node")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "n_shingles", "node", "name")
+    best = rows.groupBy("node").agg(F.min(rank).alias("_best")).join(node_groups(base, links), "node")
+    stays = best.join(best.groupBy("label").agg(F.min("_best").alias("_first")), "label").select("node", F.col("_first.name").alias("_stays"))
+    told = rows.join(stays, "node").groupBy("name").agg(F.first(F.col("name") != F.col("_stays")).alias("_goes"), F.count("*").alias("_times"))
+    asked = cut(told.where("_goes or _times > 1").select(F.col("name").alias("_asked"), "_goes"))
+    wide = may_be_among(docs.select(F.struct("*").alias("_row"), name.alias("_name")), F.col("_name"), asked.select("_asked"), "_maybe")
+    met_rows = wide.where("_maybe").join(asked, F.col("_name") == F.col("_asked"), "left").where("_goes is null or not _goes")
+    once = met_rows.where("_goes is not null").groupBy("_name").agg(F.first("_row").alias("_row"))
+    kept = [wide.where("not _maybe"), met_rows.where("_goes is null"), once]
+    out = kept[0].select("_row").unionByName(kept[1].select("_row")).unionByName(kept[2].select("_row"))
+    return out.select("_row.*")
