@@ -239,7 +239,9 @@ def test_every_link_is_found_and_counted(spark, monkeypatch):
     assert pairs == Counter({tuple(sorted((nodes[a], nodes[b]))) for a, b in linked if nodes[a] != nodes[b]})
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [1 << 22, 7])
+def test_components(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 201), (201, 200), (None, 5)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
