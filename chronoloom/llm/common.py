@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql.window import Window
 GAP = r"[\x20\x09-\x0D]+"
 LEAST_RANGES, MOST_RANGES = 256, 1 << 16
 RANGE_BYTES = 1 << 25
+BATCH_ROWS = 1000
 BITMAP_BITS, MOST_BITMAP_BITS = 20, 28  # 2**28 bits are 32 MB
 BITMAP_ROW = 1 << 15  # bits of one row of a bitmap, as bitmap_construct_agg has them
 
@@ -67,6 +70,18 @@ def cut(df: DataFrame) -> DataFrame:
     return written(df)[0]
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is computed inside goes to Python in Arrow batches of at most BATCH_ROWS rows, as its rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def position(bounds: Column, value: Column, log2_size: int) -> Column:
     """How many of the ascending `bounds` (under 2**log2_size of them) are <= value."""
     steps = F.array(*[F.lit(2**k) for k in reversed(range(log2_size))])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import drop_folder, written
 
 
-TASK_EDGES = 1 << 22  # of 16 bytes: what a task joins by itself at most
+TASK_EDGES = 1 << 21  # of 16 bytes: what a task joins by itself at most
 
 
 def least_of_group(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +35,7 @@ def _joined_in_tasks(edges: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        n = 0
 
         def out() -> pa.RecordBatch:
             a, b = least_of_group(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
@@ -42,9 +43,10 @@ def _joined_in_tasks(edges: DataFrame) -> DataFrame:
 
         for batch in batches:
             held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
-            if sum(len(h[0]) for h in held) >= TASK_EDGES:
+            n += batch.num_rows
+            if n >= TASK_EDGES:
                 yield out()
-                held = []
+                held, n = [], 0
         if held:
             yield out()
 

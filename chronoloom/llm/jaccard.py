@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoloom.llm.common import cut, drop_folder, may_be_among, written
+from chronoloom.llm.common import cut, drop_folder, may_be_among, small_batches, written
 from chronoloom.llm.components import components
 
 RANKED = 1 << 20  # at most so many of the most frequent shingles are known to all tasks (8 bytes each); any number gives the same links
@@ -269,9 +269,13 @@ def repeated_shingles(base: DataFrame) -> DataFrame:
         sets, held = [], 0
 
         def out() -> pa.RecordBatch:
-            token, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            every = np.concatenate(sets)
+            sets.clear()
+            every.sort()
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            count = np.diff(first, append=len(every))
             more = count > 1
-            return pa.RecordBatch.from_arrays([pa.array(token[more].view(np.int64)), pa.array(count[more].astype(np.int64))], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(every[first[more]].view(np.int64)), pa.array(count[more])], names=["token", "n"])
 
         for batch in batches:
             for tokens in batch.column("tokens"):
@@ -279,8 +283,9 @@ def repeated_shingles(base: DataFrame) -> DataFrame:
                 held += len(sets[-1])
                 if held > CHUNK_SHINGLES:
                     yield out()
-                    sets, held = [], 0
-        yield out()
+                    held = 0
+        if held:
+            yield out()
 
     return base.select("tokens").mapInArrow(rows, "token long, n long")
 
@@ -308,24 +313,25 @@ def met_in_chunk(keys: list[np.ndarray], nodes: np.ndarray) -> tuple[np.ndarray,
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    in_order = every[order]
-    first = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
-    times = np.diff([*first, len(every)])
+    order = np.argsort(every, kind="stable").astype(np.int32)
+    every = every[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    first = np.flatnonzero(new)
+    code = np.empty(len(order), np.int32)
+    code[order] = np.cumsum(new, dtype=np.int32) - 1
+    every = every[first]
     starts = np.cumsum(lengths) - lengths
     label = nodes.copy()
     while True:
         of_key = np.minimum.reduceat(np.repeat(label, lengths)[order], first)
-        back = np.empty(len(every), np.int64)
-        back[order] = np.repeat(of_key, times)
-        now = np.minimum(label, np.minimum.reduceat(back, starts))
+        now = np.minimum(label, np.minimum.reduceat(of_key[code], starts))
         if (now == label).all():
             break
         label = now
     other = label != nodes
     pairs = np.stack([label[other], nodes[other]], 1)
     names = (pairs[:, 0].astype(np.uint64) * MIX ^ pairs[:, 1].astype(np.uint64)) * MIX
-    return np.concatenate([in_order[first], names, names]), np.concatenate([of_key, pairs[:, 0], pairs[:, 1]])
+    return np.concatenate([every, names, names]), np.concatenate([of_key, pairs[:, 0], pairs[:, 1]])
 
 
 def keyed(base: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -557,9 +563,10 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, counted: bool
 
 def links_of(docs: DataFrame, n: int, percent: int, counted: bool, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """described() rows without their tokens, whose table is deleted, and the links; see counted_links and spanning_links."""
-    base, folder = described(docs, n, name)
-    members = blocks_of(base, percent)
-    links = counted_links(base, members, percent) if counted else spanning_links(base, members, percent)
+    with small_batches(docs.sparkSession):
+        base, folder = described(docs, n, name)
+        members = blocks_of(base, percent)
+        links = counted_links(base, members, percent) if counted else spanning_links(base, members, percent)
     bare = cut(base.drop("tokens"))
     drop_folder(docs.sparkSession, folder)
     return bare, links
