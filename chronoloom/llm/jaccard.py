@@ -25,6 +25,7 @@ BIN_SHINGLES = 1 << 16  # small blocks that one task joins at once
 UNIT_SHINGLES = 1 << 17  # of a large block, what one task joins at once; with all pairs counted, PAIR_SHINGLES
 PAIR_SHINGLES = 1 << 19
 SENT = 8
+BROADCAST_ROWS = 1 << 19  # of 48 bytes: where more rows are dealt to units, these are shuffled to the sets instead
 SIGNATURE_WORDS = 64  # of 64 bits
 LEAF, FANOUT = 16, 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -364,7 +365,7 @@ def keyed(base: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
 def met(keys: DataFrame) -> DataFrame:
     """Edges (a, b) that join all rows of a key, from each to the next. A key has at most one row from each chunk of keyed()."""
     near = keys.select("row", F.lag("row").over(Window.partitionBy("key").orderBy("row")).alias("b"))
-    return near.where("b <> row").select(F.col("row").alias("a"), "b")
+    return near.where("b <> row").select(F.col("row").alias("a"), "b").distinct()  # near copies meet under very many keys
 
 
 def blocks_of(base: DataFrame, percent: int) -> DataFrame:
@@ -416,20 +417,23 @@ def joined_units(base: DataFrame, dealt: DataFrame, join: Callable[[list, list,
     """Rows (of `columns`) of join(names, left, right, copies, groups) over all units of `dealt` (row, node, copies, group, unit, side).
 
     names holds the nodes of left and then right; copies, how many rows each node is; groups, what earlier links joined it to.
-    Only the sets of dealt rows are shuffled: a bitmap of their numbers keeps the others out.
+    Only the sets of dealt rows are shuffled: a bitmap of their numbers keeps the others out. Up to BROADCAST_ROWS dealt rows are
+    broadcast, so that sets are shuffled once.
     """
-    dealt = cut(dealt.select(F.col("row").alias("_of_row"), "node", "copies", "group", "unit", "side"))
-    some = may_be_among(base.select("row", "tokens"), F.col("row"), dealt.select("_of_row"), "_maybe").where("_maybe")
-    work = dealt.join(some, dealt["_of_row"] == some["row"]).select("unit", "side", "node", "copies", "group", "tokens")
+    parts = F.split("unit", r"\|")  # "bin:number", "label:chunk", or the block and its two chunks, of which one can have no rows
+    alone = (F.size(parts) < 3) | (F.get(parts, F.lit(1)) == F.get(parts, F.lit(2)))
+    dealt = cut(dealt.select(F.col("row").alias("_of_row"), "copies", "group", F.xxhash64("unit").alias("unit"), F.when(alone, 2).otherwise(F.col("side")).alias("side")))
+    some = may_be_among(base.select("row", "node", "tokens"), F.col("row"), dealt.select("_of_row"), "_maybe").where("_maybe")
+    told = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
+    work = some.join(told, some["row"] == told["_of_row"]).select("unit", "side", "node", "copies", "group", "tokens")
     names_out = [c.split()[0] for c in columns.split(", ")]
 
     def join_unit(rows: pd.DataFrame) -> pd.DataFrame:
         sides: list[dict[int, np.ndarray]] = [{}, {}]
         for side, node, tokens in zip(rows["side"], rows["node"], rows["tokens"]):
-            sides[side][node] = as_set(tokens)
+            sides[side % 2][node] = as_set(tokens)
         left, right = (list(s.values()) for s in sides)
-        _, *chunks = rows["unit"].iloc[0].split("|")  # "bin:number", "label:chunk", or the block and its two chunks, of which one can have no rows
-        alone = len(chunks) < 2 or chunks[0] == chunks[1]
+        alone = rows["side"].iloc[0] == 2
         out = join([*sides[0], *sides[1]], left, None if alone else right, dict(zip(rows["node"], rows["copies"])), dict(zip(rows["node"], rows["group"])))
         return pd.DataFrame(out, columns=names_out, dtype=object).astype("Int64")
 
