@@ -151,11 +151,64 @@ FROM documents d LEFT JOIN by_doc b ON b.doc_id = d.doc_id
 """
 )
 
-# op6 has no SQL here: DuckDB has no crc32. Its placing is tested against SHARDING.
+# crc32 by its table of 256 remainders, made here from the polynomial, over the bytes of each text.
+SHARD_DIGEST = f"""
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)
+), bytes AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents
+), summed AS (
+  SELECT doc_id, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32
+  FROM bytes, crc
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM summed JOIN ({SHARDING}) USING (doc_id)
+"""
+
+URL_RULES = r"""
+WITH parts AS (
+  SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages
+), named AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, CASE WHEN starts_with(after, '/') THEN regexp_extract(after, '^[^?#]*') ELSE '' END AS path
+  FROM (SELECT page_id, h, substr(rest, length(h) + 1) AS after FROM (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM parts))
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fits AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS rule_verdict
+  FROM named JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id
+)
+SELECT page_id, host, path, rule, rule_verdict FROM named LEFT JOIN fits USING (page_id)
+"""
+
+BASE_RULES = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), runs AS (
+  SELECT doc_id, k, array_to_string(w[k:k + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) - 6 AS BIGINT))) AS k FROM d WHERE len(w) >= 8)
+), twice AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, s) AS n FROM runs) WHERE n > 1
+), repeated AS (
+  SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(k, k + 8)) AS at FROM twice) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), counts AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN repeated ON repeated.doc_id = d.doc_id
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
+"""
+
 ORACLES = {
     "op2_benchmark_decontamination": DECONTAMINATION,
     "op4_preference_formatting": PREFERENCES,
+    "op5_url_rules": URL_RULES,
+    "op6_sharding": SHARD_DIGEST,
     "op8_jaccard_join": JACCARD,
     "op8_jaccard_links": JACCARD_LINKS,
+    "op9_base_rules": BASE_RULES,
     "op10_secret_scan": SECRETS,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoloom.llm import chat, decontaminate, jaccard, mixing, quality_fm, quality_gbt, secrets, sharding, tokens, urls
 from chronoloom.llm.oracles import ORACLES
@@ -45,6 +46,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 gives without its model's verdicts, which SQL can't express."""
+    judged = op5_url_filter(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), N_SHARDS)
 
@@ -68,14 +75,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.judge(docs, quality_gbt.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 gives without its model's verdict, which SQL can't express."""
+    return op9_quality_rules(spark, sf_dir).drop("kept", "score")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     found = [
-        op1_quality_classifier, op2_benchmark_decontamination, op3_source_mixing, op3_packed_shards, op4_preference_formatting, op4_answer_preferences, op5_url_filter, op6_sharding,
-        op7_token_counts, op8_jaccard_join, op8_jaccard_links, op9_quality_rules, op10_secret_scan,
+        op1_quality_classifier, op2_benchmark_decontamination, op3_source_mixing, op3_packed_shards, op4_preference_formatting, op4_answer_preferences, op5_url_filter, op5_url_rules, op6_sharding,
+        op7_token_counts, op8_jaccard_join, op8_jaccard_links, op9_quality_rules, op9_base_rules, op10_secret_scan,
     ]
     return {f.__name__: f for f in found}
 
