@@ -189,7 +189,7 @@ WITH d AS (
 ), twice AS (
   SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, s) AS n FROM runs) WHERE n > 1
 ), repeated AS (
-  SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(k, k + 8)) AS at FROM twice) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(k, k + 8)) AS place FROM twice) GROUP BY doc_id
 ), lines AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
