@@ -90,9 +90,9 @@ def buffer_of(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
 def distinct_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's pre-tokens, sorted, as that packs better; repeats only where more than MOST_SEEN differ."""
     seen: set[str] = set()
-    for _, _, texts in blocks(batches):
-        for text in texts:
-            seen.update(pre_tokens(text))
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            seen.update(pre_tokens(text or ""))
             if len(seen) > MOST_SEEN:
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["pre_token"])
                 seen = set()
@@ -100,8 +100,19 @@ def distinct_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequencies_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block and pre-token: the documents (places in the block) that have it, each as often as it does."""
-    for block, _, texts in blocks(batches):
+    """For each block and pre-token: the documents (places in the block) that have it, each as often as it does.
+
+    And for each block a row of its documents. Its key starts with a blank, which no pre-token has, so it meets nothing in the join.
+    """
+
+    def rows(names: list[str], block: int, places: pa.Array, ids: list | None = None, sizes: list | None = None) -> pa.RecordBatch:
+        n = len(names)
+        columns = [pa.array(names, pa.string()), pa.array(np.full(n, block, np.int64)), places, *(pa.array([v] * n, pa.list_(pa.int64())) for v in (ids, sizes))]
+        return pa.RecordBatch.from_arrays(columns, names=["pre_token", "block", "places", "ids", "sizes"])
+
+    for block, ids, texts in blocks(batches):
+        sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+        yield rows([f" {block:x}"], block, pa.array([None], pa.binary()), ids, sizes)
         number: dict[str, int] = {}
         codes, lengths = [], []
         for text in texts:
@@ -120,31 +131,30 @@ def frequencies_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for a in range(0, len(names), 20000):
             b = min(a + 20000, len(names))
             low = ends[a - 1] if a else 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[a:b], pa.string()), pa.array(np.full(b - a, block, np.int64)), binaries(places[low : ends[b - 1]], ends[a:b] - low)],
-                names=["pre_token", "block", "places"],
-            )
-
-
-def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, ids, texts in blocks(batches):
-        sizes = np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64()))], names=["block", "ids", "sizes"])
+            yield rows(names[a:b], block, binaries(places[low : ends[b - 1]], ends[a:b] - low))
 
 
 def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From joined rows (block, places, n): the sums of n for each block and place."""
+    """From joined rows (block, places, n): the sums of n for each block and place. Rows of documents pass."""
     sums: dict[int, np.ndarray] = {}
 
     def out() -> pa.RecordBatch:
         places = [np.flatnonzero(v) for v in sums.values()]
         values = [v[p] for v, p in zip(sums.values(), places)]
+        none = pa.nulls(len(sums), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int64()), pa.array([p.astype(np.uint16).tobytes() for p in places], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())],
-            names=["block", "places", "sums"],
+            [pa.array(list(sums), pa.int64()), pa.array([p.astype(np.uint16).tobytes() for p in places], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary()), none, none],
+            names=["block", "places", "sums", "ids", "sizes"],
         )
 
     for batch in batches:
+        documents = batch.filter(batch.column("ids").is_valid())
+        if documents.num_rows:
+            nothing = pa.nulls(documents.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([documents.column("block"), nothing, nothing, documents.column("ids"), documents.column("sizes")], names=["block", "places", "sums", "ids", "sizes"])
+        batch = batch.filter(batch.column("ids").is_null())
+        if batch.column("n").null_count:
+            raise ValueError("a pre-token has no count: the documents changed between the two scans")
         places, lengths = buffer_of(batch.column("places"), np.uint16)
         weight = np.repeat(batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64), lengths)
         names, row = np.unique(batch.column("block").to_numpy(zero_copy_only=False), return_inverse=True)
@@ -168,9 +178,10 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
 
     Texts are cut into pre-tokens that no merge crosses. Pieces are counted once for each distinct pre-token. Frequencies of
     pre-tokens in documents are packed by blocks of documents, joined to the counts by pre-token, summed for each block in
-    each partition, and then over the partitions. Ids of documents are never made. Null and empty texts have 0 tokens; null
-    doc_ids stay null; rows that repeat are counted each; other columns are not read. `docs` is read three times and must give
-    the same rows in the same partitions each time, as a table does. The model file is read on the driver and sent to the tasks.
+    each partition, and then over the partitions. Ids of pieces are never kept. Null and empty texts have 0 tokens; null
+    doc_ids stay null; rows that repeat are counted each; other columns are not read. `docs` is read twice, once for the
+    distinct pre-tokens and once for the rest; order and partitions may differ between the two. The model file is read on the
+    driver and sent to the tasks.
     """
     import sentencepiece
 
@@ -200,10 +211,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = texts.mapInArrow(distinct_of, "pre_token string").distinct().mapInArrow(count_pieces, "pre_token string, n int")
-    frequencies = texts.mapInArrow(frequencies_of, "pre_token string, block long, places binary")
-    joined = frequencies.join(counts, "pre_token").select("block", "places", "n")
-    sums = joined.mapInArrow(partial_sums, "block long, places binary, sums binary")
-    known = texts.mapInArrow(documents_of, "block long, ids array<long>, sizes array<long>")
-    both = sums.unionByName(known, allowMissingColumns=True)
+    frequencies = texts.mapInArrow(frequencies_of, "pre_token string, block long, places binary, ids array<long>, sizes array<long>")
+    joined = frequencies.join(counts, "pre_token", "left").select("block", "places", "n", "ids", "sizes")
+    both = joined.mapInArrow(partial_sums, "block long, places binary, sums binary, ids array<long>, sizes array<long>")
     kinds = [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
     return both.groupBy("block").applyInArrow(finish, T.StructType(kinds))
