@@ -21,16 +21,23 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-# Names in hosts of unwanted and wanted sites, the ground of the labelled URL table.
-UNWANTED = """casino poker slots jackpot lottery bets betting bookmaker pills pharma viagra diet-pills adult xxx cams escort dating-hot
-spam link-farm seo-farm content-farm ads adserver ad-track click-track banner-ads popup payday-loans quick-cash free-money
-win-prize replica-watch crack-download warez torrent-free cheap-meds cheap-pill cheap-drugs pill-shop cheap-watches free-spins
-free-gifts sports-bets""".split()
-WANTED = """library museum school college garden weather history science kitchen travel research music theatre nature museum-shop
-council archive journal news review forum health-info sports-club chess books recipes physics chemistry maps railway astronomy
-language-notes translation gallery workshop harbour mountain river forest village bakery studio observatory heritage cooking
-painting gardening hiking writing printing thinking farming sailing engineering nothing-else everything evening-post northern
-south another mathematics health theology ethics author""".split()
+# What the labelled URL table is made of: first and second words of hosts, and words of paths, of unwanted and of wanted sites.
+UNWANTED = (
+    """casino poker slots jackpot lottery bet bingo roulette pills pharma viagra cialis adult xxx cams escort hookup payday loan cash
+    replica warez crack torrent keygen spam click popup prize diet forex""".split(),
+    """bonus cheap win free deals 4u online-24 hot club buy spins vip promo offers now best""".split(),
+    """free-spins win-now bonus-code cheap-pills buy-now no-deposit live-cams hot-singles quick-cash instant-loan serial-key full-crack
+    affiliate promo-offer best-odds lose-weight""".split(),
+)
+WANTED = (
+    """library museum school college garden weather history science kitchen travel research music theatre nature council archive journal
+    news health chess book physics chemistry railway language gallery harbour mountain river forest village bakery observatory
+    cooking painting hiking writing farming sailing engineering evening northern southern mathematics theology author church city county
+    ministry""".split(),
+    """society times press house studies review guide notes forum centre trust report academy workshop group world""".split(),
+    """about opening-hours annual-report article contact events lecture-notes recipe local-news staff members index publications
+    exhibition timetable documentation""".split(),
+)
 NGRAMS = (2, 3, 4)
 LOG2_FEATURES = 16
 
@@ -78,17 +85,23 @@ def featured(urls: DataFrame) -> DataFrame:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """A small labelled table (url, label: 1 unwanted), built from the two name lists by rule."""
-    fronts, tails = ["", "www.", "blog.", "m."], ["", "-win", "-x", "4u", "-online"]
+    """A labelled table (url, label: 1 unwanted, site: its host's two words), built from the word lists by rule.
+
+    Each first word meets each second one once. Ends of hosts, language folders, numbers and suffixes turn in both kinds alike, so
+    they say nothing; every other URL has a word in its path. There are more wanted sites, as on the web.
+    """
+    fronts, tops = ("", "www.", "blog.", "m."), ("com", "net", "org", "example.com", "example.net", "example.org")
+    langs, ends = ("en", "de", "fr", "es"), ("", "/", ".html", "?ref=x", "#top")
     rows = []
-    for label, names in ((1.0, UNWANTED), (0.0, WANTED)):
-        for i, name in enumerate(names):
-            for j, tail in enumerate(tails):
-                front, top = fronts[(i + j) % 4], ("com", "net", "org", "example.com", "example.net", "example.org")[(i + 2 * j) % 6]
-                lang, end = ("en", "de", "fr", "es")[(i + j) % 4], ("", "/", ".html", "?ref=x", "#top")[(i + 3 * j) % 5]
-                host = f"{front}{name}{tail if label else ''}{'' if label or not j else j}.{top}"
-                rows.append((f"https://{host}/{lang}/{100 * i + j}{end}", label))
-    return spark.createDataFrame(rows, "url string, label double")
+    for label, (firsts, seconds, folders) in ((1.0, UNWANTED), (0.0, WANTED)):
+        for i, first in enumerate(firsts):
+            for j, second in enumerate(seconds):
+                k = i * len(seconds) + j
+                pair = (first, second) if k % 3 else (second, first)
+                site = ("-" if k % 2 else "").join(pair)
+                folder = f"/{folders[(3 * i + j) % len(folders)]}" if k % 2 else ""
+                rows.append((f"https://{fronts[(i + j) % 4]}{site}.{tops[k % 6]}/{langs[(i + 2 * j) % 4]}{folder}/{100 + k}{ends[k % 5]}", label, f"{first} {second}"))
+    return spark.createDataFrame(rows, "url string, label double, site string")
 
 
 def train(labelled: DataFrame, log2_features: int = LOG2_FEATURES) -> PipelineModel:

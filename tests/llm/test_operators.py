@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from chronoloom.llm import chat, common, components, decontaminate, jaccard, mixing, oracles, quality_fm, quality_gbt, queries, secrets, sharding, tokens, urls
 
@@ -374,12 +375,15 @@ def test_token_counts(spark, hard_docs, no_docs):
 
     path = public.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    got = Counter(tuple(r) for r in tokens.token_counts(hard_docs, path).collect())
     want = Counter()
     for r in hard_docs.collect():
         n = len(model.encode(r.text or ""))
         want[(r.doc_id, len((r.text or "").encode()), n, n > 4096)] += 1
-    assert got == want and tokens.token_counts(no_docs, path).collect() == []
+    assert Counter(tuple(r) for r in tokens.token_counts(hard_docs, path).collect()) == want and tokens.token_counts(no_docs, path).collect() == []
+    twice = hard_docs.union(hard_docs)  # equal blocks
+    assert Counter(tuple(r) for r in tokens.token_counts(twice, path).collect()) == want + want
+    dealt = hard_docs.select("doc_id", "text").orderBy(F.rand())  # each scan may have another order
+    assert Counter(tuple(r) for r in tokens.token_counts(dealt, path).collect()) == want
 
 
 def test_quality_models_on_held_out_labels(spark, hard_docs, no_docs):
@@ -431,6 +435,42 @@ def test_url_filter(spark):
     assert urls.judge(pages.where("false"), model).collect() == []
 
 
+def ruled(url):
+    """Host, path and rule of a URL by plain string search, as the contract has it."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    at = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:at])
+    path = re.split("[?#]", rest[at:])[0]
+    fits = []
+    for _, rule_host, rule_path in urls.RULES:
+        names = host.split(".")
+        if any(".".join(names[k:]) == rule_host for k in range(len(names))) and path[: len(rule_path)] == rule_path:
+            fits.append(rule_host + rule_path)
+    return host, path, max(fits, key=len, default=None)
+
+
+def test_url_rules_match_brute_force(spark):
+    rng = random.Random(5)
+    pieces = ["http://", "https://", "://", "www.", "WWW.", "example", "Example", ".com", ".net", ".COM", "/", "/en/", "/es/", "/fr/", "?", "#", "a", ".", "\n", "İ", "é", "com", "net", "?q=/en/", "1"]
+    made = ["".join(rng.choices(pieces, k=rng.randint(0, 9))) for _ in range(3000)] + [f"http://{h}{p}" for h in ("x.net", "net", "example.com", "www.example.com", "a.www.example.com", "wwwexample.com") for p in ("/en/", "/es/1", "/en", "", "/fr/?a")]
+    plain = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    model = urls.train(urls.labelled_urls(spark).limit(40))
+    got = {r.page_id: r for r in urls.judge(plain, model).collect()}
+    for i, url in enumerate(made):
+        assert (got[i].host, got[i].path, got[i].rule) == ruled(url), url
+    assert len({r.rule for r in got.values()}) == 6
+
+
+def test_url_model_on_sites_it_has_not_seen(spark):
+    labelled = urls.labelled_urls(spark)
+    held = F.expr("pmod(crc32(site), 4) = 0")
+    model = urls.train(labelled.where(~held))
+    rows = labelled.where(held).collect()
+    pages = spark.createDataFrame([(i, r.url) for i, r in enumerate(rows)], "page_id long, url string")
+    right = sum((r.verdict == "block") == (rows[r.page_id].label == 1) for r in urls.judge(pages, model, rules=()).collect())
+    assert len(rows) > 250 and right / len(rows) > 0.97
+
+
 def test_preferences(spark):
     turns = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "é😀"), (2, 0, "user", "hi"), (2, 1, "assistant", "a"), (2, 2, "user", "else"), (2, 2, "user", "else"),
