@@ -25,20 +25,76 @@ def differenced(y: np.ndarray, spec: Spec) -> np.ndarray:
     return out
 
 
-def burg(y: np.ndarray, p: int) -> np.ndarray:
-    """AR coefficients of a demeaned series by Burg's method."""
+def burg(y: np.ndarray, p: int) -> np.ndarray | None:
+    """AR coefficients of a demeaned series by Burg's method; None if it is too short, constant or at the stationary border."""
+    if len(y) <= p:
+        return None
     y = y - y.mean()
     f, b, a = y[1:].copy(), y[:-1].copy(), np.zeros(0)
     for _ in range(p):
         den = f @ f + b @ b
-        k = 2 * (f @ b) / den if den > 1e-15 else 0.0
+        k = 2 * (f @ b) / den if den > 1e-15 else 1.0
+        if not abs(k) < 1:
+            return None
         a = np.concatenate([a - k * a[::-1], [k]])
         f, b = (f - k * b)[1:], (b - k * f)[:-1]
     return a
 
 
+def autocovariances(y: np.ndarray, most: int, step: int = 1) -> np.ndarray:
+    """Lags 0, step, ..., most * step around the mean, divided by n; 0 where the series is too short."""
+    c = y - y.mean()
+    return np.array([c[: len(c) - k] @ c[k:] if k < len(c) else 0.0 for k in (step * i for i in range(most + 1))]) / len(c)
+
+
+def yule_walker(acov: np.ndarray) -> np.ndarray:
+    """AR coefficients of order len(acov) - 1 from autocovariances, order by order; zeros for a constant series."""
+    a, left = np.zeros(0), acov[0]
+    for k in range(1, len(acov)):
+        if not left > 1e-15:
+            return np.zeros(len(acov) - 1)
+        reflection = (acov[k] - a @ acov[k - 1 : 0 : -1]) / left
+        a = np.concatenate([a - reflection * a[::-1], [reflection]])
+        left *= 1 - reflection**2
+    return a
+
+
+def innovations(acov: np.ndarray) -> np.ndarray:
+    """MA coefficients of order len(acov) - 1 from autocovariances by that many rounds of the innovations algorithm."""
+    q = len(acov) - 1
+    if not acov[0] > 1e-15:
+        return np.zeros(q)
+    var, theta = np.full(q + 1, acov[0]), np.zeros((q + 1, q + 1))  # theta[n, j] weighs the error j back in round n
+    for n in range(1, q + 1):
+        for k in range(n):
+            known = sum(theta[k, k - j] * theta[n, n - j] * var[j] for j in range(k))
+            theta[n, n - k] = (acov[n - k] - known) / var[k]
+        var[n] = max(acov[0] - sum(theta[n, n - j] ** 2 * var[j] for j in range(n)), 1e-15)
+    return np.clip(theta[q, 1:], -0.99, 0.99)
+
+
+def moment_starts(spec: Spec, w: np.ndarray) -> dict[str, np.ndarray]:
+    """Starts without a regression: Burg, else Yule-Walker, for the AR part; innovations of what that leaves for the MA part.
+
+    The seasonal parts likewise, from seasonal lags of the same series.
+    """
+    found = {}
+    for ar, ma, p, q, step in (("ar", "ma", spec.p, spec.q, 1), ("sar", "sma", spec.P, spec.Q, spec.s)):
+        a = burg(w, p) if ar == "ar" else None
+        a = yule_walker(autocovariances(w, p, step)) if a is None else a
+        rest = w.copy()
+        for k, coef in enumerate(a, 1):
+            rest[k * step :] -= coef * w[: len(w) - k * step]
+        rest = rest[p * step :]
+        found[ar], found[ma] = a, innovations(autocovariances(rest, q, step)) if len(rest) else np.zeros(q)
+    return found
+
+
 def start_values(spec: Spec, y: np.ndarray, x: np.ndarray | None) -> np.ndarray:
-    """Regressors by least squares on differences, then Hannan-Rissanen: a long autoregression stands in for the errors."""
+    """Regressors by least squares on differences, then Hannan-Rissanen: a long autoregression stands in for the errors.
+
+    A pure AR model, and a series too short or too even for that, takes moment_starts.
+    """
     out = np.zeros(spec.n_params)
     w = differenced(y[None], spec)[0]
     if len(w) < 3:
@@ -53,10 +109,12 @@ def start_values(spec: Spec, y: np.ndarray, x: np.ndarray | None) -> np.ndarray:
     lags = {"ar": range(1, spec.p + 1), "ma": range(1, spec.q + 1), "sar": [spec.s * i for i in range(1, spec.P + 1)], "sma": [spec.s * i for i in range(1, spec.Q + 1)]}
     most = max([0, *[k for some in lags.values() for k in some]])
     long = min(max(10, 2 * most), len(w) // 3)
-    if spec.p and not (spec.q or spec.P or spec.Q):
-        out[spec.blocks["ar"]] = burg(w, spec.p) if len(w) > spec.p + 1 else 0.0
-    elif most and len(w) - long - most > 2 * spec.n_params + 2:
-        a = burg(w, long)
+    pure = not (spec.q or spec.P or spec.Q)
+    a = burg(w, long) if not pure and len(w) - long - most > 2 * spec.n_params + 2 else None
+    if a is None:
+        for name, value in moment_starts(spec, w).items():
+            out[spec.blocks[name]] = value
+    else:
         e = w.copy()
         for k in range(1, long + 1):
             e[long:] -= a[k - 1] * w[long - k : len(w) - k]

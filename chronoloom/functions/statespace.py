@@ -103,7 +103,10 @@ def matrices(spec: Spec, params: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def stationary_cov(t: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Solves P = T P T' + Q by doubling; and which points have a finite, positive solution."""
+    """Solves P = T P T' + Q by doubling; and which points have a finite, positive solution.
+
+    A solution that isn't positive gets a ridge of 1e-10; it counts if that makes it so.
+    """
     p, a = q.copy(), t.copy()
     with np.errstate(all="ignore"):
         for _ in range(60):
@@ -112,7 +115,10 @@ def stationary_cov(t: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray
             if not (np.abs(a).max(initial=0) > 1e-18):
                 break
         good = np.isfinite(p).all(axis=(1, 2)) & (np.abs(a).max(axis=(1, 2), initial=0) < 1e-6)
-        good[good] = np.linalg.eigvalsh(p[good])[:, 0] > -1e-8 * np.maximum(1, np.abs(p[good]).max(axis=(1, 2)))
+        at = np.flatnonzero(good)
+        least = np.linalg.eigvalsh(p[at])[:, 0]
+        p[at[least <= 0]] += 1e-10 * np.eye(p.shape[1])
+        good[at] = least > -1e-10 * np.maximum(1, np.abs(p[at]).max(axis=(1, 2), initial=0))  # as exact as the sums are
     return p, good
 
 

@@ -38,6 +38,11 @@ def autocovariance(panel: DataFrame, ids: list[str], lags: list[int]) -> DataFra
     return sums.select(*ids, F.explode(pairs).alias("_p")).select(*ids, "_p.*")
 
 
+def clamped(e: Column) -> Column:
+    """Within 0.99 of 0; null stays null."""
+    return F.when(e.isNotNull(), F.greatest(F.lit(-0.99), F.least(F.lit(0.99), e)))
+
+
 def low_order_starts(panel: DataFrame, ids: list[str], s: int) -> DataFrame:
     """Closed-form start values: burg_ar1, yw2_1, yw2_2 (Yule-Walker of order 2), ma1 and seasonal_ma1 (innovations)."""
     lags = [0, 1, 2, s]
@@ -45,15 +50,44 @@ def low_order_starts(panel: DataFrame, ids: list[str], s: int) -> DataFrame:
     g0, g1, g2, gs = (F.col(f"`{k}`") for k in lags)
     safe = F.when(g0 > 1e-15, g0)
     r1, r2 = g1 / safe, g2 / safe
-    clamp = lambda e: F.greatest(F.lit(-0.99), F.least(F.lit(0.99), e))
     w = Window.partitionBy(*ids)
     c = panel.select(*ids, "t", (F.col("y") - F.avg("y").over(w)).alias("c")).withColumn("b", F.lag("c").over(w.orderBy("t")))
     burg = c.where("b is not null").groupBy(*ids).agg((2 * F.sum(F.col("c") * F.col("b")) / F.sum(F.col("c") ** 2 + F.col("b") ** 2)).alias("burg_ar1"))
     phi2 = (r2 - r1 * r1) / (1 - r1 * r1)
-    closed = acov.select(*ids, (r1 * (1 - phi2)).alias("yw2_1"), phi2.alias("yw2_2"), clamp(r1).alias("ma1"), clamp(gs / safe).alias("seasonal_ma1"))
+    closed = acov.select(*ids, (r1 * (1 - phi2)).alias("yw2_1"), phi2.alias("yw2_2"), clamped(r1).alias("ma1"), clamped(gs / safe).alias("seasonal_ma1"))
     return burg.join(closed, ids)
 
 
+def _acov_columns(panel: DataFrame, ids: list[str], order: int, step: int) -> DataFrame:
+    """ids and _g0, _g1, ...: the autocovariances of lags 0, step, ..., order * step; a constant series has null for lag 0."""
+    lags = [k * step for k in range(order + 1)]
+    acov = autocovariance(panel, ids, lags).groupBy(*ids).pivot("lag", lags).agg(F.first("acov"))
+    return acov.select(*ids, *[(F.when(F.col(f"`{lag}`") > 1e-15, F.col(f"`{lag}`")) if k == 0 else F.col(f"`{lag}`")).alias(f"_g{k}") for k, lag in enumerate(lags)])
+
+
+def yule_walker(panel: DataFrame, ids: list[str], p: int, step: int = 1) -> DataFrame:
+    """ids, ar1, ..., ar<p>: Yule-Walker coefficients at lags step, 2 step, ..., order by order; null for a constant series."""
+    acov = _acov_columns(panel, ids, p, step).withColumn("_left", F.col("_g0"))
+    for k in range(1, p + 1):
+        told = reduce(lambda e, j: e - F.col(f"_a{k - 1}_{j}") * F.col(f"_g{k - j}"), range(1, k), F.col(f"_g{k}"))
+        acov = acov.withColumn(f"_a{k}_{k}", told / F.col("_left"))
+        last = F.col(f"_a{k}_{k}")
+        inner = {f"_a{k}_{j}": F.col(f"_a{k - 1}_{j}") - last * F.col(f"_a{k - 1}_{k - j}") for j in range(1, k)}
+        acov = acov.withColumns(inner | {"_left": F.col("_left") * (1 - last * last)})
+    return acov.select(*ids, *[F.col(f"_a{p}_{j}").alias(f"ar{j}") for j in range(1, p + 1)])
+
+
+def innovations_ma(panel: DataFrame, ids: list[str], q: int, step: int = 1) -> DataFrame:
+    """ids, ma1, ..., ma<q>: q rounds of the innovations algorithm at lags step, 2 step, ..., within 0.99; null for a constant series."""
+    rows = _acov_columns(panel, ids, q, step).withColumn("_v0", F.col("_g0"))
+    for n in range(1, q + 1):
+        for k in range(n):
+            told = reduce(lambda e, j: e - F.col(f"_t{k}_{k - j}") * F.col(f"_t{n}_{n - j}") * F.col(f"_v{j}"), range(k), F.col(f"_g{n - k}"))
+            rows = rows.withColumn(f"_t{n}_{n - k}", told / F.col(f"_v{k}"))
+        rows = rows.withColumn(f"_v{n}", reduce(lambda e, j: e - F.col(f"_t{n}_{n - j}") ** 2 * F.col(f"_v{j}"), range(n), F.col("_g0")))
+    return rows.select(*ids, *[clamped(F.col(f"_t{q}_{j}")).alias(f"ma{j}") for j in range(1, q + 1)])
+
+
 def exog_slopes(panel: DataFrame, ids: list[str], exog: list[str]) -> DataFrame:
     """The least-squares slope of y on each regressor by itself."""
     return panel.groupBy(*ids).agg(*[F.regr_slope("y", x).alias(f"beta_{x}") for x in exog])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.spec import Spec
 from chronoloom.operators import sarimax, series
+from chronoloom.operators.model import SarimaxPanel
 from chronoloom.sources import panel
 
 QUERIES: dict = {}
@@ -165,6 +166,36 @@ def low_order_starts(spark, sf_dir):
     return rounded(series.low_order_starts(events_daily(spark, sf_dir), ["event_type"], 7), 6, "burg_ar1", "yw2_1", "yw2_2", "ma1", "seasonal_ma1")
 
 
+ACOV_SQL = f"""WITH {CENTRED}, g AS (
+  SELECT a.event_type, sum(a.y * a.y) / count(*) AS g0, {", ".join(f"sum(a.y * coalesce(l{k}.y, 0)) / count(*) AS g{k}" for k in (1, 2, 3, 7, 14))}
+  FROM c a {" ".join(f"LEFT JOIN c l{k} ON l{k}.event_type = a.event_type AND l{k}.t = a.t - {k}" for k in (1, 2, 3, 7, 14))} GROUP BY a.event_type)"""
+
+
+@query(ACOV_SQL + """, a1 AS (SELECT *, g1 / g0 AS k1, g0 * (1 - (g1 / g0) ** 2) AS e1 FROM g), a2 AS (SELECT *, (g2 - k1 * g1) / e1 AS k2 FROM a1),
+a3 AS (SELECT *, k1 - k2 * k1 AS b1, e1 * (1 - k2 * k2) AS e2 FROM a2), a4 AS (SELECT *, (g3 - b1 * g2 - k2 * g1) / e2 AS k3 FROM a3)
+SELECT event_type, round(b1 - k3 * k2, 6) AS ar1, round(k2 - k3 * b1, 6) AS ar2, round(k3, 6) AS ar3 FROM a4""")
+def yule_walker_p3(spark, sf_dir):
+    return rounded(series.yule_walker(events_daily(spark, sf_dir), ["event_type"], 3), 6, "ar1", "ar2", "ar3")
+
+
+@query(ACOV_SQL + """ SELECT event_type, round(g7 / g0 * (1 - p2), 6) AS ar1, round(p2, 6) AS ar2
+FROM (SELECT *, (g14 / g0 - (g7 / g0) ** 2) / (1 - (g7 / g0) ** 2) AS p2 FROM g)""")
+def seasonal_yule_walker_p2(spark, sf_dir):
+    return rounded(series.yule_walker(events_daily(spark, sf_dir), ["event_type"], 2, 7), 6, "ar1", "ar2")
+
+
+@query(ACOV_SQL + """ SELECT event_type, round(greatest(-0.99, least(0.99, (g1 - g1 / g0 * g2) / (g0 - g1 * g1 / g0))), 6) AS ma1,
+  round(greatest(-0.99, least(0.99, g2 / g0)), 6) AS ma2 FROM g""")
+def innovations_ma2(spark, sf_dir):
+    return rounded(series.innovations_ma(events_daily(spark, sf_dir), ["event_type"], 2), 6, "ma1", "ma2")
+
+
+@query(ACOV_SQL + """ SELECT event_type, round(greatest(-0.99, least(0.99, (g7 - g7 / g0 * g14) / (g0 - g7 * g7 / g0))), 6) AS ma1,
+  round(greatest(-0.99, least(0.99, g14 / g0)), 6) AS ma2 FROM g""")
+def seasonal_innovations_ma2(spark, sf_dir):
+    return rounded(series.innovations_ma(events_daily(spark, sf_dir), ["event_type"], 2, 7), 6, "ma1", "ma2")
+
+
 @query(f"WITH {SUPPLIERS} SELECT l_suppkey, round(regr_slope(y, x1), 4) AS beta_x1 FROM supplier_monthly GROUP BY l_suppkey")
 def exog_slope(spark, sf_dir):
     return rounded(series.exog_slopes(supplier_monthly(spark, sf_dir), ["l_suppkey"], ["x1"]), 4, "beta_x1")
@@ -411,6 +442,12 @@ def param_summary_hessian(spark, sf_dir):
     return sarimax.parameter_summary(arrays, ["l_suppkey"], spec, sarimax.fit(arrays, ["l_suppkey"], spec))
 
 
+@query()
+def model_summary(spark, sf_dir):
+    """The model object's fits with their parameters and errors."""
+    return SarimaxPanel(events_daily(spark, sf_dir), ["event_type"], (1, 0, 1)).fit().summary()
+
+
 @query()
 def order_search(spark, sf_dir):
     specs = [Spec.of((p, 0, q)) for p, q in ((1, 0), (0, 1), (1, 1), (2, 0))]

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom.functions import estimate
 from chronoloom.functions.spec import Spec
 from chronoloom.operators import sarimax, series
+from chronoloom.operators.model import SarimaxPanel
 from chronoloom.sources import panel
 
 AR1 = Spec.of((1, 0, 0))
@@ -108,3 +110,43 @@ def test_order_search_keeps_series_that_no_order_fits(spark):
     got = {r.id: r for r in sarimax.order_search(arrays, ["id"], [Spec.of((1, 0, 0)), Spec.of((2, 0, 0))]).collect()}
     assert set(got) == {1, 2, 3} and got[1].error is None and got[1].aic is not None
     assert got[2].error == "endog contains NaN or Inf" and got[3].error.startswith("too few observations")
+
+
+def test_a_model_object_gives_what_the_operators_give(arrays, spark):
+    long = arrays.where("id < 3").select("id", F.posexplode("y").alias("t", "y"))
+    model = SarimaxPanel(long.union(spark.createDataFrame([(9, 0, 1.0)], "id int, t int, y double")), ["id"], (1, 0, 1))
+    fitted = model.fit()
+    fits = {r.id: r for r in fitted.fits.collect()}
+    assert fits[9].error.startswith("too few") and {r.id: r.n_obs for r in model.nobs().collect()} == {0: 60, 1: 60, 2: 60, 9: 1}
+    assert {(r.id, r.name): r.coef for r in fitted.params().collect()} == {(i, n): c for i in range(3) for n, c in zip(("ar.L1", "ma.L1"), fits[i].params)}
+    for r in model.loglike(fitted.fits.where("id < 3").select("id", "params")).where("id < 3").collect():
+        assert r.loglike == pytest.approx(fits[r.id].loglike, rel=1e-6)
+    ahead = fitted.get_forecast().where("id < 3")
+    assert ahead.count() == 3  # one step unless told otherwise
+    for narrow, wide in zip(fitted.conf_int(ahead, 0.5).orderBy("id").collect(), ahead.orderBy("id").collect()):
+        assert wide.ci_lower < narrow.ci_lower < narrow.ci_upper < wide.ci_upper
+    assert fitted.resid().where("id = 0").count() == 60
+    skipped = fitted.parameter_summary(inference="none").collect()
+    assert len(skipped) == 6 and all(r.inference_status == "skipped" and r.std_err is None for r in skipped)
+    told = fitted.summary().collect()
+    assert sum(r.id < 3 and r.loglike is not None and r.inference_status in ("ok", "partial") for r in told) == 6
+    assert {r.inference_status for r in told if r.id == 9} <= {"failed", None}
+    for wrong in ({"inference": "magic"}, {"alpha": 1}):
+        with pytest.raises(ValueError):
+            fitted.parameter_summary(**wrong)
+    fitted.unpersist()
+
+
+def test_moment_starts_in_tasks_and_in_columns_agree(spark):
+    y = np.random.default_rng(8).normal(size=200).cumsum()
+    long = spark.createDataFrame([(1, t, float(v)) for t, v in enumerate(y)] + [(2, t, 5.0) for t in range(9)], "id int, t int, y double")
+    for step in (1, 6):
+        acov = estimate.autocovariances(y, 4, step)
+        for operator, helper in ((series.yule_walker, estimate.yule_walker), (series.innovations_ma, estimate.innovations)):
+            got = {r.id: list(r)[1:] for r in operator(long, ["id"], 4, step).collect()}
+            assert got[1] == pytest.approx(helper(acov), abs=1e-9) and got[2] == [None] * 4
+    gram = np.array([[acov[abs(i - j)] for j in range(4)] for i in range(4)])
+    assert estimate.yule_walker(acov) == pytest.approx(np.linalg.solve(gram, acov[1:]))
+    assert estimate.burg(np.ones(9), 2) is None and estimate.burg(y[:2], 2) is None and not estimate.yule_walker(np.zeros(3)).any()
+    short = sarimax.fit(spark.createDataFrame([(1, y[:14].tolist())], "id int, y array<double>"), ["id"], Spec.of((1, 0, 1), (1, 0, 1, 3)))
+    assert short.first().error is None
