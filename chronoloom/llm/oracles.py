@@ -202,6 +202,77 @@ WITH d AS (
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
 """
 
+# The table of crc32's 256 remainders, made from the polynomial; and the crc32 of a column of short ASCII text by it.
+CRC_TABLE = """
+SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+FROM range(256) AS r(i)
+"""
+CRC_OF_ID = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"""
+
+
+def _trees(name: str, levels: int) -> str:
+    """The levels of the trees over {name}0 (grp, i, n, d): nodes {name}1, ..., and children by parent {name}c0, ... of those not done."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}{k + 1} AS MATERIALIZED (
+  SELECT grp, i // 3 AS i, (max(n) + 2) // 3 AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE max(d) END AS d FROM {name}{k} GROUP BY grp, i // 3
+), {name}c{k} AS MATERIALIZED (
+  SELECT grp, i // 3 AS i, {", ".join(f"coalesce(max(CASE WHEN i % 3 = {j} THEN d END), '') AS c{j}" for j in range(3))}
+  FROM {name}{k} WHERE n > 1 GROUP BY grp, i // 3
+)""")
+    return ", ".join(out)
+
+
+def _climbed(source: str, name: str, grp: str, place: str, levels: int) -> str:
+    """Subquery over {source}: all its columns, with acc folded and proof lengthened by the levels of {name}."""
+    query = source
+    for k in range(levels):
+        slot = f"{place} // {3**k} % 3"
+        beside = " || ".join(f"CASE WHEN {slot} = {j} THEN '' ELSE c{j} END" for j in range(3))
+        told = " || ".join(f"CASE WHEN {slot} = {j} THEN acc ELSE c{j} END" for j in range(3))
+        query = f"""(SELECT s.* REPLACE (CASE WHEN c0 IS NULL THEN acc ELSE sha256({told}) END AS acc, CASE WHEN c0 IS NULL THEN proof ELSE proof || {beside} END AS proof)
+  FROM {query} s LEFT JOIN {name}c{k} c ON c.grp = s.{grp} AND c.i = s.{place} // {3 ** (k + 1)})"""
+    return query
+
+
+def _leaf(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in fields) + ")"
+
+
+# Levels enough for 3**13 rows of a source and 3**6 sources.
+_ROW_LEVELS, _SOURCE_LEVELS = 13, 6
+MERKLE = f"""
+WITH crc AS ({CRC_TABLE}), leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || source, '') AS grp, {_leaf("text")} AS leaf, CASE WHEN {CRC_OF_ID} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS claim
+  FROM documents, crc
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST) - 1 AS place, count(*) OVER (PARTITION BY grp) AS n FROM leaves
+), r0 AS MATERIALIZED (
+  SELECT grp, place AS i, n, leaf AS d FROM placed
+), {_trees("r", _ROW_LEVELS)}, subroots AS MATERIALIZED (
+  SELECT grp AS of_source, d, row_number() OVER (ORDER BY grp) - 1 AS nth, count(*) OVER () AS n FROM r{_ROW_LEVELS}
+), s0 AS MATERIALIZED (
+  SELECT '' AS grp, nth AS i, n, d FROM subroots
+), {_trees("s", _SOURCE_LEVELS)}, held AS MATERIALIZED (
+  SELECT doc_id, p.grp, place, leaf, u.d AS subroot, '' AS top, u.nth, claim AS acc, '' AS proof FROM placed p JOIN subroots u ON u.of_source = p.grp
+)
+SELECT doc_id, leaf, subroot, o.d AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = o.d AS verified
+FROM {_climbed(_climbed("held", "r", "grp", "place", _ROW_LEVELS), "s", "top", "nth", _SOURCE_LEVELS)}, s{_SOURCE_LEVELS} o
+"""
+
+# Base 32 of a SHA-1 in hexadecimal, five bits at a time.
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) || '0' AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  list_reduce(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((CAST('0x' || substr(h, 1 + 5 * k // 4, 2) AS INTEGER)) >> (3 - 5 * k % 4)) & 31) + 1, 1)), lambda a, b: a || b) AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
+FROM p
+"""
+
 ORACLES = {
     "op2_benchmark_decontamination": DECONTAMINATION,
     "op4_preference_formatting": PREFERENCES,
@@ -211,4 +282,6 @@ ORACLES = {
     "op8_jaccard_links": JACCARD_LINKS,
     "op9_base_rules": BASE_RULES,
     "op10_secret_scan": SECRETS,
+    "op12_merkle_manifest": MERKLE,
+    "op13_warc": WARC,
 }

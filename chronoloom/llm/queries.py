@@ -1,11 +1,11 @@
-"""The queries op1 to op10 over whole tables, with production parameters, and their SQL where SQL can say it."""
+"""The queries op1 to op13 over whole tables, with production parameters, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import chat, decontaminate, jaccard, mixing, quality_fm, quality_gbt, secrets, sharding, tokens, urls
+from chronoloom.llm import chat, decontaminate, jaccard, merkle, mixing, quality_fm, quality_gbt, runs, secrets, sharding, tokens, urls, warc
 from chronoloom.llm.oracles import ORACLES
 
 N_SHARDS = 40
@@ -84,10 +84,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     found = [
         op1_quality_classifier, op2_benchmark_decontamination, op3_source_mixing, op3_packed_shards, op4_preference_formatting, op4_answer_preferences, op5_url_filter, op5_url_rules, op6_sharding,
         op7_token_counts, op8_jaccard_join, op8_jaccard_links, op9_quality_rules, op9_base_rules, op10_secret_scan,
+        op11_periodic_runs, op12_merkle_manifest, op13_warc,
     ]
     return {f.__name__: f for f in found}
 
