@@ -1,9 +1,9 @@
 """A Merkle manifest of a dataset: leaves by row, a tree a group, a tree over the groups' roots, and each leaf's proof.
 
-The trees are walked in supersteps over RDDs. Upward, children message their parents; a parent that has all its messages hashes them
-and is a child in the next superstep. Downward, every parent sends its own path to the root to its children, each of which puts the
-digests beside it in front. A superstep shuffles digests alone, never texts, and a parent has at most ARITY children, so there is
-no hot key however large a group is.
+The trees are walked in supersteps over RDDs whose vertices are blocks of LEVELS levels. Upward, children message their block; a
+block that has all its messages hashes them, level by level, and is a child in the next superstep. Downward, every block sends its
+own path to the root to its children, each of which gets the digests beside it in front. A superstep shuffles digests alone, never
+texts, and a block has at most ARITY ** LEVELS children, so there is no hot key however large a group is.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import cut, prefix_sums, scratch_folder
 
 ARITY = 3
+LEVELS = 4  # of one superstep
+WIDTH = ARITY**LEVELS
 FEW_NODES, NODES = 1_000, 50_000  # of one task, while there are fewer tasks than cores, and after that
 PROOF = "array<struct<slot:int,siblings:array<string>>>"
 
@@ -59,44 +61,73 @@ def _kept(nodes: RDD) -> tuple[RDD, int]:
     return nodes, nodes.count()
 
 
+def block_levels(digests: list[bytes], whole: bool) -> list[list[bytes]]:
+    """The digests of a block's nodes by level, the children first; the last level is the block's top.
+
+    A block that is its `whole` group ends where one node is left; others go up LEVELS levels, as their group has further nodes.
+    """
+    levels = [digests]
+    while len(levels[-1]) > 1 if whole else len(levels) <= LEVELS:
+        below = levels[-1]
+        levels.append([digest_of(below[i : i + ARITY]) for i in range(0, len(below), ARITY)])
+    return levels
+
+
+def block_path(levels: list[list[bytes]], slot: int) -> tuple:
+    """Of a block's child, for each level under its top, its slot among its siblings and their digests."""
+    path = []
+    for nodes in levels[:-1]:
+        first = slot // ARITY * ARITY
+        path.append((slot - first, [nodes[i] for i in range(first, min(first + ARITY, len(nodes))) if i != slot]))
+        slot //= ARITY
+    return tuple(path)
+
+
 def climb(nodes: RDD, count: int) -> tuple[list[RDD], RDD]:
     """From nodes ((group, place), (digest, last, payload)) up to each group's top.
 
-    `last` marks the node with the greatest place of its group. Gives, for each level, the RDD of ((group, parent's place), its
-    children [(slot, digest, payload)]), and the RDD of (group, digest, payload, height) of tops: a top that is itself a leaf has
-    height 0 and keeps its payload. A group whose only node is left drops out with it; the others go on.
+    `last` marks the node with the greatest place of its group. Gives, for each superstep, the RDD of ((group, block's place),
+    (children [(digest, payload)] by place, whether they are their whole group)), and the RDD of (group, digest, payload, height)
+    of tops: one that is itself a leaf has height 0 and keeps its payload. A group whose only node is left drops out with it.
     """
-    sc, levels, tops = nodes.context, [], []
+    sc, steps, tops = nodes.context, [], []
+
+    def block(messages: Iterable[tuple]) -> tuple:
+        children = sorted(messages, key=lambda m: m[0])
+        return [(digest, payload) for _, digest, _, payload in children], any(last for _, _, last, _ in children)
+
+    def top(key: tuple, held: tuple) -> tuple:
+        children, last = held
+        levels = block_levels([d for d, _ in children], last and key[1] == 0)
+        return key, (levels[-1][0], last, None)
+
     while count:
         alone = lambda node: node[0][1] == 0 and node[1][1]
-        tops.append(nodes.filter(alone).map(lambda node, height=len(levels): (node[0][0], node[1][0], node[1][2], height)))
-        up = nodes.filter(lambda node: not alone(node)).map(lambda node: ((node[0][0], node[0][1] // ARITY), (node[0][1] % ARITY, *node[1])))
-        parents, count = _kept(up.groupByKey(_tasks(sc, count // ARITY)).mapValues(lambda messages: sorted(messages, key=lambda m: m[0])))
-        levels.append(parents.mapValues(lambda children: [(slot, digest, payload) for slot, digest, _, payload in children]))
-        nodes = parents.mapValues(lambda children: (digest_of(c[1] for c in children), any(c[2] for c in children), None))
-    return levels[:-1], sc.union(tops) if tops else sc.emptyRDD()
+        tops.append(nodes.filter(alone).map(lambda node, height=len(steps): (node[0][0], node[1][0], node[1][2], height)))
+        up = nodes.filter(lambda node: not alone(node)).map(lambda node: ((node[0][0], node[0][1] // WIDTH), (node[0][1] % WIDTH, *node[1])))
+        blocks, count = _kept(up.groupByKey(_tasks(sc, count)).mapValues(block))
+        steps.append(blocks.map(lambda b: (b[0], (b[1][0], b[1][1] and b[0][1] == 0)), preservesPartitioning=True))
+        nodes = blocks.map(lambda b: top(*b))
+    return steps[:-1], sc.union(tops) if tops else sc.emptyRDD()
 
 
-def _down(node: tuple) -> list[tuple]:
-    """A parent's messages: to each child its path, that is its slot and siblings, then the parent's path."""
-    (group, place), (children, above) = node
-    out = []
-    for slot, digest, payload in children:
-        beside = (slot, [d for s, d, _ in children if s != slot])
-        out.append(((group, place * ARITY + slot), ((beside, *above[0]), above[1]), digest, payload))
-    return out
+def _down(message: tuple) -> list[tuple]:
+    """A block's messages: to each child its path, which ends with the block's own, and what goes along."""
+    (group, place), ((children, whole), (above, rest)) = message
+    levels = block_levels([d for d, _ in children], whole)
+    return [((group, place * WIDTH + slot), ((*block_path(levels, slot), *above), rest), digest, payload) for slot, (digest, payload) in enumerate(children)]
 
 
-def descend(levels: list[RDD], paths: RDD) -> RDD:
+def descend(steps: list[RDD], paths: RDD) -> RDD:
     """From each top's (group, height, (path, rest)) down to its leaves: (key, (path, rest), digest, payload); `rest` goes along.
 
-    Groups of one node have no level and no row here.
+    Groups of one node are in no step and have no row here.
     """
     told = paths.context.emptyRDD()
-    for height in range(len(levels), 0, -1):
+    for height in range(len(steps), 0, -1):
         begin = paths.filter(lambda p, height=height: p[1] == height).map(lambda p: ((p[0], 0), p[2]))
-        level = levels[height - 1]
-        told = level.join(told.map(lambda t: (t[0], t[1])).union(begin), level.getNumPartitions()).flatMap(_down)
+        blocks = steps[height - 1]
+        told = blocks.join(told.map(lambda t: (t[0], t[1])).union(begin), blocks.getNumPartitions()).flatMap(_down)
     return told
 
 

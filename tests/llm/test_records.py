@@ -156,7 +156,8 @@ def test_manifest_matches_brute_force(spark, hard_docs, no_docs):
     sizes = [(f"s{k}é", k) for k in (1, 2, 3, 4, 9, 10, 28, 82)]
     rows = [(i, f"text\n{i % 5}", "en", s, i) for i, (s, n) in enumerate((s, n) for s, n in sizes for _ in range(n))]
     many = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for docs in (hard_docs, many, many.where("source = 's1é'"), many.where("source = 's10é'"), spark.read.parquet(f"{SF}/documents.parquet")):
+    tall = spark.range(6600).selectExpr("id as doc_id", "'t\n' as text", "'en' as lang", "'s' as source", "id % 7 as n_chars")  # blocks of blocks of blocks
+    for docs in (hard_docs, many, tall, many.where("source = 's1é'"), many.where("source = 's10é'"), spark.read.parquet(f"{SF}/documents.parquet")):
         got = merkle.manifest_digest(docs)
         assert tuple(got.columns) == MANIFEST
         assert rows_of(got, *MANIFEST) == told_manifest(docs.collect())
