@@ -63,9 +63,9 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def trained_dictionary(pages: DataFrame) -> bytes:
     """A Zstandard dictionary from the first SAMPLE_BYTES of SAMPLE_ROWS pages, those of least hash; empty if there are too few."""
-    text = F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("text")
-    sample = pages.select(text, F.xxhash64("page_id", "url").alias("_h")).where("text <> ''").orderBy("_h", "text").limit(SAMPLE_ROWS)
-    texts = [r.text.encode() for r in sample.collect()]
+    rows = pages.where("html <> ''").select(F.xxhash64("page_id", "url").alias("_h"), F.substring("html", 1, SAMPLE_BYTES).alias("text"))
+    least = rows.select("_h").orderBy("_h").limit(SAMPLE_ROWS).agg(F.max("_h")).first()[0]  # only hashes are compared on the driver
+    texts = [r.text.encode() for r in rows.where(F.col("_h") <= least).limit(SAMPLE_ROWS).collect()] if least is not None else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
     except zstandard.ZstdError:
