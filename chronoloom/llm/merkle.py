@@ -54,11 +54,12 @@ def _tasks(sc: SparkContext, nodes: int) -> int:
     return max(min(sc.defaultParallelism, 1 + nodes // FEW_NODES), nodes // NODES)
 
 
-def _kept(nodes: RDD) -> tuple[RDD, int]:
-    """Cuts the lineage at a superstep: computed once, and written to the checkpoint folder. The RDD and its number of elements."""
-    nodes.persist(StorageLevel.DISK_ONLY)
-    nodes.checkpoint()
-    return nodes, nodes.count()
+def _kept(tops: RDD) -> RDD:
+    """Cuts the lineage between a tree and the next: tops are computed once, and written to the checkpoint folder."""
+    tops.persist(StorageLevel.DISK_ONLY)
+    tops.checkpoint()
+    tops.count()
+    return tops
 
 
 def block_levels(digests: list[bytes], whole: bool) -> list[list[bytes]]:
@@ -83,12 +84,13 @@ def block_path(levels: list[list[bytes]], slot: int) -> tuple:
     return tuple(path)
 
 
-def climb(nodes: RDD, count: int) -> tuple[list[RDD], RDD]:
+def climb(nodes: RDD, count: int, most: int) -> tuple[list[RDD], RDD]:
     """From nodes ((group, place), (digest, last, payload)) up to each group's top.
 
     `last` marks the node with the greatest place of its group. Gives, for each superstep, the RDD of ((group, block's place),
     (children [(digest, payload)] by place, whether they are their whole group)), and the RDD of (group, digest, payload, height)
     of tops: one that is itself a leaf has height 0 and keeps its payload. A group whose only node is left drops out with it.
+    `count` nodes in all and the `most` of one group give the numbers of tasks and of supersteps.
     """
     sc, steps, tops = nodes.context, [], []
 
@@ -101,14 +103,17 @@ def climb(nodes: RDD, count: int) -> tuple[list[RDD], RDD]:
         levels = block_levels([d for d, _ in children], last and key[1] == 0)
         return key, (levels[-1][0], last, None)
 
-    while count:
-        alone = lambda node: node[0][1] == 0 and node[1][1]
+    alone = lambda node: node[0][1] == 0 and node[1][1]
+    while most:
         tops.append(nodes.filter(alone).map(lambda node, height=len(steps): (node[0][0], node[1][0], node[1][2], height)))
+        if most == 1:
+            break
         up = nodes.filter(lambda node: not alone(node)).map(lambda node: ((node[0][0], node[0][1] // WIDTH), (node[0][1] % WIDTH, *node[1])))
-        blocks, count = _kept(up.groupByKey(_tasks(sc, count)).mapValues(block))
+        blocks = up.groupByKey(_tasks(sc, count)).mapValues(block)
         steps.append(blocks.map(lambda b: (b[0], (b[1][0], b[1][1] and b[0][1] == 0)), preservesPartitioning=True))
         nodes = blocks.map(lambda b: top(*b))
-    return steps[:-1], sc.union(tops) if tops else sc.emptyRDD()
+        count, most = max(1, count // ARITY), -(-most // WIDTH)  # a block has two children at least
+    return steps, sc.union(tops) if tops else sc.emptyRDD()
 
 
 def _down(message: tuple) -> list[tuple]:
@@ -127,7 +132,9 @@ def descend(steps: list[RDD], paths: RDD) -> RDD:
     for height in range(len(steps), 0, -1):
         begin = paths.filter(lambda p, height=height: p[1] == height).map(lambda p: ((p[0], 0), p[2]))
         blocks = steps[height - 1]
-        told = blocks.join(told.map(lambda t: (t[0], t[1])).union(begin), blocks.getNumPartitions()).flatMap(_down)
+        n = blocks.getNumPartitions()
+        own = told.map(lambda t: (t[0], t[1])).union(begin).partitionBy(n)  # dealt like the blocks, which stay where they are
+        told = blocks.join(own, n).flatMap(_down)
     return told
 
 
@@ -158,17 +165,19 @@ def manifest(leaves: DataFrame) -> DataFrame:
     ends = placed.groupBy("_of").agg(F.max("_place").alias("_place")).withColumn("_last", F.lit(True))
     told = placed.join(ends, ["_of", "_place"], "left").select("_of", "_place", "leaf", F.coalesce("_last", F.lit(False)), "doc_id", "source", "claim")
     nodes = told.rdd.map(lambda r: ((r[0], r[1]), (bytes.fromhex(r[2]), r[3], (r[4], r[5], r[6]))))
-    levels, tops = climb(nodes, placed.count())
-    n_sources = ends.count()
-    ordered, n = _kept(tops.sortBy(lambda t: t[0].encode(), numPartitions=_tasks(sc, n_sources)).zipWithIndex())
-    groups = ordered.map(lambda t: (("", t[1]), (t[0][1], t[1] == n - 1, (t[0][0], t[0][3]))))
-    upper, roots = climb(groups, n)
-    # paths of the sources' tops: (source, height, (path, (subroot, root))); a single source is the root, with an empty path
-    above = descend(upper, roots.map(lambda t: (t[0], t[3], ((), t[1])))).map(lambda t: (*t[3], (t[1][0], (t[2], t[1][1]))))
-    above, _ = _kept(above.union(roots.filter(lambda t: t[3] == 0).map(lambda t: (*t[2], ((), (t[1], t[1]))))).coalesce(_tasks(sc, n)))
-    below = descend(levels, above).map(lambda t: _proof_row(t[3], t[2], t[1][0], *t[1][1]))
-    single = tops.filter(lambda t: t[3] == 0).map(lambda t: (t[0], (t[1], t[2]))).join(above.map(lambda t: (t[0], t[2])), _tasks(sc, n))
-    single = single.map(lambda t: _proof_row(t[1][0][1], t[1][0][0], t[1][1][0], *t[1][1][1]))
+    n_leaves, sources = placed.count(), ends.agg(F.count("*"), F.coalesce(F.max("_place") + 1, F.lit(0))).first()
+    steps, tops = climb(nodes, n_leaves, sources[1])
+    tops = _kept(tops.coalesce(_tasks(sc, sources[0])))
+    last = sources[0] - 1
+    ordered = tops.sortBy(lambda t: t[0].encode(), numPartitions=_tasks(sc, sources[0])).zipWithIndex()
+    groups = ordered.map(lambda t: (("", t[1]), (t[0][1], t[1] == last, (t[0][0], t[0][3], t[0][2]))))
+    upper, roots = climb(groups, sources[0], sources[0])
+    # paths of the sources' tops: (source, height, (path, (subroot, root)), payload); a single source is the root, with an empty path
+    above = descend(upper, roots.map(lambda t: (t[0], t[3], ((), t[1])))).map(lambda t: (t[3][0], t[3][1], (t[1][0], (t[2], t[1][1])), t[3][2]))
+    alone = roots.filter(lambda t: t[3] == 0).map(lambda t: (t[2][0], t[2][1], ((), (t[1], t[1])), t[2][2]))
+    above = _kept(above.union(alone).coalesce(_tasks(sc, sources[0])))
+    below = descend(steps, above).map(lambda t: _proof_row(t[3], t[2], t[1][0], *t[1][1]))
+    single = above.filter(lambda t: t[1] == 0).map(lambda t: _proof_row(t[3], t[2][1][0], t[2][0], *t[2][1]))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "source", "claim"))
     return spark.createDataFrame(below.union(single), f"{kinds}, leaf string, subroot string, root string, proof {PROOF}", verifySchema=False)
 
