@@ -356,7 +356,7 @@ def fit(spec: Spec, y: np.ndarray, exog: np.ndarray | None = None, method: str =
         {
             "params": params[i].tolist(), "loglike": float(value[i]), "scale": float(scale[i]), "aic": float(2 * k - 2 * value[i]),
             "bic": float(k * np.log(sizes[i]) - 2 * value[i]), "n_obs": sizes[i], "n_params": k, "n_iter": int(n_iter[i]), "converged": bool(done[i]), "method": name,
-            "error": None if np.isfinite(value[i]) else "optimization failed: no finite likelihood",
+            "error": "optimization failed: no finite likelihood" if not np.isfinite(value[i]) else None if scale[i] > 0 else "optimization failed: the scale is zero",
         }
         for i in range(b)
     ]

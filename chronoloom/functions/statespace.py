@@ -11,8 +11,9 @@ import numpy as np
 from chronoloom.functions.spec import Spec
 
 KAPPA = 1e6  # variance of a diffuse start
-# When the filter's covariances count as settled.
-SETTLE_CLOSE, SETTLE_STEPS, SETTLE_AFTER = 1e-9, 3, 5
+# A point's covariances count as settled once a step changes none of their elements by more than this part of the largest: the
+# whole matrix is compared, so that a season still on its way through the state is seen. Looked at every few steps.
+SETTLE_CLOSE, SETTLE_EVERY = 1e-13, 8
 
 
 def polynomial(coefs: np.ndarray, seasonal: np.ndarray, s: int, sign: float) -> np.ndarray:
@@ -150,33 +151,37 @@ def run_filter(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray |
     log_f, quad, bad = np.zeros(b), np.zeros(b), n <= burn
     v_all, f_all = (np.zeros((b, n)), np.zeros((b, n))) if store else (None, None)
     at = np.flatnonzero(z)
-    last, calm, settled = None, 0, int(burn.max()) + SETTLE_AFTER
+    moving = np.arange(b)  # points whose covariances still change, with these
+    p_of, t_of, t_t_of, rqr_of, burn_of = p, t, t_t, rqr, burn
+    f, gain, log_now, bad_now = np.ones(b), np.zeros((b, spec.n_states)), np.zeros(b), np.zeros(b, bool)
     with np.errstate(all="ignore"):
         for i in range(n):
-            if calm == SETTLE_STEPS:  # the covariances stay as they are
-                v = y[:, i] - a[:, at].sum(axis=1)
-                a = np.einsum("bij,bj->bi", t, a + gain * v[:, None])
-                log_f += log_now
-                quad += v * v / f
-                if store:
-                    v_all[:, i], f_all[:, i] = v, f
-                continue
-            pz = p[:, :, at].sum(axis=2)
-            f = pz[:, at].sum(axis=1)
+            if len(moving):
+                pz = p_of[:, :, at].sum(axis=2)
+                f_of = pz[:, at].sum(axis=1)
+                fine = f_of > 0
+                gain_of = np.where(fine[:, None], pz / f_of[:, None], 0.0)
+                after = t_of @ (p_of - gain_of[:, :, None] * pz[:, None, :]) @ t_t_of + rqr_of
+                f[moving], gain[moving], log_now[moving], bad_now[moving] = f_of, gain_of, np.log(np.where(fine, f_of, 1.0)), ~fine
+                if i % SETTLE_EVERY == 0:
+                    calm = np.abs(after - p_of).max(axis=(1, 2)) <= SETTLE_CLOSE * np.abs(after).max(axis=(1, 2))
+                    calm &= fine & (i >= burn_of)
+                    p_of = after
+                    if calm.any():
+                        p[moving] = p_of
+                        moving = moving[~calm]
+                        p_of, t_of, t_t_of, rqr_of, burn_of = p[moving], t[moving], t_t[moving], rqr[moving], burn[moving]
+                else:
+                    p_of = after
             v = y[:, i] - a[:, at].sum(axis=1)
-            counted = i >= burn
-            bad |= counted & ~(f > 0)
-            gain = np.where((f > 0)[:, None], pz / f[:, None], 0.0)
             a = np.einsum("bij,bj->bi", t, a + gain * v[:, None])
-            p = t @ (p - gain[:, :, None] * pz[:, None, :]) @ t_t + rqr
-            log_f += np.where(counted, np.log(np.where(f > 0, f, 1.0)), 0.0)
-            quad += np.where(counted, v * v / np.where(f > 0, f, 1.0), 0.0)
+            counted = i >= burn
+            bad |= counted & bad_now
+            log_f += np.where(counted, log_now, 0.0)
+            quad += np.where(counted, v * v / np.where(bad_now, 1.0, f), 0.0)
             if store:
                 v_all[:, i], f_all[:, i] = v, f
-            if i >= settled:
-                near = last is not None and bool((np.abs(pz - last).max(axis=1) <= SETTLE_CLOSE * np.abs(pz).max(axis=1)).all())
-                calm = calm + 1 if near and (f > 0).all() else 0
-                last, log_now = pz, np.log(np.where(f > 0, f, 1.0))
+        p[moving] = p_of
         used = np.maximum(n - burn, 1)
         if spec.concentrate_scale:
             scale = quad / used

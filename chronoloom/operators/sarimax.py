@@ -22,6 +22,7 @@ from chronoloom.operators.series import with_interval
 
 FIT_COLUMNS = "params array<double>, loglike double, scale double, aic double, bic double, n_obs long, n_params long, n_iter long, converged boolean, method string, error string"
 PAD = math.log(1.1)  # lengths that differ by less are one batch
+SERIES_ERRORS = (ValueError, RuntimeError, ArithmeticError, np.linalg.LinAlgError)  # what a series' own values can lead to
 FIT_NAMES = [c.split()[0] for c in FIT_COLUMNS.split(", ")]
 
 
@@ -69,12 +70,12 @@ def _mapped(series: DataFrame, ids: list[str], spec: Spec, columns: str, names:
                         x[k, : length[k]] = np.stack([np.asarray(c, float) for c in rows["x"].iloc[i]], 1)
                 try:
                     got = run(y, x, rows.iloc[some], length)
-                except Exception:  # one series can't take the others down: each on its own
+                except SERIES_ERRORS:  # one series can't take the others down: each on its own
                     got = []
                     for k, i in enumerate(some):
                         try:
                             got += run(y[k : k + 1, : length[k]], None if x is None else x[k : k + 1, : length[k]], rows.iloc[[i]], length[k : k + 1])
-                        except Exception as e:  # noqa: BLE001
+                        except SERIES_ERRORS as e:
                             got.append({"error": str(e)})
                 for i, result in zip(some, got):
                     out[i] = result

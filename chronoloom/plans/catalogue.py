@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.spec import Spec
-from chronoloom.operators import sarimax, series
+from chronoloom.operators import folds, ranges, sarimax, series
 from chronoloom.operators.model import SarimaxPanel
 from chronoloom.sources import panel
 
@@ -62,13 +62,11 @@ def supplier_monthly(spark, sf_dir) -> DataFrame:
 
 def user_events(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return panel.long_panel(events, ["user_id"], F.struct("ts", "event_id"), F.col("value"))
+    return panel.long_panel(events, ["user_id"], F.struct("ts", "event_id"), F.col("value"), span=F.date_trunc("day", "ts"))
 
 
 def centred(p: DataFrame, ids: list[str]) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    return p.withColumn("y", F.col("y") - F.avg("y").over(Window.partitionBy(*ids)))
+    return ranges.with_means(p, ids, ["y"]).withColumn("y", F.col("y") - F.col("_mean_y")).drop("_mean_y")
 
 
 EVENTS = """events_daily AS (
@@ -212,26 +210,86 @@ def sar_residuals(spark, sf_dir):
     return rounded(series.lag_filtered(orders_monthly(spark, sf_dir), ["series"], [0.4], 12), 2, "y")
 
 
-@query("""
-WITH a(i, v) AS (VALUES (0, 1.0), (1, -0.5), (2, -0.2)), b(j, w) AS (VALUES (0, 1.0), (4, -0.4), (8, 0.1))
-SELECT CAST(k AS INTEGER) AS power, round(CAST(coalesce(sum(v * w), 0) AS DOUBLE), 9) AS coef
-FROM range(0, 11) AS r(k) LEFT JOIN (a CROSS JOIN b) ON i + j = k GROUP BY k
-""")
+FIRST_FOUR = f"""WITH {SUPPLIERS}, x AS (
+  SELECT l_suppkey, {", ".join(f"max(CASE WHEN t = {k} THEN y / 100 - 1.5 END) AS x{k + 1}" for k in range(4))} FROM supplier_monthly WHERE t < 4 GROUP BY l_suppkey HAVING count(*) = 4)"""
+
+
+def first_four(spark, sf_dir) -> DataFrame:
+    """l_suppkey and x: a supplier's first four months as numbers around zero, to serve as parameters."""
+    arrays = panel.to_arrays(supplier_monthly(spark, sf_dir).where("t < 4"), ["l_suppkey"]).where("size(y) = 4")
+    return arrays.select("l_suppkey", F.transform("y", lambda v: v / 100 - 1.5).alias("x"))
+
+
+@query(FIRST_FOUR + """, c AS (SELECT l_suppkey, [1.0, -x1 / 10, -x2 / 10] AS a, [1.0, 0, 0, 0, -x3 / 10, 0, 0, 0, -x4 / 10] AS b FROM x)
+SELECT l_suppkey, CAST(k AS INTEGER) AS power, round(list_sum(list_transform(range(0, 3), lambda i: CASE WHEN k - i BETWEEN 0 AND 8 THEN a[i + 1] * b[k - i + 1] ELSE 0 END)), 9) + 0.0 AS coef
+FROM c, range(0, 11) AS r(k)""")
 def poly_expand(spark, sf_dir):
-    ar, sar = (F.array(*[F.lit(x) for x in xs]) for xs in ((0.5, 0.2), (0.4, -0.1)))
-    one = spark.range(1).select(series.convolve(series.lag_polynomial(ar, 1, -1.0), series.lag_polynomial(sar, 4, -1.0)).alias("c"))
-    return rounded(one.select(F.posexplode("c").alias("power", "coef")), 9, "coef")
+    x = first_four(spark, sf_dir)
+    ar, sar = (F.transform(F.slice("x", start, 2), lambda v: v / 10) for start in (1, 3))
+    rows = x.select("l_suppkey", F.posexplode(series.convolve(series.lag_polynomial(ar, 1, -1.0), series.lag_polynomial(sar, 4, -1.0))).alias("power", "coef"))
+    return rounded(rows, 9, "coef").withColumn("coef", F.col("coef") + 0.0)  # no minus zero
 
 
-@query("""
-SELECT CAST(i AS BIGINT) AS id, round(-(r1 + r2 * r1), 9) + 0.0 AS ar1, round(-r2, 9) + 0.0 AS ar2 FROM (
-  SELECT i, (i - 5) * 0.4 / sqrt(1 + ((i - 5) * 0.4) ** 2) AS r1, (3 - i) * 0.3 / sqrt(1 + ((3 - i) * 0.3) ** 2) AS r2 FROM range(0, 11) AS r(i))
-""")
+def _levinson_sql(order: int) -> str:
+    """Nested queries that add, order by order, the coefficients of a stationary AR polynomial from x1, x2, ..."""
+    at = f"(SELECT *, {', '.join(f'x{k} / sqrt(1 + x{k} * x{k}) AS r{k}' for k in range(1, order + 1))} FROM x)"
+    for k in range(1, order + 1):
+        inner = [f"c{k - 1}_{j} + r{k} * c{k - 1}_{k - j} AS c{k}_{j}" for j in range(1, k)]
+        at = f"(SELECT *, {', '.join([*inner, f'r{k} AS c{k}_{k}'])} FROM {at})"
+    return at
+
+
+@query(FIRST_FOUR + f" SELECT l_suppkey, {', '.join(f'round(-c4_{j}, 8) + 0.0 AS ar{j}' for j in range(1, 5))} FROM {_levinson_sql(4)}")
 def stationary_transform(spark, sf_dir):
-    ids = spark.range(11)
-    a, b = series.stationary_pair((F.col("id") - 5) * F.lit(0.4), (3 - F.col("id")) * F.lit(0.3))
-    got = rounded(ids.select("id", a.alias("ar1"), b.alias("ar2")), 9, "ar1", "ar2")
-    return got.withColumns({c: F.col(c) + 0.0 for c in ("ar1", "ar2")})  # no minus zero
+    told = first_four(spark, sf_dir).select("l_suppkey", folds.stationary_fold(F.col("x")).alias("c"))
+    got = rounded(told.select("l_suppkey", *[(F.get("c", F.lit(j)) + 0.0).alias(f"ar{j + 1}") for j in range(4)]), 8, *[f"ar{j}" for j in range(1, 5)])
+    return got.withColumns({f"ar{j}": F.col(f"ar{j}") + 0.0 for j in range(1, 5)})
+
+
+@query(FIRST_FOUR + " SELECT l_suppkey, round(x1, 5) + 0.0 AS x1, round(x2, 5) + 0.0 AS x2, round(x3, 5) + 0.0 AS x3, round(x4, 5) + 0.0 AS x4 FROM x")
+def transform_round_trip(spark, sf_dir):
+    """Parameters made invertible and back: what comes back is what went in."""
+    told = first_four(spark, sf_dir).select("l_suppkey", folds.invertible_fold(F.col("x")).alias("c"))
+    back = told.select("l_suppkey", folds.unconstrained_fold(F.transform("c", lambda v: -v)).alias("x"))
+    got = rounded(back.select("l_suppkey", *[F.get("x", F.lit(j)).alias(f"x{j + 1}") for j in range(4)]), 5, "x1", "x2", "x3", "x4")
+    return got.withColumns({f"x{j}": F.col(f"x{j}") + 0.0 for j in range(1, 5)})
+
+
+def _burg_sql(key: str, order: int) -> str:
+    """CTEs over c (key, t, y): lattice errors level by level, reflections k0, k1, ... and the coefficients of the last order in ar."""
+    out = [f"l0 AS MATERIALIZED (SELECT * FROM (SELECT {key}, t, y AS f, lag(y) OVER (PARTITION BY {key} ORDER BY t) AS b FROM c) WHERE b IS NOT NULL)"]
+    for m in range(order):
+        out.append(f"k{m} AS MATERIALIZED (SELECT {key}, 2 * sum(f * b) / sum(f * f + b * b) AS k FROM l{m} GROUP BY {key})")
+        step = f"SELECT l.{key}, t, f - k * b AS f, lag(b - k * f) OVER (PARTITION BY l.{key} ORDER BY t) AS b FROM l{m} l JOIN k{m} USING ({key})"
+        out.append(f"l{m + 1} AS MATERIALIZED (SELECT * FROM ({step}) WHERE b IS NOT NULL)")
+        inner = [f"a{j} - k * a{m + 1 - j} AS a{j}" for j in range(1, m + 1)]
+        before = f"FROM k{m}" if m == 0 else f"FROM ar{m - 1} JOIN k{m} USING ({key})"
+        out.append(f"ar{m} AS (SELECT {key}, {', '.join([*inner, f'k AS a{m + 1}'])} {before})")
+    return ", ".join(out)
+
+
+@query(f"WITH {CENTRED}, {_burg_sql('event_type', 2)} SELECT event_type, round(a1, 6) AS ar1, round(a2, 6) AS ar2 FROM ar1")
+def burg_p2(spark, sf_dir):
+    got = series.burg(events_daily(spark, sf_dir), ["event_type"], 2)
+    return rounded(got.select("event_type", *[F.get("ar", F.lit(j)).alias(f"ar{j + 1}") for j in range(2)]), 6, "ar1", "ar2")
+
+
+@query(f"WITH {CENTRED}, {_burg_sql('event_type', 4)} SELECT event_type, {', '.join(f'round(a{j}, 6) AS ar{j}' for j in range(1, 5))} FROM ar3")
+def burg_p4(spark, sf_dir):
+    got = series.burg(events_daily(spark, sf_dir), ["event_type"], 4)
+    return rounded(got.select("event_type", *[F.get("ar", F.lit(j)).alias(f"ar{j + 1}") for j in range(4)]), 6, "ar1", "ar2", "ar3", "ar4")
+
+
+# The long autoregression has ten lags, as these series have 30 values or more.
+@query(f"""WITH {SUPPLIERS}, c AS (SELECT l_suppkey, t, y - avg(y) OVER (PARTITION BY l_suppkey) AS y FROM supplier_monthly), {_burg_sql('l_suppkey', 10)},
+e AS (SELECT s.l_suppkey, t, y, y - ({" + ".join(f"a{k} * lag(y, {k}) OVER w" for k in range(1, 11))}) AS e FROM supplier_monthly s JOIN ar9 USING (l_suppkey) WINDOW w AS (PARTITION BY s.l_suppkey ORDER BY t)),
+x AS (SELECT l_suppkey, t, y, lag(y) OVER w AS x1, lag(e) OVER w AS x2 FROM e WINDOW w AS (PARTITION BY l_suppkey ORDER BY t)),
+g AS (SELECT l_suppkey, sum(x1 * x1) AS g11, sum(x1 * x2) AS g12, sum(x2 * x2) AS g22, sum(x1 * y) AS b1, sum(x2 * y) AS b2 FROM x WHERE t >= 11 GROUP BY l_suppkey),
+r AS (SELECT l_suppkey, g11 + 1e-10 / 2 * (g11 + g22) AS g11, g12, g22 + 1e-10 / 2 * (g11 + g22) AS g22, b1, b2 FROM g)
+SELECT l_suppkey, round(greatest(-0.95, least(0.95, (g22 * b1 - g12 * b2) / (g11 * g22 - g12 * g12))), 6) AS ar1,
+  round(greatest(-0.95, least(0.95, (g11 * b2 - g12 * b1) / (g11 * g22 - g12 * g12))), 6) AS ma1 FROM r""")
+def hannan_rissanen_11(spark, sf_dir):
+    return rounded(series.hannan_rissanen(supplier_monthly(spark, sf_dir), ["l_suppkey"], 1, 1), 6, "ar1", "ma1")
 
 
 AR1_SQL = f"""WITH {LAGGED} SELECT event_type, round(-count(*) / 2.0 * (ln(2 * pi()) + ln((sum((y - {PHI} * b) ** 2) + max(CASE WHEN b IS NULL THEN y * y * (1 - {PHI} ** 2) END)) / count(*)) + 1)
@@ -271,6 +329,74 @@ def loglike_ma1(spark, sf_dir):
     return rounded(got.drop("error"), 5, "loglike")
 
 
+PHI2 = 0.2
+
+
+@query(f"""WITH {CENTRED}, l AS (SELECT event_type, t, y, lag(y) OVER w AS b, lag(y, 2) OVER w AS b2 FROM c WINDOW w AS (PARTITION BY event_type ORDER BY t)),
+s AS (SELECT event_type, count(*) AS n, sum(CASE WHEN t >= 2 THEN (y - {PHI} * b - {PHI2} * b2) ** 2 END) AS rest, max(CASE WHEN t = 0 THEN y END) AS y0, max(CASE WHEN t = 1 THEN y END) AS y1 FROM l GROUP BY event_type),
+v AS (SELECT *, (1 - {PHI2}) / ((1 + {PHI2}) * ((1 - {PHI2}) ** 2 - {PHI} ** 2)) AS g0 FROM s),
+d AS (SELECT *, g0 * {PHI} / (1 - {PHI2}) AS g1 FROM v),
+q AS (SELECT *, rest + (g0 * (y0 * y0 + y1 * y1) - 2 * g1 * y0 * y1) / (g0 * g0 - g1 * g1) AS quad FROM d)
+SELECT event_type, round(-n / 2.0 * (ln(2 * pi()) + ln(quad / n) + 1) - 0.5 * ln(g0 * g0 - g1 * g1), 5) AS loglike FROM q""")
+def loglike_ar2_fold(spark, sf_dir):
+    """An AR(2)'s likelihood; the SQL takes the joint density of the first two values, then one-step errors."""
+    return rounded(folds.loglike_fold(events_arrays(spark, sf_dir), ["event_type"], (2, 0, 0), [PHI, PHI2]), 5, "loglike")
+
+
+@query(f"""WITH RECURSIVE {CENTRED}, f AS (
+  SELECT event_type, t, y, y AS v, CAST((1 + 2 * {PHI} * {THETA} + {THETA} ** 2) / (1 - {PHI} ** 2) AS DOUBLE) AS f FROM c WHERE t = 0
+  UNION ALL
+  SELECT c.event_type, c.t, c.y, c.y - {PHI} * f.y - {THETA} * f.v / f.f, 1 + {THETA} ** 2 - {THETA} ** 2 / f.f FROM f JOIN c ON c.event_type = f.event_type AND c.t = f.t + 1)
+SELECT event_type, round(-count(*) / 2.0 * (ln(2 * pi()) + ln(sum(v * v / f) / count(*)) + 1) - 0.5 * sum(ln(f)), 5) AS loglike FROM f GROUP BY event_type""")
+def loglike_arma11_fold(spark, sf_dir):
+    return rounded(folds.loglike_fold(events_arrays(spark, sf_dir), ["event_type"], (1, 0, 1), [PHI, THETA]), 5, "loglike")
+
+
+@query(f"""WITH {CENTRED}, d AS (SELECT * FROM (SELECT event_type, t, y - lag(y) OVER (PARTITION BY event_type ORDER BY t) AS y FROM c) WHERE t >= 1),
+l AS (SELECT event_type, y, lag(y) OVER (PARTITION BY event_type ORDER BY t) AS b FROM d)
+SELECT event_type, round(-count(*) / 2.0 * (ln(2 * pi()) + ln((sum((y - {PHI} * b) ** 2) + max(CASE WHEN b IS NULL THEN y * y * (1 - {PHI} ** 2) END)) / count(*)) + 1) + 0.5 * ln(1 - {PHI} ** 2), 3) AS loglike
+FROM l GROUP BY event_type""")
+def loglike_arima110_fold(spark, sf_dir):
+    """A level with a diffuse start and AR(1) steps; the SQL is the steps' own likelihood."""
+    return rounded(folds.loglike_fold(events_arrays(spark, sf_dir), ["event_type"], (1, 1, 0), [PHI]), 3, "loglike")
+
+
+@query(f"""WITH RECURSIVE {CENTRED}, f AS (
+  SELECT event_type, t, y AS v, CAST(0 AS DOUBLE) AS v1, CAST(1 + {THETA} ** 2 AS DOUBLE) AS f, CAST(2 * {THETA} AS DOUBLE) AS f1 FROM c WHERE t = 0
+  UNION ALL
+  SELECT c.event_type, c.t, c.y - {THETA} * f.v / f.f, -(f.v / f.f) - {THETA} * (f.v1 * f.f - f.v * f.f1) / (f.f * f.f),
+    1 + {THETA} ** 2 - {THETA} ** 2 / f.f, 2 * {THETA} - 2 * {THETA} / f.f + {THETA} ** 2 * f.f1 / (f.f * f.f) FROM f JOIN c ON c.event_type = f.event_type AND c.t = f.t + 1)
+SELECT event_type, round(-count(*) / 2.0 * (ln(2 * pi()) + ln(sum(v * v / f) / count(*)) + 1) - 0.5 * sum(ln(f)), 5) AS loglike,
+  round(-count(*) / 2.0 * sum((2 * v * v1 * f - v * v * f1) / (f * f)) / sum(v * v / f) - 0.5 * sum(f1 / f), 5) AS score FROM f GROUP BY event_type""")
+def score_ma1_fold(spark, sf_dir):
+    return rounded(folds.ma1_score(events_arrays(spark, sf_dir), ["event_type"], THETA).drop("curvature"), 5, "loglike", "score")
+
+
+@query()
+def fit_ma1_fold(spark, sf_dir):
+    """Newton steps inside a fold; the tests hold it against the other optimiser."""
+    return folds.fit_ma1_fold(events_arrays(spark, sf_dir), ["event_type"])
+
+
+SEASON, SEASONAL_THETA = 24, -0.6
+
+
+@query(f"""WITH RECURSIVE h AS (SELECT event_type, date_trunc('hour', ts) AS b, sum(value) AS y FROM events GROUP BY ALL),
+r AS (SELECT event_type, unnest(generate_series(min(b), max(b), INTERVAL 1 HOUR)) AS b FROM h GROUP BY event_type),
+p AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY b) - 1 AS t, coalesce(y, 0) AS y FROM r LEFT JOIN h USING (event_type, b)),
+c AS (SELECT event_type, t, y - avg(y) OVER (PARTITION BY event_type) AS y FROM p), f AS (
+  SELECT event_type, t, y AS v, CAST(1 + {SEASONAL_THETA**2} AS DOUBLE) AS f FROM c WHERE t < {SEASON}
+  UNION ALL
+  SELECT c.event_type, c.t, c.y - ({SEASONAL_THETA}) * f.v / f.f, 1 + {SEASONAL_THETA**2} - {SEASONAL_THETA**2} / f.f FROM f JOIN c ON c.event_type = f.event_type AND c.t = f.t + {SEASON})
+SELECT event_type, round(-count(*) / 2.0 * (ln(2 * pi()) + ln(sum(v * v / f) / count(*)) + 1) - 0.5 * sum(ln(f)), 4) AS loglike FROM f GROUP BY event_type""")
+def loglike_seasonal_ma(spark, sf_dir):
+    """Hours with a season of a day: a series is as many moving averages of order one as the season has hours, which the SQL folds."""
+    hours = panel.bucketed(table(spark, sf_dir, "events"), ["event_type"], F.col("ts"), "hour", {"y": F.sum("value")})
+    rows = panel.long_panel(panel.gap_filled(hours, ["event_type"], "hour"), ["event_type"], F.col("bucket"), F.col("y"))
+    arrays = panel.to_arrays(centred(rows, ["event_type"]), ["event_type"])
+    return rounded(sarimax.loglike(arrays, ["event_type"], Spec.of((0, 0, 0), (0, 0, 1, SEASON)), [SEASONAL_THETA]).drop("error"), 4, "loglike")
+
+
 @query(f"""WITH {LAGGED}, s AS (SELECT 2.5 AS sigma2) SELECT event_type, round(-0.5 * (count(b) * ln(2 * pi()) + count(b) * ln(any_value(sigma2)) + sum((y - {PHI} * b) ** 2) / any_value(sigma2)), 3) AS loglike
 FROM l, s WHERE b IS NOT NULL GROUP BY event_type""")
 def loglike_full_scale(spark, sf_dir):
@@ -343,11 +469,14 @@ def residuals_ar1(spark, sf_dir):
 
 
 @query("""
-SELECT CAST(i AS INTEGER) AS idx, name FROM (VALUES (0, 'x1'), (1, 'ar.L1'), (2, 'ar.L2'), (3, 'ma.L1'), (4, 'ar.S.L12'), (5, 'ma.S.L12'), (6, 'ma.S.L24'), (7, 'sigma2')) AS v(i, name)
+SELECT event_type, CAST(i AS INTEGER) AS idx, name FROM (SELECT DISTINCT event_type FROM events),
+  (VALUES (0, 'x1'), (1, 'ar.L1'), (2, 'ar.L2'), (3, 'ma.L1'), (4, 'ar.S.L12'), (5, 'ma.S.L12'), (6, 'ma.S.L24'), (7, 'sigma2')) AS v(i, name)
 """)
 def param_names(spark, sf_dir):
+    """Each series with the names of its model's parameters."""
     spec = Spec.of((2, 1, 1), (1, 1, 2, 12), n_exog=1, concentrate_scale=False)
-    return spark.range(1).select(F.posexplode(F.array(*[F.lit(n) for n in spec.names])).alias("idx", "name"))
+    series_ids = table(spark, sf_dir, "events").select("event_type").distinct()
+    return series_ids.select("event_type", F.posexplode(F.array(*[F.lit(n) for n in spec.names])).alias("idx", "name"))
 
 
 @query("""

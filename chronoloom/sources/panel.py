@@ -6,12 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoloom.operators.ranges import joined
 
-def long_panel(rows: DataFrame, ids: list[str], order: Column, y: Column, exog: dict[str, Column] | None = None) -> DataFrame:
-    """ids, t (0, 1, ... by `order` within ids), y and the regressors as doubles, one row for each row of `rows`."""
-    numbered = F.row_number().over(Window.partitionBy(*ids).orderBy(order)) - 1
+
+def long_panel(rows: DataFrame, ids: list[str], order: Column, y: Column, exog: dict[str, Column] | None = None, span: Column | None = None) -> DataFrame:
+    """ids, t (0, 1, ... by `order` within ids), y and the regressors as doubles, one row for each row of `rows`.
+
+    With `span`, a stretch of time such as the day or the month of `order`, rows are numbered in each span from the number of those
+    in the spans before it: no task gets more than one span of a series. Without it, a series is numbered in one task.
+    """
     extra = [c.cast("double").alias(n) for n, c in (exog or {}).items()]
-    return rows.select(*ids, numbered.cast("int").alias("t"), y.cast("double").alias("y"), *extra)
+    if span is None:
+        numbered = F.row_number().over(Window.partitionBy(*ids).orderBy(order)) - 1
+        return rows.select(*ids, numbered.cast("int").alias("t"), y.cast("double").alias("y"), *extra)
+    spanned = rows.select(*ids, span.alias("_span"), order.alias("_order"), y.cast("double").alias("y"), *extra)
+    counts = spanned.groupBy(*ids, "_span").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*ids).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*ids, "_span", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*ids, "_span").orderBy("_order")) - 1
+    told = joined(spanned, starts, [*ids, "_span"])
+    return told.select(*ids, (F.col("_start") + inside).cast("int").alias("t"), "y", *(exog or {}))
 
 
 def bucketed(rows: DataFrame, ids: list[str], when: Column, unit: str, aggs: dict[str, Column]) -> DataFrame:
