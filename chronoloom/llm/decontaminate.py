@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.llm.common import ascii_lower, cut, may_be_among, words
+from chronoloom.llm.common import ascii_lower, cut, literal_array, may_be_among, words
 
 SHINGLE = 5
 CONTAINED = 80  # per cent of an item's distinct shingles
 BROADCAST_BYTES = 32 << 20  # what is broadcast of the items at most; more is joined by shuffle
+BITMAP_WORDS = 1 << 18  # of 64 bits: the sketches' bitmap at most, 2 MB; one word a sketch entry below that
+NO_ID_SALTS = 64
 ENTRY_BYTES = 64  # of a sketch entry or an array element, ids and overhead included
 
 
@@ -60,14 +62,40 @@ def class_key(size_class: int, h: Column) -> Column:
     return h.bitwiseXOR(F.lit((size_class * 0x1F3D5B79A1C2E4D7) % 2**63))
 
 
-def looked_up(docs: DataFrame, classes: list[tuple[int, int]], n: int) -> DataFrame:
-    """doc_id, _size_class, _key: for each class, those of a document's shingle hashes that reach no further than its threshold."""
-    hashes = hashed_shingles(word_hashes(F.col("text")), n)
+def _place(h: Column, n_words: int) -> tuple[Column, Column]:
+    """The word of the bitmap that a hash belongs to, and its bit in it."""
+    return F.pmod(h, F.lit(n_words)).cast("int"), F.call_function("shiftrightunsigned", h, F.lit(40)).bitwiseAND(F.lit(63)).cast("int")
+
+
+def sketch_bitmap(sketch: DataFrame, n_entries: int) -> list[int]:
+    """A bitmap of the sketches' hashes, as 64-bit words: about one in 64 hashes that aren't in a sketch is taken for one that is."""
+    n_words = min(BITMAP_WORDS, 1 << max(6, (n_entries - 1).bit_length()))
+    word, bit = _place(F.col("_hash"), n_words)
+    held = sketch.select(word.alias("_w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_b")).groupBy("_w").agg(F.bit_or("_b"))
+    out = [0] * n_words
+    for w, bits in held.collect():
+        out[w] = bits
+    return out
+
+
+def looked_up(docs: DataFrame, classes: list[tuple[int, int]], n: int, bitmap: list[int] | None = None) -> DataFrame:
+    """The columns of `docs` but the text, _size_class, _key: for each class, those of a document's shingle hashes that reach no
+    further than its threshold. With a bitmap of the sketches, hashes that are in no sketch stay in their arrays and make no row.
+    """
+    hashes, ids = hashed_shingles(word_hashes(F.col("text")), n), [c for c in docs.columns if c != "text"]
     least = max([t for _, t in classes], default=-(2**63))
-    told = docs.select("doc_id", F.explode(F.array_distinct(F.filter(hashes, lambda h: h <= least))).alias("_hash"))
+    known = literal_array(bitmap, "bigint") if bitmap else None
+
+    def wanted(h: Column) -> Column:
+        if known is None:
+            return h <= least
+        word, bit = _place(h, len(bitmap))
+        return (h <= least) & (F.call_function("shiftright", F.get(known, word), bit).bitwiseAND(F.lit(1)) == 1)
+
+    told = docs.select(*ids, F.explode(F.array_distinct(F.filter(hashes, wanted))).alias("_hash"))
     each = [F.when(F.col("_hash") <= top, F.struct(F.lit(c).alias("_size_class"), class_key(c, F.col("_hash")).alias("_key"))) for c, top in classes]
     none = F.array().cast("array<struct<_size_class:int,_key:bigint>>")
-    return told.select("doc_id", F.explode(F.array_compact(F.array(*each)) if each else none).alias("_e")).select("doc_id", "_e.*")
+    return told.select(*ids, F.explode(F.array_compact(F.array(*each)) if each else none).alias("_e")).select(*ids, "_e.*")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, contained: int = CONTAINED) -> DataFrame:
@@ -102,24 +130,37 @@ def _result_type(docs: DataFrame, items: DataFrame) -> T.StructType:
 
 
 def _contained(docs: DataFrame, items: DataFrame, n: int, contained: int) -> DataFrame:
+    # rows without an id are told apart by their texts, so that they don't meet in one task
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(NO_ID_SALTS)).cast("int")).otherwise(0)
+    docs = docs.withColumn("_salt", salt)
     sketch = cut(sketches(items, n, contained))
     classes = class_thresholds(sketch)
     entries = sketch.select("item_id", F.coalesce(*[F.when(F.col("_size_class") == c, class_key(c, F.col("_hash"))) for c, _ in classes], F.col("_hash")).alias("_key"))
-    small = sketch.count() * ENTRY_BYTES <= BROADCAST_BYTES
-    pairs = looked_up(docs, classes, n).join(F.broadcast(entries) if small else entries, "_key").select("doc_id", "item_id").distinct()
+    n_entries = sketch.count()
+    small = n_entries * ENTRY_BYTES <= BROADCAST_BYTES
+    probes = looked_up(docs, classes, n, sketch_bitmap(sketch, n_entries))
+    pairs = probes.join(F.broadcast(entries) if small else entries, "_key").select("doc_id", "_salt", "item_id").distinct()
     candidates = cut(pairs)
     known = cut(items.select("item_id", shingles(F.col("text"), n).alias("_item")))
     size = known.agg(F.sum(F.octet_length(F.array_join("_item", "")) + ENTRY_BYTES * (1 + F.size("_item")))).first()[0] or 0
-    wanted = candidates.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, candidates["item_id"].eqNullSafe(known["item_id"])).select("doc_id", candidates["item_id"], "_item")
-    some = may_be_among(docs, F.col("doc_id"), candidates.select("doc_id").distinct(), "_maybe").where("_maybe")
+    wanted = candidates.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, candidates["item_id"].eqNullSafe(known["item_id"])).select("doc_id", "_salt", candidates["item_id"], "_item")
+    key = F.xxhash64("doc_id", "_salt")
+    some = may_be_among(docs, key, candidates.select(key.alias("_id")).distinct(), "_maybe").where("_maybe")
     # each text's shingles are made once, then met with its candidates
-    texts = some.select(F.col("doc_id").alias("_doc"), shingles(F.col("text"), n).alias("_own"))
-    both = wanted.join(texts, wanted["doc_id"].eqNullSafe(texts["_doc"]))
+    texts = some.select(F.col("doc_id").alias("_doc"), F.col("_salt").alias("_with"), shingles(F.col("text"), n).alias("_own"))
+    both = wanted.join(texts, wanted["doc_id"].eqNullSafe(texts["_doc"]) & (wanted["_salt"] == texts["_with"]))
     counted = both.select("doc_id", "item_id", F.size("_item").alias("n_item"), F.size(F.array_intersect("_item", "_own")).alias("n_shared"))
     return counted.where(F.col("n_shared") * 100 >= F.col("n_item") * contained)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, n: int = SHINGLE, contained: int = CONTAINED) -> DataFrame:
-    """The rows of `docs` that contain none of `items`; see contained_items."""
-    hits = contained_items(docs, items, n, contained).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit"]), "left_anti")
+    """The rows of `docs` that contain none of `items`; see contained_items.
+
+    A bitmap of the ids that go keeps the texts of nearly all others out of the shuffle. Rows without an id go or stay together,
+    which is one question to the result, no join.
+    """
+    hits = cut(contained_items(docs, items, n, contained).select(F.col("doc_id").alias("_hit")).distinct())
+    without = docs.where("doc_id is null") if hits.where("_hit is null").isEmpty() else docs.where("false")
+    told = may_be_among(docs.where("doc_id is not null"), F.col("doc_id"), hits, "_maybe_hit")
+    doubted = told.where("_maybe_hit").join(hits, F.col("doc_id") == F.col("_hit"), "left_anti")
+    return told.where("not _maybe_hit").unionByName(doubted).drop("_maybe_hit").unionByName(without)
