@@ -14,7 +14,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # of all words
 MOST = 2  # times a source, and so a document, is taken at most
 BLOCK_WORDS = 256
-SHARD_BLOCKS = 65536
+SHARD_BLOCKS = 256  # of an output shard, at least
+MOST_SHARDS = 65536  # shards are larger where there would be more
 SEED = 20240229
 LOG2_SOURCES = 17
 TASK_SLOTS, CHUNK_SLOTS = 1 << 17, 1 << 12  # slots that one task makes, and in one piece
@@ -69,7 +70,7 @@ def with_permuted(df: DataFrame, name: str, index: Column, n: Column, *salt: Col
     return df.select(*columns, F.col("_x").alias(name))
 
 
-def drawn_counts(plan: list, spark: SparkSession, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+def drawn_counts(plan: list, spark: SparkSession, seed: int = SEED, shard_blocks: int | None = None) -> DataFrame:
     """out_shard, _source, count: how many blocks of each source each output shard draws.
 
     `plan` has (source, blocks owed). Every shard draws a source for each of its places with the sources' shares of what is
@@ -78,6 +79,7 @@ def drawn_counts(plan: list, spark: SparkSession, seed: int = SEED, shard_blocks
     plan = [(s, n) for s, n in plan if n > 0]
     ends = list(accumulate(n for _, n in plan))
     total = ends[-1] if ends else 0
+    shard_blocks = shard_blocks or blocks_of_a_shard(total)
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(max(total, 1)))
     # source names may hold any character, so they are a list of literals; there are fewer than 2**LOG2_SOURCES
     names = F.lit([s for s, _ in plan] or [""])
@@ -86,11 +88,15 @@ def drawn_counts(plan: list, spark: SparkSession, seed: int = SEED, shard_blocks
     return places.select(F.floor(F.col("id") / shard_blocks).alias("out_shard"), source.alias("_source")).groupBy("out_shard", "_source").count()
 
 
+def blocks_of_a_shard(total: int) -> int:
+    return max(SHARD_BLOCKS, -(-total // MOST_SHARDS))
+
+
 def parallel(n_slots: int) -> int:
     return max(1, -(-n_slots // TASK_SLOTS))
 
 
-def drawn_slots(owed: DataFrame, plan: list, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+def drawn_slots(owed: DataFrame, plan: list, seed: int = SEED, shard_blocks: int | None = None) -> DataFrame:
     """One row for each slot of the mix: out_shard, _source, slot, rank.
 
     `owed` has _source, _owed (blocks to take) and _most (blocks that can be taken); `plan` has (_source, _owed), sorted. The
@@ -99,6 +105,7 @@ def drawn_slots(owed: DataFrame, plan: list, seed: int = SEED, shard_blocks: int
     one that was drawn less gets further slots in shards by hash. So every source has _owed slots; rank counts them from 0.
     """
     total = sum(n for _, n in plan)
+    shard_blocks = shard_blocks or blocks_of_a_shard(total)
     n_shards = max(1, -(-total // shard_blocks))
     before = Window.partitionBy("_source").orderBy("out_shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = cut(drawn_counts(plan, owed.sparkSession, seed, shard_blocks).withColumn("_from", F.coalesce(F.sum("count").over(before), F.lit(0))))
@@ -118,7 +125,7 @@ def drawn_slots(owed: DataFrame, plan: list, seed: int = SEED, shard_blocks: int
     return kept.select(F.coalesce("out_shard", by_hash).alias("out_shard"), "_source", "slot", "rank")
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, shard_blocks: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mixes the sources of `docs` (doc_id, text, source) to their targets.
 
     Returns three DataFrames:
@@ -171,15 +178,15 @@ def pieces(rows: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) ->
     return met.select("_source", "_start", low.alias("from"), high.alias("to"), "pass", "out_shard").where(F.col("from") < F.col("to"))
 
 
-def mix_digest(docs: DataFrame) -> DataFrame:
+def mix_digest(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, shard_blocks: int | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of documents; see mix().
 
     More columns: n_pieces, in how many takings of blocks the document's words are, and first_shard, the least output shard that
     has any of them (null where nothing is taken).
     """
-    rows, sources, slots = mix(docs)
+    rows, sources, slots = mix(docs, block_words, seed, shard_blocks)
     rows = cut(rows)
-    taken = pieces(rows, slots).groupBy("_source", "_start").agg(F.sum(F.col("to") - F.col("from")).alias("_taken"), F.count("*").alias("_pieces"), F.min("out_shard").alias("_shard"))
+    taken = pieces(rows, slots, block_words).groupBy("_source", "_start").agg(F.sum(F.col("to") - F.col("from")).alias("_taken"), F.count("*").alias("_pieces"), F.min("out_shard").alias("_shard"))
     out = rows.join(taken, ["_source", "_start"], "left").join(F.broadcast(sources), "_source")
     of = lambda c: F.when(F.col("size") > 0, F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
     return out.select(
@@ -205,7 +212,7 @@ def with_starts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return met.where("not _place").select("_source", F.col("_at").alias("_start"), "size", "text")
 
 
-def packed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+def packed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, shard_blocks: int | None = None) -> DataFrame:
     """The mix as output shards of packed blocks: shard, position, source, block, n_words, text.
 
     One row for each block that a shard drew; see mix(). text has the block's words, one space between two, over the borders of
