@@ -77,6 +77,37 @@ JOIN sides c ON c.pair_id = s.pair_id AND c.conv_id = s.chosen_id
 JOIN sides r ON r.pair_id = s.pair_id AND r.conv_id = s.rejected_id
 """
 
+# Each conversation against its own turns with the next one's last answer in place of its last.
+ANSWER_PREFERENCES = """
+WITH numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), answers AS (
+  SELECT conv_id, max(k) AS own, arg_max(text, k) AS answer FROM numbered WHERE role = 'assistant' GROUP BY conv_id
+), pairs AS (
+  SELECT conv_id, own, coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS rejected_id, coalesce(lead(answer) OVER w, first_value(answer) OVER w) AS other
+  FROM answers WINDOW w AS (ORDER BY conv_id)
+), sides AS (
+  SELECT conv_id, rejected_id, k, role, true AS is_chosen, text, k = own AND text <> other AS differs FROM numbered JOIN pairs USING (conv_id)
+  UNION ALL
+  SELECT conv_id, rejected_id, k, role, false, CASE WHEN k = own THEN other ELSE text END, k = own AND text <> other FROM numbered JOIN pairs USING (conv_id)
+), shared AS (
+  SELECT *, coalesce(min(CASE WHEN differs THEN k END) OVER (PARTITION BY conv_id) - 1, max(k) OVER (PARTITION BY conv_id)) AS n_prompt_turns FROM sides
+), parts AS (
+  SELECT *, k <= n_prompt_turns AS in_prompt, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS told, length(role) + 13 AS head, length(text) + 10 AS body FROM shared
+), placed AS (
+  SELECT *, sum(head + body + 1) OVER (PARTITION BY conv_id, is_chosen, in_prompt ORDER BY k ROWS UNBOUNDED PRECEDING) - (head + body + 1) AS pos FROM parts
+), told AS (
+  SELECT conv_id, is_chosen, any_value(rejected_id) AS rejected_id, any_value(n_prompt_turns) AS n_prompt_turns,
+    coalesce(string_agg(told, '' ORDER BY k) FILTER (WHERE in_prompt), '') AS prompt, coalesce(string_agg(told, '' ORDER BY k) FILTER (WHERE NOT in_prompt), '') AS completion,
+    coalesce(string_agg(CAST(pos + head AS BIGINT) || ':' || CAST(pos + head + body AS BIGINT), ',' ORDER BY k) FILTER (WHERE NOT in_prompt AND role = 'assistant'), '') AS mask
+  FROM placed GROUP BY conv_id, is_chosen
+)
+SELECT c.conv_id AS pair_id, c.conv_id AS chosen_id, c.rejected_id, CAST(c.n_prompt_turns AS INTEGER) AS n_prompt_turns, c.prompt,
+  c.completion AS chosen, r.completion AS rejected, c.mask AS chosen_mask, r.mask AS rejected_mask
+FROM told c JOIN told r ON r.conv_id = c.conv_id AND c.is_chosen AND NOT r.is_chosen
+"""
+
 # op8 by brute force over all pairs that share a shingle; components by repeated minima along links.
 JACCARD = r"""
 WITH RECURSIVE d AS (
@@ -275,6 +306,7 @@ FROM p
 
 ORACLES = {
     "op2_benchmark_decontamination": DECONTAMINATION,
+    "op4_answer_preferences": ANSWER_PREFERENCES,
     "op4_preference_formatting": PREFERENCES,
     "op5_url_rules": URL_RULES,
     "op6_sharding": SHARD_DIGEST,

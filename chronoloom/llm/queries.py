@@ -98,7 +98,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = [
-        op1_quality_classifier, op2_benchmark_decontamination, op3_source_mixing, op3_packed_shards, op4_preference_formatting, op4_answer_preferences, op5_url_filter, op5_url_rules, op6_sharding,
+        op1_quality_classifier, op2_benchmark_decontamination, op3_source_mixing, op3_packed_shards, op4_answer_preferences, op4_preference_formatting, op5_url_filter, op5_url_rules, op6_sharding,
         op7_token_counts, op8_jaccard_join, op8_jaccard_links, op9_quality_rules, op9_base_rules, op10_secret_scan,
         op11_periodic_runs, op12_merkle_manifest, op13_warc,
     ]

@@ -279,6 +279,58 @@ def test_classes_of_size_look_up_by_themselves(spark):
     assert dict(classes) == tops
 
 
+def test_a_bitmap_of_sketches_makes_few_lookups(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    sketch = decontaminate.sketches(items, 5)
+    classes = decontaminate.class_thresholds(sketch)
+    bitmap = decontaminate.sketch_bitmap(sketch, sketch.count())
+    found = decontaminate.looked_up(docs.select("doc_id", "text"), classes, 5, bitmap)
+    every = decontaminate.looked_up(docs.select("doc_id", "text"), classes, 5)
+    n = docs.select(F.explode(F.array_distinct(decontaminate.hashed_shingles(decontaminate.word_hashes(F.col("text")), 5)))).count()
+    assert found.count() < n / 10
+    keys = sketch.select(F.coalesce(*[F.when(F.col("_size_class") == c, decontaminate.class_key(c, F.col("_hash"))) for c, _ in classes]).alias("_key")).distinct()
+    met = lambda df: Counter((r.doc_id, r._size_class, r._key) for r in df.join(keys, "_key").collect())
+    assert met(found) == met(every) and met(found)
+
+
+def test_decontamination_shuffles_few_texts(spark, hard_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    kept = decontaminate.decontaminated(docs, items)
+    hits = {r.doc_id for r in decontaminate.contained_items(docs, items).select("doc_id").distinct().collect()}
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - hits
+    gone = {r.doc_id for r in decontaminate.may_be_among(docs, F.col("doc_id"), spark.createDataFrame([(h,) for h in hits], "h long"), "_m").where("_m").collect()}
+    assert hits <= gone and len(gone) < len(hits) + docs.count() / 10
+
+
+def mixed_by_hand(docs, block_words, seed, spark):
+    """What each document gives, from the blocks that the slots take, word by word."""
+    rows, _, slots = mixing.mix(docs, block_words, seed)
+    streams = defaultdict(dict)
+    held = [(r._source, r._start, r["size"], r.doc_id) for r in rows.collect()]
+    for source, start, n, doc_id in held:
+        for k in range(n):
+            streams[source][start + k] = doc_id
+    taken = Counter()
+    for s in slots.collect():
+        for k in range(s.block * block_words, s.block * block_words + s.n_words):
+            taken[streams[s._source][k]] += 1
+    return taken, {s.out_shard for s in slots.collect()}
+
+
+def test_taken_words_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["doc_id"])
+    taken, shards = mixed_by_hand(docs, mixing.BLOCK_WORDS, mixing.SEED, spark)
+    got = {r.doc_id: r.taken for r in mixing.mix_digest(docs).collect()}
+    assert got == {d: taken[d] for d in got} and len(shards) > 1
+
+
+def test_counts_by_shard_differ_with_the_seed(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    firsts = [Counter(r.first_shard for r in mixing.mix_digest(docs, seed=seed).collect()) for seed in (mixing.SEED, 7)]
+    assert firsts[0] != firsts[1] and min(len(f) for f in firsts) > 3
+
+
 def test_rows_without_an_id_are_many(spark):
     rows = [(None, f"{WORDS[i % 7]} the quick brown fox jumps over the lazy dog {i % 5} tail AKIA{'A' * 16}") for i in range(600)] + [(i, None) for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
