@@ -167,7 +167,7 @@ def manifest(leaves: DataFrame) -> DataFrame:
     nodes = told.rdd.map(lambda r: ((r[0], r[1]), (bytes.fromhex(r[2]), r[3], (r[4], r[5], r[6]))))
     n_leaves, sources = placed.count(), ends.agg(F.count("*"), F.coalesce(F.max("_place") + 1, F.lit(0))).first()
     steps, tops = climb(nodes, n_leaves, sources[1])
-    tops = _kept(tops.coalesce(_tasks(sc, sources[0])))
+    tops = _kept(tops.coalesce(_tasks(sc, sources[0]), shuffle=True))  # picked where the nodes are
     last = sources[0] - 1
     ordered = tops.sortBy(lambda t: t[0].encode(), numPartitions=_tasks(sc, sources[0])).zipWithIndex()
     groups = ordered.map(lambda t: (("", t[1]), (t[0][1], t[1] == last, (t[0][0], t[0][3], t[0][2]))))
@@ -175,7 +175,7 @@ def manifest(leaves: DataFrame) -> DataFrame:
     # paths of the sources' tops: (source, height, (path, (subroot, root)), payload); a single source is the root, with an empty path
     above = descend(upper, roots.map(lambda t: (t[0], t[3], ((), t[1])))).map(lambda t: (t[3][0], t[3][1], (t[1][0], (t[2], t[1][1])), t[3][2]))
     alone = roots.filter(lambda t: t[3] == 0).map(lambda t: (t[2][0], t[2][1], ((), (t[1], t[1])), t[2][2]))
-    above = _kept(above.union(alone).coalesce(_tasks(sc, sources[0])))
+    above = _kept(above.union(alone).coalesce(_tasks(sc, sources[0]), shuffle=True))
     below = descend(steps, above).map(lambda t: _proof_row(t[3], t[2], t[1][0], *t[1][1]))
     single = above.filter(lambda t: t[1] == 0).map(lambda t: _proof_row(t[3], t[2][1][0], t[2][0], *t[2][1]))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "source", "claim"))
