@@ -19,7 +19,7 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     """Joins on keys of which any may be null: a null is a key like others."""
     named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(named[f"_right_{k}"]) for k in keys])
-    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys if how != "left_anti"])
 
 
 def range_size(most: int, rows: int | None = None) -> int:

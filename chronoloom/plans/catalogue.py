@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.spec import Spec
-from chronoloom.operators import folds, ranges, sarimax, series
+from chronoloom.operators import folds, ranges, sarimax, series, table_functions
 from chronoloom.operators.model import SarimaxPanel
 from chronoloom.sources import panel
 
@@ -454,6 +454,16 @@ def forecast_ar1(spark, sf_dir):
     return rounded(rounded(got, 4, "mean", "ci_lower", "ci_upper"), 3, "variance")
 
 
+@query(FIT_SQL + f"""SELECT l_suppkey, CAST(h AS INTEGER) AS h, round(mean, 4) AS mean, round(variance, 3) AS variance,
+  round(mean - {Z05!r} * sqrt(variance), 4) AS ci_lower, round(mean + {Z05!r} * sqrt(variance), 4) AS ci_upper FROM ({AHEAD.format(n=STEPS + 1)})""")
+def forecast_table_function(spark, sf_dir):
+    """The rows of forecast_ar1, by SQL."""
+    arrays, fits = _ar1_params(spark, sf_dir)
+    table_functions.register(spark)
+    text = f"SELECT l_suppkey, f.h, f.mean, f.variance, f.ci_lower, f.ci_upper FROM {{fitted}} s, LATERAL sarimax_forecast(s.y, s.params, array(1, 0, 0), array(0, 0, 0, 0), {STEPS}, 0.05D) f"
+    return rounded(rounded(spark.sql(text, fitted=arrays.join(fits, "l_suppkey")), 4, "mean", "ci_lower", "ci_upper"), 3, "variance")
+
+
 @query(FIT_SQL + f"""SELECT l_suppkey, CAST(h AS INTEGER) AS h, round(mean - {Z10!r} * sqrt(variance), 4) AS ci_lower,
   round(mean + {Z10!r} * sqrt(variance), 4) AS ci_upper FROM ({AHEAD.format(n=STEPS + 1)})""")
 def conf_int_alpha(spark, sf_dir):
@@ -565,6 +575,23 @@ def forecast_exog(spark, sf_dir):
     return rounded(rounded(got, 4, "mean", "ci_lower", "ci_upper"), 3, "variance")
 
 
+def _future(spark, sf_dir) -> DataFrame:
+    """Future discounts in long form, with gaps: suppliers by their number lack all, the last step, or have one that isn't a number."""
+    of = F.pmod(F.col("l_suppkey"), F.lit(5))
+    last = supplier_monthly(spark, sf_dir).select("l_suppkey", (F.col("t") + 1).alias("h"), F.when((of == 2) & (F.col("t") == 1), float("nan")).otherwise(F.col("x1")).alias("x1"))
+    return last.where(F.col("h") <= STEPS).where((of != 0) & ~((of == 1) & (F.col("h") == STEPS)))
+
+
+@query(f"""WITH {SUPPLIERS}, f AS (
+  SELECT l_suppkey, t + 1 AS h FROM supplier_monthly WHERE t + 1 <= {STEPS} AND l_suppkey % 5 <> 0 AND NOT (l_suppkey % 5 = 1 AND t + 1 = {STEPS})),
+n AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE h = 2) AS second FROM f GROUP BY l_suppkey)
+SELECT s.l_suppkey, coalesce(n, 0) AS n_future, CASE WHEN n IS NULL THEN 'future_exog is required' WHEN n < {STEPS} THEN 'future_exog has ' || n || ' of {STEPS} steps'
+  WHEN s.l_suppkey % 5 = 2 AND second > 0 THEN 'future_exog contains NaN or Inf' END AS error
+FROM (SELECT DISTINCT l_suppkey FROM lineitem) s LEFT JOIN n USING (l_suppkey)""")
+def future_regressors(spark, sf_dir):
+    return panel.future_quality(supplier_monthly(spark, sf_dir), _future(spark, sf_dir), ["l_suppkey"], ["x1"], STEPS)
+
+
 @query()
 def param_summary_hessian(spark, sf_dir):
     spec, arrays = Spec.of((1, 0, 1)), supplier_arrays(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,3 +65,31 @@ def unpaired(panel: DataFrame, params: DataFrame, ids: list[str]) -> DataFrame:
     left = series.join(params, ids, "left_anti").select(*ids, F.lit("no parameters for this series").alias("error"))
     right = params.join(series, ids, "left_anti").select(*ids, F.lit("no series for these parameters").alias("error"))
     return left.unionByName(right)
+
+
+def future_arrays(future: DataFrame, ids: list[str], exog: list[str], steps: int) -> DataFrame:
+    """ids and future_x, an array for each regressor, from long future rows (ids, h = 1, 2, ..., regressors); h beyond `steps` goes."""
+    rows = F.array_sort(F.collect_list(F.struct("h", *exog)))
+    packed = future.where(F.col("h").between(1, steps)).groupBy(*ids).agg(rows.alias("_rows"))
+    return packed.select(*ids, F.array(*[F.col(f"_rows.{c}") for c in exog]).alias("future_x"))
+
+
+def future_quality(panel: DataFrame, future: DataFrame, ids: list[str], exog: list[str], steps: int) -> DataFrame:
+    """For each series: n_future, the different h of 1 to `steps` that it has, and the error that forecasting it would give, or null.
+
+    Counts come by aggregation on either side, so no series' rows meet in one task. Future rows of no series have an error too.
+    """
+    wrong = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")) for c in exog])
+    used = future.where(F.col("h").between(1, steps))
+    told = used.groupBy(*ids).agg(F.countDistinct("h").alias("_n"), F.count("*").alias("_rows"), F.sum(wrong.cast("long")).alias("_wrong"))
+    series = panel.select(*ids).distinct().withColumn("_known", F.lit(True))
+    both = joined(series, told, ids, "left").unionByName(joined(told, series, ids, "left_anti").withColumn("_known", F.lit(False)))
+    n = F.coalesce("_n", F.lit(0)).cast("long")
+    error = (
+        F.when(~F.col("_known"), "no series for this future")
+        .when(n == 0, "future_exog is required")
+        .when(n < steps, F.concat(F.lit("future_exog has "), n.cast("string"), F.lit(f" of {steps} steps")))
+        .when(F.col("_rows") > n, "future_exog repeats a step")
+        .when(F.col("_wrong") > 0, "future_exog contains NaN or Inf")
+    )
+    return both.select(*ids, n.alias("n_future"), error.alias("error"))
