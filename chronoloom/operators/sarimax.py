@@ -41,48 +41,65 @@ def _problem(spec: Spec, y, x, least: int) -> str | None:
     return None
 
 
-def _mapped(series: DataFrame, ids: list[str], spec: Spec, columns: str, names: list[str], least: int, run: Callable[..., list[dict]], extra: tuple[str, ...] = (), padded: bool = False) -> DataFrame:
-    """Calls run(y, x, rows, length) for the series of one length in a batch; it returns one dict a series.
+def _answered(rows: pd.DataFrame, ids: list[str], spec: Spec, names: list[str], least: int, run: Callable[..., list[dict]], padded: bool) -> pd.DataFrame:
+    """ids and `names` for the series of a batch: run(y, x, rows, length) gets those of one length and returns one dict a series.
 
     With `padded`, series of about one length go together, with zeros behind the shorter ones.
     """
-    wanted = [*ids, "y", *(["x"] if spec.n_exog else []), *extra]
+    out: list[dict | None] = [None] * len(rows)
+    by_length: dict[int, list[int]] = {}
+    for i in range(len(rows)):
+        problem = _problem(spec, rows["y"].iloc[i], rows["x"].iloc[i] if spec.n_exog else None, least)
+        if problem:
+            out[i] = {"error": problem}
+        else:
+            n = len(rows["y"].iloc[i])
+            by_length.setdefault(int(math.log(max(n, 1)) / PAD) if padded else n, []).append(i)
+    for some in by_length.values():
+        length = np.array([len(rows["y"].iloc[i]) for i in some])
+        y = np.zeros((len(some), length.max()))
+        x = np.zeros((*y.shape, spec.n_exog)) if spec.n_exog else None
+        for k, i in enumerate(some):
+            y[k, : length[k]] = rows["y"].iloc[i]
+            if spec.n_exog:
+                x[k, : length[k]] = np.stack([np.asarray(c, float) for c in rows["x"].iloc[i]], 1)
+        try:
+            got = run(y, x, rows.iloc[some], length)
+        except SERIES_ERRORS:  # one series can't take the others down: each on its own
+            got = []
+            for k, i in enumerate(some):
+                try:
+                    got += run(y[k : k + 1, : length[k]], None if x is None else x[k : k + 1, : length[k]], rows.iloc[[i]], length[k : k + 1])
+                except SERIES_ERRORS as e:
+                    got.append({"error": str(e)})
+        for i, result in zip(some, got):
+            out[i] = result
+    result = pd.DataFrame(out, columns=names).astype(object)
+    return pd.concat([rows[ids].reset_index(drop=True), result.where(result.notna(), None)], axis=1)
+
+
+def _id_columns(series: DataFrame, ids: list[str]) -> str:
     schema = T.StructType([series.schema[c] for c in ids]).simpleString()[7:-1]
+    return ", ".join(p.replace(":", " ", 1) for p in schema.split(","))
+
+
+def _mapped(series: DataFrame, ids: list[str], spec: Spec, columns: str, names: list[str], least: int, run: Callable[..., list[dict]], extra: tuple[str, ...] = (), padded: bool = False) -> DataFrame:
+    """Calls run(y, x, rows, length) for the series of one length in a batch; see _answered."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out: list[dict | None] = [None] * len(rows)
-            by_length: dict[int, list[int]] = {}
-            for i in range(len(rows)):
-                problem = _problem(spec, rows["y"].iloc[i], rows["x"].iloc[i] if spec.n_exog else None, least)
-                if problem:
-                    out[i] = {"error": problem}
-                else:
-                    n = len(rows["y"].iloc[i])
-                    by_length.setdefault(int(math.log(max(n, 1)) / PAD) if padded else n, []).append(i)
-            for some in by_length.values():
-                length = np.array([len(rows["y"].iloc[i]) for i in some])
-                y = np.zeros((len(some), length.max()))
-                x = np.zeros((*y.shape, spec.n_exog)) if spec.n_exog else None
-                for k, i in enumerate(some):
-                    y[k, : length[k]] = rows["y"].iloc[i]
-                    if spec.n_exog:
-                        x[k, : length[k]] = np.stack([np.asarray(c, float) for c in rows["x"].iloc[i]], 1)
-                try:
-                    got = run(y, x, rows.iloc[some], length)
-                except SERIES_ERRORS:  # one series can't take the others down: each on its own
-                    got = []
-                    for k, i in enumerate(some):
-                        try:
-                            got += run(y[k : k + 1, : length[k]], None if x is None else x[k : k + 1, : length[k]], rows.iloc[[i]], length[k : k + 1])
-                        except SERIES_ERRORS as e:
-                            got.append({"error": str(e)})
-                for i, result in zip(some, got):
-                    out[i] = result
-            result = pd.DataFrame(out, columns=names).astype(object)
-            yield pd.concat([rows[ids].reset_index(drop=True), result.where(result.notna(), None)], axis=1)
-
-    return series.select(*wanted).mapInPandas(work, f"{', '.join(p.replace(':', ' ', 1) for p in schema.split(','))}, {columns}")
+            yield _answered(rows, ids, spec, names, least, run, padded)
+
+    wanted = [*ids, "y", *(["x"] if spec.n_exog else []), *extra]
+    return series.select(*wanted).mapInPandas(work, f"{_id_columns(series, ids)}, {columns}")
+
+
+def _fitting(spec: Spec, method: str, maxiter: int | None, start_params: list[float] | None) -> Callable[..., list[dict]]:
+    def run(y, x, _rows, length):
+        starts = None if start_params is None else np.tile(np.array(start_params, float), (len(y), 1))
+        return estimate.fit(spec, y, x, method, maxiter, starts, length)
+
+    return run
 
 
 def fit(series: DataFrame, ids: list[str], spec: Spec, method: str = "lbfgsb", maxiter: int | None = None, start_params: list[float] | None = None) -> DataFrame:
@@ -92,11 +109,7 @@ def fit(series: DataFrame, ids: list[str], spec: Spec, method: str = "lbfgsb", m
     if start_params is not None:
         spec.check_params(start_params)
 
-    def run(y, x, _rows, length):
-        starts = None if start_params is None else np.tile(np.array(start_params, float), (len(y), 1))
-        return estimate.fit(spec, y, x, method, maxiter, starts, length)
-
-    return _mapped(series, ids, spec, FIT_COLUMNS, FIT_NAMES, spec.least_obs, run, padded=exact.usable(spec))
+    return _mapped(series, ids, spec, FIT_COLUMNS, FIT_NAMES, spec.least_obs, _fitting(spec, method, maxiter, start_params), padded=exact.usable(spec))
 
 
 def _given(rows: pd.DataFrame, spec: Spec) -> np.ndarray:
@@ -221,12 +234,42 @@ def parameter_summary(series: DataFrame, ids: list[str], spec: Spec, params: Dat
     )
 
 
-def order_search(series: DataFrame, ids: list[str], specs: list[Spec], criterion: str = "aic", **options) -> DataFrame:
-    """Fits every order to every series and keeps the best by `criterion`: ids, order, and the fit's columns."""
+def order_shares(specs: list[Spec], tasks: int) -> list[int]:
+    """How many of about `tasks` tasks each order gets, at least one each, in proportion to what a fit of it costs.
+
+    A quasi-Newton fit takes steps in proportion to its parameters, each with a likelihood at every parameter's neighbours; the
+    likelihood itself grows with the states.
+    """
+    cost = [(1 + s.n_params) ** 2 * (4 + s.n_states) for s in specs]
+    return [max(1, round(tasks * c / sum(cost))) for c in cost]
+
+
+def order_search(series: DataFrame, ids: list[str], specs: list[Spec], criterion: str = "aic", method: str = "lbfgsb", maxiter: int | None = None, tasks: int | None = None) -> DataFrame:
+    """Fits every order to every series and keeps the best by `criterion`: ids, order, and the fit's columns.
+
+    The panel is scanned and packed once. Each series then becomes a row an order, and each order's rows are spread over a number
+    of tasks in proportion to its cost, so that dear orders are not left to the end; a task has one order, whose series run
+    together. `tasks` is about how many there are (the session's shuffle partitions by default).
+    """
     from chronoloom.operators.series import best_by
 
-    tried = [fit(series, ids, s, **options).withColumn("order", F.lit(str((s.p, s.d, s.q, s.P, s.D, s.Q, s.s)))) for s in specs]
-    every = tried[0]
-    for t in tried[1:]:
-        every = every.unionByName(t)
-    return best_by(every, ids, criterion)
+    if method not in estimate.METHODS:
+        raise RuntimeError(f"optimization failed: unknown method {method}")
+    if not specs:
+        raise ValueError("order search needs at least one order")
+    shares = order_shares(specs, tasks or int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    begins = [sum(shares[:k]) for k in range(len(specs))]
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(b).alias("begin"), F.lit(n).alias("share")) for k, (b, n) in enumerate(zip(begins, shares))])
+    wanted = [*ids, "y", *(["x"] if any(s.n_exog for s in specs) else [])]
+    units = series.select(*wanted, F.explode(places).alias("_o"))
+    task = F.col("_o.begin") + F.pmod(F.xxhash64(*ids), F.col("_o.share").cast("long")).cast("int")
+    dealt = units.withColumn("_task", task).repartitionById(sum(shares), "_task").select(*wanted, F.col("_o.k").alias("_order"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for k, some in rows.groupby("_order"):
+                spec = specs[k]
+                done = _answered(some, ids, spec, FIT_NAMES, spec.least_obs, _fitting(spec, method, maxiter, None), exact.usable(spec))
+                yield done.assign(order=str((spec.p, spec.d, spec.q, spec.P, spec.D, spec.Q, spec.s)))
+
+    return best_by(dealt.mapInPandas(work, f"{_id_columns(series, ids)}, {FIT_COLUMNS}, order string"), ids, criterion)

@@ -112,6 +112,23 @@ def test_order_search_keeps_series_that_no_order_fits(spark):
     assert got[2].error == "endog contains NaN or Inf" and got[3].error.startswith("too few observations")
 
 
+def test_order_search_scans_once_and_deals_by_cost(spark, arrays, tmp_path):
+    specs = [Spec.of((1, 0, 0)), Spec.of((0, 0, 1)), Spec.of((2, 0, 1))]
+    arrays.write.parquet(str(tmp_path / "a"))
+    stored = spark.read.parquet(str(tmp_path / "a"))
+    found = sarimax.order_search(stored, ["id"], specs, tasks=12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("MapInPandas") == 1
+    shares = sarimax.order_shares(specs, 12)
+    assert min(shares) >= 1 and shares[2] > shares[0] and abs(sum(shares) - 12) <= 2
+    alone = [{r.id: r for r in sarimax.fit(stored, ["id"], s).collect()} for s in specs]
+    for r in found.collect():
+        fits = [a[r.id] for a in alone if a[r.id].error is None]
+        assert r.aic == (min(f.aic for f in fits) if fits else None)
+    with pytest.raises(ValueError, match="at least one order"):
+        sarimax.order_search(stored, ["id"], [])
+
+
 def test_a_model_object_gives_what_the_operators_give(arrays, spark):
     long = arrays.where("id < 3").select("id", F.posexplode("y").alias("t", "y"))
     model = SarimaxPanel(long.union(spark.createDataFrame([(9, 0, 1.0)], "id int, t int, y double")), ["id"], (1, 0, 1))
