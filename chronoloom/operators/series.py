@@ -248,14 +248,17 @@ def ma1_loglike(arrays: DataFrame, ids: list[str], theta: float) -> DataFrame:
 
 
 def ar1_least_squares(panel: DataFrame, ids: list[str]) -> DataFrame:
-    """The diffuse-start maximum likelihood of an AR(1) in closed form: phi, scale, loglike, n_obs, last value."""
-    lagged = with_lags(panel.select(*ids, "t", "y"), ids, {"b": ("y", 1)})
+    """The diffuse-start maximum likelihood of an AR(1) in closed form: phi, scale, loglike, n_obs, last value.
+
+    A series of zeros but for its last value, or of one value, has no phi.
+    """
+    lagged = with_lags(panel.select(*ids, "t", "y"), ids, {"_before": ("y", 1)})
     sums = lagged.groupBy(*ids).agg(
-        F.sum(F.col("y") * F.col("b")).alias("yb"), F.sum(F.col("b") ** 2).alias("bb"), F.sum(F.when(F.col("b").isNotNull(), F.col("y") ** 2)).alias("yy"),
+        F.sum(F.col("y") * F.col("_before")).alias("yb"), F.sum(F.col("_before") ** 2).alias("bb"), F.sum(F.when(F.col("_before").isNotNull(), F.col("y") ** 2)).alias("yy"),
         F.count("*").alias("n_obs"), F.max_by("y", "t").alias("last"),
     )
-    phi, m = F.col("yb") / F.col("bb"), F.col("n_obs") - 1
-    scale = (F.col("yy") - phi * F.col("yb")) / m
+    phi, m = F.try_divide("yb", "bb"), F.col("n_obs") - 1
+    scale = F.try_divide(F.col("yy") - phi * F.col("yb"), m)
     ll = -m / 2 * (math.log(2 * math.pi) + F.log(scale) + 1)
     return sums.select(*ids, phi.alias("phi"), scale.alias("scale"), ll.alias("loglike"), "n_obs", "last")
 

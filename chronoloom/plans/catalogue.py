@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.spec import Spec
-from chronoloom.operators import folds, ranges, sarimax, series, table_functions
+from chronoloom.operators import folds, hierarchy, ranges, sarimax, series, table_functions
 from chronoloom.operators.model import SarimaxPanel
 from chronoloom.sources import panel
 
@@ -500,6 +500,48 @@ def batch_error_isolation(spark, sf_dir):
     return got.groupBy(F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n_series"))
 
 
+NODES_SQL = """b AS (SELECT r_name, n_name, date_trunc('month', o_orderdate) AS m, sum(o_totalprice) AS y
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
+months AS (SELECT unnest(generate_series((SELECT min(m) FROM b), (SELECT max(m) FROM b), INTERVAL 1 MONTH)) AS m),
+leaf AS (SELECT k.r_name, k.n_name, months.m, coalesce(b.y, 0) AS y FROM (SELECT DISTINCT r_name, n_name FROM b) k JOIN months ON TRUE
+  LEFT JOIN b ON b.r_name = k.r_name AND b.n_name = k.n_name AND b.m = months.m),
+node AS (SELECT CAST(2 - grouping(r_name) - grouping(n_name) AS INTEGER) AS level, r_name, n_name, m, sum(y) AS y FROM leaf
+  GROUP BY GROUPING SETS ((m), (r_name, m), (r_name, n_name, m))),
+panel AS (SELECT level, r_name, n_name, CAST(row_number() OVER (PARTITION BY level, r_name, n_name ORDER BY m) - 1 AS INTEGER) AS t, y FROM node)"""
+
+
+def nation_panel(spark, sf_dir) -> DataFrame:
+    """level, r_name, n_name, t, y: order totals by month of the whole, the regions and the nations; months without orders are zero."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    sums = orders.groupBy("c_nationkey", F.date_trunc("month", "o_orderdate").alias("bucket")).agg(F.sum("o_totalprice").alias("y"))
+    leaves = sums.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name", "n_name", "bucket").agg(F.sum("y").alias("y"))
+    dense = panel.gap_filled(leaves, ["r_name", "n_name"], "month", whole=True)
+    nodes = hierarchy.rolled_up(dense, ["r_name", "n_name"], "bucket", "y")
+    return panel.long_panel(nodes, ["level", "r_name", "n_name"], F.col("bucket"), F.col("y"))
+
+
+@query(f"WITH {NODES_SQL} SELECT level, r_name, n_name, t, round(y, 2) AS y FROM panel")
+def hierarchy_panel(spark, sf_dir):
+    return rounded(nation_panel(spark, sf_dir), 2, "y")
+
+
+@query(f"""WITH {NODES_SQL}, c AS (SELECT *, avg(y) OVER w AS mu, y - avg(y) OVER w AS c FROM panel WINDOW w AS (PARTITION BY level, r_name, n_name)),
+l AS (SELECT *, lag(c) OVER (PARTITION BY level, r_name, n_name ORDER BY t) AS b FROM c),
+f AS (SELECT level, r_name, n_name, any_value(mu) AS mu, sum(c * b) / sum(b * b) AS phi, max_by(c, t) AS last, sum(y) AS seen FROM l GROUP BY level, r_name, n_name),
+d AS (SELECT level, r_name, n_name, CAST(h AS INTEGER) AS h, mu + phi ** h * last AS mean, seen FROM f, range(1, {STEPS + 1}) AS g(h)),
+u AS (SELECT CAST(2 - grouping(r_name) - grouping(n_name) AS INTEGER) AS level, r_name, n_name, h, sum(mean) AS bottom_up FROM d WHERE level = 2
+  GROUP BY GROUPING SETS ((h), (r_name, h), (r_name, n_name, h)))
+SELECT d.level, d.r_name, d.n_name, d.h, round(d.mean, 1) AS mean, round(bottom_up, 1) AS bottom_up, round(top.mean * d.seen / top.seen, 1) AS top_down
+FROM d JOIN u ON u.level = d.level AND u.h = d.h AND u.r_name IS NOT DISTINCT FROM d.r_name AND u.n_name IS NOT DISTINCT FROM d.n_name
+JOIN d top ON top.level = 0 AND top.h = d.h""")
+def hierarchy_forecast(spark, sf_dir):
+    """AR(1) forecasts of the whole, each region and each nation, with what the nations add up to and what the whole hands down."""
+    nodes = nation_panel(spark, sf_dir)
+    ahead = hierarchy.ar1_with_mean(nodes, ["level", "r_name", "n_name"], STEPS)
+    return rounded(hierarchy.reconciled(ahead, nodes, ["r_name", "n_name"]), 1, "mean", "bottom_up", "top_down")
+
+
 # Fits that SQL can't express; the tests hold them against published values.
 
 

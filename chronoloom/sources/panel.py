@@ -35,9 +35,11 @@ def bucketed(rows: DataFrame, ids: list[str], when: Column, unit: str, aggs: dic
     return rows.groupBy(*ids, F.date_trunc(unit, when).alias("bucket")).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
-def gap_filled(buckets: DataFrame, ids: list[str], unit: str, fill: float = 0.0, value: str = "y") -> DataFrame:
-    """Adds the missing buckets between each series' first and last, with `fill` as value."""
+def gap_filled(buckets: DataFrame, ids: list[str], unit: str, fill: float = 0.0, value: str = "y", whole: bool = False) -> DataFrame:
+    """Adds the missing buckets between each series' first and last, or with `whole` those of all series, with `fill` as value."""
     spans = buckets.groupBy(*ids).agg(F.min("bucket").alias("_from"), F.max("bucket").alias("_to"))
+    if whole:
+        spans = spans.withColumns({"_from": buckets.agg(F.min("bucket")).scalar(), "_to": buckets.agg(F.max("bucket")).scalar()})
     every = spans.select(*ids, F.explode(F.sequence("_from", "_to", F.expr(f"interval 1 {unit}"))).alias("bucket"))
     return every.join(buckets, [*ids, "bucket"], "left").select(*ids, "bucket", F.coalesce(value, F.lit(fill)).alias(value))
 
