@@ -40,6 +40,7 @@ WANTED = (
 )
 NGRAMS = (2, 3, 4)
 LOG2_FEATURES = 16
+MOST_ORDINARY = 2000  # hosts of the pages themselves that the model learns as ordinary ones
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -104,6 +105,23 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "url string, label double, site string")
 
 
+def named_unwanted(host: Column) -> Column:
+    """Whether a part of a host, between dots and hyphens, is a word of unwanted sites."""
+    return F.arrays_overlap(F.split(host, "[.-]"), F.array(*[F.lit(w) for kind in UNWANTED[:2] for w in kind]))
+
+
+def ordinary_urls(pages: DataFrame, most: int = MOST_ORDINARY) -> DataFrame:
+    """A bounded sample (url, label 0, site: its host) of what hosts look like where the pages come from.
+
+    Hosts that a word of the lists names are left out; of the others, the `most` of least hash give one URL each, the least. Few of
+    a crawl's hosts are unwanted, so a host that no list names is taken as ordinary: without this a name like nothing in the lists
+    would be judged by chance. Which rows repeat, and their order, makes no difference. An empty table gives an empty sample.
+    """
+    host, _ = url_parts(F.col("url"))
+    one = pages.select("url", host.alias("site")).where("site <> ''").where(~named_unwanted(F.col("site"))).groupBy("site").agg(F.min("url").alias("url"))
+    return one.orderBy(F.xxhash64("site"), "site").limit(most).select("url", F.lit(0.0).alias("label"), "site")
+
+
 def train(labelled: DataFrame, log2_features: int = LOG2_FEATURES) -> PipelineModel:
     """Fits hashed n-grams and a logistic regression on a labelled table (url, label 0 or 1)."""
     hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=2**log2_features, binary=True)
@@ -118,11 +136,11 @@ def train(labelled: DataFrame, log2_features: int = LOG2_FEATURES) -> PipelineMo
 def judge(pages: DataFrame, model: PipelineModel | None = None, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row of `pages` (page_id, url).
 
-    The verdict is the rule's if one fits; else block where the model's probability of an unwanted site is at least 0.5. A
+    The model is trained on the labelled table and on ordinary_urls, if none is given. The verdict is the rule's if one fits; else block where the model's probability of an unwanted site is at least 0.5. A
     null URL or one without `://` has empty host and path, fits no rule and goes to the model like any other. Rows that repeat
     are judged each; other columns are not read.
     """
-    model = model or train(labelled_urls(pages.sparkSession))
+    model = model or train(labelled_urls(pages.sparkSession).union(ordinary_urls(pages)))
     scored = model.transform(featured(pages.select("page_id", "url")))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     score = F.get(vector_to_array("_probability"), 1)

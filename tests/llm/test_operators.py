@@ -521,6 +521,32 @@ def test_url_model_on_sites_it_has_not_seen(spark):
     assert len(rows) > 250 and right / len(rows) > 0.97
 
 
+def test_url_model_on_hosts_of_other_pages(spark):
+    """Trained on the pages of some sites: those of sites it has not seen are let through, unwanted names are not."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url").withColumn("host", urls.url_parts(F.col("url"))[0])
+    pages = pages.withColumn("held", F.expr("pmod(crc32(regexp_replace(host, '^(www|blog|m)[.]', '')), 3) = 1"))
+    listed = urls.labelled_urls(spark)
+    kept = F.expr("pmod(crc32(site), 4) <> 0")
+    model = urls.train(listed.where(kept).union(urls.ordinary_urls(pages.where("not held"))))
+    other = pages.where("held").withColumn("unwanted", urls.named_unwanted(F.col("host")))
+    blocked = {r.unwanted: (r.n, r.part) for r in urls.judge(other, model, rules=()).join(other.select("page_id", "unwanted"), "page_id").groupBy("unwanted").agg(F.count("*").alias("n"), F.avg((F.col("verdict") == "block").cast("int")).alias("part")).collect()}
+    assert blocked[False][0] > 500 and blocked[False][1] < 0.05, blocked
+    assert blocked[True][0] > 20 and blocked[True][1] > 0.9, blocked
+    unseen = listed.where(~kept & (F.col("label") == 1)).select(F.monotonically_increasing_id().alias("page_id"), "url")
+    verdicts = [r.verdict for r in urls.judge(unseen, model, rules=()).collect()]
+    assert len(verdicts) > 80 and verdicts.count("block") / len(verdicts) > 0.95
+
+
+def test_ordinary_urls_are_bounded_and_the_same_for_any_order(spark):
+    rows = [(i, u) for i, u in enumerate(["http://a.org/x", "http://A.org/b", "http://casino.org/", "http://free-bets.com/", None, "no url", "http://c.org"] * 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = sorted(tuple(r) for r in urls.ordinary_urls(pages).collect())
+    assert got == [("http://A.org/b", 0.0, "a.org"), ("http://c.org", 0.0, "c.org")]
+    assert sorted(tuple(r) for r in urls.ordinary_urls(pages.orderBy(F.desc("page_id"))).collect()) == got
+    assert urls.ordinary_urls(pages, 1).count() == 1 and urls.ordinary_urls(pages.where("false")).collect() == []
+    assert {r.verdict for r in urls.judge(pages.where("false")).collect()} == set()
+
+
 def test_preferences(spark):
     turns = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "é😀"), (2, 0, "user", "hi"), (2, 1, "assistant", "a"), (2, 2, "user", "else"), (2, 2, "user", "else"),
