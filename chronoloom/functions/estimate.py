@@ -9,7 +9,7 @@ import numpy as np
 
 from chronoloom.functions import exact
 from chronoloom.functions.spec import Spec
-from chronoloom.functions.statespace import constrained, loglike, run_filter, unconstrained
+from chronoloom.functions.statespace import constrained, failure, loglike, run_filter, unconstrained
 
 METHODS = {"lbfgsb": "bfgs", "lbfgsb-strict": "bfgs", "lbfgsb_single": "bfgs", "lbfgs": "multi", "bfgs": "bfgs", "lbfgsb-multi": "multi", "nelder-mead": "nm", "nm": "nm"}
 DEFAULT_MAXITER = 500
@@ -278,10 +278,17 @@ def nelder_mead(spec: Spec, x: np.ndarray, data: Data, maxiter: int | np.ndarray
     return np.array(points).reshape(x.shape), np.array(values), np.array(iters, np.int64), np.array(fine, bool)
 
 
+def restarts(spec: Spec) -> int:
+    """Perturbed starts by the number of parameters: 3 for four or more, one for each beyond the first below; 2 at least if seasonal."""
+    by_size = min(max(spec.n_params - 1, 0), 3)
+    return max(by_size, 2) if spec.P or spec.Q else by_size
+
+
 def further_starts(spec: Spec, x: np.ndarray, data: Data, many: bool) -> list[np.ndarray]:
     """Second starts in unconstrained space: zero lag coefficients; with `many`, seasonal moving averages and perturbations.
 
-    Perturbations are seeded by the series' own values, so they do not depend on what else is in the batch.
+    Perturbations are as many as the parameters call for, and seeded by the series' own values, so they do not depend on what else
+    is in the batch.
     """
     keep = np.isin(np.arange(spec.n_params), np.r_[spec.blocks["exog"], spec.blocks["sigma2"]])
     out = [np.where(keep, x, 0.0)]
@@ -292,8 +299,9 @@ def further_starts(spec: Spec, x: np.ndarray, data: Data, many: bool) -> list[np
             params[0, spec.blocks["sigma2"]] = 1.0
             out.append(np.where(keep, x, unconstrained(spec, params)))
     if many:
-        draws = [np.random.default_rng(zlib.crc32(data.y[i, : data.length[i]].tobytes())).normal(0, 0.5, (2, spec.n_params)) for i in range(len(x))]
-        out += [x + np.where(keep, 0.0, np.array(draws)[:, k]) for k in range(2)]
+        n = restarts(spec)
+        draws = np.array([np.random.default_rng(zlib.crc32(data.y[i, : data.length[i]].tobytes())).normal(0, 0.5, (n, spec.n_params)) for i in range(len(x))])
+        out += [x + np.where(keep, 0.0, draws[:, k]) for k in range(n)]
     return out
 
 
@@ -352,11 +360,19 @@ def fit(spec: Spec, y: np.ndarray, exog: np.ndarray | None = None, method: str =
         params = constrained(spec, x)
     value, scale = likelihood(inner, params, inner_data) if exact.usable(spec) else likelihood(spec, params, data)
     k = spec.n_estimated
+
+    def problem(i: int) -> str | None:
+        if np.isfinite(value[i]):
+            return None if scale[i] > 0 else "the scale is zero"
+        out = run_filter(spec, y[i : i + 1, : sizes[i]], params[i : i + 1], None if exog is None else exog[i : i + 1, : sizes[i]])
+        return failure(out, 0, sizes[i]) or "no finite likelihood"
+
+    problems = [problem(i) for i in range(b)]
     return [
         {
             "params": params[i].tolist(), "loglike": float(value[i]), "scale": float(scale[i]), "aic": float(2 * k - 2 * value[i]),
             "bic": float(k * np.log(sizes[i]) - 2 * value[i]), "n_obs": sizes[i], "n_params": k, "n_iter": int(n_iter[i]), "converged": bool(done[i]), "method": name,
-            "error": "optimization failed: no finite likelihood" if not np.isfinite(value[i]) else None if scale[i] > 0 else "optimization failed: the scale is zero",
+            "error": problems[i] and f"optimization failed: {problems[i]}",
         }
         for i in range(b)
     ]
@@ -383,3 +399,23 @@ def hessian(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray | No
         v = value[1 + 2 * k + 4 * m :][:4]
         out[i, j] = out[j, i] = (v[0] - v[1] - v[2] + v[3]) / (4 * h[i] * h[j])
     return out if np.isfinite(out).all() else None
+
+
+def score_outer(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray | None) -> np.ndarray | None:
+    """The sum over one series' values of the outer products of their log-densities' gradients, all points in one pass.
+
+    A concentrated scale is that of the whole series at each point, so its own movement counts. Gradients are central differences.
+    """
+    k = len(params)
+    h = 1e-5 * np.maximum(1, np.abs(params))
+    points = params + np.vstack([np.diag(h), -np.diag(h)])
+    out = run_filter(spec, np.repeat(y[None], 2 * k, 0), points, None if exog is None else np.repeat(exog[None], 2 * k, 0), store=True)
+    if not np.isfinite(out["loglike"]).all():
+        return None
+    f = out["f"] * (out["scale"][:, None] if spec.concentrate_scale else 1.0)
+    counted = np.arange(len(y)) >= out["burn"][:, None]
+    with np.errstate(all="ignore"):
+        density = np.where(counted, -0.5 * (np.log(2 * np.pi * f) + out["v"] ** 2 / f), 0.0)
+    scores = (density[:k] - density[k:]) / (2 * h[:, None])
+    told = scores @ scores.T
+    return told if np.isfinite(told).all() else None

@@ -139,7 +139,8 @@ def start(spec: Spec, t: np.ndarray, rqr: np.ndarray) -> tuple[np.ndarray, np.nd
 def run_filter(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray | None = None, store: bool = False) -> dict:
     """Runs the filter over y (points, n); exog is (points, n, regressors). Returns the sums, and with `store` the rows.
 
-    A point with a prediction variance of 0 or less after its burn-in, or with numbers that aren't finite, is marked bad.
+    A point with a prediction variance of 0 or less after its burn-in, or with numbers that aren't finite, is marked bad;
+    `bad_at` is the first such time, n where there is none, and failure() says why.
     """
     t, z, r = matrices(spec, params)
     b, n = y.shape
@@ -148,7 +149,7 @@ def run_filter(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray |
     rqr = r[:, :, None] * r[:, None, :] * sigma2[:, None, None]
     p, burn = start(spec, t, rqr)
     a, t_t = np.zeros((b, spec.n_states)), t.transpose(0, 2, 1).copy()
-    log_f, quad, bad = np.zeros(b), np.zeros(b), n <= burn
+    log_f, quad, bad, bad_at = np.zeros(b), np.zeros(b), n <= burn, np.full(b, n)
     v_all, f_all = (np.zeros((b, n)), np.zeros((b, n))) if store else (None, None)
     at = np.flatnonzero(z)
     moving = np.arange(b)  # points whose covariances still change, with these
@@ -176,7 +177,8 @@ def run_filter(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray |
             v = y[:, i] - a[:, at].sum(axis=1)
             a = np.einsum("bij,bj->bi", t, a + gain * v[:, None])
             counted = i >= burn
-            bad |= counted & bad_now
+            if bad_now.any():
+                bad_at = np.where(counted & bad_now, np.minimum(bad_at, i), bad_at)
             log_f += np.where(counted, log_now, 0.0)
             quad += np.where(counted, v * v / np.where(bad_now, 1.0, f), 0.0)
             if store:
@@ -189,16 +191,27 @@ def run_filter(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray |
         else:
             scale = sigma2
             loglike = -0.5 * (used * np.log(2 * np.pi) + log_f + quad)
-    bad |= ~np.isfinite(loglike)
-    return {"loglike": np.where(bad, np.nan, loglike), "scale": scale, "burn": burn, "v": v_all, "f": f_all, "a": a, "p": p, "t": t, "at": at, "rqr": rqr}
+    bad |= (bad_at < n) | ~np.isfinite(loglike)
+    return {"loglike": np.where(bad, np.nan, loglike), "scale": scale, "burn": burn, "bad_at": bad_at, "v": v_all, "f": f_all, "a": a, "p": p, "t": t, "at": at, "rqr": rqr}
+
+
+def failure(out: dict, i: int, n: int) -> str | None:
+    """Why point i of a run over n values has no likelihood; None where it has one."""
+    if np.isfinite(out["loglike"][i]):
+        return None
+    if n <= out["burn"][i]:
+        return f"not enough observations: {n} <= {out['burn'][i]} that the start leaves out"
+    if out["bad_at"][i] < n:
+        return f"prediction variance is not positive at t={out['bad_at'][i]}"
+    return "likelihood sums are not finite"
 
 
 def loglike(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray | None = None) -> np.ndarray:
     return run_filter(spec, y, params, exog)["loglike"]
 
 
-def forecast(spec: Spec, y: np.ndarray, params: np.ndarray, steps: int, exog: np.ndarray | None = None, future: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance of the next `steps` values of each point; future is (points, steps, regressors).
+def forecast(spec: Spec, y: np.ndarray, params: np.ndarray, steps: int, exog: np.ndarray | None = None, future: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+    """Mean and variance of the next `steps` values of each point, and why it has none; future is (points, steps, regressors).
 
     With the scale concentrated out, state covariances are in units of it; else they hold the variance already.
     """
@@ -213,8 +226,7 @@ def forecast(spec: Spec, y: np.ndarray, params: np.ndarray, steps: int, exog: np
         p = t @ p @ t.transpose(0, 2, 1) + out["rqr"]
     if spec.n_exog:
         mean += np.einsum("bnj,bj->bn", future[:, :steps], params[:, spec.blocks["exog"]])
-    mean[np.isnan(out["loglike"])] = np.nan
-    return mean, var
+    return mean, var, [failure(out, i, y.shape[1]) for i in range(len(y))]
 
 
 def residuals(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

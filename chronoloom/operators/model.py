@@ -10,7 +10,7 @@ from chronoloom.operators import sarimax
 from chronoloom.operators.series import with_interval
 from chronoloom.sources.panel import to_arrays
 
-INFERENCE = ("none", "hessian")
+INFERENCE = ("none", "hessian", "opg", "both")
 
 
 class SarimaxPanel:
@@ -84,8 +84,8 @@ class FittedPanel:
         if not 0 < alpha < 1:
             raise ValueError("alpha must be between 0 and 1")
         m = self.model
-        if inference == "hessian":
-            return sarimax.parameter_summary(m.series, m.ids, m.spec, self.fits, alpha)
+        if inference != "none":
+            return sarimax.parameter_summary(m.series, m.ids, m.spec, self.fits, alpha, inference)
         nothing = [F.lit(None).cast("double").alias(c) for c in ("std_err", "z", "p_value", "ci_lower", "ci_upper")]
         return self.params().select("*", *nothing, F.lit("skipped").alias("inference_status"), F.lit(None).cast("string").alias("inference_message"))
 

@@ -134,8 +134,9 @@ def loglike(series: DataFrame, ids: list[str], spec: Spec, params: DataFrame | l
     """ids, loglike, error at given parameters."""
 
     def run(y, x, rows, _length):
-        value = statespace.loglike(spec, y, _given(rows, spec), x)
-        return [{"loglike": float(v), "error": None} if np.isfinite(v) else {"error": "no finite likelihood"} for v in value]
+        out = statespace.run_filter(spec, y, _given(rows, spec), x)
+        problems = [statespace.failure(out, i, y.shape[1]) for i in range(len(y))]
+        return [{"error": e} if e else {"loglike": float(v)} for v, e in zip(out["loglike"], problems)]
 
     return _mapped(with_params(series, params), ids, spec, "loglike double, error string", ["loglike", "error"], 1, run, ("params",))
 
@@ -165,8 +166,9 @@ def forecast(series: DataFrame, ids: list[str], spec: Spec, params: DataFrame |
             ahead = np.array([np.stack([np.asarray(c, float)[:steps] for c in f], 1) for f in rows["future_x"]])
             if not np.isfinite(ahead).all():
                 raise ValueError("future_exog contains NaN or Inf")
-        mean, var = statespace.forecast(free, y, _given(rows, free), steps, x, ahead)
-        return [{"mean": m.tolist(), "variance": v.tolist(), "error": None} if np.isfinite(m).all() else {"error": "no finite likelihood"} for m, v in zip(mean, var)]
+        mean, var, problems = statespace.forecast(free, y, _given(rows, free), steps, x, ahead)
+        problems = [e or (None if np.isfinite(m).all() else "forecasts are not finite") for m, e in zip(mean, problems)]
+        return [{"error": e} if e else {"mean": m.tolist(), "variance": v.tolist()} for m, v, e in zip(mean, var, problems)]
 
     arrays = _mapped(paired, ids, spec, "mean array<double>, variance array<double>, error string", ["mean", "variance", "error"], 1, run, ("params", *(("future_x",) if spec.n_exog else ())))
     rows = arrays.select(*ids, "error", F.posexplode_outer(F.arrays_zip("mean", "variance")).alias("h", "_p"))
@@ -187,50 +189,78 @@ def residuals(series: DataFrame, ids: list[str], spec: Spec, params: DataFrame |
     return rows.select(*ids, "t", "_p.residual", "_p.standardized_residual", "error")
 
 
-def parameter_summary(series: DataFrame, ids: list[str], spec: Spec, params: DataFrame | list[float], alpha: float = 0.05) -> DataFrame:
+INFORMATION = {"hessian": lambda *given: None if (h := estimate.hessian(*given)) is None else -h, "opg": estimate.score_outer}
+TOLD = ("std_err", "z", "p_value", "ci_lower", "ci_upper")  # what inference adds to a coefficient
+
+
+def standard_errors(information: np.ndarray | None) -> tuple[np.ndarray | None, str, str | None]:
+    """Standard errors from an information matrix, their status and message; where it isn't positive, by its pseudo-inverse as far as that goes."""
+    if information is None:
+        return None, "failed", "information is not finite"
+    status, message = "ok", None
+    try:
+        var = np.diag(np.linalg.inv(information))
+    except np.linalg.LinAlgError:
+        var = np.zeros(len(information))
+    if not (var > 0).all():
+        status, message, var = "partial", "information is singular or not positive definite; pseudo-inverse used", np.diag(np.linalg.pinv(information))
+    if not (var > 0).any():
+        return None, "failed", "no positive variance"
+    return np.sqrt(np.where(var > 0, var, np.nan)), status, message
+
+
+def parameter_summary(series: DataFrame, ids: list[str], spec: Spec, params: DataFrame | list[float], alpha: float = 0.05, inference: str = "hessian") -> DataFrame:
     """ids, idx, name, coef, std_err, z, p_value, ci_lower, ci_upper, inference_status, inference_message.
 
-    Standard errors come from the inverse of minus the numerical Hessian; if that isn't positive, from its pseudo-inverse where
-    the diagonal allows, with status partial.
+    Standard errors come from the inverse of an information matrix: minus the numerical Hessian (`hessian`), or the outer products
+    of the scores of single values (`opg`); if that isn't positive, from its pseudo-inverse where the diagonal allows, with
+    status partial. `both` shows the Hessian's, and the columns TOLD and the status of each under its name (`hessian_std_err`,
+    ..., `opg_std_err`, ..., `inference_status_hessian`, `inference_status_opg`), with `delta_std_err`, `delta_ci_lower` and
+    `delta_ci_upper`, the Hessian's less the other's. It is partial where one of them failed.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha must be between 0 and 1")
+    if inference not in (*INFORMATION, "both"):
+        raise ValueError(f"inference must be one of {', '.join(INFORMATION)}, both, not {inference}")
     z_value = NormalDist().inv_cdf(1 - alpha / 2)
-
-    def one(y, x, p):
-        h = estimate.hessian(spec, y, p, x)
-        status, message, se = "ok", None, np.full(len(p), np.nan)
-        if h is None:
-            return "failed", "Hessian is not finite", se
-        try:
-            cov = np.linalg.inv(-h)
-        except np.linalg.LinAlgError:
-            cov = np.full_like(h, -1.0)
-        if not (np.diag(cov) > 0).all():
-            status, message, cov = "partial", "Hessian is singular or not negative definite; pseudo-inverse used", np.linalg.pinv(-h)
-        var = np.diag(cov)
-        se[var > 0] = np.sqrt(var[var > 0])
-        return ("failed", "no positive variance", se) if not (var > 0).any() else (status, message, se)
+    kinds = list(INFORMATION) if inference == "both" else [inference]
 
     def run(y, x, rows, _length):
         out = []
         for i, p in enumerate(_given(rows, spec)):
-            status, message, se = one(y[i], None if x is None else x[i], p)
-            known = [None if np.isnan(s) else float(s) for s in se]
-            p_value = [None if s is None else math.erfc(abs(c / s) / math.sqrt(2)) for c, s in zip(p.tolist(), known)]  # two-sided
-            out.append({"coef": p.tolist(), "std_err": known, "p_value": p_value, "inference_status": status, "inference_message": message})
+            told = {"coef": p.tolist()}
+            for kind in kinds:
+                se, status, message = standard_errors(INFORMATION[kind](spec, y[i], p, None if x is None else x[i]))
+                known = [None if se is None or np.isnan(s) else float(s) for s in (p if se is None else se)]
+                p_value = [None if s is None else math.erfc(abs(c / s) / math.sqrt(2)) for c, s in zip(p.tolist(), known)]  # two-sided
+                told |= {f"{kind}_se": known, f"{kind}_p": p_value, f"{kind}_status": status, f"{kind}_message": message}
+            out.append(told)
         return out
 
-    columns = "coef array<double>, std_err array<double>, p_value array<double>, inference_status string, inference_message string, error string"
-    arrays = _mapped(with_params(series, params), ids, spec, columns, ["coef", "std_err", "p_value", "inference_status", "inference_message", "error"], 1, run, ("params",))
-    names = F.array(*[F.lit(n) for n in spec.names])
-    told = arrays.withColumns({"inference_status": F.coalesce("inference_status", F.lit("failed")), "inference_message": F.coalesce("inference_message", "error")})
-    rows = told.select(*ids, "inference_status", "inference_message", F.posexplode_outer(F.arrays_zip(names.alias("name"), "coef", "std_err", "p_value")).alias("idx", "_p"))
-    rows = rows.select(*ids, "idx", "_p.name", "_p.coef", "_p.std_err", "_p.p_value", "inference_status", "inference_message").withColumn("z", F.col("coef") / F.col("std_err"))
-    half = F.col("std_err") * z_value
+    columns = {"coef": "array<double>"}
+    for kind in kinds:
+        columns |= {f"{kind}_se": "array<double>", f"{kind}_p": "array<double>", f"{kind}_status": "string", f"{kind}_message": "string"}
+    columns["error"] = "string"
+    arrays = _mapped(with_params(series, params), ids, spec, ", ".join(f"{c} {t}" for c, t in columns.items()), list(columns), 1, run, ("params",))
+    names = F.array(*[F.lit(n) for n in spec.names]).cast("array<string>")
+    by_param = F.arrays_zip(names.alias("name"), "coef", *[f"{k}_{c}" for k in kinds for c in ("se", "p")])
+    status = {k: F.coalesce(f"{k}_status", F.lit("failed")) for k in kinds}
+    rows = arrays.select(*ids, *[status[k].alias(f"{k}_status") for k in kinds], *[f"{k}_message" for k in kinds], "error", F.posexplode_outer(by_param).alias("idx", "_p"))
+
+    def told(kind: str) -> dict:
+        coef, se = F.col("_p.coef"), F.col(f"_p.{kind}_se")
+        return dict(zip(TOLD, (se, coef / se, F.col(f"_p.{kind}_p"), coef - se * z_value, coef + se * z_value)))
+
+    first = [*ids, "idx", "_p.name", "_p.coef", *[c.alias(n) for n, c in told(kinds[0]).items()]]
+    if inference != "both":
+        return rows.select(*first, F.col(f"{inference}_status").alias("inference_status"), F.coalesce(f"{inference}_message", "error").alias("inference_message"))
+    each = [c.alias(f"{k}_{n}") for k in kinds for n, c in told(k).items()]
+    delta = [(told("hessian")[n] - told("opg")[n]).alias(f"delta_{n}") for n in ("std_err", "ci_lower", "ci_upper")]
+    failed = [F.col(f"{k}_status") == "failed" for k in kinds]
+    whole = F.when(failed[0] & failed[1], "failed").when(failed[0] | failed[1], "partial").otherwise("ok")
+    said = F.concat_ws("; ", *[F.concat(F.lit(f"{k}: "), F.col(f"{k}_message")) for k in kinds], "error")
     return rows.select(
-        *ids, "idx", "name", "coef", "std_err", "z", "p_value", (F.col("coef") - half).alias("ci_lower"), (F.col("coef") + half).alias("ci_upper"),
-        "inference_status", "inference_message",
+        *first, *each, *delta, *[F.col(f"{k}_status").alias(f"inference_status_{k}") for k in kinds], whole.alias("inference_status"), F.nullif(said, F.lit("")).alias("inference_message"),
     )
 
 

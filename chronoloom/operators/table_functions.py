@@ -51,9 +51,9 @@ class Forecast:
             if problem is not None:
                 raise ValueError(problem)
             spec.check_params(params)
-            mean, var = statespace.forecast(spec, np.array(y, float)[None], np.array(params, float)[None], int(steps))
-            if not np.isfinite(mean).all():
-                raise ValueError("no finite likelihood")
+            mean, var, problems = statespace.forecast(spec, np.array(y, float)[None], np.array(params, float)[None], int(steps))
+            if problems[0] or not np.isfinite(mean).all():
+                raise ValueError(problems[0] or "forecasts are not finite")
         except SERIES_ERRORS as e:
             yield None, None, None, None, None, str(e)
             return

@@ -581,20 +581,80 @@ def fit_multi(spark, sf_dir):
     return fitted(sarimax.fit(events_arrays(spark, sf_dir), ["event_type"], Spec.of((2, 0, 1)), method="lbfgsb-multi"))
 
 
-@query()
-def fit_burg_direct(spark, sf_dir):
-    return fitted(sarimax.fit(events_arrays(spark, sf_dir), ["event_type"], Spec.of((4, 0, 0))))
+def _fitted_sql(source: str, coefs: list[str], converged: str, method: str) -> str:
+    """The columns of fitted() from a table of event_type, v and f (errors and their variances over the scale) and the coefficients."""
+    rows = ", ".join(f"({i}, {c})" for i, c in enumerate(coefs))
+    k = len(coefs) + 1
+    return f"""s AS (SELECT event_type, count(*) AS n, -count(*) / 2.0 * (ln(2 * pi()) + ln(sum(v * v / f) / count(*)) + 1) - 0.5 * sum(ln(f)) AS ll,
+  {", ".join(f"any_value({c}) AS {c}" for c in coefs)} FROM {source} GROUP BY event_type)
+SELECT event_type, CAST(idx AS INTEGER) AS idx, round(coef, 6) AS coef, round(ll, 4) AS loglike, round({2 * k} - 2 * ll, 4) AS aic, round({k} * ln(n) - 2 * ll, 4) AS bic,
+  n AS n_obs, {converged} AS converged, '{method}' AS method, CAST(NULL AS VARCHAR) AS error FROM s, LATERAL (VALUES {rows}) AS v(idx, coef)"""
 
 
-@query()
+def _left(first: int) -> str:
+    """The product of 1 - k * k over Burg's reflections from `first` on."""
+    return " * ".join(f"(1 - k{j}.k * k{j}.k)" for j in range(first, 4))
+
+
+# A value with fewer than four before it is predicted by Burg's coefficients of that lower order.
+_LOWER = "".join(f" WHEN {m} THEN y - ({' + '.join(f'ar{m - 1}.a{j} * l{j}' for j in range(1, m + 1))})" for m in range(1, 4))
+BURG_ERRORS = f"""lags AS (SELECT event_type, t, y, {", ".join(f"lag(y, {j}) OVER w AS l{j}" for j in range(1, 5))} FROM c WINDOW w AS (PARTITION BY event_type ORDER BY t)),
+e AS (SELECT lags.event_type, CASE t WHEN 0 THEN y{_LOWER} ELSE y - ({" + ".join(f"ar3.a{j} * l{j}" for j in range(1, 5))}) END AS v,
+  CASE t {" ".join(f"WHEN {m} THEN 1 / ({_left(m)})" for m in range(4))} ELSE 1 END AS f, ar3.a1, ar3.a2, ar3.a3, ar3.a4
+  FROM lags {" ".join(f"JOIN k{m} ON k{m}.event_type = lags.event_type JOIN ar{m} ON ar{m}.event_type = lags.event_type" for m in range(4))})"""
+
+
+@query(f"WITH {CENTRED}, {_burg_sql('event_type', 4)}, {BURG_ERRORS}, {_fitted_sql('e', ['a1', 'a2', 'a3', 'a4'], 'TRUE', 'burg-direct')}")
+def fit_burg_direct(spark, sf_dir):
+    got = fitted(sarimax.fit(events_arrays(spark, sf_dir), ["event_type"], Spec.of((4, 0, 0))))
+    return rounded(rounded(got, 6, "coef"), 4, "loglike", "aic", "bic")
+
+
+# The start values of an ARMA(1,1) by Hannan-Rissanen, over a long autoregression of ten lags as these series have 30 values.
+@query(f"""WITH RECURSIVE {CENTRED}, {_burg_sql("event_type", 10)},
+e AS (SELECT c.event_type, t, y, y - ({" + ".join(f"a{k} * lag(y, {k}) OVER w" for k in range(1, 11))}) AS e FROM c JOIN ar9 USING (event_type) WINDOW w AS (PARTITION BY c.event_type ORDER BY t)),
+x AS (SELECT event_type, t, y, lag(y) OVER w AS x1, lag(e) OVER w AS x2 FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t)),
+g AS (SELECT event_type, sum(x1 * x1) AS g11, sum(x1 * x2) AS g12, sum(x2 * x2) AS g22, sum(x1 * y) AS b1, sum(x2 * y) AS b2 FROM x WHERE t >= 11 GROUP BY event_type),
+r AS (SELECT event_type, g11 + 1e-10 / 2 * (g11 + g22) AS g11, g12, g22 + 1e-10 / 2 * (g11 + g22) AS g22, b1, b2 FROM g),
+p AS MATERIALIZED (SELECT event_type, greatest(-0.95, least(0.95, (g22 * b1 - g12 * b2) / (g11 * g22 - g12 * g12))) AS phi,
+  greatest(-0.95, least(0.95, (g11 * b2 - g12 * b1) / (g11 * g22 - g12 * g12))) AS theta FROM r),
+z AS (SELECT event_type, t, y, phi, theta FROM c JOIN p USING (event_type)), f AS (
+  SELECT event_type, t, y, phi, theta, y AS v, CAST((1 + 2 * phi * theta + theta ** 2) / (1 - phi ** 2) AS DOUBLE) AS f FROM z WHERE t = 0
+  UNION ALL
+  SELECT z.event_type, z.t, z.y, z.phi, z.theta, z.y - z.phi * f.y - z.theta * f.v / f.f, 1 + z.theta ** 2 - z.theta ** 2 / f.f FROM f JOIN z ON z.event_type = f.event_type AND z.t = f.t + 1),
+{_fitted_sql("f", ["phi", "theta"], "FALSE", "lbfgsb")}""")
 def fit_maxiter0(spark, sf_dir):
-    return fitted(sarimax.fit(events_arrays(spark, sf_dir), ["event_type"], Spec.of((1, 0, 1)), maxiter=0))
+    got = fitted(sarimax.fit(events_arrays(spark, sf_dir), ["event_type"], Spec.of((1, 0, 1)), maxiter=0))
+    return rounded(rounded(got, 6, "coef"), 4, "loglike", "aic", "bic")
 
 
-@query()
+SARIMA = {"phi": 0.3, "theta": -0.4, "sphi": 0.2, "stheta": -0.5}
+
+
+def _arma11_acov(phi: float, theta: float, lag: str) -> str:
+    return f"CASE WHEN {lag} = 0 THEN {(1 + 2 * phi * theta + theta * theta) / (1 - phi * phi)!r} ELSE {(phi + theta) * (1 + phi * theta) / (1 - phi * phi)!r} * {phi} ** (abs({lag}) - 1) END"
+
+
+# Autocovariances of the differences are those of the plain and the seasonal part convolved; Durbin and Levinson's recursion
+# makes one-step errors and their variances from them.
+@query(f"""WITH RECURSIVE {ORDERS},
+d AS (SELECT series, t, y - lag(y) OVER w - lag(y, 12) OVER w + lag(y, 13) OVER w AS w FROM orders_monthly WINDOW w AS (PARTITION BY series ORDER BY t)),
+w AS MATERIALIZED (SELECT series, list(w ORDER BY t) AS w FROM d WHERE t >= 13 GROUP BY series),
+h AS (SELECT h, sum(({_arma11_acov(SARIMA["sphi"], SARIMA["stheta"], "m")}) * ({_arma11_acov(SARIMA["phi"], SARIMA["theta"], "(h - 12 * m)")})) AS g
+  FROM range(0, 200) AS a(h), range(-40, 41) AS b(m) GROUP BY h),
+g AS MATERIALIZED (SELECT list(g ORDER BY h) AS g FROM h),
+s AS (
+  SELECT series, w, g, 0 AS n, CAST([] AS DOUBLE[]) AS phi, g[1] AS f, w[1] AS v FROM w, g
+  UNION ALL
+  SELECT series, w, g, n + 1, phi, f, w[n + 2] - list_sum(list_transform(range(1, n + 2), lambda j: phi[j] * w[n + 2 - j]))
+  FROM (SELECT series, w, g, n, list_append(list_transform(range(1, n + 1), lambda j: phi[j] - k * phi[n + 1 - j]), k) AS phi, f * (1 - k * k) AS f
+    FROM (SELECT *, (g[n + 2] - coalesce(list_sum(list_transform(range(1, n + 1), lambda j: phi[j] * g[n + 2 - j])), 0)) / f AS k FROM s WHERE n + 1 < len(w)))
+)
+SELECT series, round(-count(*) / 2.0 * (ln(2 * pi()) + ln(sum(v * v / f) / count(*)) + 1) - 0.5 * sum(ln(f)), 3) AS loglike FROM s GROUP BY series""")
 def loglike_sarima(spark, sf_dir):
     arrays = panel.to_arrays(orders_monthly(spark, sf_dir), ["series"])
-    return sarimax.loglike(arrays, ["series"], Spec.of((1, 1, 1), (1, 1, 1, 12)), [0.3, -0.4, 0.2, -0.5])
+    got = sarimax.loglike(arrays, ["series"], Spec.of((1, 1, 1), (1, 1, 1, 12)), list(SARIMA.values()))
+    return rounded(got.drop("error"), 3, "loglike")
 
 
 @query()
@@ -640,6 +700,21 @@ def param_summary_hessian(spark, sf_dir):
     return sarimax.parameter_summary(arrays, ["l_suppkey"], spec, sarimax.fit(arrays, ["l_suppkey"], spec))
 
 
+# An AR(1)'s sum of squares is quadratic in its coefficient, so both informations have closed forms at any coefficient.
+@query(f"""WITH {LAGGED}, s AS (SELECT event_type, count(*) AS n, sum(CASE WHEN t = 0 THEN y * y * (1 - {PHI} ** 2) ELSE (y - {PHI} * b) ** 2 END) AS q,
+  sum(CASE WHEN t = 0 THEN -2 * {PHI} * y * y ELSE -2 * b * (y - {PHI} * b) END) AS q1, sum(CASE WHEN t = 0 THEN -2 * y * y ELSE 2 * b * b END) AS q2 FROM l GROUP BY event_type),
+o AS (SELECT l.event_type, sum((-0.5 * (q1 / q + CASE WHEN t = 0 THEN 2 * {PHI} / (1 - {PHI} ** 2) + n * y * y * (-2 * {PHI} / q - (1 - {PHI} ** 2) * q1 / (q * q))
+  ELSE n * (-2 * b * (y - {PHI} * b) / q - (y - {PHI} * b) ** 2 * q1 / (q * q)) END)) ** 2) AS outer_sum FROM l JOIN s USING (event_type) GROUP BY l.event_type),
+i AS (SELECT s.event_type, 1 / sqrt(n / 2.0 * (q2 / q - (q1 / q) ** 2) + (1 + {PHI} ** 2) / (1 - {PHI} ** 2) ** 2) AS hess, 1 / sqrt(outer_sum) AS opg FROM s JOIN o USING (event_type))
+SELECT event_type, CAST(0 AS INTEGER) AS idx, 'ar.L1' AS name, CAST({PHI} AS DOUBLE) AS coef, round(hess, 5) AS std_err, round({PHI} / hess, 3) AS z, round({PHI} - {Z10!r} * opg, 5) AS opg_ci_lower,
+  round(opg, 5) AS opg_std_err, round(hess - opg, 5) AS delta_std_err, round({Z10!r} * (hess - opg), 5) AS delta_ci_upper, 'ok' AS inference_status FROM i""")
+def inference_both(spark, sf_dir):
+    """Standard errors by the Hessian and by scores side by side, with what lies between them."""
+    got = sarimax.parameter_summary(events_arrays(spark, sf_dir), ["event_type"], Spec.of((1, 0, 0)), [PHI], ALPHA, "both")
+    told = got.select("event_type", "idx", "name", "coef", "std_err", "z", "opg_ci_lower", "opg_std_err", "delta_std_err", "delta_ci_upper", "inference_status")
+    return rounded(rounded(told, 5, "std_err", "opg_ci_lower", "opg_std_err", "delta_std_err", "delta_ci_upper"), 3, "z")
+
+
 @query()
 def model_summary(spark, sf_dir):
     """The model object's fits with their parameters and errors."""

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.functions import estimate
+from chronoloom.functions import estimate, statespace
 from chronoloom.functions.spec import Spec
 from chronoloom.operators import sarimax, series
 from chronoloom.operators.model import SarimaxPanel
@@ -167,3 +167,62 @@ def test_moment_starts_in_tasks_and_in_columns_agree(spark):
     assert estimate.burg(np.ones(9), 2) is None and estimate.burg(y[:2], 2) is None and not estimate.yule_walker(np.zeros(3)).any()
     short = sarimax.fit(spark.createDataFrame([(1, y[:14].tolist())], "id int, y array<double>"), ["id"], Spec.of((1, 0, 1), (1, 0, 1, 3)))
     assert short.first().error is None
+
+
+def test_reasons_of_failure_by_kind(spark):
+    rng = np.random.default_rng(5)
+    rows = [("few", [1.0, 2.0]), ("ok", rng.normal(size=40).tolist()), ("vast", (rng.normal(size=40) * 1e200).tolist())]
+    df = spark.createDataFrame(rows, "k string, y array<double>")
+    got = {r.k: r.error for r in sarimax.loglike(df, ["k"], Spec.of((1, 1, 0), (0, 1, 0, 4)), [0.5]).collect()}
+    assert got["ok"] is None
+    assert got["few"] == "not enough observations: 2 <= 5 that the start leaves out"
+    assert got["vast"] == "likelihood sums are not finite"
+    spec, y = Spec.of((1, 0, 0), concentrate_scale=False), np.array([rows[1][1]])
+    out = statespace.run_filter(spec, np.repeat(y, 2, 0), np.array([[0.5, -1.0], [0.5, 1.0]]))  # the operators refuse such a variance
+    assert statespace.failure(out, 0, 40) == "prediction variance is not positive at t=1" and statespace.failure(out, 1, 40) is None
+    ahead = {r.k: r.error for r in sarimax.forecast(df, ["k"], Spec.of((1, 1, 0), (0, 1, 0, 4)), [0.5], 1).collect()}
+    assert ahead["few"].startswith("not enough observations") and ahead["ok"] is None
+    fits = {r.k: r.error for r in sarimax.fit(df.where("k <> 'few'"), ["k"], Spec.of((1, 0, 0)), maxiter=0).collect()}
+    assert fits["ok"] is None and fits["vast"].startswith("optimization failed: ")
+
+
+@pytest.mark.parametrize("order,seasonal,want", [((1, 0, 0), (0, 0, 0, 0), 0), ((1, 0, 1), (0, 0, 0, 0), 1), ((2, 0, 1), (0, 0, 0, 0), 2), ((2, 0, 2), (0, 0, 0, 0), 3), ((0, 0, 0), (0, 0, 1, 12), 2), ((3, 0, 3), (1, 0, 1, 4), 3)])
+def test_restarts_follow_the_number_of_parameters(order, seasonal, want):
+    spec = Spec.of(order, seasonal)
+    assert estimate.restarts(spec) == want
+    y = np.random.default_rng(1).normal(size=(3, 50))
+    data = estimate.Data(y, None, np.full(3, 50))
+    starts = estimate.further_starts(spec, np.zeros((3, spec.n_params)), data, True)
+    assert len(starts) == 1 + want + (len(estimate.SEASONAL_GRID) if spec.Q else 0)
+    alone = estimate.further_starts(spec, np.zeros((1, spec.n_params)), data[1:2], True)
+    assert all(np.array_equal(a[1:2], b) for a, b in zip(starts, alone))
+
+
+def test_inference_by_scores_beside_the_hessian(spark):
+    rng = np.random.default_rng(7)
+    y = np.zeros(4000)
+    for t in range(1, len(y)):
+        y[t] = 0.5 * y[t - 1] + rng.normal()
+    df = spark.createDataFrame([("a", y.tolist()), ("zero", [0.0] * 30)], "k string, y array<double>")
+    spec = Spec.of((1, 0, 0))
+    rows = {r.k: r for r in sarimax.parameter_summary(df, ["k"], spec, [0.5], 0.05, "both").collect()}
+    a = rows["a"]
+    # A right model's two informations agree, and both are n / (1 - phi ** 2) in the long run.
+    want = np.sqrt((1 - 0.25) / len(y))
+    assert abs(a.hessian_std_err / want - 1) < 0.05 and abs(a.opg_std_err / want - 1) < 0.05
+    assert a.std_err == a.hessian_std_err and a.ci_upper == a.hessian_ci_upper
+    assert a.delta_std_err == pytest.approx(a.hessian_std_err - a.opg_std_err)
+    assert a.delta_ci_lower == pytest.approx(a.hessian_ci_lower - a.opg_ci_lower)
+    assert (a.inference_status, a.inference_status_hessian, a.inference_status_opg, a.inference_message) == ("ok", "ok", "ok", None)
+    assert rows["zero"].inference_status != "ok" and rows["zero"].opg_std_err is None
+    opg = sarimax.parameter_summary(df, ["k"], spec, [0.5], 0.05, "opg").where("k = 'a'").first()
+    assert opg.std_err == a.opg_std_err and opg.inference_status == "ok" and "hessian_std_err" not in opg.asDict()
+    with pytest.raises(ValueError, match="inference must be one of"):
+        sarimax.parameter_summary(df, ["k"], spec, [0.5], 0.05, "other")
+
+
+def test_standard_errors_of_poor_informations():
+    assert sarimax.standard_errors(None)[1:] == ("failed", "information is not finite")
+    se, status, _ = sarimax.standard_errors(np.diag([4.0, 0.0]))
+    assert status == "partial" and se[0] == 0.5 and np.isnan(se[1])
+    assert sarimax.standard_errors(-np.eye(2))[1] == "failed"

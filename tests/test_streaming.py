@@ -78,7 +78,7 @@ def test_running_filter_ends_where_the_batch_filter_does(spark, rocksdb, tmp_pat
     last = {k: max((r for r in got if r.key == k), key=lambda r: r.n_obs) for k in range(3)}
     y = np.array([[value(k, t) for t in range(60)] for k in range(3)])
     given = np.tile(params, (3, 1))
-    want, (mean, variance) = statespace.run_filter(spec, y, given), statespace.forecast(spec, y, given, 1)
+    want, (mean, variance, _) = statespace.run_filter(spec, y, given), statespace.forecast(spec, y, given, 1)
     for k in range(3):
         r = last[k]
         assert r.n_obs == 60 and r.until.timestamp() % 3600 == 59 * 60 % 3600
