@@ -10,6 +10,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # White space of every word rule here: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -30,10 +31,29 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def id_column(docs: DataFrame, key: str = "doc_id") -> tuple[Column, str]:
+    """A table's ids and the name of their type: integers as long, ids of any other type as they are."""
+    kind = docs.schema[key].dataType
+    whole = isinstance(kind, (T.IntegralType, T.NullType))
+    return (F.col(key).cast("long").alias(key), "bigint") if whole else (F.col(key), kind.simpleString())
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, one in the warehouse."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return path or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, one in the warehouse.
+
+    Executors on other machines can't reach a warehouse on the driver's disk, so that is an error.
+    """
+    if path := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return path
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    if reaches_one_machine(spark.sparkContext.master, _file_system(spark, path)[0].getUri().getScheme()):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path
+
+
+def reaches_one_machine(master: str, scheme: str | None) -> bool:
+    """True where a folder of this scheme is on the driver's disk alone and executors are elsewhere."""
+    return scheme in (None, "file") and not master.startswith("local")
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoloom.llm.common import cut, drop_folder, may_be_among, small_batches, written
+from chronoloom.llm.common import cut, drop_folder, id_column, may_be_among, small_batches, written
 from chronoloom.llm.components import components
 
 RANKED = 1 << 20  # at most so many of the most frequent shingles are known to all tasks (8 bytes each); any number gives the same links
@@ -191,7 +191,8 @@ def described(docs: DataFrame, n: int, name: Column | None = None) -> tuple[Data
     row is a number of its own for each row, name the given column (a long), tokens are the set's hashes. The table is written
     once, so the numbers stay; all that follows reads it.
     """
-    wanted = docs.select((F.lit(0) if name is None else name).cast("long").alias("name"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    doc_id, id_type = id_column(docs)
+    wanted = docs.select((F.lit(0) if name is None else name).cast("long").alias("name"), doc_id, "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
@@ -206,7 +207,7 @@ def described(docs: DataFrame, n: int, name: Column | None = None) -> tuple[Data
                 number += len(sets)
                 yield pa.RecordBatch.from_pydict(told)
 
-    return written(wanted.mapInArrow(rows, "row long, name long, doc_id long, n_shingles long, node long, tokens binary"))
+    return written(wanted.mapInArrow(rows, f"row long, name long, doc_id {id_type}, n_shingles long, node long, tokens binary"))
 
 
 def as_set(tokens: bytes) -> np.ndarray:
@@ -549,7 +550,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, counted: bool
     with, those of equal sets included. Unless `counted`, there is no n_links, and pairs that other links already join are not
     verified, so groups of very many near copies cost in proportion to their size. Documents of equal sets are one node of the
     search. A null text or one without words has no shingles and links with nothing. A null doc_id takes part but names no
-    component: its own is the least other id, or null. Rows that repeat are given each; rows that repeat a doc_id link by each
+    component: its own is the least other id, or null; ids can be of any type that has an order. Rows that repeat are given each; rows that repeat a doc_id link by each
     of their texts. Other columns are not read. Shingles are compared by 64-bit hashes. `docs` is read once.
     """
     base, links = links_of(docs, n, percent, counted)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import id_column
+
 SAMPLE = 8000
 
 
@@ -13,6 +15,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def in_order(sample: DataFrame) -> DataFrame:
+    """A sample with numbers for ids, by which rows are put in order on the driver: hashes where ids aren't integers."""
+    key, kind = id_column(sample)
+    return sample.withColumn("doc_id", key if kind == "bigint" else F.xxhash64("doc_id"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """At most `most` rows (doc_id, text, n_chars, quality) of `docs` with a label outside the held-out third.
 

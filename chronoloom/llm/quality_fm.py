@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoloom.llm.features import NAMES, Counted, base_counts, statistics
-from chronoloom.llm.labelled import SAMPLE, held_out, labelled_sample
+from chronoloom.llm.labelled import SAMPLE, held_out, in_order, labelled_sample
 
 LOG2_WORDS = 14
 FACTORS = 8
@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
                 )
 
     out = pa.schema([("doc_id", pa.int64()), ("at", pa.binary()), ("value", pa.binary()), ("dense", pa.list_(pa.float64())), ("label", pa.int32())])
-    rows = sample.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(features, "doc_id long, at binary, value binary, dense array<double>, label int").collect()
+    rows = in_order(sample).mapInArrow(features, "doc_id long, at binary, value binary, dense array<double>, label int").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["at"], r["value"]))
     parts = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64), r["dense"]) for r in rows]
     return fit(parts, np.array([float(r["label"] > 0) for r in rows]))

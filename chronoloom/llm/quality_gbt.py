@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoloom.llm.features import NAMES, base_counts, statistics
-from chronoloom.llm.labelled import SAMPLE, labelled_sample
+from chronoloom.llm.labelled import SAMPLE, in_order, labelled_sample
 
 # The score may only fall as these rise.
 FALLING = ("symbol_share", "mark_share", "upper_share", "dup_line_share", "repeat_share", "longest_run_share")
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Trees:
             x = [described(t)[1] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64())), batch.column("quality").cast(pa.int32())], names=["doc_id", "x", "label"])
 
-    sample = labelled_sample(docs, labels, most).withColumn("doc_id", F.col("doc_id").cast("long"))
+    sample = in_order(labelled_sample(docs, labels, most))
     rows = sample.mapInArrow(features, "doc_id long, x array<double>, label int").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     x = np.array([r["x"] for r in rows]).reshape(-1, len(NAMES))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoloom.llm.common import id_column
+
 SPACE = "▁"
 # Cuts before a run of space marks, before a line feed, and between a Latin letter and what is neither that nor space mark. In the
 # vocabularies that this is for, no piece has such a place inside, so no merge crosses it; pieces_cross() checks a model for that.
@@ -39,6 +42,9 @@ def isolated(pre_token: str) -> tuple[str, int]:
     return "\n" + pre_token.replace(SPACE, " "), 2
 
 
+UNLIKE_SCANS = "the documents came in other partitions or another order in a second scan: write them to a table first"
+
+
 def cut_up(text: str) -> list[str]:
     found = PRE_TOKEN.findall(text)
     return found[:-1]  # the last match is the empty one at the end
@@ -127,9 +133,14 @@ def frequencies_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, ids, texts in blocks(batches):
+    """For each block: its documents' ids and sizes. Ids have the type that they come with."""
+    first = next(batches, None)
+    if first is None:
+        return
+    kind = first.schema.field("doc_id").type
+    for block, ids, texts in blocks(itertools.chain([first], batches)):
         sizes = np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64()))], names=["block", "ids", "sizes"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([sizes.tolist()], pa.list_(pa.int64()))], names=["block", "ids", "sizes"])
 
 
 def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +179,10 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
 
     Texts are cut into pre-tokens that no merge crosses. Pieces are counted once for each distinct pre-token. Frequencies of
     pre-tokens in documents are packed by blocks of documents, joined to the counts by pre-token, summed for each block in
-    each partition, and then over the partitions. Ids of documents are never made. Null and empty texts have 0 tokens; null
-    doc_ids stay null; rows that repeat are counted each; other columns are not read. `docs` is read three times and must give
-    the same rows in the same partitions each time, as a table does. The model file is read on the driver and sent to the tasks.
+    each partition, and then over the partitions. Ids of tokens are never made. Null and empty texts have 0 tokens; null
+    doc_ids stay null, and ids can be of any type; rows that repeat are counted each; other columns are not read. `docs` is read
+    three times and must give the same rows in the same partitions each time, as a table does; else the job fails with
+    UNLIKE_SCANS. The model file is read on the driver and sent to the tasks.
     """
     import sentencepiece
 
@@ -190,6 +202,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
     def finish(rows: pa.Table) -> pa.Table:
         known = rows.filter(rows["ids"].is_valid())
         same = known.num_rows  # equal blocks share a name and have equal sums
+        if not same:
+            raise RuntimeError(UNLIKE_SCANS)
         ids, sizes = known["ids"][0].values, known["sizes"][0].values
         total = np.zeros(len(ids), np.int64)
         for places, sums in zip(rows["places"].to_pylist(), rows["sums"].to_pylist()):
@@ -198,12 +212,13 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
         total //= same
         return pa.concat_tables([pa.table({"doc_id": ids, "n_bytes": sizes, "n_tokens": total, "over_limit": total > limit})] * same)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    doc_id, id_type = id_column(docs)
+    texts = docs.select(doc_id, "text")
     counts = texts.mapInArrow(distinct_of, "pre_token string").distinct().mapInArrow(count_pieces, "pre_token string, n int")
     frequencies = texts.mapInArrow(frequencies_of, "pre_token string, block long, places binary")
     joined = frequencies.join(counts, "pre_token").select("block", "places", "n")
     sums = joined.mapInArrow(partial_sums, "block long, places binary, sums binary")
-    known = texts.mapInArrow(documents_of, "block long, ids array<long>, sizes array<long>")
+    known = texts.mapInArrow(documents_of, f"block long, ids array<{id_type}>, sizes array<long>")
     both = sums.unionByName(known, allowMissingColumns=True)
-    kinds = [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
+    kinds = [T.StructField("doc_id", texts.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
     return both.groupBy("block").applyInArrow(finish, T.StructType(kinds))

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chronoloom.llm import jaccard, quality_fm, quality_gbt, secrets, tokens
+from chronoloom.llm import common, jaccard, quality_fm, quality_gbt, secrets, tokens
 from chronoloom.llm.features import NAMES, base_counts, statistics
 
 TEXT = st.text(alphabet="aab c\n\t#é", max_size=120)
@@ -101,6 +101,11 @@ def test_keys_of_a_chunk_keep_what_they_connect():
             assert all(len(by_key[int(k)]) >= 1 for k in keys[i])
 
 
+def test_a_local_folder_will_not_do_for_executors_elsewhere():
+    assert common.reaches_one_machine("spark://host:7077", "file") and common.reaches_one_machine("yarn", None)
+    assert not common.reaches_one_machine("local[8]", "file") and not common.reaches_one_machine("yarn", "hdfs")
+
+
 def test_pre_tokens_count_like_whole_texts():
     public = pytest.importorskip("public_tokenizers")
     import sentencepiece

@@ -436,6 +436,41 @@ def test_token_counts(spark, hard_docs, no_docs):
     assert Counter(tuple(r) for r in tokens.token_counts(twice, path).collect()) == want + want
 
 
+def named(docs):
+    """The same rows with texts for ids, which order as the numbers do."""
+    return docs.withColumn("doc_id", F.format_string("d%03d", "doc_id")).withColumn("doc_id", F.when(F.col("doc_id") != "dnull", F.col("doc_id")))
+
+
+def test_ids_of_any_type(spark, hard_docs):
+    public = pytest.importorskip("public_tokenizers")
+    name = lambda i: None if i is None else f"d{i:03d}"
+    docs = named(hard_docs).checkpoint()
+    path = public.path("piece_bpe_32k.model")
+    assert Counter(tuple(r) for r in tokens.token_counts(docs, path).collect()) == Counter((name(r[0]), *r[1:]) for r in tokens.token_counts(hard_docs, path).collect())
+    want = Counter((name(r.doc_id), r.n_shingles, name(r.component_id)) for r in jaccard.similar_groups(hard_docs).collect())
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs).collect()) == want
+    labels = hard_docs.where("doc_id is not null").selectExpr("doc_id", "doc_id % 2 as quality")
+    for model in (lambda d, l: quality_fm.score(d, quality_fm.train(d, l)), lambda d, l: quality_gbt.judge(d, quality_gbt.train(d, l))):
+        assert Counter(r.doc_id for r in model(docs, named(labels)).collect()) == Counter(name(r.doc_id) for r in hard_docs.collect())
+
+
+def test_token_counts_say_so_where_scans_differ(spark, hard_docs):
+    public = pytest.importorskip("public_tokenizers")
+
+    def texts_that_no_two_scans_give_alike(batches):
+        import time
+
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [f"{t} {time.time_ns()}" for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts)], names=["doc_id", "text"])
+
+    unlike = hard_docs.select("doc_id", "text").mapInArrow(texts_that_no_two_scans_give_alike, "doc_id long, text string")
+    with pytest.raises(Exception, match="in a second scan"):
+        tokens.token_counts(unlike, public.path("piece_bpe_32k.model")).collect()
+
+
 def test_quality_models_on_held_out_labels(spark, hard_docs, no_docs):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
