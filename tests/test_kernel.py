@@ -101,11 +101,11 @@ def test_stationary_covariance_solves_its_equation():
 
 def test_forecast_of_ar1_is_its_closed_form_and_variance_rises():
     y, phi = recursion(200, 42, {1: 0.7}), 0.65
-    mean, var = ss.forecast(Spec.of((1, 0, 0)).diffuse(), y[None], np.array([[phi]]), 5)
+    mean, var, _ = ss.forecast(Spec.of((1, 0, 0)).diffuse(), y[None], np.array([[phi]]), 5)
     scale = ((y[1:] - phi * y[:-1]) ** 2).mean()
     assert mean[0] == pytest.approx([phi**h * y[-1] for h in range(1, 6)], abs=1e-6)
     assert var[0] == pytest.approx([scale * (1 - phi ** (2 * h)) / (1 - phi**2) for h in range(1, 6)], rel=1e-5)
-    _, var = ss.forecast(Spec.of((1, 1, 1), (1, 1, 1, 12)).diffuse(), walk()[None], np.array([[0.3, -0.4, 0.2, -0.5]]), 30)
+    _, var, _ = ss.forecast(Spec.of((1, 1, 1), (1, 1, 1, 12)).diffuse(), walk()[None], np.array([[0.3, -0.4, 0.2, -0.5]]), 30)
     assert (np.diff(var[0]) >= -1e-9).all()
 
 
