@@ -157,10 +157,13 @@ def likelihood(spec: Spec, x: np.ndarray, data: Data) -> tuple[np.ndarray, np.nd
     return out["loglike"], out["scale"]
 
 
-def cost(spec: Spec, x: np.ndarray, data: Data) -> np.ndarray:
-    """Minus the log-likelihood by point in unconstrained space; a huge number where there is none."""
+def cost(spec: Spec, x: np.ndarray, data: Data, rows: np.ndarray | None = None) -> np.ndarray:
+    """Minus the log-likelihood by point in unconstrained space; a huge number where there is none. Points are of data[rows] in order."""
     step = max(1, MOST_POINTS // spec.n_states**2)
-    parts = [likelihood(spec, constrained(spec, x[i : i + step]), data[i : i + step])[0] for i in range(0, len(x), step)]
+    if exact.usable(spec) and not spec.n_diff:
+        step = max(1, min(step, MOST_POINTS // max(data.y.shape[1], 1)))  # series repeat for their points: only those of a pass at a time
+    of = [slice(i, i + step) for i in range(0, len(x), step)]
+    parts = [likelihood(spec, constrained(spec, x[some]), data[some if rows is None else rows[some]])[0] for some in of]
     value = -np.concatenate(parts)
     return np.where(np.isfinite(value), value, 1e300)
 
@@ -170,7 +173,7 @@ def gradient(spec: Spec, x: np.ndarray, data: Data) -> np.ndarray:
     b, p = x.shape
     h = 1e-5 * np.maximum(1, np.abs(x))
     moved = x[:, None, None, :] + np.stack([np.eye(p), -np.eye(p)], 1) * h[:, None, None, :]
-    value = cost(spec, moved.reshape(-1, p), data[np.repeat(np.arange(b), 2 * p)]).reshape(b, p, 2)
+    value = cost(spec, moved.reshape(-1, p), data, np.repeat(np.arange(b), 2 * p)).reshape(b, p, 2)
     out = (value[:, :, 0] - value[:, :, 1]) / (2 * h)
     return np.where(np.abs(out) < 1e200, out, 0.0)
 
@@ -215,7 +218,7 @@ def bfgs(spec: Spec, x: np.ndarray, data: Data, maxiter: int) -> tuple[np.ndarra
             if not len(k):
                 break
             tried = bounded(spec, x[live[k]] + size[k, None] * move[k])
-            got = cost(spec, tried, some[k])
+            got = cost(spec, tried, some, k)
             fits = got <= value[live[k]] + 1e-4 * size[k] * slope[k]
             new_x[k[fits]], new_value[k[fits]] = tried[fits], got[fits]
             open_[k[fits]] = False
@@ -243,39 +246,43 @@ def bfgs(spec: Spec, x: np.ndarray, data: Data, maxiter: int) -> tuple[np.ndarra
 
 
 def nelder_mead(spec: Spec, x: np.ndarray, data: Data, maxiter: int | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nelder-Mead for one series after another; all trial points of a step are one pass. `maxiter` can be given by series."""
-    points, values, iters, fine = [], [], [], []
-    most = np.broadcast_to(maxiter, len(x))
-    for i in range(len(x)):
-        f = lambda z: cost(spec, bounded(spec, z), data[np.full(len(z), i)])  # noqa: B023, E731
-        simplex = np.vstack([x[i], *[x[i] + np.eye(len(x[i]))[j] * (0.05 * x[i][j] if abs(x[i][j]) > 1e-8 else 0.00025) for j in range(len(x[i]))]])
-        value, ok, n = f(simplex), False, 0
-        for n in range(1, int(most[i]) + 1):
-            order = np.argsort(value, kind="stable")
-            simplex, value = simplex[order], value[order]
-            if value.std() < 1e-6:
-                ok = True
-                break
-            middle = simplex[:-1].mean(axis=0)
-            tried = middle + np.array([[1.0], [2.0], [0.5], [-0.5]]) * (middle - simplex[-1])
-            got = f(tried)
-            if got[0] < value[0]:
-                k = 1 if got[1] < got[0] else 0
-            elif got[0] < value[-2]:
-                k = 0
-            else:
-                k = 2 if got[0] < value[-1] else 3
-            if k < 2 or got[k] < min(got[0], value[-1]):
-                simplex[-1], value[-1] = tried[k], got[k]
-            else:
-                simplex = simplex[0] + 0.5 * (simplex - simplex[0])
-                value = f(simplex)
-        best = value.argmin()
-        points.append(bounded(spec, simplex[best : best + 1])[0])
-        values.append(value[best])
-        iters.append(n)
-        fine.append(ok)
-    return np.array(points).reshape(x.shape), np.array(values), np.array(iters, np.int64), np.array(fine, bool)
+    """Nelder-Mead, all series in step; all trial points of a step are one pass. `maxiter` can be given by series."""
+    b, p = x.shape
+    most = np.broadcast_to(maxiter, b)
+
+    def costs(z: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return cost(spec, bounded(spec, z.reshape(-1, p)), data, np.repeat(rows, z.shape[1])).reshape(z.shape[:2])
+
+    moves = np.where(np.abs(x) > 1e-8, 0.05 * x, 0.00025)
+    simplex = np.concatenate([x[:, None], x[:, None] + np.eye(p) * moves[:, :, None]], axis=1)
+    value, n_iter, fine = costs(simplex, np.arange(b)), np.zeros(b, np.int64), np.zeros(b, bool)
+    for n in range(1, int(most.max(initial=0)) + 1):
+        live = np.flatnonzero(~fine & (most >= n))
+        if not len(live):
+            break
+        n_iter[live] = n
+        order = np.argsort(value[live], axis=1, kind="stable")
+        simplex[live] = np.take_along_axis(simplex[live], order[:, :, None], axis=1)
+        value[live] = np.take_along_axis(value[live], order, axis=1)
+        with np.errstate(over="ignore"):
+            fine[live] = value[live].std(axis=1) < 1e-6
+        live = live[~fine[live]]
+        if not len(live):
+            continue
+        some, of, at = simplex[live], value[live], np.arange(len(live))
+        middle = some[:, :-1].mean(axis=1)
+        tried = middle[:, None] + np.array([[1.0], [2.0], [0.5], [-0.5]]) * (middle - some[:, -1])[:, None]
+        got = costs(tried, live)
+        first = got[:, 0]
+        k = np.where(first < of[:, 0], np.where(got[:, 1] < first, 1, 0), np.where(first < of[:, -2], 0, np.where(first < of[:, -1], 2, 3)))
+        taken = (k < 2) | (got[at, k] < np.minimum(first, of[:, -1]))
+        some[taken, -1], of[taken, -1] = tried[at, k][taken], got[at, k][taken]
+        if not taken.all():
+            some[~taken] = some[~taken, :1] + 0.5 * (some[~taken] - some[~taken, :1])
+            of[~taken] = costs(some[~taken], live[~taken])
+        simplex[live], value[live] = some, of
+    best = value.argmin(axis=1)
+    return bounded(spec, simplex[np.arange(b), best]), value.min(axis=1), n_iter, fine
 
 
 def restarts(spec: Spec) -> int:

@@ -188,3 +188,45 @@ def test_two_seasonal_differences():
     inner = Spec.of((1, 0, 0), (0, 0, 1, 4))
     assert ss.loglike(spec, y[None], p)[0] == pytest.approx(exact.arma_loglike(inner, w, np.array([w.shape[1]]), p)[0][0], abs=1e-3)
     assert np.isfinite(ss.forecast(spec.diffuse(), y[None], p, 6)[0]).all() and estimate.fit(spec, y[None])[0]["error"] is None
+
+
+def counted(monkeypatch, module, name):
+    """A list of the numbers of points of every call of module.name from now on."""
+    calls, real = [], getattr(module, name)
+
+    def call(spec, first, *rest, **more):
+        calls.append(len(first))
+        return real(spec, first, *rest, **more)
+
+    monkeypatch.setattr(module, name, call)
+    return calls
+
+
+def test_simplexes_of_a_batch_go_in_step(monkeypatch):
+    y, spec = np.array([recursion(82, i, {1: 0.7}) + 3 for i in range(40)]), Spec.of((1, 0, 1))
+    most = np.r_[0, 1, 5, np.full(37, 200)]
+    data, x = estimate.Data(y, None, np.full(40, 82)), np.random.default_rng(1).normal(size=(40, 2))
+    alone = [estimate.nelder_mead(spec, x[i : i + 1], data[i : i + 1], most[i : i + 1]) for i in range(40)]
+    calls = counted(monkeypatch, estimate, "likelihood")
+    many = estimate.nelder_mead(spec, x, data, most)
+    for k in range(4):
+        assert many[k].tolist() == [one[k].tolist()[0] for one in alone]
+    assert many[3].sum() > 30 and not many[3][:3].any()
+    assert len(calls) <= 1 + 2 * many[2].max()  # as many passes as the longest search takes, not as all of them do
+
+
+@pytest.mark.parametrize(("order", "params"), [((1, 0, 0), [0.6]), ((0, 0, 1), [-0.999]), ((1, 0, 1), [0.9999, -0.98]), ((1, 0, 1), [-0.5, 0.3])])
+def test_first_orders_in_one_pass_over_time(order, params, monkeypatch):
+    rows, spec = np.random.default_rng(2).normal(size=(40, 90)) + 2, Spec.of(order)
+    length = np.r_[1, 2, 60, np.full(37, 90)]
+    padded = rows * (np.arange(90) < length[:, None])
+    transforms = counted(monkeypatch, exact, "responses")
+    got, scale = exact.arma_loglike(spec, padded, length, np.tile(params, (40, 1)))
+    assert not transforms
+    for i in (1, 2, 3, 39):
+        want = ss.run_filter(spec, rows[i : i + 1, : length[i]], np.array([params]))
+        assert got[i] == pytest.approx(want["loglike"][0], abs=1e-7) and scale[i] == pytest.approx(want["scale"][0], rel=1e-8)
+    one, _ = exact.arma_loglike(spec, padded[:3], length[:3], np.tile(params, (3, 1)))
+    assert one.tolist() == got[:3].tolist()  # what else is in the batch does not matter
+    border = exact.arma_loglike(spec, padded[:3], length[:3], np.tile([1.0] * len(params), (3, 1)))[0]
+    assert np.isnan(border).all() == (order[0] == 1)
