@@ -385,44 +385,67 @@ def fit(spec: Spec, y: np.ndarray, exog: np.ndarray | None = None, method: str =
     ]
 
 
-def hessian(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray | None) -> np.ndarray | None:
-    """Second differences of the log-likelihood at one series' parameters, all points in one pass."""
-    k = len(params)
-    h = np.maximum(1e-5, 1e-4 * np.maximum(1, np.abs(params)))
-    moves = [np.zeros(k)]
-    for i in range(k):
-        for sign in (1, -1):
-            moves.append(sign * h * (np.arange(k) == i))
+def _in_parts(run, spec: Spec, points: int, y: np.ndarray, params: np.ndarray, exog: np.ndarray | None) -> list[np.ndarray | None]:
+    """run(y, params, exog) over as many series at a time as a pass has room for, with `points` points each."""
+    step = max(1, MOST_POINTS // (points * max(spec.n_states**2, y.shape[1] * (1 + spec.n_exog))))
+    told = []
+    for i in range(0, len(y), step):
+        told += list(run(y[i : i + step], params[i : i + step], None if exog is None else exog[i : i + step]))
+    return [m if np.isfinite(m).all() else None for m in told]
+
+
+def _repeated(a: np.ndarray | None, times: int) -> np.ndarray | None:
+    return None if a is None else np.repeat(a, times, 0)
+
+
+def hessians(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray | None) -> list[np.ndarray | None]:
+    """Second differences of the log-likelihood at every series' parameters, all points of all series in one pass."""
+    k = params.shape[1]
+    unit = np.eye(k)
+    moves = [np.zeros(k), *[sign * unit[i] for i in range(k) for sign in (1, -1)]]
     pairs = [(i, j) for i in range(k) for j in range(i)]
     for i, j in pairs:
-        for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
-            moves.append(a * h * (np.arange(k) == i) + b * h * (np.arange(k) == j))
-    points = params + np.array(moves)
-    value = loglike(spec, np.repeat(y[None], len(points), 0), points, None if exog is None else np.repeat(exog[None], len(points), 0))
-    out = np.zeros((k, k))
-    for i in range(k):
-        out[i, i] = (value[1 + 2 * i] - 2 * value[0] + value[2 + 2 * i]) / h[i] ** 2
-    for m, (i, j) in enumerate(pairs):
-        v = value[1 + 2 * k + 4 * m :][:4]
-        out[i, j] = out[j, i] = (v[0] - v[1] - v[2] + v[3]) / (4 * h[i] * h[j])
-    return out if np.isfinite(out).all() else None
-
-
-def score_outer(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray | None) -> np.ndarray | None:
-    """The sum over one series' values of the outer products of their log-densities' gradients, all points in one pass.
+        moves += [a * unit[i] + b * unit[j] for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1))]
+    moves = np.array(moves)
+
+    def run(y, params, exog):
+        h = np.maximum(1e-5, 1e-4 * np.maximum(1, np.abs(params)))
+        points = (params[:, None] + moves * h[:, None]).reshape(-1, k)
+        value = loglike(spec, _repeated(y, len(moves)), points, _repeated(exog, len(moves))).reshape(len(y), -1)
+        out = np.zeros((len(y), k, k))
+        for i in range(k):
+            out[:, i, i] = (value[:, 1 + 2 * i] - 2 * value[:, 0] + value[:, 2 + 2 * i]) / h[:, i] ** 2
+        for m, (i, j) in enumerate(pairs):
+            v = value[:, 1 + 2 * k + 4 * m :][:, :4].T
+            out[:, i, j] = out[:, j, i] = (v[0] - v[1] - v[2] + v[3]) / (4 * h[:, i] * h[:, j])
+        return out
+
+    return _in_parts(run, spec, len(moves), y, params, exog)
+
+
+def hessian(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray | None) -> np.ndarray | None:
+    """hessians() of one series."""
+    return hessians(spec, y[None], params[None], None if exog is None else exog[None])[0]
+
+
+def score_outers(spec: Spec, y: np.ndarray, params: np.ndarray, exog: np.ndarray | None) -> list[np.ndarray | None]:
+    """The sums over every series' values of the outer products of their log-densities' gradients, all points in one pass.
 
     A concentrated scale is that of the whole series at each point, so its own movement counts. Gradients are central differences.
     """
-    k = len(params)
-    h = 1e-5 * np.maximum(1, np.abs(params))
-    points = params + np.vstack([np.diag(h), -np.diag(h)])
-    out = run_filter(spec, np.repeat(y[None], 2 * k, 0), points, None if exog is None else np.repeat(exog[None], 2 * k, 0), store=True)
-    if not np.isfinite(out["loglike"]).all():
-        return None
-    f = out["f"] * (out["scale"][:, None] if spec.concentrate_scale else 1.0)
-    counted = np.arange(len(y)) >= out["burn"][:, None]
-    with np.errstate(all="ignore"):
-        density = np.where(counted, -0.5 * (np.log(2 * np.pi * f) + out["v"] ** 2 / f), 0.0)
-    scores = (density[:k] - density[k:]) / (2 * h[:, None])
-    told = scores @ scores.T
-    return told if np.isfinite(told).all() else None
+    k = params.shape[1]
+
+    def run(y, params, exog):
+        h = 1e-5 * np.maximum(1, np.abs(params))
+        moves = np.vstack([np.eye(k), -np.eye(k)])
+        points = (params[:, None] + moves * h[:, None]).reshape(-1, k)
+        out = run_filter(spec, _repeated(y, 2 * k), points, _repeated(exog, 2 * k), store=True)
+        f = out["f"] * (out["scale"][:, None] if spec.concentrate_scale else 1.0)
+        counted = np.arange(y.shape[1]) >= out["burn"][:, None]
+        with np.errstate(all="ignore"):
+            density = np.where(counted, -0.5 * (np.log(2 * np.pi * f) + out["v"] ** 2 / f), 0.0)
+        density = np.where(np.isfinite(out["loglike"])[:, None], density, np.nan).reshape(len(y), 2, k, -1)
+        scores = (density[:, 0] - density[:, 1]) / (2 * h[:, :, None])
+        return scores @ scores.transpose(0, 2, 1)
+
+    return _in_parts(run, spec, 2 * k, y, params, exog)

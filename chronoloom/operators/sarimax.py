@@ -189,7 +189,7 @@ def residuals(series: DataFrame, ids: list[str], spec: Spec, params: DataFrame |
     return rows.select(*ids, "t", "_p.residual", "_p.standardized_residual", "error")
 
 
-INFORMATION = {"hessian": lambda *given: None if (h := estimate.hessian(*given)) is None else -h, "opg": estimate.score_outer}
+INFORMATION = {"hessian": lambda *given: [None if h is None else -h for h in estimate.hessians(*given)], "opg": estimate.score_outers}  # of a batch
 TOLD = ("std_err", "z", "p_value", "ci_lower", "ci_upper")  # what inference adds to a coefficient
 
 
@@ -226,11 +226,12 @@ def parameter_summary(series: DataFrame, ids: list[str], spec: Spec, params: Dat
     kinds = list(INFORMATION) if inference == "both" else [inference]
 
     def run(y, x, rows, _length):
-        out = []
-        for i, p in enumerate(_given(rows, spec)):
+        out, given = [], _given(rows, spec)
+        information = {kind: INFORMATION[kind](spec, y, given, x) for kind in kinds}
+        for i, p in enumerate(given):
             told = {"coef": p.tolist()}
             for kind in kinds:
-                se, status, message = standard_errors(INFORMATION[kind](spec, y[i], p, None if x is None else x[i]))
+                se, status, message = standard_errors(information[kind][i])
                 known = [None if se is None or np.isnan(s) else float(s) for s in (p if se is None else se)]
                 p_value = [None if s is None else math.erfc(abs(c / s) / math.sqrt(2)) for c, s in zip(p.tolist(), known)]  # two-sided
                 told |= {f"{kind}_se": known, f"{kind}_p": p_value, f"{kind}_status": status, f"{kind}_message": message}

@@ -6,6 +6,7 @@ import pytest
 from chronoloom.functions import estimate, exact
 from chronoloom.functions import statespace as ss
 from chronoloom.functions.spec import Spec
+from chronoloom.operators import sarimax
 
 
 def recursion(n, seed, coefs, legacy_first=1):
@@ -230,3 +231,20 @@ def test_first_orders_in_one_pass_over_time(order, params, monkeypatch):
     assert one.tolist() == got[:3].tolist()  # what else is in the batch does not matter
     border = exact.arma_loglike(spec, padded[:3], length[:3], np.tile([1.0] * len(params), (3, 1)))[0]
     assert np.isnan(border).all() == (order[0] == 1)
+
+
+def test_information_of_a_batch_takes_one_pass(monkeypatch):
+    rng, spec = np.random.default_rng(4), Spec.of((1, 0, 1), n_exog=1)
+    y, x, p = rng.normal(size=(30, 82)), rng.normal(size=(30, 82, 1)), np.c_[rng.normal(size=30), rng.uniform(-0.9, 0.9, (30, 2))]
+    for kind, points in (("hessian", 1 + 2 * 3 + 4 * 3), ("opg", 2 * 3)):
+        alone = [sarimax.INFORMATION[kind](spec, y[i : i + 1], p[i : i + 1], x[i : i + 1])[0] for i in range(30)]
+        with monkeypatch.context() as m:
+            calls = [counted(m, estimate, name) for name in ("loglike", "run_filter")]
+            many = sarimax.INFORMATION[kind](spec, y, p, x)
+        assert sum(calls, []) == [30 * points]
+        assert all((a == b).all() for a, b in zip(many, alone))
+        monkeypatch.setattr(estimate, "MOST_POINTS", 82 * 2 * points * 7)  # seven series a pass
+        assert all((a == b).all() for a, b in zip(sarimax.INFORMATION[kind](spec, y, p, x), alone))
+        monkeypatch.undo()
+    y[3, 5] = np.nan
+    assert [h is None for h in estimate.hessians(spec, y, p, x)] == [i == 3 for i in range(30)]
